@@ -34,3 +34,4 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op9_mixing)}
+ORACLES: dict[str, str] = {}

@@ -1,13 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word features.
 
-Features of a text are the presence of its hashed words, word pairs and
-skip-grams (pairs with one word between).  Per-coordinate rates adapt to how
+Features of a text are the presence of its hashed words (A-Z folded, up to
+three punctuation marks off either end), word pairs and skip-grams (pairs with
+one word between).  Per-coordinate rates adapt to how
 often a feature is seen and the L1 term leaves most weights at exactly zero, so
 the model that travels to the executors is a short list of (index, weight).
 
 Training takes a bounded sample of the labelled rows (``max_rows``, chosen by a
-hash of the id; all of them if there are fewer).  The sample is dealt to
-``SHARDS`` tasks; each runs FTRL over its rows ``epochs`` times in the order of
+hash of the id; all of them if there are fewer).  The sample is dealt to tasks
+of ``SHARD_ROWS`` rows; each runs FTRL over its rows ``epochs`` times in the order of
 a hash, and the shards' weights are averaged.  Scoring runs over all rows.
 
 Nulls: a null text counts as empty (its score is that of the bias), a null id
@@ -26,8 +27,9 @@ from .shared import map_arrow, small_batches, text_bytes, widened
 from .words import Words, chunks, mixed
 
 BITS = 22
-SHARDS = 8
-MAX_ROWS = 40_000
+#: Rows of a shard, as far as the sample allows; MAX_ROWS makes four shards.
+SHARD_ROWS = 8_000
+MAX_ROWS = 32_000
 
 
 def features(w: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +54,7 @@ def _present(w: Words, bits: int) -> list[np.ndarray]:
     return [index[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def ftrl(rows: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 3) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float = 3.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0, epochs: int = 6) -> tuple[np.ndarray, float]:
     """FTRL-proximal over (label, features); returns the weights and the bias."""
     z, n = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
     bz = bn = 0.0
@@ -83,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     count = usable.count()
     if not count:
         return {}
+    shards = max(1, round(min(count, max_rows) / SHARD_ROWS))
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(share < min(1.0, max_rows / count)) if count > max_rows else usable
     # The sample has about max_rows ids and labels at most, some 16 bytes each.
@@ -92,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         for batch in batches:
             texts, toxic, ids = text_bytes(batch["text"]), batch["toxic"].to_pylist(), batch["doc_id"].to_pylist()
             for a, b in chunks(texts):
-                x = _present(Words(texts[a:b]), bits)
-                yield pa.RecordBatch.from_pydict({"shard": [int(mixed(np.array([i % (1 << 63)], np.uint64))[0] % SHARDS) for i in ids[a:b]], "doc_id": ids[a:b], "toxic": toxic[a:b], "x": [v.tobytes() for v in x]}, schema=pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("toxic", pa.int32()), ("x", pa.binary())]))
+                x = _present(Words(texts[a:b], lower=True, trim=3), bits)
+                yield pa.RecordBatch.from_pydict({"shard": [int(mixed(np.array([i % (1 << 63)], np.uint64))[0] % shards) for i in ids[a:b]], "doc_id": ids[a:b], "toxic": toxic[a:b], "x": [v.tobytes() for v in x]}, schema=pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("toxic", pa.int32()), ("x", pa.binary())]))
 
     def one_shard(table: pa.Table) -> pa.Table:
         ids = np.array(table["doc_id"].to_pylist(), np.int64)
@@ -105,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
 
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
     fitted = map_arrow(rows, to_features, "shard int, doc_id long, toxic int, x binary").groupBy("shard").applyInArrow(one_shard, "i int, w double")
-    # At most SHARDS lists of nonzero weights, whose count the L1 term and max_rows bound.
+    # A few lists of nonzero weights, whose count the L1 term and max_rows bound.
     weights: dict[int, list[float]] = {}
     for r in fitted.collect():
         weights.setdefault(r["i"], []).append(r["w"])
@@ -129,7 +132,7 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS, keep: tu
             texts = text_bytes(batch["text"])
             out = np.zeros(len(texts))
             for a, b in chunks(texts):
-                doc, x = features(Words(texts[a:b]), bits)
+                doc, x = features(Words(texts[a:b], lower=True, trim=3), bits)
                 hit = dense[x] != 0
                 key = np.unique((doc[hit].astype(np.int64) << 32) | x[hit])
                 out[a:b] = np.bincount(key >> 32, dense[key & 0xFFFFFFFF], b - a) if len(key) else 0.0

@@ -12,6 +12,8 @@ import numpy as np
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,10 +52,11 @@ class Words:
     """Words of a list of texts: starts, ends (in buffer), hashes, bounds.
 
     bounds[d] to bounds[d + 1] are the words of text d; offsets[d] is where the
-    text begins in the buffer.
+    text begins in the buffer.  lower folds A-Z; trim takes up to so many ASCII
+    punctuation marks off both ends of a word (never the last byte).
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False, hashes: bool = True) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = False, hashes: bool = True, trim: int = 0) -> None:
         self.buffer = b"\n".join(texts) + b"\n"
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))[: len(texts) + 1]
@@ -67,6 +70,9 @@ class Words:
             change = np.concatenate((change, [len(a)]))
         self.starts, self.ends = change[0::2], change[1::2]
         self.bounds = np.searchsorted(self.starts, self.offsets)
+        for _ in range(trim):
+            self.ends = self.ends - (_PUNCTUATION[a[self.ends - 1]] & (self.ends - self.starts > 1))
+            self.starts = self.starts + (_PUNCTUATION[a[self.starts]] & (self.ends - self.starts > 1))
         if hashes:
             self.hashes = np.empty(len(self.starts), np.uint64)
             i = 0
