@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, lm, media, mixing, quality, toxicity
+from . import licenses, lm, media, mixing, neardup, quality, toxicity
 from .shared import remainder, table
 
 
@@ -29,6 +29,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     training = F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True))
@@ -40,5 +44,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.replicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "mix_rate", "mix_copies", "mix_copy")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op7_language_model, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op7_language_model, op9_mixing)}
 ORACLES: dict[str, str] = {}
