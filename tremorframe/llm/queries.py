@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, lm, media, mixing, neardup, quality, toxicity
+from . import licenses, lm, media, mixing, neardup, quality, substring, toxicity
 from .shared import remainder, table
 
 
@@ -40,9 +40,13 @@ def op7_language_model(spark, sf_dir):
     return rows.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.replicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "mix_rate", "mix_copies", "mix_copy")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op7_language_model, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op7_language_model, op8_substring_dedup, op9_mixing)}
 ORACLES: dict[str, str] = {}
