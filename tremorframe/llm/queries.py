@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, lm, media, mixing, neardup, quality, substring, toxicity
+from . import htmltext, licenses, lm, media, mixing, neardup, packing, quality, substring, toxicity
 from .shared import remainder, table
 
 
@@ -33,6 +33,10 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     training = F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True))
@@ -48,5 +52,9 @@ def op9_mixing(spark, sf_dir):
     return mixing.replicate(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "mix_rate", "mix_copies", "mix_copy")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op7_language_model, op8_substring_dedup, op9_mixing)}
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op6_html_extraction, op7_language_model, op8_substring_dedup, op9_mixing, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -122,14 +122,14 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS, keep: tu
     value = np.array([weights[i] for i in index.tolist()], np.float32)
     bias = weights.get(-1, -30.0)
     model = docs.sparkSession.sparkContext.broadcast((index, value))
-    extra = docs.select(*keep, "text")
+    extra = docs.select(*keep, docs["text"].alias("_text"))
     schema = widened(extra.select(*keep).schema, "score double, predicted int")
 
     def run(batches):
         dense = np.zeros(1 << bits, np.float32)
         dense[model.value[0]] = model.value[1]
         for batch in batches:
-            texts = text_bytes(batch["text"])
+            texts = text_bytes(batch["_text"])
             out = np.zeros(len(texts))
             for a, b in chunks(texts):
                 doc, x = features(Words(texts[a:b], lower=True, trim=3), bits)
