@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels, scales
 from ..functions.codes import is_vertical
@@ -57,17 +58,17 @@ def _loudest(samples: pd.Series, rate: pd.Series, f) -> pd.Series:
     return pd.Series([float(np.abs(f(np.asarray(x, float), r)).max()) if len(x) else None for x, r in zip(samples, rate, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wood_anderson_peak(samples: pd.Series, rate: pd.Series) -> pd.Series:
     return _loudest(samples, rate, lambda x, r: kernels.wood_anderson(x, r))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def surface_peak(samples: pd.Series, rate: pd.Series) -> pd.Series:
     return _loudest(samples, rate, lambda x, r: kernels.bandpass(x, r, 1 / 25, 1 / 15, 3))
 
 
-@F.pandas_udf("omega double, corner double, misfit double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("omega", "corner", "misfit")]))
 def spectrum(samples: pd.Series, rate: pd.Series, metres: pd.Series) -> pd.DataFrame:
     got = [kernels.spectral_fit(np.asarray(x, float), r, m) for x, r, m in zip(samples, rate, metres, strict=True)]
     return pd.DataFrame(got, columns=["omega", "corner", "misfit"])

@@ -77,10 +77,11 @@ def run(segments: DataFrame, stations: DataFrame, s: Settings = Settings()) -> d
     """picks, event picks, origins, arrivals, station and network magnitudes; Mw only of events over mw_from."""
     spark = segments.sparkSession
     model = velocity.Model.named(s.model)
-    picks = pick(segments, s)
-    members = assemble(picks, stations, velocity.table_rows(spark, model), s)
+    # Picks, members and origins are small beside the waveforms and are used by several plans each.
+    picks = pick(segments, s).cache()
+    members = assemble(picks, stations, velocity.table_rows(spark, model), s).cache()
     origins = locate.locate(members, model, s.method, **s.locator)
-    origins = origins.where("converged").withColumn("orid", F.col("event_id")).withColumn("fixed", F.lit(s.locator.get("fixed_depth") is not None))
+    origins = origins.where("converged").withColumn("orid", F.col("event_id")).withColumn("fixed", F.lit(s.locator.get("fixed_depth") is not None)).cache()
     each, net = magnitude.event_magnitudes(origins, segments, stations, s.magnitudes)
     big = net.where((F.col("magtype") == "ML") & (F.col("magnitude") > s.mw_from)).select("event_id")
     net = net.where("magtype <> 'Mw'").unionByName(net.where("magtype = 'Mw'").join(big, "event_id", "left_semi"))
