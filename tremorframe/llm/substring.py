@@ -102,6 +102,19 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
     return map_arrow(keyed.select("text", "_key", "_size", "_id"), run, "anchor long, segment long, key long, size int, id long, at int")
 
 
+def _anchor_counts(keyed: DataFrame) -> DataFrame:
+    """anchor, n: of all documents."""
+
+    def run(batches):
+        for batch in batches:
+            texts = text_bytes(batch["text"])
+            found = [anchors(Words(texts[a:b]))[1] for a, b in chunks(texts, 1 << 20)]
+            anchor, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+    return map_arrow(keyed.select("text"), run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+
+
 def _words_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """anchor, segment, weight, before, words (32 bits each) for the wanted places; hot anchors give a row for each window.
 
@@ -136,6 +149,19 @@ def _words_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "anchor long, segment long, weight long, before int, words binary, window long")
 
 
+def _merged(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of spans that meet; who tells the spans' owners."""
+    order = np.lexsort((lo, who))
+    who, lo, hi = who[order].astype(np.int64), lo[order].astype(np.int64), hi[order].astype(np.int64)
+    if not len(who):
+        return who, lo, hi
+    base = who * (1 << 20)
+    reach = np.maximum.accumulate(base + hi)
+    fresh = np.concatenate(([True], (base + lo)[1:] > reach[:-1]))
+    at = np.flatnonzero(fresh)
+    return who[at], lo[at], (np.maximum.reduceat(base + hi, at) - base[at])
+
+
 def _search(segments: DataFrame) -> DataFrame:
     """anchor, segment, lo, hi: repeated stretches as distances from the anchor."""
     rows = segments.where("words is not null").select("anchor", "segment", "weight", "before", "words").repartition("anchor").sortWithinPartitions("anchor", "segment")
@@ -146,14 +172,51 @@ def _search(segments: DataFrame) -> DataFrame:
         size = np.array([len(x) // 4 for x in parts])
         word = np.frombuffer(b"".join(parts), np.uint32)
         starts = np.cumsum(size) - size
+        # A segment of weight 2 or more repeats as a whole; the others are searched for.
+        whole = np.flatnonzero((weight >= 2) & (size >= WINDOW))
+        found = [(whole, -before[whole], (size - before)[whole])]
+        # Groups of one anchor without any segment to search for need no index.
+        group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
+        useful = np.bincount(group, weight < 2) > 0
         of = np.repeat(np.arange(len(size)), size)
-        distance = np.arange(len(word)) - starts[of] - before[of] + REACH
-        symbol = mixed(mixed(anchor.astype(np.int64).view(np.uint64)[of] + distance.astype(np.uint64)) + word.astype(np.uint64))
+        distance = np.arange(len(word)) - starts[of] - before[of]
+        # The words of the anchor are equal in its group: the first of them stands for all.
+        used = useful[group][of] & ((distance <= 0) | (distance >= ANCHOR))
+        of, distance = of[used], distance[used]
+        symbol = mixed(mixed(anchor.view(np.int64).view(np.uint64)[of] + (distance + REACH).astype(np.uint64)) + word[used].astype(np.uint64))
         _, text = np.unique(symbol, return_inverse=True)
-        index = FMIndex(text, weight[of], WINDOW + REACH + 2)
-        who, lo, hi = repeated_intervals(index, text, starts, starts + size, WINDOW)
-        shift = starts[who] + before[who]
-        return pa.RecordBatch.from_arrays([pa.array(anchor[who]), pa.array(np.asarray(table["segment"])[who]), pa.array((lo - shift).astype(np.int32)), pa.array((hi - shift).astype(np.int32))], names=["anchor", "segment", "lo", "hi"])
+        # A window that occurs again has only symbols that do, so stretches of
+        # these are searched, and all other symbols are one in the index.
+        twice = np.bincount(text, weight[of]) >= 2
+        text = np.where(twice[text], np.cumsum(twice)[text], 0)
+        some = (text > 0) & (weight < 2)[of]
+        same = np.concatenate(([False], of[1:] == of[:-1]))
+        begin = np.flatnonzero(some & ~(same & np.concatenate(([False], some[:-1]))))
+        end = np.flatnonzero(some & ~(np.concatenate((same[1:], [False])) & np.concatenate((some[1:], [False])))) + 1
+        # Every window holds the whole anchor, so a stretch is this many symbols at least.
+        least = WINDOW - ANCHOR + 1
+        long = end - begin >= least
+        if long.any():
+            begin, end = begin[long], end[long]
+            index = FMIndex(text, weight[of], 2 * REACH + 3)
+            # Equal stretches (symbols tell anchor and distance too) are searched once.
+            power, inverse = _power_tables(len(text))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(text.astype(np.uint64)) * power[: len(text)], dtype=np.uint64)))
+            _, one, kind = np.unique((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64), return_index=True, return_inverse=True)
+            run, first, last = repeated_intervals(index, text, begin[one], end[one], least)
+            by_kind, number = np.argsort(kind, kind="stable"), np.bincount(kind)
+            of_kind = np.cumsum(number) - number
+            k = np.repeat(np.arange(len(run)), number[run])
+            member = by_kind[of_kind[run][k] + np.arange(len(k)) - np.repeat(np.cumsum(number[run]) - number[run], number[run])]
+            first, last = first[k] - begin[one][run][k] + begin[member], last[k] - begin[one][run][k] + begin[member]
+            left, right = distance[first], distance[last - 1]
+            # Only what reaches over the anchor is of its windows.
+            over = (left <= 0) & (right >= 0)
+            found.append((of[first][over], left[over], np.where(right > 0, right + 1, ANCHOR)[over]))
+        who, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        fits = hi - lo >= WINDOW
+        who, lo, hi = _merged(who[fits], lo[fits], hi[fits])
+        return pa.RecordBatch.from_arrays([pa.array(anchor[who]), pa.array(np.asarray(table["segment"])[who]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["anchor", "segment", "lo", "hi"])
 
     def run(batches):
         held, most = None, SHARD // (WINDOW + REACH)
@@ -178,7 +241,7 @@ def _search(segments: DataFrame) -> DataFrame:
 def spans(keyed: DataFrame) -> DataFrame:
     """key, size, spans: word spans (lo, hi) to remove from each text; texts without any are left out."""
     found = _occurrences(keyed)
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = _anchor_counts(keyed).where("n > 1").select("anchor")
     kept = written(found.join(again, "anchor"), "anchors")
     unlike = kept.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "id", "at")).alias("place"))
     unlike = written(unlike.select("anchor", "segment", "weight", "place.*"), "segments")
@@ -220,7 +283,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: b
                         covered[s["lo"]] += 1
                         covered[s["hi"]] -= 1
                     stays = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
-                    kept = b" ".join(texts[i].split()) if len(stays) == hi - lo else b" ".join(w.buffer[x:y] for x, y in zip(w.starts[lo + stays].tolist(), w.ends[lo + stays].tolist(), strict=True))
+                    kept = b" ".join(texts[i].split()) if len(stays) == hi - lo else b"" if not len(stays) else b" ".join(w.buffer[x:y] for x, y in zip(w.starts[lo + stays].tolist(), w.ends[lo + stays].tolist(), strict=True))
                     out.append((hi - lo, hi - lo - len(stays), hashlib.sha256(kept).hexdigest(), kept.decode()))
             columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out])]
             columns += [pa.array([r[3] for r in out])] if text else []
