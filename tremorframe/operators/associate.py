@@ -49,32 +49,31 @@ def residuals(picks: DataFrame, stations: DataFrame, times: DataFrame, max_resid
     return timed.where(F.abs("residual") <= max_residual)
 
 
-def candidates(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, min_stations: int = 3, min_phases: int = 4, bucket_s: float = 600.0) -> DataFrame:
+def candidates(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, min_stations: int = 3, min_phases: int = 4, bucket_s: float = 600.0, fits: DataFrame | None = None) -> DataFrame:
     """seed_id, time_us, lat, lon, station_count, phase_count of seeds with enough stations and picks.
 
-    Stations are told apart by code alone.  The seed counts itself.
+    Stations are told apart by code alone.  The seed counts itself.  fits: what
+    ``residuals`` gives, if it is there already.
     """
-    found = residuals(picks, stations, times, max_residual, bucket_s)
+    found = residuals(picks, stations, times, max_residual, bucket_s) if fits is None else fits
     own = with_stations(picks, stations).where(F.col("phase").isin(*SEED_PHASES)).select(F.col("pick_id").alias("seed_id"), F.col("pick_id"), "sta", F.col("time_us").alias("seed_us"), F.col("slat").alias("lat"), F.col("slon").alias("lon"))
     both = own.unionByName(found.select("seed_id", "pick_id", "sta", "seed_us", "lat", "lon"))
     grouped = both.groupBy("seed_id", "seed_us", "lat", "lon").agg(F.countDistinct("sta").alias("station_count"), F.count("*").alias("phase_count"))
     return grouped.where((F.col("station_count") >= min_stations) & (F.col("phase_count") >= min_phases)).select("seed_id", (F.col("seed_us") - LEAD_MS * 1000).alias("time_us"), "lat", "lon", F.lit(SEED_DEPTH_KM).alias("depth"), "station_count", "phase_count")
 
 
-def members(picks: DataFrame, stations: DataFrame, times: DataFrame, **options) -> DataFrame:
-    """seed_id, pick_id of all candidates."""
-    chosen = candidates(picks, stations, times, **options).select("seed_id")
-    given = {k: v for k, v in options.items() if k in ("max_residual", "bucket_s")}
-    found = residuals(picks, stations, times, **given).select("seed_id", "pick_id")
-    return found.unionByName(chosen.select("seed_id", F.col("seed_id").alias("pick_id"))).join(chosen, "seed_id", "left_semi")
+def members(picks: DataFrame, stations: DataFrame, times: DataFrame, chosen: DataFrame | None = None, fits: DataFrame | None = None, **options) -> DataFrame:
+    """seed_id, pick_id of all candidates (or of the chosen ones)."""
+    fits = residuals(picks, stations, times, **{k: v for k, v in options.items() if k in ("max_residual", "bucket_s")}) if fits is None else fits
+    chosen = (candidates(picks, stations, times, fits=fits, **options) if chosen is None else chosen).select("seed_id")
+    return fits.select("seed_id", "pick_id").unionByName(chosen.select("seed_id", F.col("seed_id").alias("pick_id"))).join(chosen, "seed_id", "left_semi")
 
 
 def greedy(members: DataFrame, ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Seeds that keep disjoint picks: seed_id, best first, those that share a pick with an earlier one go.
 
-    Rank is (station_count, phase_count, earliest).  Candidates that touch each
-    other form one group (connected by picks); a group is worked through in one
-    task, which time buckets keep small.
+    Rank is (station_count, phase_count, earliest).  The candidates of one day
+    are worked through in one task.
     """
     rows = members.join(ranked, "seed_id").groupBy("seed_id", "station_count", "phase_count", "time_us", *(by or [])).agg(F.sort_array(F.collect_set("pick_id")).alias("picks"))
     rows = rows.withColumn("day", F.floor(F.col("time_us") / 86_400_000_000))

@@ -193,8 +193,9 @@ def associated_events(spark, sf):
     """Candidates over the travel-time table, with shared picks resolved greedily."""
     p, s, t = picks(spark, sf), stations(spark, sf), velocity.table_rows(spark, velocity.Model.named("iasp91"))
     options = {"max_residual": 120.0, "bucket_s": 900.0}
-    found = associate.candidates(p, s, t, min_stations=2, min_phases=2, **options)
-    return associate.greedy(associate.members(p, s, t, min_stations=2, min_phases=2, **options), found)
+    fits = associate.residuals(p, s, t, **options)
+    found = associate.candidates(p, s, t, min_stations=2, min_phases=2, fits=fits, **options)
+    return associate.greedy(associate.members(p, s, t, found, fits), found)
 
 
 @query("SELECT cell, CAST(bucket AS BIGINT) AS bucket, count(DISTINCT pick_id) AS votes FROM (SELECT c.cell, p.pick_id, floor((p.time_us - " + haversine_sql("c.lat", "c.lon", "p.slat", "p.slon") + " / 8.0 * 1e6) / 300000000.0) AS bucket FROM picks p, (SELECT i AS cell, CAST(-60 + 30 * (i // 5) AS DOUBLE) AS lat, CAST(-120 + 60 * (i % 5) AS DOUBLE) AS lon FROM range(25) t(i)) c) u GROUP BY ALL HAVING count(DISTINCT pick_id) >= 4", (PICKS,))

@@ -54,8 +54,9 @@ def pick(segments: DataFrame, s: Settings) -> DataFrame:
 def assemble(picks: DataFrame, stations: DataFrame, times: DataFrame, s: Settings) -> DataFrame:
     """Picks with event_id: candidates resolved greedily."""
     options = {"max_residual": s.max_residual, "min_stations": s.min_stations, "min_phases": s.min_phases, "bucket_s": s.bucket_s}
-    found = associate.candidates(picks, stations, times, **options)
-    rows = associate.members(picks, stations, times, **options)
+    fits = associate.residuals(picks, stations, times, s.max_residual, s.bucket_s).cache()
+    found = associate.candidates(picks, stations, times, fits=fits, **options).cache()
+    rows = associate.members(picks, stations, times, found, fits)
     kept = associate.greedy(rows, found).select("seed_id")
     chosen = rows.join(kept, "seed_id", "left_semi").select(F.col("seed_id").alias("event_id"), "pick_id").distinct()
     return associate.with_stations(picks, stations).join(chosen, "pick_id")
