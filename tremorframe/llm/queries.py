@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import htmltext, licenses, lm, media, mixing, neardup, packing, quality, substring, toxicity
+from .oracles import ORACLES
 from .shared import remainder, table
 
 
@@ -57,4 +58,5 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op6_html_extraction, op7_language_model, op8_substring_dedup, op9_mixing, op10_packing)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
