@@ -1,16 +1,18 @@
 """Connected components of a table of links, by large and small stars.
 
-Rounds of two aggregations with joins until nothing changes; the number of
-rounds grows with the logarithm of the longest path.  Links stay distributed;
-every round is cut off by a table in the shared folder.
+Rounds of two aggregations with joins until nothing changes or so few links are
+left that one task joins them; the number of rounds grows with the logarithm of
+the longest path.  Links stay distributed; every round is cut off by a table in
+the shared folder.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import map_arrow, written
 
 MAX_ROUNDS = 60
 
@@ -28,15 +30,36 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
+#: Up to so many links one task joins them at once; beyond, a round's links go to as many tasks as this needs.
+TASK_ROWS = 200_000
+
+
+def _at_once(batches):
+    """Disjoint sets over all links of the task."""
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i] = i = up[j]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(i) for i in list(up)], pa.int64())], names=["id", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component: the least id reachable, for every id (long) that links (a, b) name."""
-    now = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = written(now, "links")
-    seen = None
+    now = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    n, seen = links.count(), None
     for _ in range(MAX_ROUNDS):
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "links")
+        if n <= TASK_ROWS:
+            return written(map_arrow(now.coalesce(1), _at_once, "id long, component long"), "components")
+        now = written(_small_star(_large_star(now)).distinct().coalesce(1 + n // TASK_ROWS), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = state
+        seen, n = state, state[0]
     raise RuntimeError(f"the components did not settle in {MAX_ROUNDS} rounds")

@@ -8,21 +8,22 @@ Each of TREES independent trees branches documents recursively: in a tree node
 every document follows BRANCHES minwise tokens whose numbers the node's own
 hash selects, so two documents of similarity s share a child BRANCHES * s times
 on average, over one at the threshold, however deep the tree becomes.  A tree
-node of at most LEAF documents is compared exhaustively.  A larger one branches
-again, unless its documents resemble its leader (mean estimate SIMILAR): then
-branching would not part them, and it is compared in blocks that all hold the
-node's pivots.
-
-A comparison estimates similarity from T bytes a document and passes on pairs
-over LOW: a spanning forest of the sure pairs and up to TOP of the unsure ones
-for each document.  All passed pairs are confirmed on the full sets.  Whatever
-a first pass left out is done by a second one, without bounds: in the nodes
-where TOP cut something, all unsure pairs whose documents are not connected yet
-are confirmed; in nodes compared in blocks, the documents that are not
-connected with the node's largest component meet every block.
+node of at most LEAF documents is compared exhaustively, from T bytes a
+document.  A larger one branches again, unless it holds over SIMILAR of the
+node it comes from: then branching does not part its documents, and it is
+compared in blocks that all hold some pivots.
+
+Estimates over LOW connect documents to groups; a link can only be inside a
+group.  There all pairs are compared by their full sets, as a product of the
+group's incidence matrix, and the links that span what is linked are the
+result.  Groups over LEAF documents are compared in blocks too; their pivots
+are the documents nearest to the group's commonest tokens.
+
+Whatever blocks may have missed is done after them, without bounds: documents
+that are not connected with most of their group meet every block of it.
 
 Recall: a pair of similarity 0.75 misses all trees with a chance under 1e-4,
-and LOW with one under 1e-3.
+and LOW with one under 1e-3.  Full sets hold 40 bits of each shingle's hash.
 
 Nulls: a null text is empty; an empty document or one without words is linked
 with nothing; a null id is compared with nothing and kept.  Repeated rows of an
@@ -35,7 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -47,13 +48,12 @@ PERCENT = 75
 T = 128
 TREES = 4
 BRANCHES = 2
-LEAF = 256
-BLOCK = 128
+LEAF = 768
+BLOCK = 256
 PIVOTS = 32
-SIMILAR = 0.5
+#: Two documents that have this share of their shingles in common have a similarity of 0.67.
+SIMILAR = 0.8
 LOW = round(T * 0.617)
-HIGH = round(T * 0.875)
-TOP = 8
 MAX_DEPTH = 40
 
 _rng = np.random.default_rng(20)
@@ -108,13 +108,19 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _branch(nodes: DataFrame) -> DataFrame:
-    """path, id of the children; nodes: id, tokens and, below the roots, path."""
+    """path, id, above, low of the children; nodes: id, tokens and, below the roots, path and size.
+
+    above is the size of the node they come from, 0 at the roots; low has the
+    low bytes of all tokens, enough to estimate similarity.
+    """
     below = "path" in nodes.columns
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch["id"], np.int64)
             sig = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(-1, T)
+            above = np.asarray(batch["size"], np.int64) if below else np.zeros(len(ids), np.int64)
+            low = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
             parents = [np.asarray(batch["path"], np.int64).view(np.uint64)] if below else [np.full(len(ids), mixed(np.array([r + 1], np.uint64))[0]) for r in range(TREES)]
             for parent in parents:
                 at = (parent % np.uint64(T)).astype(np.int64)
@@ -122,13 +128,13 @@ def _branch(nodes: DataFrame) -> DataFrame:
                 for b in range(BRANCHES):
                     k = (at + (b + 1) * step) % T
                     child = mixed(mixed(parent + k.astype(np.uint64)) + sig[np.arange(len(ids)), k])
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids)], names=["path", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids), pa.array(above), low], names=["path", "id", "above", "low"])
 
-    return map_arrow(nodes.select("id", "tokens", *(["path"] if below else [])), run, "path long, id long")
+    return map_arrow(nodes.select("id", "tokens", *(["path", "size"] if below else [])), run, "path long, id long, above long, low binary")
 
 
 def _low_bytes(nodes: DataFrame) -> DataFrame:
-    """tokens become their T low bytes, enough to estimate similarity."""
+    """id and the low bytes of the tokens."""
 
     def run(batches):
         for batch in batches:
@@ -138,231 +144,234 @@ def _low_bytes(nodes: DataFrame) -> DataFrame:
     return map_arrow(nodes.select("id", "tokens"), run, "id long, low binary")
 
 
-def _resemblance(members: DataFrame, low: DataFrame) -> DataFrame:
-    """path, mean estimate of the members' similarity to the member of least id."""
-    leader = members.groupBy("path").agg(F.min("id").alias("leader"))
-    leader = leader.join(low.select(F.col("id").alias("leader"), F.col("low").alias("leader_low")), "leader").select("path", "leader_low")
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, T) for c in ("low", "leader_low"))
-            yield pa.RecordBatch.from_arrays([batch["path"], pa.array((a == b).mean(1))], names=["path", "s"])
-
-    rows = members.select("path", "id").join(low, "id").join(leader, "path").select("path", "low", "leader_low")
-    return map_arrow(rows, run, "path long, s double").groupBy("path").agg(F.avg("s").alias("mean"))
-
-
 def _agreements(low: np.ndarray):
     """(first row, counts of equal bytes with all rows) for blocks of rows."""
     for i in range(0, len(low), 32):
         yield i, (low[i : i + 32, None, :] == low[None, :, :]).sum(2, dtype=np.int16)
 
 
-class _Sets:
-    """Disjoint sets of the rows of a node."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def _first_pass(ids: np.ndarray, low: np.ndarray):
-    """Pairs of rows to confirm, and whether TOP left any out."""
-    found = []
-    for i, agree in _agreements(low):
-        a, b = np.nonzero(agree >= LOW)
-        keep = a + i < b
-        found.append(np.stack((a[keep] + i, b[keep], agree[a[keep], b[keep]])))
-    a, b, agree = np.concatenate(found, 1)
-    other = ids[a] != ids[b]
-    a, b, agree = a[other], b[other], agree[other]
-    sets, pairs = _Sets(len(ids)), []
-    order = np.argsort(-agree, kind="stable")
-    sure = order[agree[order] >= HIGH]
-    for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
-        if sets.join(i, j):
-            pairs.append((i, j))
-    used, cut = [0] * len(ids), False
-    for i, j in zip(a[order[len(sure) :]].tolist(), b[order[len(sure) :]].tolist(), strict=True):
-        if sets.find(i) == sets.find(j):
-            continue
-        if used[i] >= TOP and used[j] >= TOP:
-            cut = True
+def _forest(linked) -> list[tuple[int, int]]:
+    """Pairs of rows that span what is linked; linked(i) gives the links of row i as booleans."""
+    n, pairs = linked.shape[0], []
+    free = np.ones(n, bool)
+    for root in range(n):
+        if not free[root]:
             continue
-        used[i] += 1
-        used[j] += 1
-        pairs.append((i, j))
-    return pairs, cut
-
-
-def _second_pass(ids: np.ndarray, low: np.ndarray, labels: np.ndarray):
-    """All pairs over LOW whose rows have unlike labels."""
-    pairs = []
+        free[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & free)
+            free[new] = False
+            pairs += [(i, j) for j in new.tolist()]
+            queue += new.tolist()
+    return pairs
+
+
+def _alike(low: np.ndarray) -> np.ndarray:
+    """Which rows' estimates are over LOW."""
+    out = np.empty((len(low), len(low)), bool)
     for i, agree in _agreements(low):
-        a, b = np.nonzero(agree >= LOW)
-        keep = (a + i < b) & (labels[a + i] != labels[b]) & (ids[a + i] != ids[b])
-        pairs += zip((a[keep] + i).tolist(), b[keep].tolist(), strict=True)
-    return pairs, False
-
+        out[i : i + len(agree)] = agree >= LOW
+    return out
 
-def _compare(members: DataFrame, second: bool = False) -> DataFrame:
-    """a, b, node: pairs to confirm (a < b), and rows without a and b for nodes where pairs were left out.
 
-    members: path, block, id, low and, for a second pass, label.  A node and
-    block has some LEAF rows; rows are streamed in the order of nodes.
+def _linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets are similar enough, by products of their incidence matrix."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    value, of = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    column, of = number[column[shared]], of[shared]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    both = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (first, first + 4096))
+        x = np.zeros((n, 4096), np.float32)
+        x[of[lo:hi], column[lo:hi] - first] = 1
+        both += x @ x.T
+    return 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+
+
+def _pairs(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
+    """a, b (a < b): links that span what is alike in each group of rows.
+
+    rows: keys..., id, and low (estimates) or set (exact).  A group has some
+    LEAF rows; rows are streamed in the order of groups.
     """
-    extra = ["label"] if second else []
-    rows = members.select("path", "block", "id", "low", *extra).repartition("path", "block").sortWithinPartitions("path", "block", "id")
+    data = "set" if exact else "low"
+    dealt = rows.select(*keys, "id", data).repartition(*keys).sortWithinPartitions(*keys, "id")
 
-    def nodes(batches):
+    def groups(batches):
         held = None
         for batch in batches:
             batch = pa.Table.from_batches([batch])
             held = batch if held is None else pa.concat_tables([held, batch])
-            path, block = np.asarray(held["path"]), np.asarray(held["block"])
-            ends = np.flatnonzero((path[1:] != path[:-1]) | (block[1:] != block[:-1])) + 1
+            own = [np.asarray(held[k]) for k in keys]
+            ends = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in own])) + 1
             if len(ends):
-                whole = held.slice(0, ends[-1])
-                yield whole, np.concatenate(([0], ends))
+                yield held.slice(0, ends[-1]), np.concatenate(([0], ends))
                 held = held.slice(ends[-1])
         if held is not None and held.num_rows:
             yield held, np.array([0, held.num_rows])
 
     def run(batches):
-        for rows, bounds in nodes(batches):
-            path, ids = np.asarray(rows["path"], np.int64), np.asarray(rows["id"], np.int64)
-            low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(-1, T)
-            labels = np.asarray(rows["label"], np.int64) if second else None
-            out_a, out_b, out_node = [], [], []
-            two = np.flatnonzero(np.diff(bounds) == 2)
-            first = bounds[two]
-            hit = ((low[first] == low[first + 1]).sum(1) >= LOW) & (ids[first] != ids[first + 1])
-            if second:
-                hit &= labels[first] != labels[first + 1]
-            out_a += ids[first[hit]].tolist()
-            out_b += ids[first[hit] + 1].tolist()
-            out_node += path[first[hit]].tolist()
-            for i in np.flatnonzero(np.diff(bounds) > 2).tolist():
-                a, b = bounds[i], bounds[i + 1]
-                own = ids[a:b]
-                pairs, cut = _second_pass(own, low[a:b], labels[a:b]) if second else _first_pass(own, low[a:b])
-                for j, k in pairs:
-                    out_a.append(int(min(own[j], own[k])))
-                    out_b.append(int(max(own[j], own[k])))
-                    out_node.append(int(path[a]))
-                if cut:
-                    out_a.append(None)
-                    out_b.append(None)
-                    out_node.append(int(path[a]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_node, pa.int64())], names=["a", "b", "node"])
-
-    return map_arrow(rows, run, "a long, b long, node long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        for table, bounds in groups(batches):
+            ids, values = np.asarray(table["id"], np.int64), table[data].to_pylist()
+            out: list[tuple[int, int]] = []
+            if exact:
+                sets = [_unpacked(x) for x in values]
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if b - a > 1:
+                        out += [(a + i, a + j) for i, j in _forest(_linked(sets[a:b]))]
+            else:
+                low = np.frombuffer(b"".join(values), np.uint8).reshape(-1, T)
+                two = bounds[np.flatnonzero(np.diff(bounds) == 2)]
+                hit = two[(low[two] == low[two + 1]).sum(1) >= LOW]
+                out += list(zip(hit.tolist(), (hit + 1).tolist(), strict=True))
+                for k in np.flatnonzero(np.diff(bounds) > 2).tolist():
+                    a, b = int(bounds[k]), int(bounds[k + 1])
+                    out += [(a + i, a + j) for i, j in _forest(_alike(low[a:b]))]
+            x, y = (ids[[p[k] for p in out]] if out else ids[:0] for k in (0, 1))
+            differ = x != y
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[differ]), pa.array(np.maximum(x, y)[differ])], names=["a", "b"])
+
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """40 bits of each hash, in order."""
+    return np.ascontiguousarray((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    raw = np.zeros((len(x) // 5, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return raw.view(np.uint64).ravel()
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, set: the full sets of the documents with these ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
-    def to_sets(batches):
+    def run(batches):
         for batch in batches:
             texts = text_bytes(batch["text"])
-            sets = [s.tobytes() for a, b in chunks(texts) for s in shingle_sets(texts[a:b])]
+            sets = [_packed(s) for a, b in chunks(texts) for s in shingle_sets(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], names=["id", "set"])
 
-    def confirm(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return written(map_arrow(texts, run, "id long, set binary"), "shingle-sets")
 
-    sets = written(map_arrow(texts, to_sets, "id long, set binary"), "shingle-sets")
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return map_arrow(rows.select("a", "b", "x", "y"), confirm, "a long, b long")
 
+def _tree_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(path, id, low) of the tree nodes to compare whole, and (path, id, size, low) of those to compare in blocks.
 
-def _tree_nodes(nodes: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(path, id) of the tree nodes to compare whole, and (path, id, size) of those to compare in blocks."""
+    Only the sizes of nodes over LEAF are looked up.
+    """
     leaves, blocked, level = None, None, _branch(nodes)
     for depth in range(MAX_DEPTH):
-        level = written(level, "paths")
-        size = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        sized = written(level.join(size, "path"), "tree-nodes")
-        small = sized.where(F.col("size") <= LEAF).select("path", "id")
-        leaves = small if leaves is None else leaves.union(small)
-        large = sized.where(F.col("size") > LEAF)
-        if large.isEmpty():
-            break
-        mean = written(_resemblance(large, low), "resemblance")
-        alike = (F.col("mean") >= SIMILAR) if depth < MAX_DEPTH - 1 else F.lit(True)
-        large = large.join(mean, "path")
-        own = large.where(alike).select("path", "id", "size")
-        blocked = own if blocked is None else blocked.union(own)
-        level = _branch(large.where(~alike).select("path", "id").join(nodes.select("id", "tokens"), "id"))
+        big = written(level.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > LEAF), "big-nodes")
+        if big.isEmpty():
+            small = level.select("path", "id", "low")
+            return small if leaves is None else leaves.unionByName(small), blocked
+        sized = level.join(big, "path", "left")
+        small = sized.where("size is null").select("path", "id", "low")
+        leaves = small if leaves is None else leaves.unionByName(small)
+        large = written(sized.where("size is not null").select("path", "id", "size", "above", "low"), "large-nodes")
+        alike = (F.col("size") > SIMILAR * F.col("above")) & (F.col("above") > 0) if depth < MAX_DEPTH - 1 else F.lit(True)
+        own = large.where(alike).select("path", "id", "size", "low")
+        blocked = own if blocked is None else blocked.unionByName(own)
+        level = written(_branch(large.where(~alike).select("path", "id", "size").join(nodes, "id")), "paths")
     return leaves, blocked
 
 
-def _blocks(blocked: DataFrame) -> DataFrame:
-    """path, block, id: each row in one block of its node, the pivots in all."""
+def _blocks(large: DataFrame, group: str, pivots: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """group, block, id, extra...: each row (group, id, size, extra...) in one block of its group, the pivots in all.
+
+    Without given pivots (group, id) some PIVOTS rows are taken by hash.
+    """
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), count).cast("int")
-    pivot = F.pmod(F.xxhash64("id", F.lit(4)), F.col("size")) < PIVOTS
-    return blocked.select("path", "id", F.explode(F.when(pivot, F.sequence(F.lit(0), count - 1)).otherwise(F.array(own))).alias("block"))
+    if pivots is None:
+        marked = large.withColumn("_all", F.pmod(F.xxhash64("id", F.lit(4)), F.col("size")) < PIVOTS)
+    else:
+        marked = large.join(pivots.withColumn("_all", F.lit(True)), [group, "id"], "left").withColumn("_all", F.coalesce("_all", F.lit(False)))
+    return marked.select(group, "id", *extra, F.explode(F.when(F.col("_all"), F.sequence(F.lit(0), count - 1)).otherwise(F.array(own))).alias("block"))
+
+
+def _apart(large: DataFrame, group: str, label: DataFrame, in_blocks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """group, block, part, id, extra...: rows without the label most of their group have, with every block of it.
+
+    They come in parts of some LEAF rows, each of which meets all blocks.
+    """
+    named = large.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    most = named.groupBy(group, "label").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    apart = written(named.join(most, group).where("label != main").select(group, "id", "size", *extra), "apart")
+    parts = apart.groupBy(group).agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    mine = apart.join(parts, group).select(group, "id", *extra, F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"), part.alias("part"))
+    theirs = in_blocks.join(parts, group).select(group, "id", *extra, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return mine.unionByName(theirs).distinct()
+
+
+def _central(large: DataFrame, group: str, low: DataFrame) -> DataFrame:
+    """group, id: the PIVOTS rows of each group that agree most with the commonest byte at every place."""
+    rows = large.select(group, "id").join(low, "id")
+    place = F.sequence(F.lit(1), F.lit(T))
+    each = rows.select(group, F.explode(F.transform(place, lambda k: F.struct(k.alias("k"), F.substring(F.col("low"), k, F.lit(1)).alias("v")))).alias("e"))
+    common = each.groupBy(group, "e.k", "e.v").agg(F.count("*").alias("n")).groupBy(group, "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    consensus = common.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("c"))
+    agree = F.aggregate(place, F.lit(0), lambda s, k: s + F.when(F.get("c", k - 1) == F.substring(F.col("low"), k, F.lit(1)), 1).otherwise(0))
+    scored = rows.join(consensus, group).select(group, "id", agree.alias("agree"))
+    first = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("agree"), "id"))
+    return scored.withColumn("_n", first).where(F.col("_n") <= PIVOTS).select(group, "id")
+
+
+def _estimated(nodes: DataFrame) -> DataFrame:
+    """id, component: nodes that estimates over LOW connect in some tree."""
+    leaves, blocked = _tree_nodes(nodes)
+    members = leaves.withColumn("block", F.lit(0))
+    if blocked is not None:
+        in_blocks = written(_blocks(blocked, "path", extra=("low",)), "blocks")
+        members = members.unionByName(in_blocks)
+    pairs = written(_pairs(members, ["path", "block"], False).distinct(), "pairs")
+    found = components(pairs)
+    if blocked is None:
+        return found
+    more = written(_pairs(_apart(blocked, "path", found, in_blocks, ("low",)), ["path", "block", "part"], False), "pairs")
+    return found if more.isEmpty() else components(pairs.unionByName(more))
 
 
-def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """a, b: confirmed links that connect what is similar; ids are the least of their set."""
+def joined(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """id, component of all linked nodes; ids are the least of their set."""
     usable = sketched.where("doc_id is not null and digest is not null")
     least = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     nodes = usable.join(least, ["digest", "doc_id"]).groupBy("doc_id").agg(F.first("tokens").alias("tokens")).withColumnRenamed("doc_id", "id")
     nodes = written(nodes, "nodes")
     low = _low_bytes(nodes)
-    leaves, blocked = _tree_nodes(nodes, low)
-    members = leaves.withColumn("block", F.lit(0))
-    if blocked is not None:
-        blocked = written(blocked, "blocked")
-        in_blocks = written(_blocks(blocked), "blocks")
-        members = members.unionByName(in_blocks)
-    first = written(_compare(members.join(low, "id")), "pairs")
-    done = written(_confirmed(first.where("a is not null").select("a", "b").distinct(), docs), "confirmed")
-    cut = first.where("a is null").select(F.col("node").alias("path")).distinct()
-    again = not cut.isEmpty()
-    if blocked is None and not again:
-        return done
-    label = written(components(done), "labels")
-    labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    second = labelled(leaves.join(cut, "path", "left_semi").withColumn("block", F.lit(0))).select("path", "block", "id", "label")
-    if blocked is not None:
-        named = written(labelled(blocked), "blocked-labels")
-        most = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        apart = named.join(most, "path").where("label != main").select("path", "id", "label", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"))
-        apart = written(apart, "apart")
-        touched = apart.select("path").distinct()
-        second = second.unionByName(labelled(in_blocks.join(touched, "path", "left_semi")).select("path", "block", "id", "label")).unionByName(apart.select("path", "block", "id", "label"))
-    more = _compare(second.distinct().join(low, "id"), True)
-    more = written(more.select("a", "b").distinct(), "pairs")
-    if more.isEmpty():
-        return done
-    return written(done.unionByName(_confirmed(more, docs)), "confirmed")
+    group = _estimated(nodes).withColumnRenamed("component", "near")
+    sized = group.join(group.groupBy("near").agg(F.count("*").alias("size")), "near")
+    large = written(sized.where(F.col("size") > LEAF), "large")
+    any_large = not large.isEmpty()
+    dealt = sized.where(F.col("size") <= LEAF).select("near", "id", F.lit(0).alias("block"))
+    if any_large:
+        in_blocks = written(_blocks(large, "near", _central(large, "near", low)), "blocks")
+        dealt = dealt.unionByName(in_blocks.select("near", "id", "block"))
+    sets = _sets_of(group.select("id"), docs)
+    pairs = written(_pairs(dealt.join(sets, "id"), ["near", "block"], True), "links")
+    found = components(pairs)
+    if not any_large:
+        return found
+    more = written(_pairs(_apart(large, "near", found, in_blocks).join(sets, "id"), ["near", "block", "part"], True), "links")
+    return found if more.isEmpty() else components(pairs.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for every row of docs."""
     docs = docs.select("doc_id", "text")
     sketched = written(sketch(docs), "sketch")
-    found = components(links(docs, sketched))
+    found = joined(docs, sketched)
     group = sketched.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     group = group.join(found, group.least == found.id, "left").select("digest", F.coalesce("component", "least").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")

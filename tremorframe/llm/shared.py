@@ -44,9 +44,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches."""
+    """mapInArrow with bounded batches; Arrow's spare memory goes back when a task ends."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def remainder(doc_id, by: int = 5):
