@@ -130,3 +130,30 @@ def test_segments(spark):
 def test_suppression(spark):
     got = spark.createDataFrame([([1, 2, 5, 6, 9, 14],)], "i array<bigint>").select(signal.suppress_close(F.col("i"), 4).alias("k")).first()["k"]
     assert got == [1, 5, 9, 14]
+
+
+def test_kernel_pickers(spark):
+    from tremorframe.operators import pickers
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, 2400)
+    x[1500:1700] += 15 * np.sin(2 * np.pi * 6 * np.arange(200) / 40)
+    rows = spark.createDataFrame([("a", 0, 40.0, x.tolist()), ("b", 0, 40.0, [0.0] * 5), ("c", 0, 40.0, None)], "stream_id string, start_us long, sample_rate double, samples array<double>")
+    for name, options in (("multiband", {}), ("ar", {"trigger": 4.0}), ("ml", {"min_probability": 0.2})):
+        kind, pick = pickers.picker(name)
+        got = pick(rows, ["stream_id"], **options).collect()
+        assert kind == "arrays" and any(abs(g["idx"] - 1500) < 60 and g["time_us"] == g["idx"] * 25_000 for g in got), name
+        assert {g["stream_id"] for g in got} == {"a"}
+
+    class Half:
+        name = "half"
+
+        def predict(self, samples, rate):
+            return [(len(samples) // 2, "S", 0.9)] if len(samples) else []
+
+    pickers.register_backend("half", Half)
+    assert {(g["stream_id"], g["idx"], g["phase"]) for g in pickers.detector(rows, ["stream_id"], "half").collect()} == {("a", 1200, "S"), ("b", 2, "S")}
+    with pytest.raises(ValueError):
+        pickers.picker("none")
+    with pytest.raises(ValueError):
+        pickers.backend("none")

@@ -63,3 +63,21 @@ def test_picks(spark, tmp_path):
     p = write(tmp_path, "p.csv", "station,phase,travel_time_s,snr,quality,distance_km,method\nIC.BJT,P,143.4195,4.5,1,1096.4,recursive\nKS.SEO2,P,64.5,7.4,1,464,stalta\n")
     got = text.read_picks(spark, p, 1_000_000).orderBy("sta").collect()
     assert [(r["net"], r["sta"], r["time_us"], r["quality"]) for r in got] == [("IC", "BJT", 144_419_500, 1), ("KS", "SEO2", 65_500_000, 0)]
+
+
+def test_writers_and_folders(spark, tmp_path):
+    conf = write(tmp_path, "a.conf", "top = 1\n[b]\ny = 2\nx = 3\n[a]\nz = 4\n")
+    rows = text.parse_settings(text.lines(spark, conf))
+    again = write(tmp_path, "b.conf", "\n".join(r["value"] for r in text.setting_lines(rows).collect()))
+    assert text.settings(spark, again) == text.settings(spark, conf)
+    folder = tmp_path / "models"
+    folder.mkdir()
+    (folder / "x.vel").write_text("0 0 5 3\n")
+    (folder / "x.bounds").write_text("circle:10,20,50\n")
+    (folder / "y.mod").write_text("P-VELOCITY\n5 0\n")
+    got = {r["name"]: r for r in text.read_regions(spark, str(folder)).collect()}
+    assert got["x"]["radius_km"] == 50 and got["x"]["model_file"] == "x.vel" and got["y"]["min_lat"] == -90
+    lines_of = text.region_lines(text.read_regions(spark, str(folder)).where("name = 'x'")).collect()
+    (folder / "velocity_models.conf").write_text("\n".join(r["value"] for r in lines_of) + "\n")
+    listed = text.read_regions(spark, str(folder)).collect()
+    assert [(r["name"], r["bounds_type"], r["radius_km"]) for r in listed] == [("x", "circle", 50.0)]

@@ -319,6 +319,25 @@ def locate(picks: DataFrame, model: Model, method: str = "grid", **options) -> D
     return picks.groupBy("event_id").applyInPandas(one, ORIGIN)
 
 
+def relocate(picks: DataFrame, origins: DataFrame, model: Model, **options) -> DataFrame:
+    """Linearised location of every event from the origin it has (event_id, lat, lon, depth, time_us)."""
+    from pyspark.sql import functions as F
+
+    o = Options.named(**options)
+    start = origins.where("lat is not null").select("event_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("depth").alias("_depth"), F.col("time_us").alias("_time"))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        p, r = Picks(rows), rows.iloc[0]
+        old = {"lat": r["_lat"], "lon": r["_lon"], "depth": r["_depth"], "time_us": r["_time"]}
+        times = Times(model)
+        out = geiger(p, times, o, old) or {**old, "rms": float(misfit(p, times, np.array([old["lat"]]), np.array([old["lon"]]), np.array([old["depth"]]))[0][0]), "converged": False, "iterations": 0, "algorithm": "Geiger", "lat_err": None, "lon_err": None, "depth_err": None, "time_err": None}
+        a = azimuth(out["lat"], out["lon"], p.lat, p.lon)
+        out |= {"gap": 360.0 - (a.max() - a.min()), "event_id": r["event_id"], "phase_count": len(rows), "station_count": len(set(p.sta))}
+        return pd.DataFrame([out])[[f.split()[0] for f in ORIGIN.split(", ")]]
+
+    return picks.join(start, "event_id").groupBy("event_id").applyInPandas(one, ORIGIN)
+
+
 def arrivals(picks: DataFrame, origins: DataFrame, model: Model) -> DataFrame:
     """Each pick at its event's origin: distance, azimuth, residual, weight."""
 

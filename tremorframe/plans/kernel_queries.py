@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import associate, locate, velocity
+from ..operators import associate, locate, pickers, velocity
 from .registry import query
 from .tables import ARRAYS, arrays, exploded, picks, stations
 
@@ -82,3 +82,25 @@ def grid_search_locate(spark, sf):
 @query()
 def geiger_locate(spark, sf):
     return located(spark, sf, "geiger", radius=100.0)
+
+
+def segments(spark, sf):
+    """Each embedding, repeated to 640 samples with a louder middle, as a segment of one station."""
+    x = F.flatten(F.array_repeat("x", 10))
+    loud = F.transform(x, lambda v, i: F.when(i.between(400, 440), v * 30).otherwise(v))
+    return arrays(spark, sf).select("vec_id", F.lit(0).cast("long").alias("start_us"), F.lit(RATE).alias("sample_rate"), loud.alias("samples"))
+
+
+@query()
+def multi_band_picks(spark, sf):
+    return pickers.multi_band(segments(spark, sf), ["vec_id"]).select("vec_id", "idx", "band", F.round("snr", 4).alias("snr"))
+
+
+@query()
+def autoregressive_picks(spark, sf):
+    return pickers.autoregressive(segments(spark, sf), ["vec_id"], trigger=3.0).select("vec_id", "idx", F.round("snr", 4).alias("snr"))
+
+
+@query()
+def detector_picks(spark, sf):
+    return pickers.detector(segments(spark, sf), ["vec_id"], min_probability=0.3).select("vec_id", "idx", "phase", F.round("confidence", 4).alias("confidence"))

@@ -181,3 +181,32 @@ def station_lines(stations: DataFrame) -> DataFrame:
 
 def layer_lines(layers: DataFrame) -> DataFrame:
     return layers.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in LAYER[1:])).alias("value"))
+
+
+def setting_lines(rows: DataFrame) -> DataFrame:
+    """value, in order: lines that parse_settings reads, of (section, key, value, no)."""
+    w = Window.partitionBy("section").orderBy("no")
+    line = F.concat(F.col("key"), F.lit(" = "), F.col("value"))
+    head = F.when((F.row_number().over(w) == 1) & (F.col("section") != ""), F.concat(F.lit("["), F.col("section"), F.lit("]\n"))).otherwise("")
+    first = F.min("no").over(Window.partitionBy("section"))
+    return rows.select(first.alias("_s"), "no", F.concat(head, line).alias("value")).orderBy("_s", "no").select("value")
+
+
+def region_lines(regions: DataFrame) -> DataFrame:
+    """value: sections that parse_regions reads, from the columns of BOUNDS and model_file."""
+    from ..operators.regions import bounds_text
+
+    return regions.select(F.concat_ws("\n", F.concat(F.lit("["), "name", F.lit("]")), F.concat(F.lit("model_file = "), "model_file"), F.concat(F.lit("bounds = "), bounds_text()), F.concat(F.lit("priority = "), F.col("priority").cast("string")), F.concat(F.lit("description = "), "description")).alias("value"))
+
+
+def read_regions(spark: SparkSession, directory: str, config: str = "velocity_models.conf") -> DataFrame:
+    """Regions of a folder: from its list if it has one, else a region for each model file with a ``.bounds`` text beside it."""
+    listed = lines(spark, directory + "/*")
+    stem = F.regexp_extract("file", "([^/]+?)\\.[^./]+$", 1)
+    ours = listed.where(F.col("file").endswith("/" + config))
+    if not ours.isEmpty():
+        return parse_regions(ours)
+    beside = listed.where(F.col("file").endswith(".bounds") & (F.trim("line") != "")).groupBy(stem.alias("name")).agg(F.min_by("line", "no").alias("bounds"))
+    models = listed.where(F.col("file").rlike("\\.(vel|mod|txt)$")).select(stem.alias("name"), F.regexp_extract("file", "([^/]+)$", 1).alias("model_file")).distinct()
+    made = models.join(beside, "name", "left").withColumn("b", parsed_bounds(F.coalesce("bounds", F.lit(""))))
+    return made.select("name", "b.*", F.lit(0).alias("priority"), F.lit("").alias("description"), "model_file")
