@@ -51,6 +51,10 @@ BRANCHES = 2
 LEAF = 768
 BLOCK = 256
 PIVOTS = 32
+#: A group of long documents counts as one document for so many shingles, which bounds a task's memory.
+SHINGLES = 3000
+#: Shingles that are compared at once.
+SLICE = 1_000_000
 #: Two documents that have this share of their shingles in common have a similarity of 0.67.
 SIMILAR = 0.8
 LOW = round(T * 0.617)
@@ -176,21 +180,25 @@ def _alike(low: np.ndarray) -> np.ndarray:
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
-    """Which sets are similar enough, by products of their incidence matrix."""
+    """Which sets (sorted, 40 bits) are similar enough, by products of their incidence matrix, a range of values at a time."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
-    value, of = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    shared = count[column] > 1
-    column, of = number[column[shared]], of[shared]
-    order = np.argsort(column, kind="stable")
-    column, of = column[order], of[order]
     both = np.zeros((n, n), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        lo, hi = np.searchsorted(column, (first, first + 4096))
-        x = np.zeros((n, 4096), np.float32)
-        x[of[lo:hi], column[lo:hi] - first] = 1
-        both += x @ x.T
+    cuts = np.linspace(0, 1 << 40, int(sizes.sum()) // SLICE + 2)[1:-1].astype(np.uint64)
+    at = np.stack([np.concatenate(([0], np.searchsorted(s, cuts), [len(s)])) for s in sets])
+    for k in range(at.shape[1] - 1):
+        value = np.concatenate([s[i:j] for s, i, j in zip(sets, at[:, k], at[:, k + 1], strict=True)])
+        of = np.repeat(np.arange(n), at[:, k + 1] - at[:, k])
+        _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        shared = count[column] > 1
+        column, of = number[column[shared]], of[shared]
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            lo, hi = np.searchsorted(column, (first, first + 2048))
+            x = np.zeros((n, 2048), np.float32)
+            x[of[lo:hi], column[lo:hi] - first] = 1
+            both += x @ x.T
     return 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
 
 
@@ -221,10 +229,9 @@ def _pairs(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
             ids, values = np.asarray(table["id"], np.int64), table[data].to_pylist()
             out: list[tuple[int, int]] = []
             if exact:
-                sets = [_unpacked(x) for x in values]
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     if b - a > 1:
-                        out += [(a + i, a + j) for i, j in _forest(_linked(sets[a:b]))]
+                        out += [(a + i, a + j) for i, j in _forest(_linked([_unpacked(x) for x in values[a:b]]))]
             else:
                 low = np.frombuffer(b"".join(values), np.uint8).reshape(-1, T)
                 two = bounds[np.flatnonzero(np.diff(bounds) == 2)]
@@ -282,7 +289,7 @@ def _tree_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         alike = (F.col("size") > SIMILAR * F.col("above")) & (F.col("above") > 0) if depth < MAX_DEPTH - 1 else F.lit(True)
         own = large.where(alike).select("path", "id", "size", "low")
         blocked = own if blocked is None else blocked.unionByName(own)
-        level = written(_branch(large.where(~alike).select("path", "id", "size").join(nodes, "id")), "paths")
+        level = written(_branch(large.where(~alike).select("path", "id", "size").join(nodes.select("id", "tokens"), "id")), "paths")
     return leaves, blocked
 
 
@@ -308,7 +315,8 @@ def _apart(large: DataFrame, group: str, label: DataFrame, in_blocks: DataFrame,
     named = large.join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
     most = named.groupBy(group, "label").agg(F.count("*").alias("n")).groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     apart = written(named.join(most, group).where("label != main").select(group, "id", "size", *extra), "apart")
-    parts = apart.groupBy(group).agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
+    weight = F.greatest(F.count("*"), F.sum("n_shingles") / SHINGLES) if "n_shingles" in extra else F.count("*")
+    parts = apart.groupBy(group).agg(F.ceil(weight / LEAF).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
     mine = apart.join(parts, group).select(group, "id", *extra, F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("block"), part.alias("part"))
     theirs = in_blocks.join(parts, group).select(group, "id", *extra, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -347,23 +355,25 @@ def joined(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """id, component of all linked nodes; ids are the least of their set."""
     usable = sketched.where("doc_id is not null and digest is not null")
     least = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    nodes = usable.join(least, ["digest", "doc_id"]).groupBy("doc_id").agg(F.first("tokens").alias("tokens")).withColumnRenamed("doc_id", "id")
+    nodes = usable.join(least, ["digest", "doc_id"]).groupBy("doc_id").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "id")
     nodes = written(nodes, "nodes")
     low = _low_bytes(nodes)
     group = _estimated(nodes).withColumnRenamed("component", "near")
-    sized = group.join(group.groupBy("near").agg(F.count("*").alias("size")), "near")
+    group = written(group.join(nodes.select("id", "n_shingles"), "id"), "groups")
+    size = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SHINGLES)).alias("size")
+    sized = group.join(group.groupBy("near").agg(size), "near")
     large = written(sized.where(F.col("size") > LEAF), "large")
     any_large = not large.isEmpty()
     dealt = sized.where(F.col("size") <= LEAF).select("near", "id", F.lit(0).alias("block"))
     if any_large:
-        in_blocks = written(_blocks(large, "near", _central(large, "near", low)), "blocks")
+        in_blocks = written(_blocks(large, "near", _central(large, "near", low), ("n_shingles",)), "blocks")
         dealt = dealt.unionByName(in_blocks.select("near", "id", "block"))
     sets = _sets_of(group.select("id"), docs)
     pairs = written(_pairs(dealt.join(sets, "id"), ["near", "block"], True), "links")
     found = components(pairs)
     if not any_large:
         return found
-    more = written(_pairs(_apart(large, "near", found, in_blocks).join(sets, "id"), ["near", "block", "part"], True), "links")
+    more = written(_pairs(_apart(large, "near", found, in_blocks, ("n_shingles",)).join(sets, "id"), ["near", "block", "part"], True), "links")
     return found if more.isEmpty() else components(pairs.unionByName(more))
 
 
