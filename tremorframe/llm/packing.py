@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, widened, written
+from .shared import CLEARED, map_arrow, widened, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -42,6 +42,7 @@ KEPT = (1.0, 0.75, 0.5, 0.25)
 TOKENIZER = "byte_bpe_50k"
 
 _encoders: dict[str, tuple] = {}
+CLEARED.append(_encoders.clear)
 
 
 def encoder(name: str = TOKENIZER):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
+#: What modules want to be called when a task ends.
+CLEARED: list[Callable[[], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Bounds the Arrow batches by rows and bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -44,16 +48,27 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches; Arrow's spare memory goes back when a task ends."""
+    """mapInArrow with bounded batches; spare memory goes back when a task ends."""
     small_batches(df.sparkSession)
 
     def run(batches):
-        yield from f(batches)
-        pa.default_memory_pool().release_unused()
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that caches, Arrow and the C library keep for later; workers stay alive between tasks."""
+    for clear in CLEARED:
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder(doc_id, by: int = 5):
     """crc32 of the id's decimal text, modulo by; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(by)

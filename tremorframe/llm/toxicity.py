@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, small_batches, text_bytes, widened
+from .shared import give_back, map_arrow, small_batches, text_bytes, widened
 from .words import Words, chunks, mixed
 
 BITS = 22
@@ -74,7 +74,10 @@ def ftrl(rows: list[tuple[int, np.ndarray]], bits: int = BITS, alpha: float = 3.
             n[x] = nx + g * g
             bz += g - (np.sqrt(bn + g * g) - np.sqrt(bn)) / alpha * bias
             bn += g * g
-    return solve(z, n, l1).astype(np.float32), float(solve(bz, bn, 0.0))
+    at = np.flatnonzero(np.abs(z) > l1)
+    w = np.zeros(1 << bits, np.float32)
+    w[at] = solve(z[at], n[at], l1)
+    return w, float(solve(bz, bn, 0.0))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, **ftrl_options) -> dict[int, float]:
@@ -104,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         y, x = table["toxic"].to_pylist(), table["x"].to_pylist()
         w, bias = ftrl([(int(y[i] > 0), np.frombuffer(x[i], np.int32)) for i in order], bits, **ftrl_options)
         at = np.flatnonzero(w)
+        give_back()
         return pa.table({"i": pa.array([-1, *at.tolist()], pa.int32()), "w": pa.array([bias, *w[at].tolist()], pa.float64())})
 
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
@@ -122,14 +126,14 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS, keep: tu
     value = np.array([weights[i] for i in index.tolist()], np.float32)
     bias = weights.get(-1, -30.0)
     model = docs.sparkSession.sparkContext.broadcast((index, value))
-    extra = docs.select(*keep, docs["text"].alias("_text"))
+    extra = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = widened(extra.select(*keep).schema, "score double, predicted int")
 
     def run(batches):
         dense = np.zeros(1 << bits, np.float32)
         dense[model.value[0]] = model.value[1]
         for batch in batches:
-            texts = text_bytes(batch["_text"])
+            texts = text_bytes(batch["text"])
             out = np.zeros(len(texts))
             for a, b in chunks(texts):
                 doc, x = features(Words(texts[a:b], lower=True, trim=3), bits)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shared import CLEARED
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _PUNCTUATION = np.zeros(256, bool)
@@ -19,6 +21,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 1 << 19
 _powers: dict[str, np.ndarray] = {}
+CLEARED.append(_powers.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
