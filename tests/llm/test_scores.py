@@ -134,6 +134,29 @@ def test_mixing(spark):
         mixing.replicate(df, {"small": 1.0}, size=1e6)
 
 
+def test_mixing_of_rare_sources(spark, monkeypatch):
+    """Mean rates over 64 follow from the table; counts are those of the plain quantile."""
+
+    def plain(u: float, rate: float) -> int:
+        k, c = 0, math.exp(-rate)
+        while c <= u:
+            k += 1
+            c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        return k
+
+    rare = [(-i, f"r{i}", None) for i in range(1, 4)]
+    df = spark.range(20_000).selectExpr("id as doc_id", "concat('t', id) as text", "'big' as source").unionByName(spark.createDataFrame(rare[:1], "doc_id long, text string, source string"))
+    named = df.where("source is not null").unionByName(spark.createDataFrame([(i, t, "rare") for i, t, _ in rare], "doc_id long, text string, source string"))
+    for sources in (mixing.BROADCAST_SOURCES, 1):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+        for docs, targets in ((df, None), (named, {"big": 0.99, "rare": 0.01}), (named, {"rare": 1.0})):
+            out = mixing.replicate(docs, targets).where("doc_id < 0").groupBy("doc_id", "text", "mix_rate", "mix_copies").agg(F.count("*").alias("n"), F.countDistinct("mix_copy").alias("d"), F.max("mix_copy").alias("top")).collect()
+            assert len(out) == (1 if targets is None else 3)
+            for r in out:
+                u = int(hashlib.md5(f"{r['doc_id']}|{r['text']}|{mixing.SEED}".encode()).hexdigest()[:13], 16) / 16**13
+                assert r["mix_rate"] > 64 and r["n"] == r["d"] == r["top"] == r["mix_copies"] == plain(u, r["mix_rate"])
+
+
 def test_language_model(spark):
     r = random.Random(5)
     a, b = WORDS[:40], WORDS[35:]

@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
-#: Largest mean rate that the quantile is tabulated for; a larger one is an error.
+#: A ``size`` the caller asks for that needs a larger mean rate is an error; rates that follow from the table have no limit.
 MAX_RATE = 64.0
+#: Over this mean rate the quantile's sum starts below the bulk, as exp(-rate) nears the least double.
+DIRECT_RATE = 512.0
+#: Copies of a row that one array holds.
+CHUNK = 4096
 #: Sources up to this many are broadcast (some 60 bytes each); more are joined.
 BROADCAST_SOURCES = 10_000
 
@@ -34,17 +38,21 @@ def uniform(*columns: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def steps(rate: float) -> int:
-    """Counts over this have a chance under 1e-13."""
-    return math.ceil(rate + 12 * math.sqrt(rate) + 16)
+def _first_p(rate: Column, k: Column) -> Column:
+    """The chance of k by Stirling's series, which is exact to a double from k = 200 on."""
+    return F.exp((k - rate) + k * F.log1p((rate - k) / k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k))
 
 
-def poisson_quantile(u: Column, rate: Column, longest: int = steps(MAX_RATE)) -> Column:
-    """The least k whose cumulative probability is over u."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.when(F.exp(-rate) > u, 0).otherwise(-1).alias("k"))
+def poisson_quantile(u: Column, rate: Column) -> Column:
+    """The least k whose cumulative probability is over u; the work of a row grows with the root of a large rate."""
+    # Counts outside of this have a chance under 1e-26.
+    spread = 12 * F.sqrt(rate) + 16
+    first, last = F.when(rate > DIRECT_RATE, F.floor(rate - spread)).otherwise(0).cast("int"), F.ceil(rate + spread).cast("int")
+    p = F.when(rate > DIRECT_RATE, _first_p(rate, F.floor(rate - spread).cast("double"))).otherwise(F.exp(-rate))
+    start = F.struct(p.alias("p"), p.alias("c"), F.when(p > u, first).otherwise(-1).alias("k"))
     # A double for p and c, and k once it is found; the sum stops to grow after that.
-    step = lambda a, i: F.when(a["k"] >= 0, a).otherwise(F.struct((a["p"] * rate / i).alias("p"), (a["c"] + a["p"] * rate / i).alias("c"), F.when((a["c"] + a["p"] * rate / i > u) | (i == longest), i).otherwise(-1).alias("k")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(longest)), start, step, lambda a: a["k"])
+    step = lambda a, i: F.when(a["k"] >= 0, a).otherwise(F.struct((a["p"] * rate / i).alias("p"), (a["c"] + a["p"] * rate / i).alias("c"), F.when((a["c"] + a["p"] * rate / i > u) | (i == last), i).otherwise(-1).alias("k")))
+    return F.aggregate(F.sequence(first + 1, last), start, step, lambda a: a["k"])
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float | None = None) -> DataFrame:
@@ -65,15 +73,15 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
 def replicate(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float | None = None, seed: str = SEED, partitions: int | None = None) -> DataFrame:
     """All columns of docs, then rate, copies, copy; shuffled globally."""
     table = rates(docs, targets, temperature, size).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"))
-    few = table.limit(BROADCAST_SOURCES + 1).agg(F.count("*").alias("n"), F.max("mix_rate").alias("top")).first()
-    if few["n"] <= BROADCAST_SOURCES:
+    if size is not None and (top := table.agg(F.max("mix_rate")).first()[0] or 0.0) > MAX_RATE:
+        raise ValueError(f"a size of {size} would repeat a source {top} times on average; the limit is {MAX_RATE}")
+    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    if (few["top"] or 0.0) > MAX_RATE:
-        raise ValueError(f"a source would be repeated {few['top']} times on average; the limit is {MAX_RATE}")
-    longest = steps(max(1.0, few["top"] or 0.0)) if few["n"] <= BROADCAST_SOURCES else steps(MAX_RATE)
     rows = docs.join(table, docs.source.eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("mix_copies", poisson_quantile(uniform("doc_id", "text", seed=seed), F.col("mix_rate"), longest))
-    rows = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    rows = rows.withColumn("mix_copies", poisson_quantile(uniform("doc_id", "text", seed=seed), F.col("mix_rate")))
+    # In two steps, so that no array is longer than CHUNK.
+    rows = rows.where("mix_copies > 0").withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(CHUNK))))
+    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("mix_copies"), F.col("_from") + (CHUNK - 1))))).drop("_from")
     key = F.xxhash64("doc_id", "mix_copy", F.lit(seed), F.col("text"))
     rows = rows.withColumn("_key", key)
     return (rows.repartition(partitions, "_key") if partitions else rows.repartition("_key")).sortWithinPartitions("_key").drop("_key")
