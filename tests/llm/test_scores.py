@@ -106,6 +106,19 @@ def test_licenses(spark):
     assert [r["doc_id"] for r in own] == [2]
 
 
+def test_license_lines_in_any_dress(spark):
+    """Every line of the known form counts, whatever stands around its words and however long it is."""
+    notice = "Licensed under CC BY-NC 4.0."
+    dressed = [f"\t{notice}", f'"{notice}"', f"//{notice}", f"({notice})", "*" * 9000 + notice, "licenced under cc-by-nc-4.0", f"\x0b{notice}\r", f"Copyright (c) 2001 A\n{notice}\nsub\n{notice}\nlicense"]
+    df = spark.createDataFrame(list(enumerate([f"before\n{x}\nafter" for x in dressed] + ["under cc by nc 4 0", f"{notice} not"])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_license_lines"], r["line_licenses"]) for r in licenses.scan(df).collect()}
+    assert got == {**{i: (1, "CC-BY-NC-4.0") for i in range(7)}, 7: (2, "CC-BY-NC-4.0"), 8: (0, ""), 9: (0, "")}
+    own = [("CC0-1.0", "CC0 1.0 Universal"), ("PD", "Dedicated to the public domain."), ("v", "v2"), ("none", "!")]
+    lines = ["CC0-1.0 universal", "  dedicated to the public domain", "version 2", "v2", "*" * 500 + " V2", "!"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(f"a\n{x}\nb" for x in lines)), "doc_id long, text string"), own).collect()
+    assert [r["line_licenses"] for r in sorted(got)] == ["CC0-1.0", "PD", "v", "v", "v", ""]
+
+
 def poisson(u: float, rate: float) -> int:
     k, p = 0, math.exp(-rate)
     c = p

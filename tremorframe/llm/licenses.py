@@ -65,10 +65,28 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return rows.select("license", digest(F.col("_text")).alias("known_digest")).where("known_digest is not null").groupBy("known_digest").agg(F.min("license").alias("license"))
 
 
-#: A notice line is not longer than the longest known text by this factor, so long lines need no digest.
+#: Only the SQL twin bounds a line by this; ``scan`` digests lines of any length.
 SLACK = 4
 
 
+def anchors(spark: SparkSession, known: list[tuple[str, str]]) -> list[str]:
+    """For each known form its longest run of words that no spelling rule touches, once each.
+
+    Such words stand in the same order, one space apart, in the canonical form
+    of every document with a line of that form.  A form without such words has
+    the anchor " ", which all forms have.
+    """
+    touched = {w for a, b in SPELLINGS if a != b for w in f"{a} {b}".split()}
+    out = set()
+    for r in spark.createDataFrame(known, "license string, _text string").select(canonical(F.col("_text")).alias("form")).collect():
+        runs = [[]]
+        for w in (r["form"] or "").split(" ")[1:-1]:
+            runs = [*runs, []] if w in touched else [*runs[:-1], [*runs[-1], w]]
+        if (r["form"] or "").strip(" "):
+            out.add(max((f" {' '.join(run)} " if run else " " for run in runs), key=len))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep..., digest, license (of the entire text), n_license_lines, line_licenses, is_license."""
     spark = docs.sparkSession
@@ -76,12 +94,14 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, keep: tupl
     # As many rows as the list the caller passed has.
     table = F.broadcast(known_digests(spark, known))
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.withColumn("digest", digest(F.col("_text")))
+    rows = rows.withColumn("_form", canonical(F.col("_text")))
+    # A document's form has the words of all its lines, so one without any anchor has no notice; of all others every line is digested.
+    hit = F.lit(False)
+    for x in anchors(spark, listed):
+        hit = hit | F.contains("_form", F.lit(x))
+    rows = rows.select(*keep, F.when(F.trim("_form") != "", F.sha2("_form", 256)).alias("digest"), F.when(hit, F.split("_text", "\n")).otherwise(F.array().cast("array<string>")).alias("_lines"))
     whole = rows.join(table, rows.digest == table.known_digest, "left").drop("known_digest")
-    longest = SLACK * max((len(t) for _, t in listed), default=0)
-    word = " licen| permission | software | rights "
-    lines = F.filter(F.split("_text", "\n"), lambda x: (F.length(x) <= longest) & F.concat(F.lit(" "), F.translate(x, UPPER, LOWER), F.lit(" ")).rlike(word))
-    found = F.transform(lines, digest)
+    found = F.transform("_lines", digest)
     # The list is one literal map from digest to licence, so a line's lookup needs no shuffle.
     pairs = [(r["known_digest"], r["license"]) for r in known_digests(spark, known).collect()]
     lookup = F.create_map(*(F.lit(x) for p in sorted(pairs) for x in p)) if pairs else F.create_map().cast("map<string,string>")
