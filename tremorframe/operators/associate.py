@@ -69,14 +69,29 @@ def members(picks: DataFrame, stations: DataFrame, times: DataFrame, chosen: Dat
     return fits.select("seed_id", "pick_id").unionByName(chosen.select("seed_id", F.col("seed_id").alias("pick_id"))).join(chosen, "seed_id", "left_semi")
 
 
-def greedy(members: DataFrame, ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
+#: Up to so many (seed, pick) rows one task resolves what is left; beyond, rounds over all tasks decide.
+TASK_MEMBERS = 50_000
+
+
+def greedy(members: DataFrame, ranked: DataFrame) -> DataFrame:
     """Seeds that keep disjoint picks: seed_id, best first, those that share a pick with an earlier one go.
 
-    Rank is (station_count, phase_count, earliest).  The candidates of one day
-    are worked through in one task.
+    Rank is (station_count, phase_count, earliest), over all candidates at once.
+    In a round each seed that is the best left for all its picks stays, and
+    those that share a pick with it go, which gives what one pass in the order
+    of ranks gives; the best of all is always settled, so rounds end.
     """
-    rows = members.join(ranked, "seed_id").groupBy("seed_id", "station_count", "phase_count", "time_us", *(by or [])).agg(F.sort_array(F.collect_set("pick_id")).alias("picks"))
-    rows = rows.withColumn("day", F.floor(F.col("time_us") / 86_400_000_000))
+    ranks = ranked.select("seed_id", "station_count", "phase_count", "time_us")
+    rank = F.struct(-F.col("station_count"), -F.col("phase_count"), "time_us", "seed_id")
+    # Every round cuts the lineage, as its rows are used several times.
+    left, kept = members.select("seed_id", "pick_id").distinct().join(ranks, "seed_id").localCheckpoint(), None
+    while left.count() > TASK_MEMBERS:
+        best = left.groupBy("pick_id").agg(F.min_by("seed_id", rank).alias("_best"))
+        won = left.join(best, "pick_id").groupBy("seed_id").agg(F.bool_and(F.col("seed_id") == F.col("_best")).alias("_won")).where("_won").select("seed_id").localCheckpoint()
+        kept = won if kept is None else kept.unionByName(won)
+        taken = left.join(won, "seed_id", "left_semi").select("pick_id").distinct()
+        settled = left.join(taken, "pick_id", "left_semi").select("seed_id").distinct()
+        left = left.join(settled, "seed_id", "left_anti").localCheckpoint()
 
     def choose(frame):
         taken, out = set(), []
@@ -86,7 +101,9 @@ def greedy(members: DataFrame, ranked: DataFrame, by: list[str] | None = None) -
                 out.append(r.seed_id)
         return frame[["seed_id"]][frame.seed_id.isin(out)]
 
-    return rows.groupBy("day").applyInPandas(choose, "seed_id long")
+    rows = left.groupBy("seed_id", "station_count", "phase_count", "time_us").agg(F.collect_list("pick_id").alias("picks"))
+    rest = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "seed_id long")
+    return rest if kept is None else kept.unionByName(rest)
 
 
 def unassociated(picks: DataFrame, members: DataFrame) -> DataFrame:
