@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 
 from tremorframe.operators import associate
+from tremorframe.operators.locate import haversine
+from tremorframe.plans import QUERIES
 
 DAY = 86_400_000_000
 
@@ -33,3 +36,18 @@ def test_greedy_does_not_depend_on_days(spark, monkeypatch, rows):
         members += [(i, p) for p in {i * 3 + k for k in range(r.randint(3, 8))}]
     got = associate.greedy(spark.createDataFrame(members, "seed_id long, pick_id long"), spark.createDataFrame(ranked, "seed_id long, station_count long, phase_count long, time_us long")).collect()
     assert sorted(x["seed_id"] for x in got) == plain(members, ranked) and 2 not in {x["seed_id"] for x in got}
+
+
+def test_all_origins_get_stations(spark, tmp_path):
+    """Ids on both sides of 200, places that occur again; each origin's twelve against a plain sort."""
+    orders = pd.DataFrame({"o_orderkey": range(150, 260), "o_custkey": [i * 37 % 90 for i in range(110)], "o_orderdate": pd.Timestamp("2024-01-01")})
+    suppliers = pd.DataFrame({"s_suppkey": range(1, 31), "s_nationkey": 1, "s_acctbal": 0.0})
+    spark.createDataFrame(orders).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(suppliers).write.parquet(str(tmp_path / "supplier.parquet"))
+    place = lambda i: (i * 7919 % 18000 / 100 - 90, i * 104729 % 36000 / 100 - 180)
+    got = sorted(map(tuple, QUERIES["all_nearest_stations"](spark, str(tmp_path)).collect()))
+    want = []
+    for o, c in zip(orders.o_orderkey, orders.o_custkey, strict=True):
+        near = sorted((round(float(haversine(*place(c), *place(i))), 6), i) for i in suppliers.s_suppkey)
+        want += [(o, str(i), k) for k, (_, i) in enumerate(near[:12], 1)]
+    assert got == sorted(want)

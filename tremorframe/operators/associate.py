@@ -33,6 +33,19 @@ def with_stations(picks: DataFrame, stations: DataFrame, keep_missing: bool = Fa
     return picks.join(dimension, ["net", "sta"], "left" if keep_missing else "inner")
 
 
+def nearest_stations(origins: DataFrame, stations: DataFrame, count: int) -> DataFrame:
+    """orid, lat, lon with station_id, sta, k of the count nearest stations, by distance to 1e-6 km and then station_id.
+
+    Origins at one place have the same stations, so places are ranked, not origins.
+    """
+    places = origins.select(F.col("lat").alias("olat"), F.col("lon").alias("olon")).distinct()
+    # The stations are a dimension that grows with the network, not with the data; Spark decides how to join it.
+    pairs = stations.select("station_id", "sta", "lat", "lon").join(places).withColumn("_km", F.round(haversine_km("olat", "olon", "lat", "lon"), 6))
+    w = Window.partitionBy("olat", "olon").orderBy("_km", "station_id")
+    near = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= count).select("olat", "olon", "station_id", "sta", "k")
+    return origins.join(near, origins.lat.eqNullSafe(near.olat) & origins.lon.eqNullSafe(near.olon)).drop("olat", "olon")
+
+
 def residuals(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, bucket_s: float = 600.0) -> DataFrame:
     """seed_id with each later pick that fits: pick_id, distance, residual.  bucket_s must exceed the longest travel time."""
     placed = with_stations(picks, stations)

@@ -33,12 +33,14 @@ def stations_within(spark, sf):
 
 @query(f"SELECT orid, sta, CAST(k AS BIGINT) AS k FROM (SELECT o.orid, s.sta, row_number() OVER (PARTITION BY o.orid ORDER BY round({haversine_sql('o.lat', 'o.lon', 's.lat', 's.lon')}, 6), s.station_id) AS k FROM origin o, stations s WHERE o.orid < 200) t WHERE k <= 12", (ORIGINS, STATIONS))
 def nearest_k_stations(spark, sf):
-    """The twelve nearest stations of each of the first 200 origins (a demonstration's event list)."""
-    o, s = origins(spark, sf).where("orid < 200").select("orid", F.col("lat").alias("olat"), F.col("lon").alias("olon")), stations(spark, sf)
-    w = Window.partitionBy("orid").orderBy(F.round(geo.haversine_km("olat", "olon", "lat", "lon"), 6), "station_id")
-    # The stations are a dimension that grows with the network, not with the data; Spark decides how to join it.
-    pairs = s.join(o).withColumn("k", F.row_number().over(w))
-    return pairs.where("k <= 12").select("orid", "sta", F.col("k").cast("long").alias("k"))
+    """The part of all_nearest_stations that the SQL has: origins under 200."""
+    return all_nearest_stations(spark, sf).where("orid < 200")
+
+
+@query()
+def all_nearest_stations(spark, sf):
+    """The twelve nearest stations of every origin."""
+    return associate.nearest_stations(origins(spark, sf).select("orid", "lat", "lon"), stations(spark, sf), 12).select("orid", "sta", F.col("k").cast("long").alias("k"))
 
 
 @query("SELECT orid, round(lat + 10.0 / 111.0, 6) AS lat, round(lon + 20.0 / (111.0 * cos(radians(lat))), 6) AS lon FROM origin", (ORIGINS,))
