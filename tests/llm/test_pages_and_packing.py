@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tremorframe.llm import htmltext, packing
-from tremorframe.llm.blocks import read_blocks
+from tremorframe.llm.blocks import Block, read_blocks
 from tremorframe.llm.pagegen import page
 
 
@@ -51,6 +51,12 @@ def test_reader_takes_anything(html):
     assert all(b.text == " ".join(b.text.split()) for b in read_blocks(html))
 
 
+def test_measures_read_whole_blocks():
+    """Blocks that differ only after 200 characters have different shares of digits."""
+    a, b = (htmltext._measures(Block("x" * 200 + tail, ("p",), 0), 0, 1)[-1] for tail in ("y" * 200, "7" * 200))
+    assert (a, b) == (0.0, 0.5)
+
+
 def test_gradients():
     m, rng = htmltext.Labeller(3), np.random.default_rng(1)
     x, mask = htmltext.padded(rng.normal(size=(7, htmltext.INPUT)).astype(np.float32), [4, 3])

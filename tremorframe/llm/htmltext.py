@@ -54,7 +54,7 @@ def _measures(b: Block, i: int, n: int) -> list[float]:
     own = b.path[-1].split(".", 1)[0] if b.path else ""
     return [
         np.log1p(words) / 5, np.log1p(size) / 7, min(1.0, b.linked / size), text[-1] in ".!?…:;\"'”»", sum(map(text.count, ".,;")) / words,
-        i / n, float(i < 3), float(n - i <= 3), own in ("h1", "h2", "h3", "h4", "h5", "h6"), own == "p", bool(tags & {"ul", "ol", "dl", "table"}), sum(c.isdigit() for c in text[:200]) / min(size, 200),
+        i / n, float(i < 3), float(n - i <= 3), own in ("h1", "h2", "h3", "h4", "h5", "h6"), own == "p", bool(tags & {"ul", "ol", "dl", "table"}), sum(map(str.isdigit, text)) / size,
     ]
 
 
