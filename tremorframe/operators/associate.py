@@ -8,6 +8,8 @@ of that length: a seed meets the picks of its own bucket and the next one.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,17 +96,21 @@ def greedy(members: DataFrame, ranked: DataFrame) -> DataFrame:
     those that share a pick with it go, which gives what one pass in the order
     of ranks gives; the best of all is always settled, so rounds end.
     """
+    context = ranked.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Only where spark.checkpoint.dir is unset (tests on one machine).
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tremorframe-"))
     ranks = ranked.select("seed_id", "station_count", "phase_count", "time_us")
     rank = F.struct(-F.col("station_count"), -F.col("phase_count"), "time_us", "seed_id")
     # Every round cuts the lineage, as its rows are used several times.
-    left, kept = members.select("seed_id", "pick_id").distinct().join(ranks, "seed_id").localCheckpoint(), None
+    left, kept = members.select("seed_id", "pick_id").distinct().join(ranks, "seed_id").checkpoint(), None
     while left.count() > TASK_MEMBERS:
         best = left.groupBy("pick_id").agg(F.min_by("seed_id", rank).alias("_best"))
-        won = left.join(best, "pick_id").groupBy("seed_id").agg(F.bool_and(F.col("seed_id") == F.col("_best")).alias("_won")).where("_won").select("seed_id").localCheckpoint()
+        won = left.join(best, "pick_id").groupBy("seed_id").agg(F.bool_and(F.col("seed_id") == F.col("_best")).alias("_won")).where("_won").select("seed_id").checkpoint()
         kept = won if kept is None else kept.unionByName(won)
         taken = left.join(won, "seed_id", "left_semi").select("pick_id").distinct()
         settled = left.join(taken, "pick_id", "left_semi").select("seed_id").distinct()
-        left = left.join(settled, "seed_id", "left_anti").localCheckpoint()
+        left = left.join(settled, "seed_id", "left_anti").checkpoint()
 
     def choose(frame):
         taken, out = set(), []
