@@ -19,10 +19,10 @@ def shingle_set(text: str | None, k: int = 5) -> frozenset:
     return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
 
 
-def near_duplicates(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """doc_id: (n_shingles, component_id)."""
-    sets = {i: shingle_set(t) for i, t in rows}
-    up = {i: i for i in sets}
+def classes(texts: list[str | None]) -> list[tuple[int, int]]:
+    """For each row the size of its set and the first row of its component."""
+    sets = [shingle_set(t) for t in texts]
+    up = list(range(len(sets)))
 
     def find(i):
         while up[i] != i:
@@ -30,21 +30,29 @@ def near_duplicates(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
         return i
 
     by = defaultdict(set)
-    for i, s in sets.items():
+    for i, s in enumerate(sets):
         for x in s:
             by[x].add(i)
     shared = Counter()
-    for ids in by.values():
-        if len(ids) > 1:
-            ids = sorted(ids)
-            for n, a in enumerate(ids):
-                for b in ids[n + 1 :]:
-                    shared[a, b] += 1
+    for rows in by.values():
+        rows = sorted(rows)
+        for n, a in enumerate(rows):
+            for b in rows[n + 1 :]:
+                shared[a, b] += 1
     for (a, b), both in shared.items():
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def near_duplicates(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """doc_id, n_shingles, component_id, kept of each row."""
+    found, least = classes([t for _, t in rows]), defaultdict(lambda: None)
+    for (i, _), (_, c) in zip(rows, found, strict=True):
+        if i is not None and (least[c] is None or i < least[c]):
+            least[c] = i
+    return [(i, n, least[c], i == least[c]) for (i, _), (n, c) in zip(rows, found, strict=True)]
 
 
 def repeated_words(texts: list[str | None], window: int = 35) -> list[tuple[int, list[str]]]:

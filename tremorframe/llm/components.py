@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, written
+from .shared import dropped, map_arrow, written
 
 MAX_ROUNDS = 60
 
@@ -51,15 +51,20 @@ def _at_once(batches):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component: the least id reachable, for every id (long) that links (a, b) name."""
+    """id, component: the least id reachable, a row for every id that a link (a, b) with a != b names, the least ones included."""
     now = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    n, seen = links.count(), None
+    n, seen, last = links.count(), None, None
     for _ in range(MAX_ROUNDS):
         if n <= TASK_ROWS:
             return written(map_arrow(now.coalesce(1), _at_once, "id long, component long"), "components")
         now = written(_small_star(_large_star(now)).distinct().coalesce(1 + n // TASK_ROWS), "links")
+        if last is not None:
+            dropped(last)
+        last = now
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            # Only stars are left: every row names a root, and no root has a row of its own.
+            roots = now.select("v").distinct().select("v", "v")
+            return now.union(roots).toDF("id", "component")
         seen, n = state, state[0]
     raise RuntimeError(f"the components did not settle in {MAX_ROUNDS} rounds")

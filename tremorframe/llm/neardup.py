@@ -1,8 +1,8 @@
 """MinHash near-dedup by chosen-path set similarity join.
 
 A document is the set of its distinct five-word shingles (A-Z folded; fewer
-words: the whole sequence).  Copies with equal sets are one node, named by its
-least id.  Nodes carry a signature of T minwise tokens.
+words: the whole sequence).  Rows with equal sets are one node, whatever their
+ids; nodes are numbered and carry a signature of T minwise tokens.
 
 Each of TREES independent trees branches documents recursively: in a tree node
 every document follows BRANCHES minwise tokens whose numbers the node's own
@@ -23,11 +23,16 @@ Whatever blocks may have missed is done after them, without bounds: documents
 that are not connected with most of their group meet every block of it.
 
 Recall: a pair of similarity 0.75 misses all trees with a chance under 1e-4,
-and LOW with one under 1e-3.  Full sets hold 40 bits of each shingle's hash.
+and LOW with one under 1e-3.  Full sets hold 64 bits of each shingle's hash.
 
 Nulls: a null text is empty; an empty document or one without words is linked
-with nothing; a null id is compared with nothing and kept.  Repeated rows of an
-id get the same component and are all kept if it is the least.
+with nothing.  A row without an id is linked like any other; it has the least
+id of its component, null if none of it has one, and is kept only then.
+Repeated ids: rows of one id with different texts are documents of their own,
+each searched and each in its own component; equal rows get the same component
+and are all kept if their id is its least.  An empty table gives no rows; texts
+may be as long as a task's memory holds some ten times; columns besides doc_id
+and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,10 +45,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_arrow, text_bytes, widened, written
+from .shared import dropped, map_arrow, text_bytes, written
 from .words import Words, chunks, mixed, shingles
 
 SHINGLE = 5
+WORD = "[^\\x20\\x09-\\x0D]"
 PERCENT = 75
 T = 128
 TREES = 4
@@ -59,6 +65,8 @@ SLICE = 1_000_000
 SIMILAR = 0.8
 LOW = round(T * 0.617)
 MAX_DEPTH = 40
+#: Rows with the same of these are equal to the operator.
+KEY = ("doc_id", "key_a", "key_b")
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, T, dtype=np.uint32)
@@ -91,8 +99,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, keep..., text and key_a, key_b: two hashes that name the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    return rows.withColumn("key_a", F.xxhash64(F.lit(1), "text")).withColumn("key_b", F.xxhash64(F.lit(2), "text"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (16 bytes of the set), tokens (T minwise tokens)."""
+    """doc_id, key_a, key_b, n_shingles, digest (16 bytes of the set), tokens (T minwise tokens)."""
 
     def run(batches):
         for batch in batches:
@@ -106,9 +120,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     tokens.append(next(sig).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in KEY), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())], names=[*KEY, "n_shingles", "digest", "tokens"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, digest binary, tokens binary")
+    return map_arrow(keyed(docs), run, "doc_id long, key_a long, key_b long, n_shingles long, digest binary, tokens binary")
 
 
 def _branch(nodes: DataFrame) -> DataFrame:
@@ -180,10 +194,11 @@ def _alike(low: np.ndarray) -> np.ndarray:
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
-    """Which sets (sorted, 40 bits) are similar enough, by products of their incidence matrix, a range of values at a time."""
+    """Which sets (sorted) are similar enough, by products of their incidence matrix, a range of values at a time."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
-    both = np.zeros((n, n), np.float32)
-    cuts = np.linspace(0, 1 << 40, int(sizes.sum()) // SLICE + 2)[1:-1].astype(np.uint64)
+    both = np.zeros((n, n))
+    slices = int(sizes.sum()) // SLICE + 1
+    cuts = np.array([(k << 64) // slices for k in range(1, slices)], np.uint64)
     at = np.stack([np.concatenate(([0], np.searchsorted(s, cuts), [len(s)])) for s in sets])
     for k in range(at.shape[1] - 1):
         value = np.concatenate([s[i:j] for s, i, j in zip(sets, at[:, k], at[:, k + 1], strict=True)])
@@ -231,7 +246,7 @@ def _pairs(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
             if exact:
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     if b - a > 1:
-                        out += [(a + i, a + j) for i, j in _forest(_linked([_unpacked(x) for x in values[a:b]]))]
+                        out += [(a + i, a + j) for i, j in _forest(_linked([np.frombuffer(x, np.uint64) for x in values[a:b]]))]
             else:
                 low = np.frombuffer(b"".join(values), np.uint8).reshape(-1, T)
                 two = bounds[np.flatnonzero(np.diff(bounds) == 2)]
@@ -247,28 +262,20 @@ def _pairs(rows: DataFrame, keys: list[str], exact: bool) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long")
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """40 bits of each hash, in order."""
-    return np.ascontiguousarray((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    raw = np.zeros((len(x) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return raw.view(np.uint64).ravel()
-
-
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, set: the full sets of the documents with these ids."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+def _sets_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, set: the full sets (64 bits of each shingle) of these nodes, from the row that stands for each."""
+    chosen = ids.join(nodes.select("id", "row.*"), "id").withColumnsRenamed({c: f"_{c}" for c in KEY})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    texts = keyed(docs).join(chosen, same).select("id", "text")
 
     def run(batches):
         for batch in batches:
             texts = text_bytes(batch["text"])
-            sets = [_packed(s) for a, b in chunks(texts) for s in shingle_sets(texts[a:b])]
+            sets = [s.tobytes() for a, b in chunks(texts) for s in shingle_sets(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return written(map_arrow(texts, run, "id long, set binary"), "shingle-sets")
+    # Equal rows all come here; one of them is enough.
+    return written(map_arrow(texts, run, "id long, set binary").dropDuplicates(["id"]), "shingle-sets")
 
 
 def _tree_nodes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -351,12 +358,16 @@ def _estimated(nodes: DataFrame) -> DataFrame:
     return found if more.isEmpty() else components(pairs.unionByName(more))
 
 
-def joined(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """id, component of all linked nodes; ids are the least of their set."""
-    usable = sketched.where("doc_id is not null and digest is not null")
-    least = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    nodes = usable.join(least, ["digest", "doc_id"]).groupBy("doc_id").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "id")
-    nodes = written(nodes, "nodes")
+def numbered(sketched: DataFrame) -> DataFrame:
+    """id, digest, row (the least key), tokens, n_shingles: a row for each set, numbered as it is written."""
+    # Equal sets meet in the map tasks first, so the hottest of them is a row a task.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEY)).alias("row")
+    sets = sketched.where("digest is not null").groupBy("digest").agg(row, F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
+    return written(sets.withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+
+def joined(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, component of all linked nodes."""
     low = _low_bytes(nodes)
     group = _estimated(nodes).withColumnRenamed("component", "near")
     group = written(group.join(nodes.select("id", "n_shingles"), "id"), "groups")
@@ -368,22 +379,53 @@ def joined(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     if any_large:
         in_blocks = written(_blocks(large, "near", _central(large, "near", low), ("n_shingles",)), "blocks")
         dealt = dealt.unionByName(in_blocks.select("near", "id", "block"))
-    sets = _sets_of(group.select("id"), docs)
+    sets = _sets_of(group.select("id"), nodes, docs)
     pairs = written(_pairs(dealt.join(sets, "id"), ["near", "block"], True), "links")
     found = components(pairs)
-    if not any_large:
-        return found
-    more = written(_pairs(_apart(large, "near", found, in_blocks, ("n_shingles",)).join(sets, "id"), ["near", "block", "part"], True), "links")
-    return found if more.isEmpty() else components(pairs.unionByName(more))
+    if any_large:
+        more = written(_pairs(_apart(large, "near", found, in_blocks, ("n_shingles",)).join(sets, "id"), ["near", "block", "part"], True), "links")
+        if not more.isEmpty():
+            found = components(pairs.unionByName(more))
+    found = written(found, "components")
+    dropped(sets)
+    return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for every row of docs."""
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key_a, key_b, n_shingles, component_id, first: a row for every row of docs.
+
+    first tells the rows equal to the one that stands for their component: its
+    least id, and of rows with that id the least key.  It is null without words.
+    """
     docs = docs.select("doc_id", "text")
     sketched = written(sketch(docs), "sketch")
-    found = joined(docs, sketched)
-    group = sketched.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    group = group.join(found, group.least == found.id, "left").select("digest", F.coalesce("component", "least").alias("component"))
-    rows = sketched.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    nodes = numbered(sketched)
+    member = written(joined(docs, nodes).join(nodes.select("id", "row"), "id"), "members")
+    # Tables of their own, so that the joins with them can split a large component or set.
+    least = written(member.groupBy("component").agg(F.min("row").alias("least")), "least-rows")
+    member = written(member.join(least, "component").select("id", "least"), "named")
+    named = nodes.select("id", "digest", "row").join(member, "id", "left").select("digest", F.coalesce("least", "row").alias("least"))
+    rows = sketched.select(*KEY, "n_shingles", "digest").join(written(named, "sets"), "digest", "left")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), *KEY) == F.col("least")
+    return rows.select(*KEY, "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), F.when(F.col("least").isNotNull(), first).alias("first"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for every row of docs."""
+    return classes(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """These columns of one row of each component, and of every row without words; doc_id and text are among them.
+
+    Of rows with equal id and text the one whose other columns are least stays.
+    """
+    stays = written(classes(docs).where("first").select(*(F.col(c).alias(f"_{c}") for c in KEY)).distinct(), "representatives")
+    other = [c for c in columns if c not in ("doc_id", "text")]
+    rows = keyed(docs.select("doc_id", "text", F.struct(F.lit(0), *other).alias("other")), "other")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # Equal rows meet before they travel.
+    least = rows.where(worded).groupBy(*KEY).agg(F.min(F.struct("other", "text")).alias("least"))
+    chosen = least.join(stays, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left_semi").select("doc_id", "least.*")
+    both = chosen.unionByName(rows.where(~worded).select("doc_id", "other", "text"))
+    return both.select(*(F.col(c if c in ("doc_id", "text") else f"other.{c}") for c in columns))

@@ -64,15 +64,15 @@ SELECT doc_id, digest, k.license, coalesce(n.n, 0) AS n_license_lines, coalesce(
 
 
 def op5() -> str:
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0) x),
-z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0) x),
+z AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.rid = a JOIN z y ON y.rid = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
-c AS (SELECT id, least(id, min(other)) AS component FROM r GROUP BY id)
-SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""
+r AS (SELECT rid AS id, rid AS other FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT r.id AS rid, min(o.doc_id) AS component FROM r JOIN d o ON o.rid = r.other GROUP BY r.id)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.component AS component_id, c.component IS NOT DISTINCT FROM d.doc_id AS kept FROM d JOIN c ON c.rid = d.rid LEFT JOIN z ON z.rid = d.rid"""
 
 
 def op8() -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,25 +22,59 @@ CLEARED: list[Callable[[], None]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) is a folder made here.
+    Where that is unset, a session whose executors are threads of the driver
+    (tests, benches) gets a folder of its own; on a cluster it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tremorframe-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = _LOCAL.get("dir")
+        if where is None:
+            where = _LOCAL["dir"] = tempfile.mkdtemp(prefix="tremorframe-")
     return where.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cuts the lineage: writes df to the shared folder and reads it again.
+
+    The table goes when the driver's JVM ends, or earlier through ``dropped``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, system = _path(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Bounds the Arrow batches by rows and bytes, as texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``written`` made and nothing will read again."""
+    for t in tables:
+        where, system = _path(t.sparkSession, t._written)
+        system.delete(where, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bounds the Arrow batches by rows and bytes, as texts may be very long.
+
+    The session's settings are only ever lowered.  Plans are made when a frame
+    runs, so the bounds have to outlive this call.
+    """
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    for key, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        now = int(now) if now.lstrip("-").isdigit() else jvm.byteStringAsBytes(now)
+        if now <= 0 or now > bound:
+            spark.conf.set(key, str(bound))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
