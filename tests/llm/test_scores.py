@@ -84,39 +84,83 @@ def test_quality(spark):
 def test_sketches_merge_and_are_accurate(spark):
     rng = np.random.default_rng(4)
     v = rng.lognormal(-2, 1, 4000)
-    zero = dict.fromkeys(list(quality.RATIOS)[1:], 0.0)
+    zero = dict.fromkeys(list(quality.SPREADS)[1:], 0.5)
     df = spark.createDataFrame([("g" if i % 2 else "h", float(x)) for i, x in enumerate(v)], "g string, symbol_ratio double").select("*", *(F.lit(x).alias(k) for k, x in zero.items()))
-    whole = quality.quantiles(quality.sketches(df.withColumn("g", F.lit("all")), ["g"]), ["g"], 0.9).where("ratio = 'symbol_ratio'").first()["value"]
+    read = lambda sketch, q: quality.gathered(sketch, ["g"]).where("ratio = 'symbol_ratio'").select(quality.quantile(q).alias("v")).first()["v"]
+    whole = quality.sketches(df.withColumn("g", F.lit("all")), ["g"])
     parts = quality.merged(quality.sketches(df, ["g"]).withColumn("g", F.lit("all")), ["g"])
-    assert quality.quantiles(parts, ["g"], 0.9).where("ratio = 'symbol_ratio'").first()["value"] == whole
-    assert abs(whole / np.quantile(v, 0.9) - 1) < 0.03
+    for q in (10, 50, 90):
+        assert read(parts, q) == read(whole, q) and abs(read(whole, q) / np.quantile(v, q / 100) - 1) < 0.03
 
 
-def test_licenses(spark):
+def limits(spark, groups: dict[str, list[float]]):
+    rows = [("en", s, float(x), 0.1, 0.1, 0.1, False) for s, v in groups.items() for x in v]
+    df = spark.createDataFrame(rows, "lang string, source string, symbol_ratio double, dup_line_ratio double, repeat_ratio double, upper_ratio double, base_failed boolean")
+    return {r["source"]: r["symbol_ratio_limit"] for r in quality.thresholds(df).collect()}
+
+
+def test_limits_come_from_the_sketches(spark):
+    """They differ with the groups, scale with the data, hold against much junk, and small groups lean on their language."""
+    rng = np.random.default_rng(5)
+    calm, loud = rng.lognormal(-6, 0.3, 3000), rng.lognormal(-4, 0.3, 3000)
+    got = limits(spark, {"calm": calm, "loud": loud})
+    ten = limits(spark, {"calm": 10 * calm, "loud": 10 * loud})
+    assert 5 < got["loud"] / got["calm"] < 10 and all(abs(ten[s] / got[s] / 10 - 1) < 0.15 for s in got)
+    for s, v in (("calm", calm), ("loud", loud)):
+        assert np.mean(v > got[s]) < 0.001 and got[s] < 1
+    junk = limits(spark, {"calm": np.concatenate((calm, np.full(1500, 2.9))), "loud": loud})
+    assert junk["calm"] < 2 * got["calm"]
+    few = limits(spark, {"calm": calm, "few": loud[:5]})
+    assert few["few"] < 1.5 * few["calm"]
+
+
+def test_limits_of_the_tables(spark):
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = quality.quality(spark.read.parquet(f"{sf}/documents.parquet"), ("doc_id", "lang", "source"))
+    per = rows.groupBy("lang", "source").agg(*(F.max(f"{r}_limit").alias(r) for r in quality.SPREADS)).collect()
+    for r in quality.SPREADS:
+        # Line ratios without a repeat are one over small whole numbers, so their limits are fewer.
+        assert len({g[r] for g in per}) > (0.15 if r == "dup_line_ratio" else 0.5) * len(per) and max(g[r] for g in per) > 1.2 * min(g[r] for g in per)
+
+
+def test_licenses(spark, monkeypatch):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 100)
     british = "Copyright (c) 2020 A. Person\nAll rights reserved.\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(", ", " ,\n  ")
     rows = [(1, british), (2, "Some text.\nReleased under the  MIT Licence\nmore"), (3, None), (4, "!!!"), (5, mit + " and more"), (6, "Released under the MIT License."), (6, "Released under the MIT License.")]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, license string")
+    rows += [(7, "Copyright (c) 1999 B. Person. " + mit), (8, mit.replace("sublicense", "sub-\nlicense")), (9, "")]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, license string, row string")
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
-    assert licenses.scan(df).count() == 7 and licenses.scan(df.limit(0)).count() == 0
-    assert got[1]["license"] == "MIT" and got[6]["license"] == "MIT" and got[5]["license"] is None
+    assert licenses.scan(df).count() == 10 and licenses.scan(df.limit(0)).count() == 0
+    assert [got[i]["license"] for i in (1, 6, 7, 8, 5)] == ["MIT"] * 4 + [None]
     assert got[2]["license"] is None and got[2]["n_license_lines"] == 1 and got[2]["line_licenses"] == "MIT"
-    assert got[3]["digest"] is None and got[4]["digest"] is None and not got[4]["is_license"]
-    own = licenses.scan(df, [("mine", "some text released under the mit license more")]).where("license = 'mine'").collect()
-    assert [r["doc_id"] for r in own] == [2]
+    assert all(got[i]["digest"] is None and not got[i]["is_license"] for i in (3, 4, 9))
+    known = [("mine", "some text released under the mit license more"), ("z", "some text released under the mit license more"), (None, "x"), ("none", None)]
+    for most in (licenses.BROADCAST, 0):
+        monkeypatch.setattr(licenses, "BROADCAST", most)
+        for own in (known, spark.createDataFrame(known, "license string, text string")):
+            assert [r["doc_id"] for r in licenses.scan(df, own).where("license = 'mine'").collect()] == [2]
+        assert licenses.scan(df, []).where("is_license or n_license_lines > 0").count() == 0
+        kept = licenses.scan(df, keep=("doc_id", "row")).collect()
+        assert len(kept) == 10 and all(r["row"] == "clash" for r in kept)
 
 
 def test_license_lines_in_any_dress(spark):
     """Every line of the known form counts, whatever stands around its words and however long it is."""
     notice = "Licensed under CC BY-NC 4.0."
-    dressed = [f"\t{notice}", f'"{notice}"', f"//{notice}", f"({notice})", "*" * 9000 + notice, "licenced under cc-by-nc-4.0", f"\x0b{notice}\r", f"Copyright (c) 2001 A\n{notice}\nsub\n{notice}\nlicense"]
+    dressed = [f"\t{notice}", f'"{notice}"', f"//{notice}", f"({notice})", "*" * 9000 + notice, "licenced under cc-by-nc-4.0", f"\x0b{notice}\r", f"Copyright (c) 2001 A\n{notice}\nsub\n{notice}\nlicense", f"Copyright (c) 2001 A. {notice}"]
+    dressed += ["word " * 700_000 + "\n" + " \t" * 500_000 + notice]
+    n = len(dressed)
     df = spark.createDataFrame(list(enumerate([f"before\n{x}\nafter" for x in dressed] + ["under cc by nc 4 0", f"{notice} not"])), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_license_lines"], r["line_licenses"]) for r in licenses.scan(df).collect()}
-    assert got == {**{i: (1, "CC-BY-NC-4.0") for i in range(7)}, 7: (2, "CC-BY-NC-4.0"), 8: (0, ""), 9: (0, "")}
-    own = [("CC0-1.0", "CC0 1.0 Universal"), ("PD", "Dedicated to the public domain."), ("v", "v2"), ("none", "!")]
-    lines = ["CC0-1.0 universal", "  dedicated to the public domain", "version 2", "v2", "*" * 500 + " V2", "!"]
+    assert got == {**{i: (2 if i == 7 else 1, "CC-BY-NC-4.0") for i in range(n)}, n: (0, ""), n + 1: (0, "")}
+    own = [("CC0-1.0", "CC0 1.0 Universal"), ("PD", "Public domain dedication."), ("v", "v2 v2"), ("none", "!"), ("l", "license license")]
+    lines = ["CC0-1.0 universal", "  public domain dedication", "version 2 version 2", "v2 ver. 2", "*" * 500 + " V2 V 2", "!", "licence licence", "Licence--license"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(f"a\n{x}\nb" for x in lines)), "doc_id long, text string"), own).collect()
-    assert [r["line_licenses"] for r in sorted(got)] == ["CC0-1.0", "PD", "v", "v", "v", ""]
+    assert [r["line_licenses"] for r in sorted(got)] == ["CC0-1.0", "PD", "v", "v", "v", "", "l", "l"]
 
 
 def poisson(u: float, rate: float) -> int:
@@ -131,8 +175,9 @@ def poisson(u: float, rate: float) -> int:
 
 def test_mixing(spark):
     rows = [(i, f"t{i}", "en", "big" if i % 3 else "small", i) for i in range(900)] + [(None, None, None, None, 1)] * 2
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_copy long").drop("mix_copy")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_copy long")
     out = mixing.replicate(df, {"big": 0.25, "small": 0.75}).collect()
+    assert all(r["input_mix_copy"] == (1 if r["doc_id"] is None else r["doc_id"]) for r in out)
     copies = Counter(r["doc_id"] for r in out)
     n = {"big": 600, "small": 300}
     for i in range(900):
@@ -143,8 +188,14 @@ def test_mixing(spark):
     again = mixing.replicate(df.repartition(7), {"big": 0.25, "small": 0.75}).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, out))
     assert mixing.replicate(df.limit(0)).count() == 0 and mixing.replicate(df).count() > 600
-    with pytest.raises(ValueError):
-        mixing.replicate(df, {"small": 1.0}, size=1e6)
+    big = mixing.replicate(df, {"small": 1.0}, size=1e6).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    assert len(big) == 300 and abs(sum(r["n"] for r in big) / 1e6 - 1) < 0.01
+    clash = df.select("doc_id", "text", "source", *(F.lit(c).alias(c) for c in ("key", "row", "own", "first", "mix_rate", "input_mix_rate", "mix_copies", "_key", "_source")))
+    got = mixing.replicate(clash, {"big": 0.25, "small": 0.75})
+    assert got.columns == ["doc_id", "text", "source", "key", "row", "own", "first", "input_input_mix_rate", "input_mix_rate", "input_mix_copies", "_key", "_source", *mixing.OWN]
+    assert sorted((r["doc_id"], r["mix_copy"]) for r in got.collect()) == sorted((r["doc_id"], r["mix_copy"]) for r in out)
+    long = mixing.replicate(df.limit(3).withColumn("text", F.repeat(F.lit("word "), 600_000)), {"big": 0.5, "small": 0.5}, size=30)
+    assert {len(r["text"]) for r in long.collect()} == {3_000_000}
 
 
 def test_mixing_of_rare_sources(spark, monkeypatch):

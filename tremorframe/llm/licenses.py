@@ -1,16 +1,23 @@
 """Licence scan: canonical digests of entire texts joined to known licences.
 
-A text is brought to a canonical form (ASCII lower case; copyright lines out;
-punctuation and white space to single spaces; equivalent spellings to one) and
-its SHA-256 is hash-joined to the digests of the known licences.  The same is
-done for every line that stands alone as a licence notice, since documents
-often carry a notice rather than the whole licence.  Built-in functions only.
-
-The known licences are a table of the caller's (name, text) or ``KNOWN``; the
-query's list is fixed and small, so it is broadcast.
+A text is brought to a canonical form: ASCII lower case; copyright notices out;
+punctuation and white space to single spaces; equivalent spellings to one.  The
+SHA-256 of that form is hash-joined to the digests of the known licences.  The
+same is done for every line of every text, since documents often carry a notice
+rather than the whole licence: the lines' digests are exploded and joined too.
+No spelling rule makes what it replaces, so equal words come out equal wherever
+they stand.  Built-in functions only.
+
+The known licences are a table (license, text) of any size, a list of such
+pairs, or ``KNOWN``.  Their digests are broadcast while there are at most
+BROADCAST of them (some 100 bytes each); a longer list is joined by shuffling.
 
 Nulls: a null text is the empty text; texts without a letter or digit have a
-null digest and match nothing.  Repeated rows are judged each.
+null digest and match nothing; known rows with a null name or text are left
+out.  Repeated rows are judged each.  Ties: of several names with one digest the
+least is given.  An empty table gives no rows.  A text's lines are an array of
+its own row, so its length is bounded by a task's memory only.  Columns besides
+text and those kept are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Wordings of licences and of their notices.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -27,84 +36,75 @@ KNOWN = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
-#: Spellings that count as the same.
+#: Spellings that count as the same, anywhere in a word.
 SPELLINGS = [
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"),
-    ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"),
-    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorised", "authorized"), ("favour", "favor"),
-    ("honour", "honor"), ("judgement", "judgment"), ("merchantability", "merchantability"), ("organisation", "organization"),
-    ("recognised", "recognized"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
-    ("and or", "and or"), ("v2", "version 2"), ("v3", "version 3"), ("ver 2", "version 2"), ("ver 3", "version 3"),
+    ("licenc", "licens"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authoris", "authoriz"), ("favour", "favor"), ("honour", "honor"),
+    ("judgement", "judgment"), ("organis", "organiz"), ("recognis", "recogniz"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"),
 ]
+#: Spellings that count as the same, over a space.
+SPACED = [("sub licens", "sublicens"), ("non commercial", "noncommercial"), ("per cent", "percent")]
+VERSION = " (?:version|ver|v) ?([0-9])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only says who holds the copyright, or that all rights are reserved.
-COPYRIGHT = "(^|\n)[ \t]*(copyright[ \t]*(\\(c\\)|©|[0-9]|by )|\\(c\\)[ \t]*(copyright|[0-9])|©|all rights reserved)[^\n]*"
-OTHER = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-
-
-def canonical(text: Column) -> Column:
-    """The canonical form; words are parted and enclosed by single spaces."""
+#: A copyright notice at the beginning of a line, up to the words that open a grant or to the end of the line.
+COPYRIGHT = (
+    "(^|\n)[ \t]*(?:copyright[ \t]*(?:\\(c\\)|©|[0-9]|by )|\\(c\\)[ \t]*(?:copyright|[0-9])|©)"
+    "(?:[^\n]*?[ \t](permission is|redistribution and|licen[cs]ed under|released under|this software|this work|this program)\\b|[^\n]*)"
+)
+RESERVED = "(^|\n)[ \t]*all rights reserved"
+#: ASCII other than digits, lower-case letters and the end of a line.
+OTHER = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+BROADCAST = 100_000
+
+
+def spaced(form: Column) -> Column:
+    """The rules that may reach over the end of a line; words are enclosed by single spaces."""
+    for a, b in SPACED:
+        form = F.replace(form, F.lit(a), F.lit(b))
+    return F.regexp_replace(form, VERSION, " v$1")
+
+
+def lines(text: Column) -> Column:
+    """The canonical form of each line, enclosed by spaces; lines without a word are single spaces."""
     out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT, "$1")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER, " "), F.lit(" "))
-    out = F.regexp_replace(out, " +", " ")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "$1 $2"), RESERVED, "$1")
+    out = F.regexp_replace(out, OTHER, " ")
     for a, b in SPELLINGS:
-        if a != b:
-            out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return out
-
-
-def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(F.trim(form) != "", F.sha2(form, 256))
-
+        out = F.replace(out, F.lit(a), F.lit(b))
+    # Every line begins and ends with a space, and no two spaces meet.
+    out = F.regexp_replace(F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" ")), " +", " ")
+    return F.split(spaced(out), "\n")
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license, known_digest; one row for each digest."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "license string, _text string")
-    return rows.select("license", digest(F.col("_text")).alias("known_digest")).where("known_digest is not null").groupBy("known_digest").agg(F.min("license").alias("license"))
 
+def whole(canonical_lines: Column) -> Column:
+    """The canonical form of the entire text of these lines."""
+    return spaced(F.regexp_replace(F.concat_ws("", canonical_lines), " +", " "))
 
-#: Only the SQL twin bounds a line by this; ``scan`` digests lines of any length.
-SLACK = 4
 
+def digest(form: Column) -> Column:
+    return F.when(form != " ", F.sha2(form, 256))
 
-def anchors(spark: SparkSession, known: list[tuple[str, str]]) -> list[str]:
-    """For each known form its longest run of words that no spelling rule touches, once each.
 
-    Such words stand in the same order, one space apart, in the canonical form
-    of every document with a line of that form.  A form without such words has
-    the anchor " ", which all forms have.
-    """
-    touched = {w for a, b in SPELLINGS if a != b for w in f"{a} {b}".split()}
-    out = set()
-    for r in spark.createDataFrame(known, "license string, _text string").select(canonical(F.col("_text")).alias("form")).collect():
-        runs = [[]]
-        for w in (r["form"] or "").split(" ")[1:-1]:
-            runs = [*runs, []] if w in touched else [*runs[:-1], [*runs[-1], w]]
-        if (r["form"] or "").strip(" "):
-            out.add(max((f" {' '.join(run)} " if run else " " for run in runs), key=len))
-    return sorted(out)
+def known_digests(spark: SparkSession, known: DataFrame | list[tuple[str, str]] | None = None) -> DataFrame:
+    """known_digest, license: one row for each digest."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
+    rows = rows.select("license", digest(whole(lines(F.col("text")))).alias("known_digest")).where("license is not null and known_digest is not null")
+    # Written, so that joins with it can split the rows of one digest.
+    table = written(rows.groupBy("known_digest").agg(F.min("license").alias("license")), "licenses")
+    return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | list[tuple[str, str]] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep..., digest, license (of the entire text), n_license_lines, line_licenses, is_license."""
-    spark = docs.sparkSession
-    listed = KNOWN if known is None else known
-    # As many rows as the list the caller passed has.
-    table = F.broadcast(known_digests(spark, known))
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.withColumn("_form", canonical(F.col("_text")))
-    # A document's form has the words of all its lines, so one without any anchor has no notice; of all others every line is digested.
-    hit = F.lit(False)
-    for x in anchors(spark, listed):
-        hit = hit | F.contains("_form", F.lit(x))
-    rows = rows.select(*keep, F.when(F.trim("_form") != "", F.sha2("_form", 256)).alias("digest"), F.when(hit, F.split("_text", "\n")).otherwise(F.array().cast("array<string>")).alias("_lines"))
-    whole = rows.join(table, rows.digest == table.known_digest, "left").drop("known_digest")
-    found = F.transform("_lines", digest)
-    # The list is one literal map from digest to licence, so a line's lookup needs no shuffle.
-    pairs = [(r["known_digest"], r["license"]) for r in known_digests(spark, known).collect()]
-    lookup = F.create_map(*(F.lit(x) for p in sorted(pairs) for x in p)) if pairs else F.create_map().cast("map<string,string>")
-    names = F.filter(F.transform(found, lambda d: F.try_element_at(lookup, d)), lambda x: x.isNotNull())
-    whole = whole.withColumn("_names", names)
-    return whole.select(*keep, "digest", "license", F.size("_names").cast("long").alias("n_license_lines"), F.concat_ws(",", F.sort_array(F.array_distinct("_names"))).alias("line_licenses"), F.col("license").isNotNull().alias("is_license"))
+    table = known_digests(docs.sparkSession, known)
+    rows = docs.select(F.struct(*keep).alias("keep"), lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    # 32 bytes a line travel through the shared folder; the rows are numbered as they are written.
+    found = F.transform(F.filter("lines", lambda x: x != " "), lambda x: F.unhex(F.sha2(x, 256)))
+    rows = written(rows.select("keep", digest(whole(F.col("lines"))).alias("digest"), found.alias("lines"), F.monotonically_increasing_id().alias("row")), "digests")
+    each = rows.select("row", F.explode("lines").alias("line")).join(table.select(F.unhex("known_digest").alias("line"), "license"), "line")
+    hits = each.groupBy("row").agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_set("license"))).alias("names"))
+    named = table.withColumnRenamed("known_digest", "digest")
+    out = rows.select("row", "keep", "digest").join(named, "digest", "left").join(hits, "row", "left")
+    return out.select(
+        *(F.col(f"keep.{c}") for c in keep), "digest", "license", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"),
+        F.coalesce("names", F.lit("")).alias("line_licenses"), F.col("license").isNotNull().alias("is_license"),
+    )

@@ -8,9 +8,11 @@ and dealt out by a hash of id and copy, each partition sorted by that hash,
 which is a global shuffle that needs no driver.
 
 Nulls: a null source is a source of its own, null ids and texts are hashed as
-empty.  Repeated rows have the same number and so the same count.  Sources
-without a target weight get none; with no targets given, a source of n rows
-weighs n ** temperature.
+empty.  Repeated rows, and rows that tie in id and text, have the same number
+and so the same count.  Sources without a target weight get none; with no
+targets given, a source of n rows weighs n ** temperature.  An empty table gives
+no rows.  Texts of any length are hashed and copied whole.  Columns of docs that
+have the name of one of the operator's own (``OWN``) stay, as input_<name>.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SEED = "mix-1"
 TEMPERATURE = 0.5
-#: A ``size`` the caller asks for that needs a larger mean rate is an error; rates that follow from the table have no limit.
-MAX_RATE = 64.0
+#: Columns that the operator adds.
+OWN = ("mix_rate", "mix_copies", "mix_copy")
 #: Over this mean rate the quantile's sum starts below the bulk, as exp(-rate) nears the least double.
 DIRECT_RATE = 512.0
 #: Copies of a row that one array holds.
@@ -71,17 +75,30 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
 
 
 def replicate(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float | None = None, seed: str = SEED, partitions: int | None = None) -> DataFrame:
-    """All columns of docs, then rate, copies, copy; shuffled globally."""
-    table = rates(docs, targets, temperature, size).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"))
-    if size is not None and (top := table.agg(F.max("mix_rate")).first()[0] or 0.0) > MAX_RATE:
-        raise ValueError(f"a size of {size} would repeat a source {top} times on average; the limit is {MAX_RATE}")
+    """All columns of docs, then mix_rate, mix_copies, mix_copy; shuffled globally.
+
+    The mean rate of a source may be of any size; a row's work grows with its root.
+    """
+    # A table of its own, so that a join with many sources can split a hot one.
+    table = written(rates(docs, targets, temperature, size).select("source", F.col("rate").alias("mix_rate")), "rates")
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    rows = docs.join(table, docs.source.eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("mix_copies", poisson_quantile(uniform("doc_id", "text", seed=seed), F.col("mix_rate")))
+    # The input's columns travel under other names, so none of theirs can clash.
+    hidden = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*hidden.values())
+    rows = rows.join(table, F.col(hidden["source"]).eqNullSafe(F.col("source"))).drop("source")
+    rows = rows.withColumn("mix_copies", poisson_quantile(uniform(hidden["doc_id"], hidden["text"], seed=seed), F.col("mix_rate")))
     # In two steps, so that no array is longer than CHUNK.
-    rows = rows.where("mix_copies > 0").withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(CHUNK))))
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("mix_copies"), F.col("_from") + (CHUNK - 1))))).drop("_from")
-    key = F.xxhash64("doc_id", "mix_copy", F.lit(seed), F.col("text"))
-    rows = rows.withColumn("_key", key)
-    return (rows.repartition(partitions, "_key") if partitions else rows.repartition("_key")).sortWithinPartitions("_key").drop("_key")
+    rows = rows.where("mix_copies > 0").withColumn("first", F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(CHUNK))))
+    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.col("first"), F.least(F.col("mix_copies"), F.col("first") + (CHUNK - 1)))))
+    rows = rows.withColumn("key", F.xxhash64(hidden["doc_id"], "mix_copy", F.lit(seed), hidden["text"]))
+    rows = (rows.repartition(partitions, "key") if partitions else rows.repartition("key")).sortWithinPartitions("key")
+    return rows.select(*(F.col(h).alias(_free(c, docs.columns)) for c, h in hidden.items()), *OWN)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name, or one after input_ that nothing else has."""
+    out = name
+    while out in OWN or out != name and out in columns:
+        out = f"input_{out}"
+    return out

@@ -422,7 +422,7 @@ def representatives(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """
     stays = written(classes(docs).where("first").select(*(F.col(c).alias(f"_{c}") for c in KEY)).distinct(), "representatives")
     other = [c for c in columns if c not in ("doc_id", "text")]
-    rows = keyed(docs.select("doc_id", "text", F.struct(F.lit(0), *other).alias("other")), "other")
+    rows = keyed(docs.select("doc_id", "text", (F.struct(*other) if other else F.lit(0)).alias("other")), "other")
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     # Equal rows meet before they travel.
     least = rows.where(worded).groupBy(*KEY).agg(F.min(F.struct("other", "text")).alias("least"))

@@ -14,28 +14,33 @@ def _count(pattern: str) -> str:
 
 def op3() -> str:
     white = r"[\x20\x09-\x0D]"
-    ratios = list(quality.RATIOS)
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, CASE WHEN {r} < 0.001 THEN 0 ELSE CAST(floor(ln({r} / 0.001) / ln({quality.GAMMA})) AS INTEGER) + 1 END AS bin FROM m" for r in ratios)
-    top = f"CASE WHEN bin = 0 THEN 0.0 ELSE 0.001 * pow({quality.GAMMA}, bin) END"
-    floor_of = " ".join(f"WHEN '{r}' THEN {x}" for r, x in quality.RATIOS.items())
+    ratios = list(quality.SPREADS)
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, CAST(floor(ln({r} / {quality.UNIT}) / ln({quality.GAMMA})) AS INTEGER) AS bin FROM m WHERE NOT base_failed" for r in ratios)
+    top = lambda q: f"{quality.UNIT} * pow({quality.GAMMA}, min(CASE WHEN 100 * run >= {q} * total THEN bin END) + 1)"
+    spread = " ".join(f"WHEN '{r}' THEN {x}" for r, x in quality.SPREADS.items())
     limits = ", ".join(f"max(CASE WHEN ratio = '{r}' THEN lim END) AS {r}_l" for r in ratios)
-    good = " AND ".join(f"m.{r} <= l.{r}_l" for r in ratios)
+    good = " AND ".join(f"coalesce(m.{r} <= l.{r}_l, false)" for r in ratios)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 c AS (SELECT *, len(w) AS n, length(regexp_replace(t, '{white}', '', 'g')) AS word_chars, {_count("[#*$%&|<>]")} AS n_symbols, {_count("[A-Z]")} AS n_upper, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) x),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM win) y WHERE k > 1) z GROUP BY rid),
-m AS (SELECT c.rid, doc_id, lang, source, c.n AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-  CASE WHEN c.n > 0 THEN n_symbols / c.n ELSE 0.0 END AS symbol_ratio, CASE WHEN len(lines) > 0 THEN (len(lines) - len(list_distinct(lines))) / len(lines) ELSE 0.0 END AS dup_line_ratio,
-  CASE WHEN c.n > 0 THEN coalesce(rep.n, 0) / c.n ELSE 0.0 END AS repeat_ratio, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0.0 END AS upper_ratio FROM c LEFT JOIN rep ON rep.rid = c.rid),
+e AS (SELECT c.rid, doc_id, lang, source, c.n AS n_words, word_chars, n_symbols, n_upper, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM c LEFT JOIN rep ON rep.rid = c.rid),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (n_symbols + 0.5::DOUBLE) / (n_words + 1) AS symbol_ratio, (n_dup_lines + 0.5::DOUBLE) / (n_lines + 1) AS dup_line_ratio,
+  (n_repeat_words + 0.5::DOUBLE) / (n_words + 1) AS repeat_ratio, (n_upper + 0.5::DOUBLE) / (word_chars + 1) AS upper_ratio FROM e),
 b AS ({bins}),
-s AS (SELECT lang, source, ratio, bin, count(*) AS n FROM b GROUP BY ALL), sw AS (SELECT lang, ratio, bin, count(*) AS n FROM b GROUP BY ALL),
-q AS (SELECT lang, source, ratio, max(total) AS size, min(CASE WHEN run >= {quality.QUANTILE} * total THEN bin END) AS bin FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM s) x GROUP BY ALL),
-qw AS (SELECT lang, ratio, min(CASE WHEN run >= {quality.QUANTILE} * total THEN bin END) AS bin FROM (SELECT *, sum(n) OVER (PARTITION BY lang, ratio ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, ratio) AS total FROM sw) x GROUP BY ALL),
-e AS (SELECT q.lang, q.source, q.ratio, CASE WHEN q.size >= {quality.MIN_GROUP} THEN q.bin ELSE qw.bin END AS bin FROM q JOIN qw ON q.lang IS NOT DISTINCT FROM qw.lang AND q.ratio = qw.ratio),
-l AS (SELECT lang, source, {limits} FROM (SELECT *, greatest(CASE ratio {floor_of} END, {quality.FACTOR} * ({top})) AS lim FROM e) x GROUP BY lang, source),
-f AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+g AS (SELECT lang, source, ratio, bin, count(*)::HUGEINT AS n FROM b GROUP BY ALL),
+a AS (SELECT ratio, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY ratio) AS total FROM g GROUP BY ratio, bin),
+lang0 AS (SELECT lang, ratio, bin, sum(n) AS n FROM g GROUP BY ALL),
+lang1 AS (SELECT x.lang, x.ratio, x.bin, x.n * t.total AS n FROM lang0 x JOIN (SELECT DISTINCT ratio, total FROM a) t ON t.ratio = x.ratio UNION ALL SELECT x.lang, a.ratio, a.bin, {quality.PRIOR} * a.n FROM (SELECT DISTINCT lang, ratio FROM lang0) x JOIN a ON a.ratio = x.ratio),
+p AS (SELECT lang, ratio, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, ratio) AS total FROM lang1 GROUP BY lang, ratio, bin),
+g1 AS (SELECT x.lang, x.source, x.ratio, x.bin, x.n * t.total AS n FROM g x JOIN (SELECT DISTINCT lang, ratio, total FROM p) t ON t.lang IS NOT DISTINCT FROM x.lang AND t.ratio = x.ratio
+  UNION ALL SELECT x.lang, x.source, p.ratio, p.bin, {quality.PRIOR} * p.n FROM (SELECT DISTINCT lang, source, ratio FROM g) x JOIN p ON p.lang IS NOT DISTINCT FROM x.lang AND p.ratio = x.ratio),
+g2 AS (SELECT lang, source, ratio, bin, sum(n) AS n FROM g1 GROUP BY ALL),
+r AS (SELECT lang, source, ratio, bin, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM g2),
+q AS (SELECT lang, source, ratio, {top(50)} AS middle, {top(10)} AS low FROM r GROUP BY ALL),
+l AS (SELECT lang, source, {limits} FROM (SELECT *, middle + (CASE ratio {spread} END) * (middle - low) AS lim FROM q) x GROUP BY lang, source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {good} AS kept
-FROM f m JOIN l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source"""
+FROM m LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source"""
 
 
 def _quoted(x: str) -> str:
@@ -43,23 +48,30 @@ def _quoted(x: str) -> str:
 
 
 def op4() -> str:
-    def canonical(text: str) -> str:
-        out = f"translate({text}, '{licenses.UPPER}', '{licenses.LOWER}')"
-        out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT)}, '\\1', 'g')"
-        out = f"regexp_replace(' ' || regexp_replace({out}, '{licenses.OTHER}', ' ', 'g') || ' ', ' +', ' ', 'g')"
-        for a, b in licenses.SPELLINGS:
-            if a != b:
-                out = f"replace({out}, ' {a} ', ' {b} ')"
-        return out
+    """Its rules are written out here, apart from the operator's; only the known wordings are shared."""
+    words = "licenc licens acknowledgement acknowledgment analogue analog authoris authoriz favour favor honour honor judgement judgment organis organiz recognis recogniz utilis utiliz whilst while wilful willful".split()
+    holder = r"copyright[ \t]*(?:\(c\)|©|[0-9]|by )|\(c\)[ \t]*(?:copyright|[0-9])|©"
+    opening = "permission is|redistribution and|licen[cs]ed under|released under|this software|this work|this program"
+
+    def plain(text: str) -> str:
+        out = f"lower_ascii({text})"
+        out = f"regexp_replace({out}, '(^|\n)[ \t]*(?:{holder})(?:[^\n]*?[ \t]({opening})\\b|[^\n]*)', '\\1 \\2', 'g')"
+        out = f"regexp_replace({out}, '(^|\n)[ \t]*all rights reserved', '\\1', 'g')"
+        for x, y in zip(words[::2], words[1::2], strict=True):
+            out = f"replace({out}, '{x}', '{y}')"
+        return out.replace("lower_ascii(" + text + ")", f"translate({text}, '{licenses.UPPER}', '{licenses.LOWER}')")
+
+    def form(text: str) -> str:
+        """Of a plain text or line: the words, one space apart."""
+        out = f"regexp_replace(' ' || {text} || ' ', '[\\x00-\\x20\\x21-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
+        out = f"regexp_replace(regexp_replace(regexp_replace({out}, 'sub licens', 'sublicens', 'g'), 'non commercial', 'noncommercial', 'g'), 'per cent', 'percent', 'g')"
+        return f"regexp_replace({out}, ' (?:version|ver|v) ?([0-9])', ' v\\1', 'g')"
 
     known = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)
-    longest = licenses.SLACK * max(len(t) for _, t in licenses.KNOWN)
-    return f"""WITH k AS (SELECT sha256({canonical('x')}) AS d, min(n) AS license FROM (VALUES {known}) v(n, x) GROUP BY 1),
-t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
-c AS (SELECT rid, doc_id, x, {canonical('x')} AS form FROM t),
-g AS (SELECT *, CASE WHEN trim(form) <> '' THEN sha256(form) END AS digest FROM c),
-n AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM t) u JOIN k ON k.d = sha256({canonical('line')})
-  WHERE length(line) <= {longest} AND regexp_matches(' ' || translate(line, '{licenses.UPPER}', '{licenses.LOWER}') || ' ', ' licen| permission | software | rights ') GROUP BY rid)
+    return f"""WITH k AS (SELECT sha256({form(plain('x'))}) AS d, min(n) AS license FROM (VALUES {known}) v(n, x) GROUP BY 1),
+t AS (SELECT row_number() OVER () AS rid, doc_id, {plain("coalesce(text, '')")} AS x FROM documents),
+g AS (SELECT rid, doc_id, CASE WHEN {form('x')} <> ' ' THEN sha256({form('x')}) END AS digest FROM t),
+n AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM t) u JOIN k ON k.d = sha256({form('line')}) GROUP BY rid)
 SELECT doc_id, digest, k.license, coalesce(n.n, 0) AS n_license_lines, coalesce(names, '') AS line_licenses, k.license IS NOT NULL AS is_license FROM g LEFT JOIN k ON k.d = g.digest LEFT JOIN n ON n.rid = g.rid"""
 
 

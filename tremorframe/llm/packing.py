@@ -12,10 +12,19 @@ of lengths.
 
 Pieces then find their places without the driver: a piece's rank among those of
 its length is the number in earlier buckets and its number in its own, and the
-patterns say which sequence and offset the slot of that rank has.
+patterns say which sequence and offset the slot of that rank has.  A length has
+as many buckets as its pieces need at BUCKET_ROWS each.
+
+What the driver gets and sends does not grow with the input: CAPACITY lengths
+come in; out go patterns, at most ROUNDS of them for each length from the linear
+program and some more from best fit, each with at most 45 unlike lengths (the
+sum of the first 45 is over 1024).  ``Slots`` refuses to be larger than that.
 
 Nulls: a null text is empty (one token, the end); a null id stays null.
-Repeated rows are packed each.  No rows: no sequences.
+Repeated rows are packed each, and which of equal pieces gets which of their
+places does not matter.  No rows: no sequences.  A very long text is encoded
+whole by one task.  Columns besides text and those kept are not looked at, and
+kept ones may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -34,12 +43,15 @@ from .shared import CLEARED, map_arrow, widened, written
 
 CAPACITY = 1024
 END_ID = 2
-BUCKETS = 256
+#: Pieces of one length that one task numbers.
+BUCKET_ROWS = 50_000
 ROUNDS = 40
 RATE = 0.02
 #: Shares of the rounded patterns (fullest first) that are tried; the rest is packed best-fit.
 KEPT = (1.0, 0.75, 0.5, 0.25)
 TOKENIZER = "byte_bpe_50k"
+#: Bound on the entries (32 bytes each) for each length of the plan that is broadcast: twice what the linear program's patterns can have.
+MOST_ENTRIES = 2 * ROUNDS * 45
 
 _encoders: dict[str, tuple] = {}
 CLEARED.append(_encoders.clear)
@@ -81,7 +93,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """keep..., piece, start, length, ids_crc32, bucket."""
+    """keep..., piece, start, length, ids_crc32, spread (a number that deals pieces out evenly)."""
     rows = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches):
@@ -93,14 +105,14 @@ def pieces(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), capacity: int =
                 ids.append(END_ID)
                 raw = struct.pack(f"<{len(ids)}I", *ids)
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    out.append((k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), number % BUCKETS))
+                    out.append((k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), number))
                     of.append(i)
                     number += 1
             own = pa.array(of, pa.int64())
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(own) for c in keep), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=[*keep, "piece", "start", "length", "ids_crc32", "bucket"])
+            kinds = [pa.int32(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(own) for c in keep), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=[*keep, "piece", "start", "length", "ids_crc32", "spread"])
 
-    return map_arrow(rows, run, widened(rows.select(*keep).schema, "piece int, start long, length long, ids_crc32 long, bucket int"))
+    return map_arrow(rows, run, widened(rows.select(*keep).schema, "piece int, start long, length long, ids_crc32 long, spread long"))
 
 
 class Knapsack:
@@ -231,6 +243,8 @@ class Slots:
                 offset += n * k
             base += times
         self.sequences = base
+        if (entries := sum(map(len, by.values()))) > MOST_ENTRIES * len(by):
+            raise ValueError(f"{entries} entries for {len(by)} lengths; a plan has at most {MOST_ENTRIES} each")
         self.by = {n: (np.concatenate(([0], np.cumsum([r[0] for r in rows]))), *(np.array([r[j] for r in rows]) for j in (1, 2, 3))) for n, rows in by.items()}
 
     def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,15 +262,17 @@ class Slots:
 def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """keep..., piece, start, length, ids_crc32, sequence_id, offset."""
     cut_up = written(pieces(docs, keep, capacity, tokenizer), "pieces")
-    # At most CAPACITY x BUCKETS rows.
-    counts = cut_up.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = written(counts, "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # At most CAPACITY rows.
+    histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = docs.sparkSession.sparkContext.broadcast(Slots(plan(histogram, capacity)))
+    buckets = F.array(*(F.lit(-(-histogram.get(n, 0) // BUCKET_ROWS) or 1) for n in range(capacity + 1)))
+    dealt = cut_up.withColumn("bucket", F.pmod(F.xxhash64("spread", "piece", "ids_crc32"), F.get(buckets, F.col("length").cast("int"))))
+    counts = written(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     earlier = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("earlier"))
     number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*keep, "piece", "ids_crc32")) - 1
-    ranked = cut_up.withColumn("number", number).join(F.broadcast(earlier), ["length", "bucket"])
+    # Both sides are dealt by length and bucket, so the join moves no piece again.
+    ranked = dealt.withColumn("number", number).join(earlier, ["length", "bucket"])
     rows = ranked.select(*keep, "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("number")).alias("rank"))
 
     def run(batches):

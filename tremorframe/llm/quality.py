@@ -1,15 +1,27 @@
 """Quality rules: thresholds that adapt to each language and source.
 
-Each row gets four ratios from built-in functions alone.  A sketch of each
-ratio is kept for every (lang, source): counts of logarithmic bins, as in a
-DDSketch, so sketches merge by adding counts, do not depend on the order of
-rows or on partitions, and a quantile read from them is within GAMMA of the
-exact one.  A group's threshold is a multiple of its upper quantile, but never
-less than a floor; small groups fall back to the sketch of their language.  The
-thresholds are then joined to the rows, which decides ``kept``.
+Each row gets four ratios from built-in functions alone, each with half an event
+added, so that a short text needs more than one event to stand out.  A sketch
+of each ratio is kept for every (lang, source) over the rows that pass the base
+rules: counts of logarithmic bins, as in a DDSketch, so sketches merge by adding
+counts, do not depend on the order of rows or on partitions, and a quantile read
+from them is within GAMMA of the exact one.
+
+A group's limit is its median and SPREADS times the distance from its lower
+tenth to the median.  Both quantiles are of the group's better half, so up to
+half of its rows may be junk without moving them far.  Nothing else decides:
+there is no floor and no ceiling.  A small group leans on its language: PRIOR
+rows of the language's sketch are mixed into each group's, and PRIOR rows of
+all rows' into the language's, by adding counts, whatever the sizes.  The limits
+are then joined to the rows, which decides ``kept``.
 
 Nulls: a null text has no words; null lang or source form groups of their own.
-Ids are never used to decide, so repeated rows are judged alike.
+Ids are never used to decide, so repeated rows are judged alike.  Ties: a ratio
+equal to its limit passes.  A group of which no row passes the base rules has no
+limits, and none of its rows is kept; an empty table gives no rows.  A text's
+words and windows are arrays of its own row, so its length is bounded by a
+task's memory only.  Columns besides text, lang, source and those kept are not
+looked at.
 """
 
 from __future__ import annotations
@@ -20,13 +32,14 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WHITE = "[\\x20\\x09-\\x0D]"
-#: Name, floor of the threshold: no text is refused under it.
-RATIOS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.30, "upper_ratio": 0.40}
-QUANTILE = 0.75
-FACTOR = 3.0
-GAMMA = 1.02
-MIN_GROUP = 200
-BINS = 400
+#: The ratios, and how many times the distance from the lower tenth to the median a row may be over the median.
+SPREADS = {"symbol_ratio": 30, "dup_line_ratio": 12, "repeat_ratio": 150, "upper_ratio": 12}
+#: Rows' worth of the parent's sketch in each sketch.
+PRIOR = 100
+GAMMA = 1.005
+#: The bins' unit; a ratio is 0.5 / (words + 1) at least.
+UNIT = 1e-6
+COUNT = "decimal(38,0)"
 
 
 def measures(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -38,8 +51,10 @@ def measures(df: DataFrame, keep: list[str]) -> DataFrame:
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.withColumn("_lines", lines)
     count = lambda pattern: F.length(F.regexp_replace("_text", pattern, ""))
-    # Every three-word window as (hash, place), sorted so that equal windows meet.
-    windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("p")))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
+    # Every three-word window as (96 bits of hashes, place), sorted so that equal windows meet.
+    at = lambda i: [F.get("_words", i + k) for k in range(3)]
+    window = lambda i: F.struct(F.xxhash64(*at(i)).alias("h"), F.hash(*at(i)).alias("g"), i.alias("p"))
+    windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)).otherwise(F.array().cast("array<struct<h:bigint,g:int,p:int>>"))
     df = df.select(
         *keep,
         "n_words",
@@ -50,68 +65,86 @@ def measures(df: DataFrame, keep: list[str]) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.sort_array(windows).alias("_windows"),
     )
-    twice = F.filter("_windows", lambda x, i: (F.get("_windows", i - 1)["h"] == x["h"]) | F.coalesce(F.get("_windows", i + 1)["h"] == x["h"], F.lit(False)))
+    same = lambda x, y: (x["h"] == y["h"]) & (x["g"] == y["g"])
+    twice = F.filter("_windows", lambda x, i: same(F.get("_windows", i - 1), x) | F.coalesce(same(F.get("_windows", i + 1), x), F.lit(False)))
     df = df.withColumn("_places", F.sort_array(F.transform(twice, lambda x: x["p"])))
     # Words covered by the windows at these places, each word once.
     covered = F.aggregate("_places", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n")), lambda a: a["n"])
-    n, per = F.col("n_words"), lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
-    df = df.withColumn("n_repeat_words", covered)
+    n = F.col("n_words")
+    ratio = lambda count, of: (F.col(count) + 0.5) / (F.col(of) + 1)
     return df.select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "_upper", "_n_lines"
+    ).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((n < 50) | (100 * F.col("n_repeat_words") > 50 * n)).alias("base_failed"),
-        per("n_symbols").alias("symbol_ratio"),
-        F.when(F.col("_n_lines") > 0, F.col("n_dup_lines") / F.col("_n_lines")).otherwise(0.0).alias("dup_line_ratio"),
-        per("n_repeat_words").alias("repeat_ratio"),
-        F.when(F.col("word_chars") > 0, F.col("_upper") / F.col("word_chars")).otherwise(0.0).alias("upper_ratio"),
+        ratio("n_symbols", "n_words").alias("symbol_ratio"), ratio("n_dup_lines", "_n_lines").alias("dup_line_ratio"),
+        ratio("n_repeat_words", "n_words").alias("repeat_ratio"), ratio("_upper", "word_chars").alias("upper_ratio"),
     )
 
 
-def bin_of(value: Column, gamma: float = GAMMA) -> Column:
-    """0 for values under 0.001, else 1 + the logarithmic bin."""
-    return F.when(value < 0.001, 0).otherwise(F.floor(F.ln(value / 0.001) / F.ln(F.lit(gamma))).cast("int") + 1)
+def bin_of(value: Column) -> Column:
+    return F.floor(F.ln(value / UNIT) / F.ln(F.lit(GAMMA))).cast("int")
 
 
-def bin_top(number: Column, gamma: float = GAMMA) -> Column:
-    return F.when(number == 0, 0.0).otherwise(0.001 * F.pow(F.lit(gamma), number))
+def bin_top(number: Column) -> Column:
+    return UNIT * F.pow(F.lit(GAMMA), number + 1)
 
 
 def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
     """groups..., ratio, bin, n: mergeable by adding n."""
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), bin_of(F.col(r)).alias("bin")) for r in RATIOS)))
-    return measured.select(*groups, each.alias("_r")).groupBy(*groups, F.col("_r.ratio").alias("ratio"), F.col("_r.bin").alias("bin")).agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), bin_of(F.col(r)).alias("bin")) for r in SPREADS)))
+    return measured.select(*groups, each.alias("_r")).groupBy(*groups, F.col("_r.ratio").alias("ratio"), F.col("_r.bin").alias("bin")).agg(F.count("*").cast(COUNT).alias("n"))
 
 
 def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    return sketch.groupBy(*groups, "ratio", "bin").agg(F.sum("n").alias("n"))
+    return sketch.groupBy(*groups, "ratio", "bin").agg(F.sum("n").cast(COUNT).alias("n"))
 
 
-def quantiles(sketch: DataFrame, groups: list[str], q: float = QUANTILE) -> DataFrame:
-    """groups..., ratio, size, value.  A sketch has some hundred bins at most."""
-    bins = F.sort_array(F.collect_list(F.struct("bin", "n")))
-    got = sketch.groupBy(*groups, "ratio").agg(bins.alias("bins"), F.sum("n").alias("size"))
-    first = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("bin")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["bin"] < 0) & (a["seen"] + x["n"] >= q * F.col("size")), x["bin"]).otherwise(a["bin"]).alias("bin")), lambda a: a["bin"])
-    return got.select(*groups, "ratio", "size", bin_top(first).alias("value"))
+def gathered(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """groups..., ratio, size, bins: a sketch's bins as one array of (bin, n), a few thousand at most."""
+    return sketch.groupBy(*groups, "ratio").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").cast(COUNT).alias("size"))
+
+
+def leaning(own: DataFrame, parent: DataFrame, on: list[str], prior: int = PRIOR) -> DataFrame:
+    """own (gathered) with ``prior`` rows' worth of its parent's bins mixed in; counts become n * the parent's size + prior * the parent's n, which are whole."""
+    wide = parent.select(*(F.col(c).alias(f"_{c}") for c in on), F.col("ratio").alias("_ratio"), F.col("bins").alias("_bins"), F.col("size").alias("_size"))
+    same = F.col("ratio") == F.col("_ratio")
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    scaled = lambda bins, by: F.transform(bins, lambda x: F.struct(x["bin"].alias("bin"), (x["n"] * by).cast(COUNT).alias("n")))
+    both = F.sort_array(F.concat(scaled("bins", F.col("_size")), scaled("_bins", F.lit(prior))))
+    size = (F.col("size") * F.col("_size")).cast(COUNT) + (F.col("_size") * prior).cast(COUNT)
+    names = [c for c in own.columns if c not in ("bins", "size")]
+    return own.join(wide, same).select(*names, both.alias("bins"), size.cast(COUNT).alias("size"))
+
+
+def quantile(q: int) -> Column:
+    """The top of the first bin at which a gathered sketch has q hundredths of its rows."""
+    start = F.struct(F.lit(0).cast(COUNT).alias("seen"), F.lit(None).cast("int").alias("bin"))
+    step = lambda a, x: F.struct((a["seen"] + x["n"]).cast(COUNT).alias("seen"), F.when(a["bin"].isNull() & (100 * (a["seen"] + x["n"]) >= q * F.col("size")), x["bin"]).otherwise(a["bin"]).alias("bin"))
+    return bin_top(F.aggregate("bins", start, step, lambda a: a["bin"]))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source, then a limit for each ratio."""
-    sketch = sketches(measured, ["lang", "source"])
-    own = quantiles(sketch, ["lang", "source"])
-    wide = quantiles(merged(sketch, ["lang"]), ["lang"]).select(F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio"), F.col("value").alias("_value"))
-    both = own.join(wide, own.lang.eqNullSafe(wide._lang) & (own.ratio == wide._ratio))
-    value = F.when(F.col("size") >= MIN_GROUP, F.col("value")).otherwise(F.col("_value"))
-    floor = F.coalesce(*(F.when(F.col("ratio") == r, F.lit(x)) for r, x in RATIOS.items()))
-    limit = both.select("lang", "source", "ratio", F.greatest(floor, FACTOR * value).alias("limit"))
-    return limit.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"{r}_limit") for r in RATIOS))
+    sketch = sketches(measured.where(~F.col("base_failed")), ["lang", "source"])
+    language = merged(sketch, ["lang"])
+    wide = leaning(gathered(language, ["lang"]), gathered(merged(language, []), []), [])
+    own = leaning(gathered(sketch, ["lang", "source"]), wide, ["lang"])
+    middle, low = quantile(50), quantile(10)
+    spread = F.coalesce(*(F.when(F.col("ratio") == r, F.lit(x)) for r, x in SPREADS.items()))
+    limit = own.select("lang", "source", "ratio", middle.alias("middle"), low.alias("low")).withColumn("limit", F.col("middle") + spread * (F.col("middle") - F.col("low")))
+    return limit.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"{r}_limit") for r in SPREADS))
 
 
 def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row with its counts, ratios, limits and kept."""
-    measured = written(measures(docs.select("text", "lang", "source", *(c for c in keep if c not in ("lang", "source"))), ["lang", "source", *(c for c in keep if c not in ("lang", "source"))]), "quality")
-    limit = thresholds(measured).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"{r}_limit" for r in RATIOS))
-    # The limits are a row for each language and source; Spark broadcasts them if they are small, else the join splits hot keys.
-    rows = measured.join(limit, measured.lang.eqNullSafe(F.col("_lang")) & measured.source.eqNullSafe(F.col("_source"))).drop("_lang", "_source")
+    more = [c for c in keep if c not in ("lang", "source")]
+    measured = written(measures(docs.select("text", "lang", "source", *more), ["lang", "source", *more]), "quality")
+    # A row for each language and source, as a table of its own: Spark broadcasts it if it is small, else the join can split hot keys.
+    limit = written(thresholds(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "limits")
+    rows = measured.join(limit, measured.lang.eqNullSafe(F.col("_lang")) & measured.source.eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     good = ~F.col("base_failed")
-    for r in RATIOS:
-        good = good & (F.col(r) <= F.col(f"{r}_limit"))
+    for r in SPREADS:
+        good = good & F.coalesce(F.col(r) <= F.col(f"{r}_limit"), F.lit(False))
     return rows.withColumn("kept", good)
