@@ -128,6 +128,29 @@ def test_repeated_words(spark, monkeypatch, seed, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [1, 3, 20_000])
+def test_a_passage_in_many_documents(spark, monkeypatch, hot):
+    """Anchors in unlike surroundings are split; the words that go are those of the plain version."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    r = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(40):
+        cut = passage[r.choice((0, 0, 3, 9)) : r.choice((40, 40, 36, 20))]
+        rows.append((i, " ".join([r.choice("abcdef") for _ in range(r.randint(0, 30))] + cut + [r.choice("abcdef") for _ in range(r.randint(0, 30))])))
+    rows += rows[:5]
+    want = sorted((i, n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for (i, _), (n, k) in zip(rows, brute.repeated_words([t for _, t in rows]), strict=True))
+    assert sorted(tuple(x) for x in substring.remove_repeats(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == want
+    assert substring.lengths() == [8, 22, 29, 32, 34, 35]
+
+
+def test_repeats_in_very_long_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(45))
+    long = " ".join(f"w{i * 7919 % 1_000_003}" for i in range(300_000))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(frame(spark, [(1, f"{long} {passage} x"), (2, f"y {passage}")])).collect()}
+    assert got == {1: (300_046, 45), 2: (46, 45)}
+
+
 def test_repeated_words_of_odd_tables(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
     text = " ".join(f"w{i}" for i in range(40))

@@ -16,14 +16,19 @@ words as a window with another start, in any document or in its own.
   search, whose matching statistics give the maximal stretches that occur
   twice or more; those of WINDOW words or more become spans of all documents
   that hold the segment.
-* Anchors with over HOT unlike segments do not go to one task: their windows
-  are counted one by one, by anchor, place and hash, which is exact too.
+* An anchor with over HOT unlike segments would be too much for one index.  Its
+  windows hold either the next words before it or those after it, so it is
+  split into longer anchors, with those words on one side, and each is indexed
+  by itself; what is still hot is split again, until an anchor is a window.
 
 Words are compared by 64-bit hashes within shards' keys (32 bits of each word,
 35 of which make a window, and 64 of the anchor).
 
 Nulls: a null text has no words.  A null id is a row like any other.  Repeated
-rows are documents of their own, so all their windows repeat.
+rows are documents of their own, so all their windows repeat; of tied anchors of
+a window all are taken.  An empty table gives no rows.  Texts are read whole, a
+text at a time, so their length is bounded by a task's memory only.  Columns
+besides doc_id, text and those kept are not looked at.
 """
 
 from __future__ import annotations
@@ -47,6 +52,14 @@ SHARD = 400_000
 HOT = 20_000
 
 
+def lengths() -> list[int]:
+    """Of anchors and of what hot ones are split into: each holds half of the words that were free."""
+    out = [ANCHOR]
+    while out[-1] < WINDOW:
+        out.append(out[-1] + -(-(WINDOW - out[-1]) // 2))
+    return out
+
+
 def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
     """f over each n consecutive entries."""
     step = 1
@@ -70,10 +83,10 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
-def _segments(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(w: Words, at: np.ndarray, length: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last word (exclusive) of the segments round the anchors, and their hashes."""
     doc = np.searchsorted(w.bounds, at, "right") - 1
-    lo, hi = np.maximum(at - REACH, w.bounds[doc]), np.minimum(at + WINDOW, w.bounds[doc + 1])
+    lo, hi = np.maximum(at - (WINDOW - length), w.bounds[doc]), np.minimum(at + WINDOW, w.bounds[doc + 1])
     power, inverse = _power_tables(len(w.hashes))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hashes * power[: len(w.hashes)], dtype=np.uint64)))
     h = mixed((sums[hi] - sums[lo]) * inverse[lo])
@@ -115,12 +128,10 @@ def _anchor_counts(keyed: DataFrame) -> DataFrame:
     return map_arrow(keyed.select("text"), run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _words_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, segment, weight, before, words (32 bits each) for the wanted places; hot anchors give a row for each window.
-
-    wanted: key, size, id, then a list of anchor, segment, weight, at and hot.
-    """
-    rows = keyed.select("text", F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_id").alias("id")).join(wanted, ["key", "size", "id"]).select("text", "places")
+def _placed(keyed: DataFrame, wanted: DataFrame, fields: tuple[str, ...], f, schema: str) -> DataFrame:
+    """Rows that f(words, places by name) gives for texts with places wanted: key, size, id and a list of structs with at and the fields."""
+    names = ("key", "size", "id")
+    rows = keyed.select("text", *(F.col(f"_{c}").alias(c) for c in names)).join(wanted, list(names)).select("text", *names, "places")
 
     def run(batches):
         for batch in batches:
@@ -131,22 +142,48 @@ def _words_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b in chunks(texts, 1 << 20):
                 w = Words(texts[a:b])
                 part = flat.slice(at_of[a], at_of[b] - at_of[a])
-                field = {name: np.asarray(part.field(name)) for name in ("anchor", "segment", "weight", "at", "hot")}
-                at = field["at"] + np.repeat(w.bounds[:-1], sizes[a:b])
-                lo, hi, _ = _segments(w, at)
-                short = w.hashes.astype(np.uint32)
-                cold = np.flatnonzero(field["hot"] == 0)
-                out = [[int(field[c][i]) for i in cold] for c in ("anchor", "segment", "weight")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array((at - lo)[cold].astype(np.int32)), pa.array([short[i:j].tobytes() for i, j in zip(lo[cold], hi[cold], strict=True)], pa.binary()), pa.array(np.zeros(len(cold), np.int64))], names=["anchor", "segment", "weight", "before", "words", "window"])
-                hot = np.flatnonzero(field["hot"] != 0)
-                if len(hot):
-                    windows = shingles(w.hashes, WINDOW)
-                    number = np.maximum(hi[hot] - lo[hot] - WINDOW + 1, 0)
-                    i = np.repeat(hot, number)
-                    start = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(number) - number, number)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(field[c][i].astype(np.int64)) for c in ("anchor", "segment", "weight")), pa.array((at[i] - start).astype(np.int32)), pa.nulls(len(i), pa.binary()), pa.array(windows[start].view(np.int64))], names=["anchor", "segment", "weight", "before", "words", "window"])
-
-    return map_arrow(rows, run, "anchor long, segment long, weight long, before int, words binary, window long")
+                field = {name: np.asarray(part.field(name)) for name in ("at", *fields)}
+                field["at"] = field["at"] + np.repeat(w.bounds[:-1], sizes[a:b])
+                for name in names:
+                    field[name] = np.repeat(np.asarray(batch[name])[a:b], sizes[a:b])
+                yield f(w, field)
+
+    return map_arrow(rows, run, schema)
+
+
+def _words_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """anchor, segment, weight, before, words (32 bits each) for the wanted places."""
+
+    def words(w, field):
+        at = field["at"]
+        lo, hi, _ = _segments(w, at, length)
+        short = w.hashes.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([*(pa.array(field[c].astype(np.int64)) for c in ("anchor", "segment", "weight")), pa.array((at - lo).astype(np.int32)), pa.array([short[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())], names=["anchor", "segment", "weight", "before", "words"])
+
+    return _placed(keyed, wanted, ("anchor", "segment", "weight"), words, "anchor long, segment long, weight long, before int, words binary")
+
+
+def _split(keyed: DataFrame, hot: DataFrame, length: int, longer: int) -> DataFrame:
+    """The occurrences (as in ``_occurrences``) of the longer anchors that hot ones are split into."""
+    more = longer - length
+
+    def split(w, field):
+        at, anchor = field["at"], field["anchor"].astype(np.int64).view(np.uint64)
+        doc = np.searchsorted(w.bounds, at, "right") - 1
+        beside = shingles(w.hashes, more)
+        out = []
+        for side, begin, there in ((1, at - more, at - more >= w.bounds[doc]), (2, at + length, at + longer <= w.bounds[doc + 1])):
+            # A split anchor is named by the one it comes from and the words beside it.
+            own = mixed(mixed(anchor[there] + np.uint64(side)) ^ beside[begin[there]]) if there.any() else anchor[:0]
+            place = (begin if side == 1 else at)[there]
+            _, _, h = _segments(w, place, longer)
+            out.append((own.view(np.int64), h.view(np.int64), *(field[c][there] for c in ("key", "size", "id")), place - w.bounds[doc[there]]))
+        own, h, key, size, ident, place = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(h), pa.array(key), pa.array(size.astype(np.int32)), pa.array(ident), pa.array(place.astype(np.int32))], names=["anchor", "segment", "key", "size", "id", "at"])
+
+    # Equal rows of the input have one list of places and are each read, so each counts once.
+    wanted = hot.groupBy("key", "size", "id").agg(F.collect_set(F.struct("anchor", "at")).alias("places"))
+    return _placed(keyed, wanted, ("anchor",), split, "anchor long, segment long, key long, size int, id long, at int")
 
 
 def _merged(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,9 +199,9 @@ def _merged(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return who[at], lo[at], (np.maximum.reduceat(base + hi, at) - base[at])
 
 
-def _search(segments: DataFrame) -> DataFrame:
-    """anchor, segment, lo, hi: repeated stretches as distances from the anchor."""
-    rows = segments.where("words is not null").select("anchor", "segment", "weight", "before", "words").repartition("anchor").sortWithinPartitions("anchor", "segment")
+def _search(segments: DataFrame, length: int = ANCHOR) -> DataFrame:
+    """anchor, segment, lo, hi: repeated stretches as distances from the anchor, which has so many words."""
+    rows = segments.select("anchor", "segment", "weight", "before", "words").repartition("anchor").sortWithinPartitions("anchor", "segment")
 
     def shard(table):
         anchor, weight, before = (np.asarray(table[c]) for c in ("anchor", "weight", "before"))
@@ -181,7 +218,7 @@ def _search(segments: DataFrame) -> DataFrame:
         of = np.repeat(np.arange(len(size)), size)
         distance = np.arange(len(word)) - starts[of] - before[of]
         # The words of the anchor are equal in its group: the first of them stands for all.
-        used = useful[group][of] & ((distance <= 0) | (distance >= ANCHOR))
+        used = useful[group][of] & ((distance <= 0) | (distance >= length))
         of, distance = of[used], distance[used]
         symbol = mixed(mixed(anchor.view(np.int64).view(np.uint64)[of] + (distance + REACH).astype(np.uint64)) + word[used].astype(np.uint64))
         _, text = np.unique(symbol, return_inverse=True)
@@ -194,7 +231,7 @@ def _search(segments: DataFrame) -> DataFrame:
         begin = np.flatnonzero(some & ~(same & np.concatenate(([False], some[:-1]))))
         end = np.flatnonzero(some & ~(np.concatenate((same[1:], [False])) & np.concatenate((some[1:], [False])))) + 1
         # Every window holds the whole anchor, so a stretch is this many symbols at least.
-        least = WINDOW - ANCHOR + 1
+        least = WINDOW - length + 1
         long = end - begin >= least
         if long.any():
             begin, end = begin[long], end[long]
@@ -212,7 +249,7 @@ def _search(segments: DataFrame) -> DataFrame:
             left, right = distance[first], distance[last - 1]
             # Only what reaches over the anchor is of its windows.
             over = (left <= 0) & (right >= 0)
-            found.append((of[first][over], left[over], np.where(right > 0, right + 1, ANCHOR)[over]))
+            found.append((of[first][over], left[over], np.where(right > 0, right + 1, length)[over]))
         who, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         fits = hi - lo >= WINDOW
         who, lo, hi = _merged(who[fits], lo[fits], hi[fits])
@@ -238,29 +275,32 @@ def _search(segments: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "anchor long, segment long, lo int, hi int")
 
 
+def _again(occurrences: DataFrame, counts: DataFrame) -> DataFrame:
+    """The occurrences of anchors that occur more than once (counts: anchor, n)."""
+    # A table of its own, so that the join can split an anchor that is in very many documents.
+    many = written(counts.where("n > 1").select("anchor"), "repeated-anchors")
+    return written(occurrences.join(many, "anchor"), "anchors")
+
+
 def spans(keyed: DataFrame) -> DataFrame:
     """key, size, spans: word spans (lo, hi) to remove from each text; texts without any are left out."""
-    found = _occurrences(keyed)
-    again = _anchor_counts(keyed).where("n > 1").select("anchor")
-    kept = written(found.join(again, "anchor"), "anchors")
-    unlike = kept.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "id", "at")).alias("place"))
-    unlike = written(unlike.select("anchor", "segment", "weight", "place.*"), "segments")
-    hot = unlike.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(1).alias("hot"))
-    any_hot = not hot.isEmpty()
-    unlike = unlike.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(0))) if any_hot else unlike.withColumn("hot", F.lit(0))
-    # A list has an entry for each anchor of a text, so it is no longer than the text.
-    wanted = unlike.groupBy("key", "size", "id").agg(F.collect_list(F.struct("anchor", "segment", "weight", "at", "hot")).alias("places"))
-    # The document of least id stands for all that have the same text.
-    segments = _words_of(keyed, wanted)
-    if any_hot:
-        segments = written(segments, "segment-words")
-    result = _search(segments)
-    if any_hot:
-        each = segments.where("words is null")
-        total = each.groupBy("anchor", "before", "window").agg(F.sum("weight").alias("total")).where("total > 1")
-        more = each.join(total, ["anchor", "before", "window"]).select("anchor", "segment", (-F.col("before")).alias("lo"), (WINDOW - F.col("before")).alias("hi"))
-        result = result.unionByName(more)
-    rows = kept.join(result, ["anchor", "segment"]).select("key", "size", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
+    kept, rows, steps = _again(_occurrences(keyed), _anchor_counts(keyed)), None, lengths()
+    for k, length in enumerate(steps):
+        unlike = kept.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "id", "at")).alias("place"))
+        unlike = written(unlike.select("anchor", "segment", "weight", "place.*"), "segments")
+        hot = written(unlike.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot-anchors") if length < WINDOW else None
+        if hot is not None and hot.isEmpty():
+            hot = None
+        own = unlike if hot is None else unlike.join(hot, "anchor", "left_anti")
+        # A list has an entry for each anchor of a text, so it is no longer than the text; the document of least id stands for all that have the same segment.
+        wanted = own.groupBy("key", "size", "id").agg(F.collect_list(F.struct("anchor", "segment", "weight", "at")).alias("places"))
+        result = _search(_words_of(keyed, wanted, length), length)
+        now = kept.join(result, ["anchor", "segment"]).select("key", "size", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
+        rows = now if rows is None else rows.unionByName(now)
+        if hot is None:
+            break
+        parts = written(_split(keyed, kept.join(hot, "anchor", "left_semi"), length, steps[k + 1]), "split-anchors")
+        kept = _again(parts, parts.groupBy("anchor").agg(F.count("*").alias("n")))
     return rows.groupBy("key", "size").agg(F.collect_set("span").alias("spans"))
 
 
