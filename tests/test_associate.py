@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from tremorframe.operators import associate
+from tremorframe.operators import associate, velocity
 from tremorframe.operators.locate import haversine
 from tremorframe.plans import QUERIES
 
@@ -38,16 +40,80 @@ def test_greedy_does_not_depend_on_days(spark, monkeypatch, rows):
     assert sorted(x["seed_id"] for x in got) == plain(members, ranked) and 2 not in {x["seed_id"] for x in got}
 
 
-def test_all_origins_get_stations(spark, tmp_path):
-    """Ids on both sides of 200, places that occur again; each origin's twelve against a plain sort."""
+@pytest.mark.parametrize("block", [associate.STATION_BLOCK, 7])
+def test_all_origins_get_stations(spark, tmp_path, monkeypatch, block):
+    """Ids on both sides of 200, places that occur again, stations in blocks; each origin's twelve against a plain sort."""
+    monkeypatch.setattr(associate, "STATION_BLOCK", block)
     orders = pd.DataFrame({"o_orderkey": range(150, 260), "o_custkey": [i * 37 % 90 for i in range(110)], "o_orderdate": pd.Timestamp("2024-01-01")})
     suppliers = pd.DataFrame({"s_suppkey": range(1, 31), "s_nationkey": 1, "s_acctbal": 0.0})
     spark.createDataFrame(orders).write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame(suppliers).write.parquet(str(tmp_path / "supplier.parquet"))
     place = lambda i: (i * 7919 % 18000 / 100 - 90, i * 104729 % 36000 / 100 - 180)
-    got = sorted(map(tuple, QUERIES["all_nearest_stations"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["nearest_k_stations"](spark, str(tmp_path)).collect()))
     want = []
     for o, c in zip(orders.o_orderkey, orders.o_custkey, strict=True):
         near = sorted((round(float(haversine(*place(c), *place(i))), 6), i) for i in suppliers.s_suppkey)
         want += [(o, str(i), k) for k, (_, i) in enumerate(near[:12], 1)]
     assert got == sorted(want)
+
+
+def test_no_stations_and_no_places(spark):
+    origins = spark.createDataFrame([(1, 10.0, 20.0), (2, None, 3.0)], "orid long, lat double, lon double")
+    stations = spark.createDataFrame([(5, "A", 11.0, 20.0), (6, "B", None, 1.0)], "station_id long, sta string, lat double, lon double")
+    got = associate.nearest_stations(origins, stations, 3).collect()
+    assert [(r["orid"], r["sta"], r["k"]) for r in got] == [(1, "A", 1)]
+    assert associate.nearest_stations(origins, stations.limit(0), 3).count() == 0 and associate.nearest_stations(origins.limit(0), stations, 3).count() == 0
+
+
+def distant(spark, km: float):
+    """A P at its source's station and a late S far away, with the table of the model."""
+    model = velocity.Model.named("iasp91")
+    far = km / 6371.0 * 180 / math.pi
+    stations = spark.createDataFrame([("N", "A", 0.0, 0.0), ("N", "B", 0.0, far)], "net string, sta string, lat double, lon double")
+    t = 6.25e6
+    tt = velocity.table(model)["S"][int(haversine(0.0, 0.0, 0.0, far)), 10]
+    rows = [(1, "N", "A", "P", int(t)), (2, "N", "B", "S", int(tt * 1e6) + 1_000)]
+    return spark.createDataFrame(rows, "pick_id long, net string, sta string, phase string, time_us long"), stations, velocity.table_rows(spark, model), tt
+
+
+@pytest.mark.parametrize("km", [500.0, 2700.0, 2900.0, 2999.0])
+def test_late_s_picks_are_found(spark, km):
+    picks, stations, times, tt = distant(spark, km)
+    got = associate.residuals(picks, stations, times).collect()
+    assert [(r["seed_id"], r["pick_id"]) for r in got] == [(1, 2)] and abs(got[0]["residual"]) < 0.01
+    assert km < 2700 or tt > 600
+
+
+def test_residuals_are_those_of_all_pairs(spark):
+    """Whatever the buckets' width, the pairs are those of a plain double loop."""
+    rng = np.random.default_rng(4)
+    places = {f"S{i}": (float(rng.uniform(-20, 20)), float(rng.uniform(-20, 20))) for i in range(6)}
+    stations = spark.createDataFrame([("N", k, *v) for k, v in places.items()], "net string, sta string, lat double, lon double")
+    rows = [(i, "N", f"S{rng.integers(6)}", str(rng.choice(["P", "Pg", "S", "Pn"])), int(rng.integers(0, 3_000_000_000))) for i in range(150)]
+    rows += [(900 + i, *rows[0][1:3], "P", rows[0][4]) for i in range(3)]
+    picks = spark.createDataFrame(rows, "pick_id long, net string, sta string, phase string, time_us long")
+    want = set()
+    for i, _, s, p, t in rows:
+        for j, _, u, q, v in rows:
+            if p in ("P", "Pg") and (v > t or v == t and j > i):
+                d = int(haversine(*places[s], *places[u]))
+                tt = math.hypot(min(d, 3000), 10) / (8.0 if q in ("P", "Pn", "Pg") else 4.6)
+                if abs((v - t + 6_250_000) // 1000 / 1000 - tt) <= 40:
+                    want.add((i, j))
+    times = velocity.straight_rows(spark, 8.0, 4.6)
+    for bucket in (0.0, 5000.0):
+        assert {(r["seed_id"], r["pick_id"]) for r in associate.residuals(picks, stations, times, 40.0, bucket).collect()} == want
+
+
+@pytest.mark.parametrize("points", [associate.GRID_POINTS, 3])
+def test_votes_on_a_grid_in_parts(spark, monkeypatch, points):
+    monkeypatch.setattr(associate, "GRID_POINTS", points)
+    grid = spark.createDataFrame([(i, float(i), 2.0 * i, 10.0) for i in range(10)], "cell long, lat double, lon double, depth double")
+    stations = spark.createDataFrame([("N", f"S{i}", 3.0 + i / 3, 6.0 - i / 2) for i in range(5)], "net string, sta string, lat double, lon double")
+    at = 1_000_000_000
+    model = velocity.straight_rows(spark, 8.0, 4.6)
+    rows = [(i, "N", f"S{i}", "P", at + int(1e6 * math.hypot(int(haversine(3.0, 6.0, 3.0 + i / 3, 6.0 - i / 2)), 10) / 8.0) + 1000) for i in range(5)]
+    picks = spark.createDataFrame(rows, "pick_id long, net string, sta string, phase string, time_us long")
+    got = {(r["cell"], r["votes"]) for r in associate.nucleator_votes(picks, stations, grid, model, max_residual=2.0, min_votes=5).collect()}
+    assert got == {(3, 5)}
+    assert associate.nucleator_votes(picks, stations, grid, compat=True).count() == 10

@@ -72,3 +72,40 @@ def test_filter_is_linear(values):
     b, a = K.butterworth(2, 100.0, 1.0, 10.0)
     x = np.array(values)
     assert np.allclose(K.lfilter(b, a, 2 * x), 2 * K.lfilter(b, a, x), atol=1e-6)
+
+
+def plain_filter(b, a, x):
+    out = []
+    for i in range(len(x)):
+        out.append(sum(b[k] * x[i - k] for k in range(len(b)) if k <= i) - sum(a[k] * out[i - k] for k in range(1, len(a)) if k <= i))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("low,high,order", [(1.0, 5.0, 2), (None, 5.0, 3), (5.0, None, 1), (0.04, 0.07, 3), (0.5, 10.0, 5)])
+def test_filters_are_the_plain_recursion(low, high, order):
+    """Blocks, rows together, sections and the whole polynomial give what the difference equation gives."""
+    x = np.random.default_rng(7).normal(size=(3, 700))
+    chain, y = K.sections(order, 100.0, low, high), x
+    for b, a in chain:
+        want = np.stack([plain_filter(b, a, v) for v in y])
+        got = K.lfilter(b, a, y)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+        assert np.allclose(K.lfilter(b, a, y[1]), got[1], atol=1e-9 * np.abs(want).max())
+        y = got
+    b, a = K.butterworth(order, 100.0, low, high)
+    whole = np.array([1.0])
+    for _, own in chain:
+        whole = np.convolve(whole, own)
+    assert np.allclose(whole, a, atol=1e-9)
+    assert all(np.abs(np.roots(own)).max() < 1 for _, own in chain)
+    if (low or 1) >= 0.5:
+        # Of lower bands the whole polynomial's own roots leave the unit circle by rounding.
+        assert np.abs(np.roots(a)).max() < 1
+        assert np.allclose(K.lfilter(b, a, x), y, atol=1e-6 * np.abs(y).max())
+
+
+def test_filters_of_short_segments():
+    b, a = K.sections(2, 20.0, 1.0, 5.0)[0]
+    for n in (0, 1, 2, 127, 128, 129):
+        x = np.arange(float(n))
+        assert np.allclose(K.lfilter(b, a, x), plain_filter(b, a, x) if n else x)

@@ -48,6 +48,25 @@ def test_small_records_corruption_and_rates():
     assert not list(M.records(bytes(broken)))
 
 
+def test_broken_records_are_told(spark, tmp_path):
+    good, bad = rec(range(40), M.STEIM2, 512), bytearray(rec(range(40), M.STEIM1, 512, sequence=2))
+    bad[64 + 8] ^= 1
+    short = bytearray(rec(range(40), M.STEIM2, 512, sequence=3))
+    short[30:32] = (400).to_bytes(2, "big")
+    (tmp_path / "a.mseed").write_bytes(good + bytes(bad) + good + bytes(short) + b"\0" * 100)
+    assert [r["n"] for r in M.read_miniseed(spark, str(tmp_path)).collect()] == [40, 40]
+    got = M.read_broken(spark, str(tmp_path)).orderBy("at").collect()
+    assert [r["at"] for r in got] == [512, 1536] and "stored" in got[0]["error"] and "of 400" in got[1]["error"]
+
+
+def test_many_records_decode_together():
+    rng = np.random.default_rng(8)
+    made = [np.cumsum(rng.integers(-(1 << k), 1 << k, rng.integers(1, 90))) for k in range(3, 15) for _ in range(4)]
+    data = b"".join(rec(x, M.STEIM1 if i % 2 else M.STEIM2, 1024, sequence=i % 999 + 1) for i, x in enumerate(made))
+    got = list(M.records(data))
+    assert len(got) == len(made) and all(np.array_equal(g["samples"], x) for g, x in zip(got, made, strict=True))
+
+
 def test_files_merge_and_gaps(spark, tmp_path):
     later = datetime(2020, 3, 1, 12, 30, 7, 750000, tzinfo=UTC)
     gap = datetime(2020, 3, 1, 12, 31, tzinfo=UTC)
@@ -59,7 +78,9 @@ def test_files_merge_and_gaps(spark, tmp_path):
     flat = M.samples(M.waveforms(M.read_miniseed(spark, str(tmp_path))))
     assert flat.count() == 92 and flat.where("idx = 1 and segment_id = 1").first()["ts_us"] == START_US + 50_000
     M.register(spark)
-    assert spark.read.format("miniseed").load(str(tmp_path)).count() == 3
+    for path in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/*.mseed", f"{tmp_path}/a.mseed"):
+        assert spark.read.format("miniseed").load(path).count() == 3
+    assert spark.read.format("miniseed").load(f"{tmp_path}/*.other").count() == 0
 
 
 def test_seedlink_recording(spark, tmp_path):

@@ -49,6 +49,11 @@ def normalize(x) -> Column:
     return F.when(m > 0, F.transform(col(x), lambda v: v / m)).otherwise(col(x))
 
 
+def prepared(x) -> Column:
+    """What a detector is given: the mean off, the loudest sample 1."""
+    return normalize(demean(x))
+
+
 def taper(x, share: float = 0.05) -> Column:
     """Half a cosine over a share of the samples (one at least) at both ends."""
     n = F.size(col(x))

@@ -30,6 +30,10 @@ def phase_class(x) -> Column:
     return F.when(col(x).isin(*P_PHASES), "P").otherwise("S")
 
 
+def is_p(x) -> Column:
+    return col(x).isin(*P_PHASES)
+
+
 def snr_quality(snr, rule: str = "service") -> Column:
     """0 impulsive ... by the thresholds of a rule; the simulator's are strict."""
     out = None

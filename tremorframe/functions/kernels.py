@@ -27,8 +27,8 @@ def _polynomial(roots: np.ndarray) -> np.ndarray:
     return out
 
 
-def butterworth(order: int, rate: float, low: float | None = None, high: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """b and a (descending powers of z) of a lowpass (high), highpass (low) or bandpass filter; gain 1 in the pass band."""
+def _analog(order: int, rate: float, low: float | None, high: float | None) -> tuple[np.ndarray, float, complex]:
+    """Poles (z-plane), the zero(s) of each pole and a point of gain 1, of the band that low and high say."""
     nyquist = rate / 2
     if (low is None and high is None) or not all(0 < f < nyquist for f in (low, high) if f is not None) or (low and high and low >= high):
         raise ValueError(f"band {low} to {high} Hz at {rate} Hz")
@@ -36,44 +36,114 @@ def butterworth(order: int, rate: float, low: float | None = None, high: float |
     proto = np.exp(1j * theta)
     warp = lambda f: math.tan(math.pi * f / rate)
     if low is None:
-        poles, zeros, at = proto * warp(high), -np.ones(order), 1.0
+        poles, zero, at = proto * warp(high), -1.0, 1.0
     elif high is None:
-        poles, zeros, at = warp(low) / proto, np.ones(order), -1.0
+        poles, zero, at = warp(low) / proto, 1.0, -1.0
     else:
         wl, wh = warp(low), warp(high)
         half, centre = proto * (wh - wl) / 2, math.sqrt(wl * wh)
         root = np.sqrt(half * half - centre * centre)
-        poles, zeros = np.concatenate((half + root, half - root)), np.concatenate((np.ones(order), -np.ones(order)))
+        poles, zero = np.concatenate((half + root, half - root)), 0.0
         at = np.exp(2j * math.atan(centre))
-    b, a = _polynomial(zeros).real, _polynomial((1 + poles) / (1 - poles)).real
-    gain = np.abs(np.polyval(a, at) / np.polyval(b, at))
-    return b * gain, a
+    return (1 + poles) / (1 - poles), zero, at
+
+
+def sections(order: int, rate: float, low: float | None = None, high: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The filter as a chain of sections of two poles (or one), each with gain 1 in the pass band.
+
+    Poles of the whole polynomial lie close together for low bands, where its
+    coefficients no longer tell them apart; those of a section do.
+    """
+    poles, zero, at = _analog(order, rate, low, high)
+    real = np.sort(poles.real[np.abs(poles.imag) < 1e-12])
+    groups = [np.array([p, p.conjugate()]) for p in poles[poles.imag >= 1e-12]] + [real[i : i + 2] for i in range(0, len(real), 2)]
+    out = []
+    for own in groups:
+        # A band's zeros are one at each end for every two poles.
+        b = np.array([1.0, 0.0, -1.0]) if not zero else _polynomial(np.full(len(own), zero)).real
+        a = _polynomial(own).real
+        out.append((b * np.abs(np.polyval(a, at) / np.polyval(b, at)), a))
+    return out
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Direct form II transposed from rest."""
-    n = max(len(a), len(b))
-    b, a = np.pad(b, (0, n - len(b))).tolist(), np.pad(a, (0, n - len(a))).tolist()
-    z, out = [0.0] * n, np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + z[0]
-        for k in range(1, n):
-            z[k - 1] = b[k] * v + z[k] - a[k] * y
-        out[i] = y
+def butterworth(order: int, rate: float, low: float | None = None, high: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """b and a (descending powers of z) of a lowpass (high), highpass (low) or bandpass filter; gain 1 in the pass band."""
+    poles, zero, at = _analog(order, rate, low, high)
+    zeros = np.full(order, zero) if zero else np.concatenate((np.ones(order), -np.ones(order)))
+    b, a = _polynomial(zeros).real, _polynomial(poles).real
+    return b * np.abs(np.polyval(a, at) / np.polyval(b, at)), a
+
+
+#: Samples that a filter advances at once.
+FILTER_BLOCK = 128
+
+
+def _step_by_step(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Direct form II transposed, a sample of all rows at a time: for orders over two, whose powers lose digits."""
+    state, out = np.zeros((*x.shape[:-1], len(a))), np.empty_like(x)
+    for i in range(x.shape[-1]):
+        v = x[..., i]
+        y = out[..., i] = b[0] * v + state[..., 0]
+        state[..., :-1] = state[..., 1:] + v[..., None] * b[1:] - y[..., None] * a[1:]
     return out
 
 
+def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter from rest, along the last axis; rows are filtered together.
+
+    The recursion of a section is a state space (direct form II transposed),
+    taken a block at a time: within a block the output is a product with the
+    impulse response and with what the state at its begin rings on to; only
+    states go from block to block one by one.
+    """
+    x = np.asarray(x, float)
+    order, n = max(len(a), len(b)) - 1, x.shape[-1]
+    b, a = np.pad(b, (0, order + 1 - len(b))) / a[0], np.pad(a, (0, order + 1 - len(a))) / a[0]
+    if not order or not n:
+        return b[0] * x
+    if order > 2:
+        return _step_by_step(b, a, x)
+    size = min(FILTER_BLOCK, n)
+    move = np.eye(order, k=1)
+    move[:, 0] -= a[1:]
+    enter = b[1:] - a[1:] * b[0]
+    # ring[i]: what the state adds to the output i samples on; into[:, j]: what sample j leaves in the state after the block.
+    ring, into, row, column = np.empty((size, order)), np.empty((order, size)), np.eye(order)[0], enter
+    for i in range(size):
+        ring[i], into[:, size - 1 - i] = row, column
+        row, column = row @ move, move @ column
+    response = np.concatenate(([b[0]], ring[:-1] @ enter))
+    lag = np.subtract.outer(np.arange(size), np.arange(size))
+    inside = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    leap = np.linalg.matrix_power(move, size)
+    blocks = -(-n // size)
+    padded = np.zeros((*x.shape[:-1], blocks * size))
+    padded[..., :n] = x
+    parts = padded.reshape(*x.shape[:-1], blocks, size)
+    out, left = parts @ inside.T, parts @ into.T
+    state = np.zeros((*x.shape[:-1], order))
+    for k in range(blocks):
+        out[..., k, :] += state @ ring.T
+        state = state @ leap.T + left[..., k, :]
+    return out.reshape(padded.shape)[..., :n]
+
+
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and back, without padding."""
-    return lfilter(b, a, lfilter(b, a, x)[::-1])[::-1]
+    return lfilter(b, a, lfilter(b, a, x)[..., ::-1])[..., ::-1]
 
 
 def bandpass(x: np.ndarray, rate: float, low: float, high: float, order: int = 2) -> np.ndarray:
-    return filtfilt(*butterworth(order, rate, low, min(high, 0.99 * rate / 2)), np.asarray(x, float))
+    chain, x = sections(order, rate, low, min(high, 0.99 * rate / 2)), np.asarray(x, float)
+    for _ in range(2):
+        for b, a in chain:
+            x = lfilter(b, a, x)
+        x = x[..., ::-1]
+    return x
 
 
 def filter_bank(x: np.ndarray, rate: float, bands: list[tuple[float, float]], order: int = 2) -> np.ndarray:
-    """A row for each band."""
+    """A row for each band (the first axis)."""
     return np.stack([bandpass(x, rate, lo, hi, order) for lo, hi in bands])
 
 
@@ -81,6 +151,12 @@ def combined_envelope(banded: np.ndarray) -> np.ndarray:
     return np.sqrt((banded**2).sum(0))
 
 
+def line_off(x: np.ndarray) -> np.ndarray:
+    """Without the least-squares line of each row."""
+    i = np.arange(x.shape[-1]) - (x.shape[-1] - 1) / 2
+    return x - x.mean(-1, keepdims=True) - i * ((x * i).sum(-1, keepdims=True) / max((i * i).sum(), 1e-300))
+
+
 def next_pow2(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
@@ -113,12 +189,12 @@ def dominant_frequency(x: np.ndarray, rate: float) -> float:
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
-    """The complex analytic signal."""
-    n, m = len(x), next_pow2(len(x))
+    """The complex analytic signal, along the last axis."""
+    n, m = x.shape[-1], next_pow2(x.shape[-1])
     s = np.fft.fft(x, m)
-    s[1 : m // 2] *= 2
-    s[m // 2 + 1 :] = 0
-    return np.fft.ifft(s)[:n]
+    s[..., 1 : m // 2] *= 2
+    s[..., m // 2 + 1 :] = 0
+    return np.fft.ifft(s)[..., :n]
 
 
 def envelope(x: np.ndarray) -> np.ndarray:
@@ -169,10 +245,9 @@ def ar_error(x: np.ndarray, order: int = AR_ORDER) -> np.ndarray:
 def wood_anderson(x: np.ndarray, rate: float = WA_RATE, compat: bool = False) -> np.ndarray:
     """Demean, detrend, band and gain of the instrument; compat: as for 100 Hz at any rate."""
     x = np.asarray(x, float)
-    if len(x) < 2:
+    if x.shape[-1] < 2:
         return x * WA_GAIN
-    i = np.arange(len(x))
-    return WA_GAIN * bandpass(x - np.polyval(np.polyfit(i, x, 1), i), WA_RATE if compat else rate, *WA_BAND)
+    return WA_GAIN * bandpass(line_off(x), WA_RATE if compat else rate, *WA_BAND)
 
 
 def spectral_fit(x: np.ndarray, rate: float, distance_m: float, f_min: float = 0.5, f_max: float = 20.0, q: float = 200.0, velocity: float = 3500.0) -> tuple[float, float, float]:
@@ -219,11 +294,21 @@ def ml_backend(x: np.ndarray, rate: float, min_probability: float = 0.5, gap_s:
     return out
 
 
-def per_segment(f: Callable[[np.ndarray], np.ndarray], samples: str | Column, returns: str = "array<double>") -> Column:
-    """f over each row's samples, in Arrow batches; null rows stay null."""
+def per_segment(f: Callable[[np.ndarray], np.ndarray], samples: str | Column, returns: str = "array<double>", rows: bool = False) -> Column:
+    """f over each row's samples, in Arrow batches; null rows stay null.
+
+    rows: f takes a matrix, and segments of one length go through it together.
+    """
 
     @F.pandas_udf(returns)
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: None if v is None else f(np.asarray(v, float)))
+        if not rows:
+            return column.map(lambda v: None if v is None else f(np.asarray(v, float)))
+        out = pd.Series([None] * len(column), index=column.index, dtype=object)
+        there = column.dropna()
+        for _, same in there.groupby(there.map(len)):
+            for key, y in zip(same.index, f(np.stack([np.asarray(v, float) for v in same])), strict=True):
+                out[key] = y
+        return out
 
     return run(samples)

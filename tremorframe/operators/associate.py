@@ -1,20 +1,23 @@
 """From picks to candidate events: range joins instead of nested scans.
 
 A seed pick (P or Pg) puts a trial source at its station; later picks belong
-to it if their time fits the travel time from there.  The longest travel time
-bounds how much later a pick can be, so both sides are dealt into time buckets
-of that length: a seed meets the picks of its own bucket and the next one.
+to it if their time fits the travel time from there.  The longest travel time of
+the table bounds how much later a pick can be, so both sides are dealt into time
+buckets of that length: a seed meets the picks of its own bucket and the next.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import location_weight
-from ..functions.geo import azimuth_deg, haversine_km
+from ..functions.codes import P_PHASES, location_weight
+from ..functions.geo import EARTH_RADIUS_KM, azimuth_deg, haversine_km
+from ..scratch import written
 from .velocity import lookup
 
 #: Trial depth, and the lead time of a source 50 km away at 8 km/s.
@@ -35,23 +38,72 @@ def with_stations(picks: DataFrame, stations: DataFrame, keep_missing: bool = Fa
     return picks.join(dimension, ["net", "sta"], "left" if keep_missing else "inner")
 
 
+#: Stations that are compared with all places at once (32 bytes each are broadcast); more are taken in blocks.
+STATION_BLOCK = 100_000
+
+
+def _station_blocks(stations: DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of (station_id, lat, lon), streamed through the driver a block at a time."""
+    held: list = []
+    for r in stations.select("station_id", "lat", "lon").where("lat is not null and lon is not null").toLocalIterator():
+        held.append(r)
+        if len(held) == STATION_BLOCK:
+            yield tuple(np.array(c) for c in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.array(c) for c in zip(*held, strict=True))
+
+
+def _nearest_of(places: DataFrame, block: tuple[np.ndarray, ...], count: int) -> DataFrame:
+    """olat, olon, km, station_id of the count nearest stations of the block."""
+    sent = places.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        ident, slat, slon = sent.value
+        rad = lambda x: np.radians(np.asarray(x, float))
+        k = min(count, len(ident))
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                lat, lon = np.asarray(part["olat"], float), np.asarray(part["olon"], float)
+                h = np.sin((rad(lat)[:, None] - rad(slat)) / 2) ** 2 + np.cos(rad(lat))[:, None] * np.cos(rad(slat)) * np.sin((rad(lon)[:, None] - rad(slon)) / 2) ** 2
+                km = np.round(2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(1 - h)), 6)
+                # All up to the k-th distance, so that ties are not lost.
+                near = km <= np.partition(km, k - 1, axis=1)[:, k - 1 : k]
+                row, column = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(lat[row]), pa.array(lon[row]), pa.array(km[row, column]), pa.array(ident[column])], names=["olat", "olon", "km", "station_id"])
+
+    return places.mapInArrow(run, "olat double, olon double, km double, station_id long")
+
+
 def nearest_stations(origins: DataFrame, stations: DataFrame, count: int) -> DataFrame:
     """orid, lat, lon with station_id, sta, k of the count nearest stations, by distance to 1e-6 km and then station_id.
 
-    Origins at one place have the same stations, so places are ranked, not origins.
+    Origins at one place have the same stations, so places are ranked, not
+    origins.  Stations travel to the places in blocks of a bounded size, each of
+    which gives its own nearest; no pair of a place and a far station is a row.
+    """
+    places = origins.select(F.col("lat").cast("double").alias("olat"), F.col("lon").cast("double").alias("olon")).where("olat is not null and olon is not null").distinct()
+    pairs = None
+    for block in _station_blocks(stations):
+        found = _nearest_of(places, block, count)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return origins.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("station_id", "long"), ("sta", "string"), ("k", "int")))).limit(0)
+    w = Window.partitionBy("olat", "olon").orderBy("km", "station_id")
+    near = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= count).join(stations.select("station_id", "sta"), "station_id")
+    return origins.join(near.select("olat", "olon", "station_id", "sta", "k"), (origins.lat == near.olat) & (origins.lon == near.olon)).drop("olat", "olon")
+
+
+def residuals(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, bucket_s: float = 0.0) -> DataFrame:
+    """seed_id with each later pick that fits: pick_id, distance, residual.
+
+    The time buckets are as long as the longest time of the table and the
+    residual, or bucket_s if that is longer; the result does not depend on it.
     """
-    places = origins.select(F.col("lat").alias("olat"), F.col("lon").alias("olon")).distinct()
-    # The stations are a dimension that grows with the network, not with the data; Spark decides how to join it.
-    pairs = stations.select("station_id", "sta", "lat", "lon").join(places).withColumn("_km", F.round(haversine_km("olat", "olon", "lat", "lon"), 6))
-    w = Window.partitionBy("olat", "olon").orderBy("_km", "station_id")
-    near = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= count).select("olat", "olon", "station_id", "sta", "k")
-    return origins.join(near, origins.lat.eqNullSafe(near.olat) & origins.lon.eqNullSafe(near.olon)).drop("olat", "olon")
-
-
-def residuals(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, bucket_s: float = 600.0) -> DataFrame:
-    """seed_id with each later pick that fits: pick_id, distance, residual.  bucket_s must exceed the longest travel time."""
     placed = with_stations(picks, stations)
-    width = int(bucket_s * 1e6)
+    longest = times.agg(F.max("t")).first()[0] or 0.0
+    width = int(max(bucket_s, longest + max_residual + 1.0) * 1e6)
     seeds = placed.where(F.col("phase").isin(*SEED_PHASES)).select(
         F.col("pick_id").alias("seed_id"), F.col("time_us").alias("seed_us"), F.col("slat").alias("lat"), F.col("slon").alias("lon"), F.explode(F.array(F.floor(F.col("time_us") / width), F.floor(F.col("time_us") / width) + 1)).alias("_b")
     )
@@ -64,7 +116,7 @@ def residuals(picks: DataFrame, stations: DataFrame, times: DataFrame, max_resid
     return timed.where(F.abs("residual") <= max_residual)
 
 
-def candidates(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, min_stations: int = 3, min_phases: int = 4, bucket_s: float = 600.0, fits: DataFrame | None = None) -> DataFrame:
+def candidates(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, min_stations: int = 3, min_phases: int = 4, bucket_s: float = 0.0, fits: DataFrame | None = None) -> DataFrame:
     """seed_id, time_us, lat, lon, station_count, phase_count of seeds with enough stations and picks.
 
     Stations are told apart by code alone.  The seed counts itself.  fits: what
@@ -96,21 +148,18 @@ def greedy(members: DataFrame, ranked: DataFrame) -> DataFrame:
     those that share a pick with it go, which gives what one pass in the order
     of ranks gives; the best of all is always settled, so rounds end.
     """
-    context = ranked.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        # Only where spark.checkpoint.dir is unset (tests on one machine).
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tremorframe-"))
     ranks = ranked.select("seed_id", "station_count", "phase_count", "time_us")
     rank = F.struct(-F.col("station_count"), -F.col("phase_count"), "time_us", "seed_id")
     # Every round cuts the lineage, as its rows are used several times.
-    left, kept = members.select("seed_id", "pick_id").distinct().join(ranks, "seed_id").checkpoint(), None
+    left, kept = written(members.select("seed_id", "pick_id").distinct().join(ranks, "seed_id"), "seeds"), None
     while left.count() > TASK_MEMBERS:
         best = left.groupBy("pick_id").agg(F.min_by("seed_id", rank).alias("_best"))
-        won = left.join(best, "pick_id").groupBy("seed_id").agg(F.bool_and(F.col("seed_id") == F.col("_best")).alias("_won")).where("_won").select("seed_id").checkpoint()
+        won = left.join(best, "pick_id").groupBy("seed_id").agg(F.bool_and(F.col("seed_id") == F.col("_best")).alias("_won"))
+        won = written(won.where("_won").select("seed_id"), "seeds-kept")
         kept = won if kept is None else kept.unionByName(won)
         taken = left.join(won, "seed_id", "left_semi").select("pick_id").distinct()
         settled = left.join(taken, "pick_id", "left_semi").select("seed_id").distinct()
-        left = left.join(settled, "seed_id", "left_anti").checkpoint()
+        left = written(left.join(settled, "seed_id", "left_anti"), "seeds-left")
 
     def choose(frame):
         taken, out = set(), []
@@ -135,16 +184,35 @@ def expired(picks: DataFrame, members: DataFrame, window_s: float = 60.0) -> Dat
     return unassociated(picks, members).where(F.col("time_us") < (latest or 0) - int(2e6 * window_s))
 
 
+#: Points of a grid that travel to the picks at once (some 60 bytes each).
+GRID_POINTS = 100_000
+
+
+def with_points(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every row with every point of a grid, whose size is checked: up to GRID_POINTS are one broadcast, more are several."""
+    n = grid.count()
+    if n <= GRID_POINTS:
+        return rows.join(F.broadcast(grid))
+    parts, out = -(-n // GRID_POINTS) * 2, None
+    for k in range(parts):
+        part = grid.where(F.pmod(F.xxhash64(*grid.columns), F.lit(parts)) == k)
+        pairs = rows.join(F.broadcast(part))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def nucleator_votes(picks: DataFrame, stations: DataFrame, grid: DataFrame, times: DataFrame | None = None, window_s: float = 60.0, max_residual: float = 3.0, min_votes: int = 4, compat: bool = False) -> DataFrame:
     """cell, bucket, votes of the grid points (cell, lat, lon, depth) that enough picks agree on.
 
     Each pick votes for the origin second its travel time from the point gives;
-    compat counts every pick for every point.  The grid is a fixed list of points.
+    compat counts every pick for every point.  The grid is a fixed list of points,
+    of which at most GRID_POINTS are broadcast; a finer one is voted on in parts.
     """
     placed = with_stations(picks, stations).select("pick_id", "phase", "time_us", "slat", "slon")
-    pairs = placed.join(F.broadcast(grid))
     if compat:
-        return pairs.groupBy("cell").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
+        n = placed.agg(F.count("*").alias("votes"))
+        return grid.select("cell").join(n).where(F.col("votes") >= min_votes)
+    pairs = with_points(placed, grid)
     pairs = lookup(pairs.withColumn("distance", haversine_km("lat", "lon", "slat", "slon")), times, "distance", "depth", "phase")
     width = max_residual * 1e6
     pairs = pairs.withColumn("bucket", F.floor((F.col("time_us") - F.col("tt") * 1e6) / width))
@@ -164,13 +232,20 @@ def predicted_picks(picks: DataFrame, expected: Column, dt: Column, by: tuple[st
 
 
 def event_summary(members: DataFrame, by: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """by..., rms (weighted), gap, station and phase counts of arrivals (residual, quality, azimuth, sta)."""
-    w = location_weight("quality")
+    """by..., rms (weighted), plain_rms, gap, station and phase counts of arrivals (residual, quality, azimuth, sta)."""
+    w, t = location_weight("quality"), F.col("residual")
     return members.groupBy(*by).agg(
-        F.sqrt(F.sum(w * F.col("residual") * F.col("residual")) / F.sum(w)).alias("rms"), (360.0 - (F.max("azimuth") - F.min("azimuth"))).alias("gap"), F.countDistinct("sta").alias("station_count"), F.count("*").alias("phase_count")
+        F.sqrt(F.sum(w * t * t) / F.sum(w)).alias("rms"), F.sqrt(F.avg(t * t)).alias("plain_rms"), (360.0 - (F.max("azimuth") - F.min("azimuth"))).alias("gap"), F.countDistinct("sta").alias("station_count"), F.count("*").alias("phase_count")
     )
 
 
+def near_model(picks: DataFrame, times: DataFrame, dt: Column, least_s: float = -1.0, min_snr: float = 3.0, max_residual: float = 5.0) -> DataFrame:
+    """Picks (distance, depth, phase, snr) whose time after the origin fits the table's P time, with dt, tt and residual."""
+    rows = lookup(picks.withColumn("_p", F.lit("P")), times, "distance", "depth", "_p").drop("_p").withColumn("dt", dt)
+    rows = rows.withColumn("residual", F.col("dt") - F.col("tt"))
+    return rows.where((F.col("dt") >= least_s) & (F.col("snr") >= min_snr) & (F.abs("residual") <= max_residual))
+
+
 def true_gap(rows: DataFrame, by: tuple[str, ...], azimuth: str = "azimuth") -> DataFrame:
     """by..., gap: the widest angle between neighbouring azimuths, all round."""
     w = Window.partitionBy(*by).orderBy(azimuth)

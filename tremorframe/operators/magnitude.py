@@ -23,6 +23,14 @@ from ..functions.geo import haversine_km, hypocentral_km, km_to_deg
 DAY_US = 86_400_000_000
 
 
+#: Least and most distance (km) of each kind.
+RANGES = {"ML": (5.0, 600.0), "Mw": (10.0, 500.0), "Mb": (555.0, 11_100.0), "Ms": (2200.0, 17_800.0)}
+
+
+def in_range(distance, kind: str) -> Column:
+    return F.col(distance).between(*RANGES[kind]) if isinstance(distance, str) else distance.between(*RANGES[kind])
+
+
 def upper_median(value: str) -> Column:
     """The middle one, of two the greater; over groups of one event's stations."""
     v = F.sort_array(F.collect_list(value))
@@ -77,7 +85,7 @@ def spectrum(samples: pd.Series, rate: pd.Series, metres: pd.Series) -> pd.DataF
 def local_stations(origins, segments, stations, corrections: DataFrame | None = None, least: int = 10, **formula) -> DataFrame:
     """ML: from half a second before the computed S to 10 s after."""
     s = lambda d: d / 3.5
-    rows = windows(origins, segments, stations, lambda d: s(d) - 0.5, lambda d: s(d) + 10.0, 5.0, 600.0).where(F.size("samples") >= least)
+    rows = windows(origins, segments, stations, lambda d: s(d) - 0.5, lambda d: s(d) + 10.0, *RANGES["ML"]).where(F.size("samples") >= least)
     rows = rows.withColumn("amplitude", wood_anderson_peak("samples", "sample_rate")).drop("samples")
     if corrections is not None:
         rows = rows.join(corrections.select("sta", "correction"), "sta", "left")
@@ -87,7 +95,7 @@ def local_stations(origins, segments, stations, corrections: DataFrame | None =
 
 def moment_stations(origins, segments, stations) -> DataFrame:
     """Mw: five seconds from the computed S; kept between 0 and 10."""
-    rows = windows(origins, segments, stations, lambda d: d / 3.5, lambda d: d / 3.5 + 5.0, 10.0, 500.0).where(F.size("samples") >= kernels.SPECTRUM_MIN)
+    rows = windows(origins, segments, stations, lambda d: d / 3.5, lambda d: d / 3.5 + 5.0, *RANGES["Mw"]).where(F.size("samples") >= kernels.SPECTRUM_MIN)
     rows = rows.withColumn("fit", spectrum("samples", "sample_rate", F.col("hypo") * 1000)).drop("samples").where("fit.omega > 0")
     rows = rows.withColumn("magnitude", scales.mw(scales.moment("fit.omega", "hypo"))).where((F.col("magnitude") > 0) & (F.col("magnitude") < 10))
     return rows.withColumn("magtype", F.lit("Mw"))
@@ -95,14 +103,14 @@ def moment_stations(origins, segments, stations) -> DataFrame:
 
 def body_stations(origins, segments, stations, least: int = 10) -> DataFrame:
     """mb: the loudest sample of five seconds from P on vertical channels."""
-    rows = windows(origins, segments.where(is_vertical("chan")), stations, lambda d: d / 8.0, lambda d: d / 8.0 + 5.0, 555.0, 11_100.0).where(F.size("samples") >= least)
+    rows = windows(origins, segments.where(is_vertical("chan")), stations, lambda d: d / 8.0, lambda d: d / 8.0 + 5.0, *RANGES["Mb"]).where(F.size("samples") >= least)
     rows = rows.withColumn("amplitude", F.array_max(F.transform("samples", lambda v: F.abs(v)))).drop("samples")
     return rows.withColumn("magnitude", scales.mb("amplitude", km_to_deg("distance"), "depth")).withColumn("magtype", F.lit("Mb"))
 
 
 def surface_stations(origins, segments, stations, least: int = 10) -> DataFrame:
     """Ms: 30 s before to 60 s after the wave at 3.5 km/s, between 15 and 25 s."""
-    rows = windows(origins, segments.where(is_vertical("chan")), stations, lambda d: d / 3.5 - 30.0, lambda d: d / 3.5 + 60.0, 2200.0, 17_800.0).where(F.size("samples") >= least)
+    rows = windows(origins, segments.where(is_vertical("chan")), stations, lambda d: d / 3.5 - 30.0, lambda d: d / 3.5 + 60.0, *RANGES["Ms"]).where(F.size("samples") >= least)
     rows = rows.withColumn("amplitude", surface_peak("samples", "sample_rate")).drop("samples")
     return rows.withColumn("magnitude", scales.ms("amplitude", km_to_deg("distance"))).withColumn("magtype", F.lit("Ms"))
 

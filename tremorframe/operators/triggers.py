@@ -67,10 +67,7 @@ def aic_refined(df: DataFrame, s: Stream, picks: DataFrame, at: str, reach: int,
 def stalta_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.5, lta_s: float = 10.0, trigger: float = 3.0, detrigger: float = 1.5, refine: int = 50) -> DataFrame:
     """STA/LTA picker: by..., pick_idx, on_idx, off_idx, snr, confidence, amplitude, phase."""
     found = stalta_triggers(df, s, int(sta_s * rate), int(lta_s * rate), trigger, detrigger).withColumnRenamed("peak", "snr")
-    found = aic_refined(df, s, found, "on_idx", refine).withColumnRenamed("refined_idx", "pick_idx")
-    loud = df.select(*s.by, s.i.alias("pick_idx"), signal.pick_amplitude(s, int(rate)).alias("amplitude"))
-    found = found.join(loud, [*s.by, "pick_idx"], "left")
-    return found.withColumn("confidence", F.least(F.lit(1.0), F.col("snr") / 10.0)).withColumn("phase", F.lit("P"))
+    return _finished(df, s, found, rate, refine)
 
 
 def aic_picks(df: DataFrame, s: Stream, rate: float, before_s: float = 2.0, min_snr: float = 3.0, distinct: bool = True) -> DataFrame:
@@ -93,6 +90,63 @@ def polarization_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.3
     return aic_refined(df, z, found, "on_idx", int(rate)).withColumnRenamed("refined_idx", "pick_idx").withColumn("phase", F.lit("P"))
 
 
+def one_component_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float, detrigger: float) -> DataFrame:
+    """Where horizontals are lacking: triggers of the demeaned vertical alone."""
+    rows = df.select(*s.by, s.idx, signal.demeaned(s).alias("_d"))
+    d = Stream(s.by, s.idx, "_d")
+    rows = rows.select(*s.by, s.idx, signal.sta_lta(d, sta, lta, tiny=signal.TINY_PREFIX).alias("ratio"))
+    return threshold_triggers(rows, d, "ratio", trigger, detrigger)
+
+
+def one_component_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.3, lta_s: float = 8.0, trigger: float = 1.5, detrigger: float = 0.5, refine: int = 50) -> DataFrame:
+    """The polarization picker's way with one component: by..., pick_idx, on_idx, off_idx, snr, confidence, amplitude, phase."""
+    found = one_component_triggers(df, s, int(sta_s * rate), int(lta_s * rate), trigger, detrigger).withColumnRenamed("peak", "snr")
+    return _finished(df, s, found, rate, refine)
+
+
+def _finished(df: DataFrame, s: Stream, found: DataFrame, rate: float, refine: int) -> DataFrame:
+    """Triggers with the refined onset, the loudest sample of the second from there, and a confidence."""
+    found = aic_refined(df, s, found, "on_idx", refine).withColumnRenamed("refined_idx", "pick_idx")
+    loud = df.select(*s.by, s.i.alias("pick_idx"), signal.pick_amplitude(s, int(rate)).alias("amplitude"))
+    found = found.join(loud, [*s.by, "pick_idx"], "left")
+    return found.withColumn("confidence", F.least(F.lit(1.0), F.col("snr") / 10.0)).withColumn("phase", F.lit("P"))
+
+
+def three_components(segments: DataFrame, by: tuple[str, ...] = ("net", "sta")) -> DataFrame:
+    """by..., start_us, sample_rate, z, n, e of segments whose BHZ, BHN or BH1, and BHE or BH2 begin together."""
+    kind = F.when(F.col("chan") == "BHZ", "z").when(F.col("chan").isin("BHN", "BH1"), "n").when(F.col("chan").isin("BHE", "BH2"), "e")
+    rows = segments.withColumn("_c", kind).where("_c is not null")
+    of = lambda c: F.max(F.when(F.col("_c") == c, F.col("samples"))).alias(c)
+    return rows.groupBy(*by, "start_us", "sample_rate").agg(of("z"), of("n"), of("e")).where("z is not null and n is not null and e is not null")
+
+
+def pick_windows(picks: DataFrame, segments: DataFrame, by: tuple[str, ...], before_s: float = -10.0, after_s: float = 60.0, bucket_s: float = 3600.0) -> DataFrame:
+    """Segments' columns with each pick (pick_id, by..., time_us) near them: first_idx and the samples from before_s to after_s of the pick.
+
+    A pick and a segment meet once, in the first time bucket that both touch.
+    """
+    width, us = int(bucket_s * 1e6), F.col("time_us")
+    lo, hi = us + int(before_s * 1e6), us + int(after_s * 1e6)
+    near = picks.select("pick_id", *by, "time_us", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))).alias("_b"), F.floor(lo / width).alias("_p"))
+    end = F.col("start_us") + F.ceil(F.size("samples") * 1e6 / F.col("sample_rate")).cast("long")
+    parts = segments.withColumn("_s", F.floor(F.col("start_us") / width)).withColumn("_b", F.explode(F.sequence(F.col("_s"), F.floor(end / width))))
+    both = near.join(parts, [*by, "_b"]).where(F.col("_b") == F.greatest("_p", "_s")).drop("_b", "_p", "_s")
+    at = lambda seconds: F.floor((us + int(seconds * 1e6) - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
+    first, stop = F.greatest(at(before_s), F.lit(0)), F.least(at(after_s), F.size("samples"))
+    return both.withColumn("first_idx", first).withColumn("samples", F.when(stop > first, F.slice("samples", first + 1, stop - first))).where("samples is not null")
+
+
+def spaced(picks: DataFrame, by: tuple[str, ...], gap_s: float = 2.0, min_snr: float = 3.0) -> DataFrame:
+    """by..., time_us of picks at least a gap after the last one kept; a stream's pick times are one array."""
+    times = picks.where(F.col("snr") >= min_snr).groupBy(*by).agg(F.sort_array(F.collect_list("time_us")).alias("_t"))
+    return times.select(*by, F.explode(signal.suppress_close(F.col("_t"), int(gap_s * 1e6))).alias("time_us"))
+
+
+def played(segments: DataFrame, by: tuple[str, ...] = ("stream_id",), order: tuple[str, ...] = ("start_us",)) -> DataFrame:
+    """Segments with k, their place in the order in which a stream is played."""
+    return segments.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def coda_duration(df: DataFrame, s: Stream, rate: float, p_idx: Column, noise_s: float = 5.0, factor: float = 1.5) -> DataFrame:
     """by..., duration_s: from P to the first half-second hop whose next second is quieter than the noise."""
     rows = df.withColumn("_p", p_idx)

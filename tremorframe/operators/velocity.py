@@ -129,8 +129,17 @@ def table_rows(spark: SparkSession, model: Model, max_km: int = 3000, max_depth:
     return spark.createDataFrame(pa.concat_tables(parts))
 
 
+def straight_rows(spark: SparkSession, vp: float, vs: float, name: str = "straight", max_km: int = 3000, max_depth: int = 100) -> DataFrame:
+    """The same table for straight rays in a half-space, made where it is used."""
+    d, z = F.floor(F.col("id") / (max_depth + 1)).cast("int"), (F.col("id") % (max_depth + 1)).cast("int")
+    points = spark.range((max_km + 1) * (max_depth + 1)).select(d.alias("d_bin"), z.alias("z_bin"))
+    velocity = F.explode(F.array(*(F.struct(F.lit(p).alias("phase_class"), F.lit(float(v)).alias("v")) for p, v in (("P", vp), ("S", vs))))).alias("p")
+    rows = points.select("d_bin", "z_bin", velocity).select(F.lit(name).alias("model"), "p.*", "d_bin", "z_bin")
+    return rows.withColumn("t", straight_ray("d_bin", "z_bin", "v")).select("model", "phase_class", "d_bin", "z_bin", "t")
+
+
 def lookup(rows: DataFrame, times: DataFrame, distance: str, depth: str, phase: str, out: str = "tt", max_km: int = 3000, max_depth: int = 100) -> DataFrame:
-    """Adds the time of the whole kilometre below a row's distance and depth.
+    """Adds the time of the whole kilometre below a row's distance and depth; times is any table as ``table_rows`` has.
 
     times is one model's table; its size is fixed by max_km and max_depth, so
     Spark may broadcast it.
@@ -145,6 +154,12 @@ def layer_rows(spark: SparkSession, models: list[Model]) -> DataFrame:
     return spark.createDataFrame([(m.name, *r[:5], 500.0, 250.0) for m in models for r in m.layers], LAYERS)
 
 
+def by_depth(layers: DataFrame) -> DataFrame:
+    """model, layers: each model's layers as one array by depth; a model has a few."""
+    fields = ("top_depth", "thickness", "vp", "vs", "density", "qp", "qs")
+    return layers.groupBy("model").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("layers"))
+
+
 def velocity_at(layers: Column | str, depth, phase: str = "vp") -> Column:
     """Of an array of layer structs by depth: the first that holds the depth, else the last."""
     layers, z = col(layers), col(depth)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, scales, timeutil
-from ..operators import associate, catalog, regions, velocity
+from ..operators import associate, catalog, regions, trial, velocity
 from ..operators.magnitude import network, upper_median
 from .registry import query
 from .tables import ASSOC, EVENTS, NETMAGS, ORIGINS, PICKS, STATIONS, assoc, azimuth_sql, events, haversine_sql, netmags, origins, picks, read, stations
@@ -31,14 +30,8 @@ def stations_within(spark, sf):
     return stations(spark, sf).where(geo.within_km("lat", "lon", CLAT, CLON, 4000.0)).select("net", "sta")
 
 
-@query(f"SELECT orid, sta, CAST(k AS BIGINT) AS k FROM (SELECT o.orid, s.sta, row_number() OVER (PARTITION BY o.orid ORDER BY round({haversine_sql('o.lat', 'o.lon', 's.lat', 's.lon')}, 6), s.station_id) AS k FROM origin o, stations s WHERE o.orid < 200) t WHERE k <= 12", (ORIGINS, STATIONS))
+@query(f"SELECT orid, sta, CAST(k AS BIGINT) AS k FROM (SELECT o.orid, s.sta, row_number() OVER (PARTITION BY o.orid ORDER BY round({haversine_sql('o.lat', 'o.lon', 's.lat', 's.lon')}, 6), s.station_id) AS k FROM origin o, stations s) t WHERE k <= 12", (ORIGINS, STATIONS))
 def nearest_k_stations(spark, sf):
-    """The part of all_nearest_stations that the SQL has: origins under 200."""
-    return all_nearest_stations(spark, sf).where("orid < 200")
-
-
-@query()
-def all_nearest_stations(spark, sf):
     """The twelve nearest stations of every origin."""
     return associate.nearest_stations(origins(spark, sf).select("orid", "lat", "lon"), stations(spark, sf), 12).select("orid", "sta", F.col("k").cast("long").alias("k"))
 
@@ -105,8 +98,14 @@ def predicted_pick(spark, sf):
 
 @query("SELECT orid, round(sqrt(sum(wgt * timeres * timeres) / sum(wgt)), 6) AS rms, round(sqrt(avg(timeres * timeres)), 6) AS plain_rms, count(DISTINCT sta) AS stations, count(*) AS phases FROM assoc GROUP BY orid", (ASSOC,))
 def weighted_rms(spark, sf):
-    t, w = F.col("timeres"), F.col("wgt")
-    return assoc(spark, sf).groupBy("orid").agg(r(F.sqrt(F.sum(w * t * t) / F.sum(w))).alias("rms"), r(F.sqrt(F.avg(t * t))).alias("plain_rms"), F.countDistinct("sta").alias("stations"), F.count("*").alias("phases"))
+    rows = _arrivals(assoc(spark, sf)).withColumn("azimuth", F.lit(0.0))
+    return associate.event_summary(rows, ("orid",)).select("orid", r("rms").alias("rms"), r("plain_rms").alias("plain_rms"), F.col("station_count").alias("stations"), F.col("phase_count").alias("phases"))
+
+
+def _arrivals(rows):
+    """Associations with the quality class their weight stands for."""
+    quality = F.when(F.col("wgt") == 1.0, 0).when(F.col("wgt") == 0.5625, 1).otherwise(2)
+    return rows.withColumn("quality", quality).withColumn("residual", F.col("timeres"))
 
 
 _GEOMETRY = "geo AS (SELECT a.orid, a.sta, a.timeres, " + azimuth_sql("o.lat", "o.lon", "s.lat", "s.lon") + " AS azimuth FROM assoc a JOIN origin o ON o.orid = a.orid JOIN stations s ON s.station_id = a.l_suppkey)"
@@ -115,12 +114,12 @@ _GEOMETRY = "geo AS (SELECT a.orid, a.sta, a.timeres, " + azimuth_sql("o.lat", "
 def _geometry(spark, sf):
     o = origins(spark, sf).select("orid", F.col("lat").alias("olat"), F.col("lon").alias("olon"))
     s = stations(spark, sf).select("sta", "lat", "lon")
-    return assoc(spark, sf).join(o, "orid").join(s, "sta").select("orid", "sta", "timeres", geo.azimuth_deg("olat", "olon", "lat", "lon").alias("azimuth"))
+    return _arrivals(assoc(spark, sf)).join(o, "orid").join(s, "sta").select("orid", "sta", "timeres", "residual", "quality", geo.azimuth_deg("olat", "olon", "lat", "lon").alias("azimuth"))
 
 
 @query("SELECT orid, round(360.0 - (max(azimuth) - min(azimuth)), 6) AS gap FROM geo GROUP BY orid", (ASSOC, ORIGINS, STATIONS, _GEOMETRY))
 def azimuthal_gap(spark, sf):
-    return _geometry(spark, sf).groupBy("orid").agg(r(360.0 - (F.max("azimuth") - F.min("azimuth"))).alias("gap"))
+    return associate.event_summary(_geometry(spark, sf), ("orid",)).select("orid", r("gap").alias("gap"))
 
 
 @query("SELECT orid, round(greatest(max(step), 360.0 - (max(azimuth) - min(azimuth))), 6) AS gap FROM (SELECT *, coalesce(azimuth - lag(azimuth) OVER (PARTITION BY orid ORDER BY azimuth), 0.0) AS step FROM geo) t GROUP BY orid", (ASSOC, ORIGINS, STATIONS, _GEOMETRY))
@@ -133,60 +132,75 @@ _QUALITY = "SELECT orid, CASE WHEN gap < 90 AND n >= 8 AND rms < 0.5 THEN 'A' WH
 
 @query(_QUALITY, (ASSOC, ORIGINS, STATIONS, _GEOMETRY))
 def quality_code(spark, sf):
-    rows = _geometry(spark, sf).groupBy("orid").agg((360.0 - (F.max("azimuth") - F.min("azimuth"))).alias("gap"), F.count("*").alias("n"), F.sqrt(F.avg(F.col("timeres") * F.col("timeres"))).alias("rms"))
-    return rows.select("orid", codes.origin_quality("gap", "n", "rms").alias("quality"))
+    rows = associate.event_summary(_geometry(spark, sf), ("orid",))
+    return rows.select("orid", codes.origin_quality("gap", "phase_count", "plain_rms").alias("quality"))
 
 
 @query("SELECT net, sta, round(avg(slat), 6) AS lat, round(avg(slon), 6) AS lon, count(*) AS n FROM picks WHERE phase IN ('P', 'Pg', 'Pn') GROUP BY net, sta", (PICKS,))
 def centroid(spark, sf):
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).where(F.col("phase").isin("P", "Pg", "Pn"))
-    return p.groupBy("net", "sta").agg(r(F.avg("slat")).alias("lat"), r(F.avg("slon")).alias("lon"), F.count("*").alias("n"))
+    p = associate.with_stations(picks(spark, sf), stations(spark, sf))
+    return trial.centroid(p, ("net", "sta")).select("net", "sta", r("lat").alias("lat"), r("lon").alias("lon"), "n")
 
 
 @query("SELECT user_id, round(sum(slat / k) / sum(1.0 / k), 6) AS lat, round(sum(slon / k) / sum(1.0 / k), 6) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_us, pick_id) AS k FROM picks) t GROUP BY user_id", (PICKS,))
 def order_weighted_centroid(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("time_us", "pick_id")
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumn("k", F.row_number().over(w))
-    return p.groupBy("user_id").agg(r(F.sum(F.col("slat") / F.col("k")) / F.sum(1.0 / F.col("k"))).alias("lat"), r(F.sum(F.col("slon") / F.col("k")) / F.sum(1.0 / F.col("k"))).alias("lon"))
+    p = associate.with_stations(picks(spark, sf), stations(spark, sf))
+    return trial.order_weighted_centroid(p, ("user_id",)).select("user_id", r("lat").alias("lat"), r("lon").alias("lon"))
 
 
 @query("SELECT user_id, sta, time_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_us, pick_id) AS k FROM picks WHERE phase IN ('P', 'Pg', 'Pn')) t WHERE k = 1", (PICKS,))
 def earliest_p_station(spark, sf):
-    p = picks(spark, sf).where(F.col("phase").isin("P", "Pg", "Pn"))
-    return p.groupBy("user_id").agg(F.min_by("sta", F.struct("time_us", "pick_id")).alias("sta"), F.min("time_us").alias("time_us"))
+    p = associate.with_stations(picks(spark, sf), stations(spark, sf))
+    return trial.earliest_station(p, ("user_id",)).select("user_id", "sta", "time_us")
+
+
+#: Times of straight rays at 8 and 4.6 km/s, by whole kilometres up to 3000, as a table for the operators and in SQL.
+VP, VS = 8.0, 4.6
+
+
+def _straight(spark):
+    return velocity.straight_rows(spark, VP, VS)
 
 
-@query(f"SELECT user_id, arg_min(time_us - CAST(floor(tt * 1000) AS BIGINT) * 1000, round(tt, 6) * 1e9 + pick_id) AS origin_us FROM (SELECT *, {TO_STATION} / 6.0 AS tt FROM picks WHERE phase IN ('P', 'Pg')) t GROUP BY user_id", (PICKS,))
+def straight_sql(km: str, depth: str, phase: str) -> str:
+    return f"(sqrt(pow(least(floor({km}), 3000), 2) + pow({depth}, 2)) / CASE WHEN {phase} IN ('P', 'Pn', 'Pg') THEN {VP} ELSE {VS} END)"
+
+
+@query(f"SELECT user_id, first(time_us - CAST(floor(tt * 1000) AS BIGINT) * 1000 ORDER BY round(tt, 6), pick_id) AS origin_us FROM (SELECT *, {straight_sql(TO_STATION, '10', 'phase')} AS tt FROM picks WHERE phase IN ('P', 'Pg')) t GROUP BY user_id", (PICKS,))
 def origin_time_estimate(spark, sf):
-    """Times at 6 km/s from one place; the pick with the least one gives the origin time."""
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).where(F.col("phase").isin("P", "Pg")).withColumn("tt", geo.haversine_km(CLAT, CLON, "slat", "slon") / 6.0)
-    return p.groupBy("user_id").agg(F.min_by(F.col("time_us") - F.floor(F.col("tt") * 1000).cast("long") * 1000, F.round("tt", 6) * 1e9 + F.col("pick_id")).alias("origin_us"))
+    """The pick nearest to one place gives the origin time."""
+    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumns({"lat": F.lit(CLAT), "lon": F.lit(CLON), "depth": F.lit(10.0)})
+    return trial.origin_time(trial.with_times(p, _straight(spark)), ("user_id",))
 
 
-_STRAIGHT = haversine_sql("a.slat", "a.slon", "b.slat", "b.slon") + " / 8.0"
-_MATCH = f"pair AS (SELECT a.pick_id AS seed_id, b.pick_id, a.sta AS seed_sta, b.sta, (b.time_us - a.time_us) / 1e6 - {_STRAIGHT} AS residual FROM picks a JOIN picks b ON b.time_us - a.time_us BETWEEN 0 AND 3000000000 AND (b.time_us > a.time_us OR b.pick_id > a.pick_id) WHERE a.phase IN ('P', 'Pg')), fit AS (SELECT * FROM pair WHERE abs(residual) <= 120)"
+@query(f"SELECT pick_id, phase, round({TO_STATION}, 6) AS distance, round({straight_sql(TO_STATION, '10', 'phase')}, 6) AS tt FROM picks", (PICKS,))
+def straight_time_lookup(spark, sf):
+    """Each pick's time from one place in a table of straight rays."""
+    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumns({"lat": F.lit(CLAT), "lon": F.lit(CLON), "depth": F.lit(10.0)})
+    return trial.with_times(p, _straight(spark)).select("pick_id", "phase", r("distance").alias("distance"), r("tt").alias("tt"))
 
 
-def _straight_fits(spark, sf):
-    """Picks that fit a source at a seed's station at 8 km/s, by buckets of 3000 s (the longest such time)."""
-    width = 3_000_000_000
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf))
-    b = F.floor(F.col("time_us") / width)
-    seeds = p.where(F.col("phase").isin("P", "Pg")).select(F.col("pick_id").alias("seed_id"), F.col("sta").alias("seed_sta"), F.col("time_us").alias("seed_us"), F.col("slat").alias("alat"), F.col("slon").alias("alon"), F.explode(F.array(b, b + 1)).alias("b"))
-    late = F.col("time_us") - F.col("seed_us")
-    pairs = seeds.join(p.withColumn("b", b), "b").where(late.between(0, width) & ((late > 0) | (F.col("pick_id") > F.col("seed_id"))))
-    residual = late / 1e6 - geo.haversine_km("alat", "alon", "slat", "slon") / 8.0
-    return pairs.withColumn("residual", residual).where(F.abs("residual") <= 120)
+_MATCH = (
+    f"pair AS (SELECT a.pick_id AS seed_id, b.pick_id, a.sta AS seed_sta, b.sta, floor((b.time_us - a.time_us + 6250000) / 1000) / 1000.0 - {straight_sql(haversine_sql('a.slat', 'a.slon', 'b.slat', 'b.slon'), '10', 'b.phase')} AS residual "
+    "FROM picks a JOIN picks b ON b.time_us - a.time_us BETWEEN 0 AND 900000000 AND (b.time_us > a.time_us OR b.pick_id > a.pick_id) WHERE a.phase IN ('P', 'Pg')), fit AS (SELECT * FROM pair WHERE abs(residual) <= 120)"
+)
+_FIT = {"max_residual": 120.0}
 
 
-@query("SELECT seed_id, count(*) + 1 AS phases, count(DISTINCT sta) AS stations FROM fit GROUP BY seed_id HAVING count(*) >= 2", (PICKS, _MATCH))
+@query("SELECT seed_id, CAST(count(DISTINCT sta) AS BIGINT) AS station_count, count(*) AS phase_count FROM (SELECT seed_id, sta FROM fit UNION ALL SELECT pick_id, sta FROM picks WHERE phase IN ('P', 'Pg')) t GROUP BY seed_id HAVING count(DISTINCT sta) >= 2 AND count(*) >= 3", (PICKS, _MATCH))
 def association_candidates(spark, sf):
-    return _straight_fits(spark, sf).groupBy("seed_id").agg((F.count("*") + 1).alias("phases"), F.countDistinct("sta").alias("stations")).where("phases >= 3")
+    found = associate.candidates(picks(spark, sf), stations(spark, sf), _straight(spark), min_stations=2, min_phases=3, **_FIT)
+    return found.select("seed_id", "station_count", "phase_count")
+
+
+@query("SELECT seed_id, pick_id, round(residual, 6) AS residual FROM fit", (PICKS, _MATCH))
+def association_residuals(spark, sf):
+    return associate.residuals(picks(spark, sf), stations(spark, sf), _straight(spark), **_FIT).select("seed_id", "pick_id", r("residual").alias("residual"))
 
 
 @query("SELECT pick_id FROM picks WHERE pick_id NOT IN (SELECT pick_id FROM fit) AND pick_id NOT IN (SELECT seed_id FROM fit)", (PICKS, _MATCH))
 def unassociated_picks(spark, sf):
-    f = _straight_fits(spark, sf)
+    f = associate.residuals(picks(spark, sf), stations(spark, sf), _straight(spark), **_FIT)
     return associate.unassociated(picks(spark, sf), f.select("pick_id").unionByName(f.select(F.col("seed_id").alias("pick_id")))).select("pick_id")
 
 
@@ -194,43 +208,41 @@ def unassociated_picks(spark, sf):
 def associated_events(spark, sf):
     """Candidates over the travel-time table, with shared picks resolved greedily."""
     p, s, t = picks(spark, sf), stations(spark, sf), velocity.table_rows(spark, velocity.Model.named("iasp91"))
-    options = {"max_residual": 120.0, "bucket_s": 900.0}
-    fits = associate.residuals(p, s, t, **options)
-    found = associate.candidates(p, s, t, min_stations=2, min_phases=2, fits=fits, **options)
+    fits = associate.residuals(p, s, t, **_FIT)
+    found = associate.candidates(p, s, t, min_stations=2, min_phases=2, fits=fits, **_FIT)
     return associate.greedy(associate.members(p, s, t, found, fits), found)
 
 
-@query("SELECT cell, CAST(bucket AS BIGINT) AS bucket, count(DISTINCT pick_id) AS votes FROM (SELECT c.cell, p.pick_id, floor((p.time_us - " + haversine_sql("c.lat", "c.lon", "p.slat", "p.slon") + " / 8.0 * 1e6) / 300000000.0) AS bucket FROM picks p, (SELECT i AS cell, CAST(-60 + 30 * (i // 5) AS DOUBLE) AS lat, CAST(-120 + 60 * (i % 5) AS DOUBLE) AS lon FROM range(25) t(i)) c) u GROUP BY ALL HAVING count(DISTINCT pick_id) >= 4", (PICKS,))
+_CELLS = "(SELECT i AS cell, CAST(-60 + 30 * (i // 5) AS DOUBLE) AS lat, CAST(-120 + 60 * (i % 5) AS DOUBLE) AS lon FROM range(25) t(i))"
+_CELL_TIME = straight_sql(haversine_sql("c.lat", "c.lon", "p.slat", "p.slon"), "10", "p.phase")
+
+
+def _cells(spark):
+    """Twenty-five grid points of the world."""
+    return spark.range(25).select(F.col("id").alias("cell"), (-60.0 + 30 * F.floor(F.col("id") / 5)).alias("lat"), (-120.0 + 60 * (F.col("id") % 5)).alias("lon"), F.lit(10.0).alias("depth"))
+
+
+@query(f"SELECT cell, CAST(bucket AS BIGINT) AS bucket, count(DISTINCT pick_id) AS votes FROM (SELECT c.cell, p.pick_id, floor((p.time_us - {_CELL_TIME} * 1e6) / 300000000.0) AS bucket FROM picks p, {_CELLS} c) u GROUP BY ALL HAVING count(DISTINCT pick_id) >= 4", (PICKS,))
 def nucleator_votes(spark, sf):
-    """Twenty-five grid points; straight rays at 8 km/s and buckets of 300 s."""
-    grid = spark.range(25).select(F.col("id").alias("cell"), (-60.0 + 30 * F.floor(F.col("id") / 5)).alias("lat"), (-120.0 + 60 * (F.col("id") % 5)).alias("lon"))
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf))
-    pairs = p.join(F.broadcast(grid))
-    bucket = F.floor((F.col("time_us") - geo.haversine_km("lat", "lon", "slat", "slon") / 8.0 * 1e6) / 300000000.0)
-    return pairs.withColumn("bucket", bucket).groupBy("cell", "bucket").agg(F.countDistinct("pick_id").alias("votes")).where("votes >= 4")
+    """Votes in buckets of 300 s."""
+    return associate.nucleator_votes(picks(spark, sf), stations(spark, sf), _cells(spark), _straight(spark), max_residual=300.0)
 
 
 @query("SELECT orid, round(exp(-0.5 * sum(d * d) / count(*) * 100), 6) AS likelihood, count(*) AS pairs FROM (SELECT a.orid, a.timeres - b.timeres AS d FROM assoc a JOIN assoc b ON a.orid = b.orid AND a.arid < b.arid) t GROUP BY orid", (ASSOC,))
 def edt_pairs(spark, sf):
-    a = assoc(spark, sf).select("orid", "arid", "timeres")
-    b = a.select("orid", F.col("arid").alias("arid2"), F.col("timeres").alias("timeres2"))
-    d = F.col("timeres") - F.col("timeres2")
-    return a.join(b, "orid").where("arid < arid2").groupBy("orid").agg(r(F.exp(-0.5 * F.sum(d * d) / F.count("*") * 100)).alias("likelihood"), F.count("*").alias("pairs"))
+    return trial.pair_likelihood(assoc(spark, sf), ("orid",), scale=100.0).select("orid", r("likelihood").alias("likelihood"), "pairs")
 
 
 @query("SELECT orid, round(exp(-0.5 * sum(pow(timeres / (0.05 + delta / 100), 2))), 6) AS likelihood FROM assoc GROUP BY orid", (ASSOC,))
 def gaussian_likelihood(spark, sf):
-    return assoc(spark, sf).groupBy("orid").agg(r(F.exp(-0.5 * F.sum(F.pow(F.col("timeres") / (0.05 + F.col("delta") / 100), 2)))).alias("likelihood"))
+    return trial.gaussian_likelihood(assoc(spark, sf), ("orid",), sigma=0.05 + F.col("delta") / 100).select("orid", r("likelihood").alias("likelihood"))
 
 
-@query("SELECT sta, arg_min(cell, round(rms, 6) * 1e6 + cell) AS cell, round(min(rms), 6) AS rms FROM (SELECT p.sta, c.cell, sqrt(avg(pow((time_us % 600000000) / 1e6 - " + haversine_sql("c.lat", "c.lon", "p.slat", "p.slon") + " / 8.0, 2))) AS rms FROM picks p, (SELECT i AS cell, CAST(-60 + 30 * (i // 5) AS DOUBLE) AS lat, CAST(-120 + 60 * (i % 5) AS DOUBLE) AS lon FROM range(25) t(i)) c GROUP BY 1, 2) u GROUP BY sta", (PICKS,))
+@query(f"SELECT sta, first(cell ORDER BY round(rms, 6), cell) AS cell, round(min(rms), 6) AS rms FROM (SELECT p.sta, c.cell, sqrt(avg(pow((time_us % 600000000) / 1e6 - {_CELL_TIME}, 2))) AS rms FROM picks p, {_CELLS} c GROUP BY 1, 2) u GROUP BY sta", (PICKS,))
 def grid_argmin_small(spark, sf):
-    """One level of a grid search by SQL alone: 25 points, the first of least misfit wins."""
-    grid = spark.range(25).select(F.col("id").alias("cell"), (-60.0 + 30 * F.floor(F.col("id") / 5)).alias("lat"), (-120.0 + 60 * (F.col("id") % 5)).alias("lon"))
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf))
-    miss = (F.col("time_us") % 600000000) / 1e6 - geo.haversine_km("lat", "lon", "slat", "slon") / 8.0
-    rms = p.join(F.broadcast(grid)).groupBy("sta", "cell").agg(F.sqrt(F.avg(F.pow(miss, 2))).alias("rms"))
-    return rms.groupBy("sta").agg(F.min_by("cell", F.round("rms", 6) * 1e6 + F.col("cell")).alias("cell"), r(F.min("rms")).alias("rms"))
+    """One level of a grid search: of 25 points the first of least misfit wins."""
+    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumn("seconds", (F.col("time_us") % 600000000) / 1e6)
+    return trial.grid_argmin(trial.grid_misfit(p, _cells(spark), _straight(spark), ("sta",)), ("sta",))
 
 
 # Magnitudes

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import epoch_micros
+from ..scratch import fresh
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what a query stores and reads again."""
+    return fresh(spark, name)
+
+
 def samples(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("idx"), "ts", "event_id", F.col("value"))

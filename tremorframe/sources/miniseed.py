@@ -27,45 +27,59 @@ STEIM1_CODES = {1: (8, 4), 2: (16, 2), 3: (32, 1)}
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
-def _signed(word: int, bits: int, count: int) -> list[int]:
-    out = []
-    for k in range(count - 1, -1, -1):
-        v = word >> (bits * k) & ((1 << bits) - 1)
-        out.append(v - (1 << bits) if v >> (bits - 1) else v)
+def _differences(codes: np.ndarray, words: np.ndarray, version: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to seven differences of each word, and how many it has (-1: no such code)."""
+    out, count = np.zeros((len(words), 7), np.int64), np.zeros(len(words), np.int64)
+    table = {(c, None): v for c, v in STEIM1_CODES.items()} if version == 1 else STEIM2_CODES
+    count[codes > 0] = -1
+    for (code, high), (bits, n) in table.items():
+        hit = np.flatnonzero((codes == code) if high is None else (codes == code) & (words >> 30 == high))
+        v = words[hit, None] >> (bits * np.arange(n - 1, -1, -1)) & ((1 << bits) - 1)
+        out[hit, :n] = np.where(v >> (bits - 1) & 1, v - (1 << bits), v)
+        count[hit] = n
+    return out, count
+
+
+def steim(bodies: list[bytes], sizes: list[int], version: int) -> list[np.ndarray | str]:
+    """The samples of each record's Steim frames, all records at once, or what is wrong with it.
+
+    The last sample of a record must equal the stored one.
+    """
+    frames = [np.frombuffer(b, ">u4", len(b) // 64 * 16).reshape(-1, 16).astype(np.int64) for b in bodies]
+    own = np.array([len(f) for f in frames])
+    if not own.sum():
+        return [np.zeros(0) if not n else f"0 of {n} samples" for n in sizes]
+    all_of, begin = np.concatenate(frames), np.cumsum(own) - own
+    codes = all_of[:, :1] >> np.arange(28, -1, -2) & 3
+    words, heads = all_of[:, 1:], begin[own > 0]
+    ends = np.where(words[heads, :2] >> 31, words[heads, :2] - (1 << 32), words[heads, :2])
+    codes[heads, :2] = 0
+    values, count = _differences(codes.ravel(), words.ravel(), version)
+    known = np.maximum(count, 0)
+    flat = values[np.arange(7) < known[:, None]]
+    # Where each record's differences begin among all, by frames of 15 words.
+    at = np.concatenate(([0], np.cumsum(known)))[15 * np.concatenate((begin, [own.sum()]))]
+    bad = np.concatenate(([0], np.cumsum(count < 0)))
+    out: list[np.ndarray | str] = []
+    head = iter(ends.tolist())
+    for k, n in enumerate(sizes):
+        first, last = next(head) if own[k] else (0, 0)
+        d = flat[at[k] : at[k + 1]]
+        # As many frames as n samples need.
+        per_frame = known[15 * begin[k] : 15 * (begin[k] + own[k])].reshape(-1, 15).sum(1).cumsum()
+        used = int(np.searchsorted(per_frame, n)) + 1
+        if not n:
+            out.append(np.zeros(0))
+        elif bad[15 * (begin[k] + min(used, own[k]))] > bad[15 * begin[k]]:
+            out.append("a Steim-2 code that is not known")
+        elif len(d) < n:
+            out.append(f"{len(d)} of {n} samples")
+        else:
+            x = first + np.concatenate(([0], np.cumsum(d[1:n])))
+            out.append(x.astype(float) if x[-1] == last else f"last sample {x[-1]}, stored {last}")
     return out
 
 
-def steim(data: bytes, n: int, version: int) -> np.ndarray:
-    """n samples of Steim frames; the last one must equal the stored one."""
-    differences: list[int] = []
-    first = last = 0
-    for at in range(0, len(data) - 63, 64):
-        words = struct.unpack_from(">16I", data, at)
-        for k in range(1, 16):
-            code = words[0] >> (30 - 2 * k) & 3
-            if at == 0 and k <= 2:
-                value = words[k] - (1 << 32) if words[k] >> 31 else words[k]
-                first, last = (value, last) if k == 1 else (first, value)
-                continue
-            if not code:
-                continue
-            key = (code, None if code == 1 else words[k] >> 30)
-            bits, count = STEIM1_CODES[code] if version == 1 else STEIM2_CODES.get(key, (0, 0))
-            if not bits:
-                raise ValueError(f"Steim-2 code {key}")
-            differences += _signed(words[k], bits, count)
-        if len(differences) >= n:
-            break
-    if len(differences) < n:
-        raise ValueError(f"{len(differences)} of {n} samples")
-    if not n:
-        return np.zeros(0)
-    out = np.cumsum(np.concatenate(([first], differences[1:n]))).astype(np.int64)
-    if out[-1] != last:
-        raise ValueError(f"last sample {out[-1]}, stored {last}")
-    return out.astype(float)
-
-
 def decode(data: bytes, encoding: int, n: int) -> np.ndarray:
     if encoding in PLAIN:
         kind = np.dtype(PLAIN[encoding])
@@ -75,7 +89,10 @@ def decode(data: bytes, encoding: int, n: int) -> np.ndarray:
         v = b[:, 0] << 16 | b[:, 1] << 8 | b[:, 2]
         return np.where(v >> 23, v - (1 << 24), v).astype(float)
     if encoding in (STEIM1, STEIM2):
-        return steim(data, n, 1 if encoding == STEIM1 else 2)
+        (got,) = steim([data], [n], 1 if encoding == STEIM1 else 2)
+        if isinstance(got, str):
+            raise ValueError(got)
+        return got
     raise ValueError(f"encoding {encoding}")
 
 
@@ -85,8 +102,8 @@ def rate_of(factor: int, multiplier: int) -> float:
     return abs(factor) ** (1 if factor > 0 else -1) * abs(multiplier) ** (1 if multiplier > 0 else -1)
 
 
-def record(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record at a place and its length; ValueError if there is none."""
+def header(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """What the record at a place says, with its body, and its length; ValueError if there is none."""
     head = data[at : at + 48]
     if len(head) < 48 or not head[:6].strip().isdigit() or head[6:7] not in (b"D", b"R", b"Q", b"M"):
         raise ValueError("no record header")
@@ -108,19 +125,52 @@ def record(data: bytes, at: int = 0) -> tuple[dict, int]:
     codes = {k: head[a:b].decode("ascii", "replace").strip() for k, a, b in (("sta", 8, 13), ("loc", 13, 15), ("chan", 15, 18), ("net", 18, 20))}
     start = datetime(year, 1, 1, hour, minute, tzinfo=UTC) + timedelta(days=day - 1)
     start_us = int((start - EPOCH).total_seconds()) * 1_000_000 + second * 1_000_000 + ticks * 100
-    samples = decode(data[at + begin : at + length], encoding, n) if n else np.zeros(0)
-    return {**codes, "start_us": start_us, "sample_rate": rate_of(factor, multiplier), "n": len(samples), "encoding": encoding, "sequence": int(head[:6]), "samples": samples}, length
+    return {**codes, "start_us": start_us, "sample_rate": rate_of(factor, multiplier), "n": n, "encoding": encoding, "sequence": int(head[:6]), "body": data[at + begin : at + length] if n else b""}, length
+
 
+def records(data: bytes, broken: list[tuple[int, str]] | None = None) -> Iterator[dict]:
+    """The records of a file's bytes, in order; Steim frames of all of them are decoded together.
 
-def records(data: bytes) -> Iterator[dict]:
-    at = 0
+    Where there is no record, or one whose samples cannot be read, the search
+    goes on 64 bytes further; broken gets the place and what was wrong of every
+    record that had a header.
+    """
+    found, at = [], 0
     while at + 48 <= len(data):
         try:
-            found, length = record(data, at)
-            yield found
-            at += length
+            got, length = header(data, at)
         except ValueError:
             at += 64
+            continue
+        found.append((at, length, got))
+        at += length
+    made: dict[int, np.ndarray | str] = {}
+    for kind in (STEIM1, STEIM2):
+        own = [(at, r) for at, _, r in found if r["encoding"] == kind]
+        made |= dict(zip([at for at, _ in own], steim([r["body"] for _, r in own], [r["n"] for _, r in own], 1 if kind == STEIM1 else 2), strict=True)) if own else {}
+    for at, length, r in found:
+        body = r.pop("body")
+        try:
+            samples = made[at] if at in made else decode(body, r["encoding"], r["n"]) if r["n"] else np.zeros(0)
+        except ValueError as e:
+            samples = str(e)
+        if isinstance(samples, str):
+            if broken is not None:
+                broken.append((at, samples))
+            inner: list[tuple[int, str]] = []
+            yield from records(data[at + 64 : at + length], inner)
+            if broken is not None:
+                broken += [(at + 64 + k, what) for k, what in inner]
+        else:
+            yield {**r, "n": len(samples), "samples": samples}
+
+
+def record(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """The record at a place and its length; ValueError if there is none."""
+    got, length = header(data, at)
+    body = got.pop("body")
+    samples = decode(body, got["encoding"], got["n"]) if got["n"] else np.zeros(0)
+    return {**got, "n": len(samples), "samples": samples}, length
 
 
 def _steim1_words(differences: list[int]) -> list[tuple[int, int]]:
@@ -183,7 +233,7 @@ def encode_record(net: str, sta: str, loc: str, chan: str, start: datetime, rate
 
 
 def read_miniseed(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the files at path, in the order of each file."""
+    """A row for each record of the files at path, in the order of each file; ``read_broken`` has the others."""
 
     def run(batches):
         for batch in batches:
@@ -195,6 +245,20 @@ def read_miniseed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORDS)
 
 
+def read_broken(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, error: records with a header whose samples cannot be read."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                broken: list[tuple[int, str]] = []
+                for _ in records(bytes(content), broken):
+                    pass
+                yield pd.DataFrame([(file, *b) for b in broken], columns=["file", "at", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, at long, error string")
+
+
 def waveforms(found: DataFrame) -> DataFrame:
     """Records merged into one row for each stretch without gaps."""
     from ..operators.triggers import merged_segments
@@ -209,8 +273,15 @@ def samples(segments: DataFrame) -> DataFrame:
     return out.select("stream_id", "segment_id", F.col("idx").cast("long").alias("idx"), (F.col("start_us") + (F.col("idx") * 1e6 / F.col("sample_rate")).cast("long")).alias("ts_us"), "value")
 
 
+def opened(path: str):
+    """The file system (local, or any that pyarrow knows by its scheme) and the place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def register(spark: SparkSession) -> None:
-    """spark.read.format("miniseed").load(path): a partition for each file that the driver lists."""
+    """spark.read.format("miniseed").load(path): a partition for each file; path may have a pattern in its last part."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class File(InputPartition):
@@ -218,14 +289,26 @@ def register(spark: SparkSession) -> None:
             self.path = path
 
     class Reader(DataSourceReader):
-        def __init__(self, paths: list[str]) -> None:
-            self.paths = paths
+        def __init__(self, where: str) -> None:
+            self.where = where
 
         def partitions(self):
-            return [File(p) for p in self.paths]
+            import fnmatch
+
+            from pyarrow import fs
+
+            system, base = opened(self.where)
+            if system.get_file_info(base).type == fs.FileType.File:
+                return [File(base)]
+            folder, _, pattern = (base, "", "*") if system.get_file_info(base).type == fs.FileType.Directory else base.rpartition("/")
+            listed = system.get_file_info(fs.FileSelector(folder, recursive=True))
+            return [File(f.path) for f in sorted(listed, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
 
         def read(self, partition):
-            with open(partition.path, "rb") as f:
+            # Spark asks for one part where there is none.
+            if not isinstance(partition, File):
+                return
+            with opened(self.where)[0].open_input_file(partition.path) as f:
                 for r in records(f.read()):
                     yield (r["net"], r["sta"], r["loc"], r["chan"], r["start_us"], r["sample_rate"], r["n"], r["encoding"], r["sequence"], r["samples"].tolist())
 
@@ -238,10 +321,6 @@ def register(spark: SparkSession) -> None:
             return RECORDS
 
         def reader(self, schema):
-            import glob
-            import os
-
-            path = self.options["path"].removeprefix("file://")
-            return Reader(sorted(p for p in glob.glob(os.path.join(path, "**"), recursive=True) if os.path.isfile(p)) if os.path.isdir(path) else sorted(glob.glob(path)))
+            return Reader(self.options["path"])
 
     spark.dataSource.register(MiniSeed)

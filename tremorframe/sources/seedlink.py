@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 
 from ..functions.codes import selector_matches  # noqa: F401  (the same wildcards)
-from .miniseed import RECORDS, record
+from .miniseed import RECORDS, opened, record
 
 HEADER, RECORD = 8, 512
 PACKETS = f"number long, {RECORDS}"
@@ -114,7 +114,8 @@ def register(spark: SparkSession) -> None:
 
         def _some(self, seen: int) -> list[tuple[int, bytes]]:
             if "path" in self.options:
-                with open(self.options["path"], "rb") as f:
+                system, place = opened(self.options["path"])
+                with system.open_input_file(place) as f:
                     f.seek(seen * (HEADER + RECORD))
                     return list(packets(f.read(self.most * (HEADER + RECORD))))
             c = Connection(self.options["host"], int(self.options.get("port", "18000")))

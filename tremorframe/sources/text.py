@@ -173,6 +173,12 @@ def read_picks(spark: SparkSession, path: str, origin_us: int, impulsive_snr: fl
     )
 
 
+def with_distances(picks: DataFrame, listed: DataFrame) -> DataFrame:
+    """Picks (net, sta) with the distance that a list (station as NET.STA, distance) has for them, null if none."""
+    named = listed.select("station", "distance").dropDuplicates(["station"])
+    return picks.withColumn("station", F.concat_ws(".", "net", "sta")).join(named, "station", "left").drop("station")
+
+
 def station_lines(stations: DataFrame) -> DataFrame:
     """value: lines that parse_stations reads."""
     channel = F.array_join(F.transform("channels", lambda c: F.concat_ws(" ", c["code"], c["rate"].cast("string"), c["azimuth"].cast("string"), c["dip"].cast("string"))), " ")
