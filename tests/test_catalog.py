@@ -77,3 +77,64 @@ def test_numbering_is_by_order(spark):
     rows = spark.range(1000).selectExpr("1000 - id as k").repartition(7)
     got = C.numbered(rows, "n", ["k"], 5).orderBy("k").collect()
     assert [r["n"] for r in got] == list(range(5, 1005))
+
+
+def test_all_or_nothing(stored, monkeypatch):
+    """A failure, a rollback or a second writer between two tables leaves no half event."""
+    spark = stored.spark
+    event = spark.createDataFrame([(9, "x", 9)], "evid long, evname string, prefor long")
+    bad = spark.range(1).selectExpr("raise_error('broken') as orid")
+    with pytest.raises(Exception, match="broken"):
+        stored.store({"event": event, "origin": bad})
+    assert stored.table("event").count() == 5
+    t = stored.transaction()
+    t.append("event", event)
+    assert t.table("event").count() == 6 and stored.table("event").count() == 5
+    t.rollback()
+    with pytest.raises(RuntimeError):
+        t.append("event", event)
+    with pytest.raises(ValueError), stored.transaction() as t:
+        t.append("event", event)
+        raise ValueError("stop")
+    assert stored.table("event").count() == 5
+    publish = C.Catalog.publish
+    monkeypatch.setattr(C.Catalog, "publish", lambda *_: (_ for _ in ()).throw(OSError("the store is away")))
+    with pytest.raises(OSError):
+        stored.store({"event": event})
+    monkeypatch.setattr(C.Catalog, "publish", publish)
+    assert stored.table("event").count() == 5
+    stored.store({"event": event})
+    assert stored.table("event").count() == 6
+
+
+def test_two_writers(stored):
+    spark = stored.spark
+    row = lambda i: spark.createDataFrame([(i, f"ev{i}", i)], "evid long, evname string, prefor long")
+    a, b = stored.transaction(), stored.transaction()
+    a.append("event", row(11))
+    b.append("event", row(12))
+    a.commit()
+    b.commit()
+    assert {r["evid"] for r in stored.table("event").collect()} == {1, 2, 3, 4, 5, 11, 12}
+    a, b = stored.transaction(), stored.transaction()
+    a.upsert("event", row(1))
+    b.append("event", row(13))
+    b.commit()
+    with pytest.raises(C.Conflict):
+        a.commit()
+    assert stored.table("event").count() == 8
+    stored.compact("event")
+    assert stored.table("event").count() == 8 and len(stored.latest()[1]["tables"]["event"]) == 1
+
+
+def test_a_batch_is_stored_once(stored):
+    row = stored.spark.createDataFrame([(21, "a", 1)], "evid long, evname string, prefor long")
+    assert [stored.store({"event": row}, ("s", n)) for n in (0, 0, 1, 1, 0)] == [True, False, True, False, False]
+    assert stored.store({"event": row}, ("other", 0)) and stored.table("event").count() == 8
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 as k", "id")
+    got = C.numbered(rows, "n", ["k"], 10).collect()
+    assert all(r["n"] == r["k"] + 10 for r in got) and len(got) == 5000
+    assert C.numbered(rows.limit(0), "n", ["k"]).count() == 0

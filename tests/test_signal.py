@@ -157,3 +157,37 @@ def test_kernel_pickers(spark):
         pickers.picker("none")
     with pytest.raises(ValueError):
         pickers.backend("none")
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_blocks_do_not_change_triggers(spark, block):
+    """Triggers that begin, end, or lie across blocks, in streams of unlike length, are those of one window."""
+    long = np.concatenate([burst(300, 100, k) for k in range(4)])
+    long[700:900] *= np.linspace(8, 40, 200)
+    df = frame(spark, long, burst(60, 30, 9), np.zeros(90), [1.0])
+    want = {k: [] for k in range(4)}
+    for k, x in enumerate((long, burst(60, 30, 9), np.zeros(90), np.ones(1))):
+        on = None
+        for i, v in enumerate(plain_ratio(x - x.mean(), 5, 50)):
+            if on is None and v >= 2:
+                on, peak = i, v
+            elif on is not None and v < 1.2:
+                want[k].append((on, i, round(peak, 6)))
+                on = None
+            elif on is not None:
+                peak = max(peak, v)
+    got = triggers.stalta_triggers(df, S, 5, 50, 2.0, 1.2, block=block).orderBy("on_idx").collect()
+    assert {k: [(g["on_idx"], g["off_idx"], round(g["peak"], 6)) for g in got if g["stream_id"] == k] for k in range(4)} == want
+    assert sum(map(len, want.values())) >= 5
+    ratios = triggers.block_ratios(df, S, 5, 50, block=block)
+    assert np.allclose(values(ratios, "ratio"), np.concatenate([plain_ratio(x - x.mean(), 5, 50) for x in (long, burst(60, 30, 9), np.zeros(90), np.ones(1))]), atol=1e-8)
+
+
+@pytest.mark.parametrize("block", [None, 4, 16])
+def test_open_triggers_in_blocks(spark, block):
+    df = frame(spark, [0, 0, 5, 5, 1, 1, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 1, 5])
+    c = F.col("value")
+    got = triggers.hysteresis(df, S, c >= 5, c < 1, c, keep_open=True, block=block).collect()
+    assert sorted((g["on_idx"], g["off_idx"], g["peak"]) for g in got) == [(2, None, 5.0)]
+    got = triggers.hysteresis(df, S, c >= 5, c < 2, c, keep_open=True, block=block).collect()
+    assert sorted((g["on_idx"], g["off_idx"]) for g in got if g["off_idx"]) == [(2, 4), (6, 18)] and len(got) == 3

@@ -7,63 +7,202 @@ in a stated order, never numbers that depend on partitions.
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.geo import km_to_deg
 from ..functions.timeutil import epoch_seconds, jdate
+from ..scratch import file_system, written
 from ..schemas import CATALOG, KEYS, NULL_INT, NULL_REAL, NULL_TEXT, NULL_TIME, REFERENCES, columns, schema
 from .regions import latest_by_key
 
 SCHEMA_VERSION = "3.0"
 AUTHOR = "tremorframe"
+#: A log entry that was begun and is not there after so many seconds may be begun anew.
+LOCK_S = 600
 IDS = {"event": "evid", "origin": "orid", "arrival": "arid", "netmag": "magid", "sitechan": "chanid", "wfdisc": "wfid", "remark": "commid"}
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
+class Transaction:
+    """Changes that become visible together on commit, and not at all after rollback or an error.
+
+    Rows are written to folders of their own at once; only a commit's log entry
+    makes readers see them.
+    """
+
+    def __init__(self, catalog: Catalog) -> None:
+        self.catalog = catalog
+        self.number, self.state = catalog.latest()
+        self.tables = {t: list(parts) for t, parts in self.state["tables"].items()}
+        self.marks, self.made, self.open = dict(self.state["marks"]), [], True
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        if not self.open:
+            raise RuntimeError("the transaction has ended")
+        part = f"{name}/{uuid.uuid4().hex}"
+        self.made.append(part)
+        conformed(rows, name).write.parquet(f"{self.catalog.path}/{part}")
+        return part
+
+    def table(self, name: str) -> DataFrame:
+        """The table as this transaction sees it."""
+        return self.catalog.read(name, self.tables.get(name, []))
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self.tables.setdefault(name, []).append(self._write(name, rows))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        self.tables[name] = [self._write(name, rows)]
+
+    def upsert(self, name: str, rows: DataFrame) -> None:
+        """Rows with a stored key take its place."""
+        old = self.table(name).withColumn("_seq", F.lit(0))
+        new = conformed(rows, name).withColumn("_seq", F.lit(1))
+        self.replace(name, latest_by_key(old.unionByName(new), KEYS[name], "_seq").drop("_seq"))
+
+    def commit(self) -> None:
+        """Conflict if another commit came between and no append alone would do."""
+        for _ in range(20):
+            number, now = self.catalog.latest()
+            if number != self.number:
+                replaced = [t for t, parts in self.tables.items() if parts[: len(self.state["tables"].get(t, []))] != self.state["tables"].get(t, [])]
+                stale = [t for t in replaced if now["tables"].get(t, []) != self.state["tables"].get(t, [])]
+                if stale or any(now["marks"].get(k) != self.state["marks"].get(k) for k in self.marks if self.marks[k] != self.state["marks"].get(k)):
+                    self.rollback()
+                    raise Conflict(f"another commit changed {', '.join(stale) or 'a mark'}")
+                added = {t: parts[len(self.state["tables"].get(t, [])) :] for t, parts in self.tables.items() if t not in replaced}
+                self.tables = {**{t: [*now["tables"].get(t, []), *added.get(t, [])] for t in {*now["tables"], *added}}, **{t: self.tables[t] for t in replaced}}
+                self.marks, self.number, self.state = {**now["marks"], **{k: v for k, v in self.marks.items() if v != self.state["marks"].get(k)}}, number, now
+            if self.catalog.publish(self.number + 1, {"tables": self.tables, "marks": self.marks}):
+                self.open = False
+                return
+            time.sleep(0.05)
+        self.rollback()
+        raise Conflict("the log is written to without end")
+
+    def rollback(self) -> None:
+        for part in self.made:
+            where, system = file_system(self.catalog.spark, f"{self.catalog.path}/{part}")
+            system.delete(where, True)
+        self.made, self.open = [], False
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if self.open:
+            self.commit() if kind is None else self.rollback()
+
+
 class Catalog:
-    """A folder with a Parquet folder for each table."""
+    """A folder with a folder for each table, and a log of commits.
+
+    A table is a list of Parquet folders; entry n of the log has the lists after
+    commit n.  An entry appears as a whole and only once, so readers see all of
+    a commit or nothing, and a failure between two tables leaves no half event.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _log(self) -> list[str]:
+        where, system = file_system(self.spark, f"{self.path}/_log")
+        if not system.exists(where):
+            return []
+        return sorted(f.getPath().getName() for f in system.listStatus(where) if f.getPath().getName().endswith(".json"))
+
+    def latest(self) -> tuple[int, dict]:
+        """Number and content of the last commit."""
+        names = self._log()
+        if not names:
+            return 0, {"tables": {}, "marks": {}}
+        where, system = file_system(self.spark, f"{self.path}/_log/{names[-1]}")
+        stream = system.open(where)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return int(names[-1].split(".")[0]), json.loads(text)
+
+    def publish(self, number: int, state: dict) -> bool:
+        """Adds an entry to the log, unless one of that number is there: written aside, then moved as a whole."""
+        final, system = file_system(self.spark, f"{self.path}/_log/{number:012d}.json")
+        lock, _ = file_system(self.spark, f"{self.path}/_log/{number:012d}.taken")
+        if system.exists(final):
+            return False
+        if not system.createNewFile(lock):
+            # Of a writer that died before it moved its entry.
+            if time.time() - system.getFileStatus(lock).getModificationTime() / 1000 > LOCK_S:
+                system.delete(lock, False)
+            return False
+        beside, _ = file_system(self.spark, f"{self.path}/_log/{uuid.uuid4().hex}.tmp")
+        stream = system.create(beside)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        return bool(system.rename(beside, final))
+
+    def transaction(self) -> Transaction:
+        return Transaction(self)
+
     def create(self) -> None:
-        for t in CATALOG:
-            if t != "css30_meta":
-                self.spark.createDataFrame([], schema(t)).write.mode("ignore").parquet(f"{self.path}/{t}")
-        meta = [("schema_version", SCHEMA_VERSION), ("created", "")]
-        self.spark.createDataFrame(meta, schema("css30_meta")).write.mode("ignore").parquet(f"{self.path}/css30_meta")
+        """All tables, empty, and the schema's version; what is there stays."""
+        if self._log():
+            return
+        with self.transaction() as t:
+            t.tables = {name: [] for name in CATALOG}
+            t.append("css30_meta", self.spark.createDataFrame([("schema_version", SCHEMA_VERSION), ("created", "")], schema("css30_meta")))
 
     def drop(self) -> None:
-        for t in CATALOG:
-            self.spark.createDataFrame([], schema(t)).write.mode("overwrite").parquet(f"{self.path}/{t}")
+        with self.transaction() as t:
+            t.tables, t.marks = {name: [] for name in CATALOG}, {}
+            t.state = {"tables": {}, "marks": {}}
+
+    def read(self, name: str, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema(name))
+        return self.spark.read.schema(schema(name)).parquet(*(f"{self.path}/{p}" for p in parts))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schema(name)).parquet(f"{self.path}/{name}")
+        """The table as of now."""
+        return self.read(name, self.latest()[1]["tables"].get(name, []))
 
     def views(self) -> None:
         for t in CATALOG:
             self.table(t).createOrReplaceTempView(t)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        conformed(rows, name).write.mode("append").parquet(f"{self.path}/{name}")
-
-    def store(self, tables: dict[str, DataFrame]) -> None:
-        """All tables or none: each is written beside first, and appended once all are there."""
-        staged = {}
-        for name, rows in tables.items():
-            staged[name] = f"{self.path}/_staged/{name}"
-            conformed(rows, name).write.mode("overwrite").parquet(staged[name])
-        for name, place in staged.items():
-            self.spark.read.schema(schema(name)).parquet(place).write.mode("append").parquet(f"{self.path}/{name}")
+        self.store({name: rows})
+
+    def store(self, tables: dict[str, DataFrame], mark: tuple[str, int] | None = None) -> bool:
+        """All tables or none.  mark: (name, number); what has the number of an earlier store under that name is not stored again."""
+        with self.transaction() as t:
+            if mark and t.marks.get(mark[0], -1) >= mark[1]:
+                t.rollback()
+                return False
+            for name, rows in tables.items():
+                t.append(name, rows)
+            if mark:
+                t.marks[mark[0]] = mark[1]
+        return True
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Rows with a stored key take its place."""
-        old = conformed(self.table(name), name).withColumn("_seq", F.lit(0))
-        new = conformed(rows, name).withColumn("_seq", F.lit(1))
-        place = f"{self.path}/_staged/{name}"
-        latest_by_key(old.unionByName(new), KEYS[name], "_seq").drop("_seq").write.mode("overwrite").parquet(place)
-        self.spark.read.schema(schema(name)).parquet(place).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        with self.transaction() as t:
+            t.upsert(name, rows)
+
+    def compact(self, name: str) -> None:
+        """Many small folders of a table become one."""
+        with self.transaction() as t:
+            t.replace(name, t.table(name))
 
     def next_id(self, name: str) -> int:
         return next_ids(self.table(name), IDS[name]).first()["next_id"]
@@ -89,11 +228,15 @@ def next_ids(rows: DataFrame, column: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, column: str, order: list, start: int = 1) -> DataFrame:
-    """Row numbers from start, in a stated order, by counts of key ranges (no single task sees all rows)."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").count()
+    """Row numbers from start, in a stated order, by counts of key ranges (no single task sees all rows).
+
+    The rows are written with the number of their range, so that counting and
+    numbering read the same ranges.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("count"))
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A row for each partition.
+    # A row for each range.
     offsets = counts.select("_part", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_n", inside).join(F.broadcast(offsets), "_part").withColumn(column, F.col("_n") + F.col("_before") + (start - 1)).drop("_n", "_part", "_before")

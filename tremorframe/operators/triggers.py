@@ -9,38 +9,74 @@ from . import signal
 from .signal import Stream
 
 
-def hysteresis(df: DataFrame, s: Stream, on: Column, off: Column, peak: Column, keep_open: bool = False) -> DataFrame:
+def _state(mark: Column | str, over) -> Column:
+    return F.last(mark, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def hysteresis(df: DataFrame, s: Stream, on: Column, off: Column, peak: Column, keep_open: bool = False, block: int | None = None) -> DataFrame:
     """by..., on_idx, off_idx, peak: on and off must never hold in the same row.
 
     A row's state is its last marker.  Triggers that are still on at the end of
-    the stream are left out, unless keep_open.
+    the stream are left out, unless keep_open.  block: so many samples are one
+    window partition; a few rows for each block carry the state and the number
+    of triggers over from block to block, so a stream of any length is dealt out.
     """
     marked = df.select(*s.by, s.idx, peak.alias("_peak"), F.when(on, 1).when(off, 0).alias("_mark"))
-    state = F.coalesce(F.last("_mark", ignorenulls=True).over(s.window.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    marked = marked.withColumn("_state", state)
-    before = F.coalesce(F.lag("_state").over(s.window), F.lit(0))
-    marked = marked.withColumn("_begins", F.when((F.col("_state") == 1) & (before == 0), 1).otherwise(0)).withColumn("_ends", (F.col("_state") == 0) & (before == 1))
-    marked = marked.withColumn("_island", F.sum("_begins").over(s.window.rowsBetween(Window.unboundedPreceding, 0)))
-    found = marked.where((F.col("_state") == 1) | F.col("_ends")).groupBy(*s.by, "_island").agg(
+    marked = marked.withColumn("_block", F.floor(s.i / block) if block else F.lit(0).cast("long"))
+    inside = Window.partitionBy(*s.by, "_block").orderBy(s.idx)
+    along = Window.partitionBy(*s.by).orderBy("_block")
+    marked = marked.withColumn("_own", _state("_mark", inside))
+    # The state at a block's end: its last marker, or what it began with.
+    ends = marked.groupBy(*s.by, "_block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(s.idx))).alias("_last"))
+    carried = F.coalesce(F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = ends.select(*s.by, "_block", carried.alias("_carry"))
+    rows = marked.join(begins, [*s.by, "_block"]).withColumn("_state", F.coalesce("_own", "_carry"))
+    before = F.coalesce(F.lag("_state").over(inside), F.col("_carry"))
+    rows = rows.withColumn("_begins", F.when((F.col("_state") == 1) & (before == 0), 1).otherwise(0)).withColumn("_ends", (F.col("_state") == 0) & (before == 1))
+    rows = rows.withColumn("_number", F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # A trigger's part in a block: its number there, 0 for one that was on before.
+    parts = rows.where((F.col("_state") == 1) | F.col("_ends")).groupBy(*s.by, "_block", "_number").agg(
         F.min(s.idx).alias("on_idx"), F.max(F.when(F.col("_ends"), F.col(s.idx))).alias("off_idx"), F.max(F.when(F.col("_state") == 1, F.col("_peak"))).alias("peak")
     )
+    fresh = F.when(F.col("_number") > 0, 1).otherwise(0)
+    island = F.sum(fresh).over(Window.partitionBy(*s.by).orderBy("_block", "_number").rowsBetween(Window.unboundedPreceding, 0))
+    found = parts.withColumn("_island", island).groupBy(*s.by, "_island").agg(F.min("on_idx").alias("on_idx"), F.max("off_idx").alias("off_idx"), F.max("peak").alias("peak"))
     return (found if keep_open else found.where("off_idx is not null")).drop("_island")
 
 
-def threshold_triggers(df: DataFrame, s: Stream, column: str, trigger: float, detrigger: float) -> DataFrame:
+def threshold_triggers(df: DataFrame, s: Stream, column: str, trigger: float, detrigger: float, block: int | None = None) -> DataFrame:
     """On at trigger or more, off under detrigger."""
     if detrigger > trigger:
         raise ValueError("detrigger must not be over trigger")
     c = F.col(column)
-    return hysteresis(df, s, c >= trigger, c < detrigger, c)
+    return hysteresis(df, s, c >= trigger, c < detrigger, c, block=block)
+
+
+#: Samples of a stream that are one window partition: 45 minutes at 100 Hz.
+BLOCK = 1 << 18
+
+
+def block_ratios(df: DataFrame, s: Stream, sta: int, lta: int, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:
+    """by..., idx, ratio: STA/LTA of the demeaned stream, a block of samples at a time.
+
+    The mean comes from one aggregate; the last samples of a block are repeated
+    in the next one, as many as the long window needs, so frames are whole.
+    """
+    lta = max(max(1, sta) + 1, lta)
+    mean = df.groupBy(*s.by).agg(F.avg(s.x).alias("_mean"))
+    own = F.floor(s.i / block)
+    again = F.when(s.i % block >= block - min(lta, block), F.array(own, own + 1)).otherwise(F.array(own))
+    if lta > block:
+        again = F.sequence(own, own + -(-lta // block))
+    rows = df.join(mean, list(s.by)).select(*s.by, s.i.alias(s.idx), (s.x - F.col("_mean")).alias("_d"), F.explode(again).alias("_block"))
+    d = Stream((*s.by, "_block"), s.idx, "_d")
+    rows = rows.select(*s.by, s.idx, "_block", signal.sta_lta(d, sta, lta, tiny=tiny).alias("ratio"))
+    return rows.where(F.col("_block") == F.floor(F.col(s.idx) / block)).drop("_block")
 
 
-def stalta_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float, detrigger: float) -> DataFrame:
-    """Demean, STA/LTA, hysteresis: a row for each trigger that ended."""
-    rows = df.select(*s.by, s.idx, signal.demeaned(s).alias("_d"))
-    d = Stream(s.by, s.idx, "_d")
-    rows = rows.select(*s.by, s.idx, signal.sta_lta(d, sta, lta).alias("ratio"))
-    return threshold_triggers(rows, d, "ratio", trigger, detrigger)
+def stalta_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float, detrigger: float, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:
+    """Demean, STA/LTA, hysteresis: a row for each trigger that ended; idx counts a stream's samples from 0."""
+    return threshold_triggers(block_ratios(df, s, sta, lta, tiny, block), s, "ratio", trigger, detrigger, block)
 
 
 def polarization_triggers(df: DataFrame, s: Stream, coupled: str, rect: str, trigger: float, detrigger: float, theta: float) -> DataFrame:
@@ -92,10 +128,7 @@ def polarization_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.3
 
 def one_component_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float, detrigger: float) -> DataFrame:
     """Where horizontals are lacking: triggers of the demeaned vertical alone."""
-    rows = df.select(*s.by, s.idx, signal.demeaned(s).alias("_d"))
-    d = Stream(s.by, s.idx, "_d")
-    rows = rows.select(*s.by, s.idx, signal.sta_lta(d, sta, lta, tiny=signal.TINY_PREFIX).alias("ratio"))
-    return threshold_triggers(rows, d, "ratio", trigger, detrigger)
+    return stalta_triggers(df, s, sta, lta, trigger, detrigger, signal.TINY_PREFIX)
 
 
 def one_component_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.3, lta_s: float = 8.0, trigger: float = 1.5, detrigger: float = 0.5, refine: int = 50) -> DataFrame:

@@ -8,17 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def store_events(origins: DataFrame, tables: Callable[[DataFrame], dict[str, DataFrame]], catalog) -> DataStreamWriter:
-    """Each batch's events become catalog rows; a batch that comes again is not stored twice."""
+def store_events(origins: DataFrame, tables: Callable[[DataFrame], dict[str, DataFrame]], catalog, name: str = "events") -> DataStreamWriter:
+    """Each batch's events become catalog rows in one commit; a batch that comes again is not stored twice."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        mark = f"{catalog.path}/_batches/{number}"
-        spark = rows.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(mark).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(mark)) or rows.isEmpty():
-            return
-        catalog.store(tables(rows))
-        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(mark))
+        if not rows.isEmpty():
+            catalog.store(tables(rows), (name, number))
 
     return origins.writeStream.foreachBatch(batch)
 
