@@ -18,8 +18,9 @@ words as a window with another start, in any document or in its own.
   that hold the segment.
 * An anchor with over HOT unlike segments would be too much for one index.  Its
   windows hold either the next words before it or those after it, so it is
-  split into longer anchors, with those words on one side, and each is indexed
-  by itself; what is still hot is split again, until an anchor is a window.
+  split into longer anchors, with those words on one side, whose segments are
+  parts of its own, and each is indexed by itself; what is still hot is split
+  again, until an anchor is a window.
 
 Words are compared by 64-bit hashes within shards' keys (32 bits of each word,
 35 of which make a window, and 64 of the anchor).
@@ -83,10 +84,10 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return chosen, grams[chosen]
 
 
-def _segments(w: Words, at: np.ndarray, length: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last word (exclusive) of the segments round the anchors, and their hashes."""
     doc = np.searchsorted(w.bounds, at, "right") - 1
-    lo, hi = np.maximum(at - (WINDOW - length), w.bounds[doc]), np.minimum(at + WINDOW, w.bounds[doc + 1])
+    lo, hi = np.maximum(at - REACH, w.bounds[doc]), np.minimum(at + WINDOW, w.bounds[doc + 1])
     power, inverse = _power_tables(len(w.hashes))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hashes * power[: len(w.hashes)], dtype=np.uint64)))
     h = mixed((sums[hi] - sums[lo]) * inverse[lo])
@@ -128,10 +129,10 @@ def _anchor_counts(keyed: DataFrame) -> DataFrame:
     return map_arrow(keyed.select("text"), run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _placed(keyed: DataFrame, wanted: DataFrame, fields: tuple[str, ...], f, schema: str) -> DataFrame:
-    """Rows that f(words, places by name) gives for texts with places wanted: key, size, id and a list of structs with at and the fields."""
-    names = ("key", "size", "id")
-    rows = keyed.select("text", *(F.col(f"_{c}").alias(c) for c in names)).join(wanted, list(names)).select("text", *names, "places")
+def _words_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """anchor, segment, weight, before, words (32 bits each) for the wanted places: key, size, id, then a list of anchor, segment, weight and at."""
+    names = ["key", "size", "id"]
+    rows = keyed.select("text", *(F.col(f"_{c}").alias(c) for c in names)).join(wanted, names).select("text", "places")
 
     def run(batches):
         for batch in batches:
@@ -142,48 +143,45 @@ def _placed(keyed: DataFrame, wanted: DataFrame, fields: tuple[str, ...], f, sch
             for a, b in chunks(texts, 1 << 20):
                 w = Words(texts[a:b])
                 part = flat.slice(at_of[a], at_of[b] - at_of[a])
-                field = {name: np.asarray(part.field(name)) for name in ("at", *fields)}
-                field["at"] = field["at"] + np.repeat(w.bounds[:-1], sizes[a:b])
-                for name in names:
-                    field[name] = np.repeat(np.asarray(batch[name])[a:b], sizes[a:b])
-                yield f(w, field)
+                field = {name: np.asarray(part.field(name)).astype(np.int64) for name in ("anchor", "segment", "weight", "at")}
+                at = field["at"] + np.repeat(w.bounds[:-1], sizes[a:b])
+                lo, hi, _ = _segments(w, at)
+                short = w.hashes.astype(np.uint32)
+                words = pa.array([short[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(field[c]) for c in ("anchor", "segment", "weight")), pa.array((at - lo).astype(np.int32)), words], names=["anchor", "segment", "weight", "before", "words"])
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, "anchor long, segment long, weight long, before int, words binary")
 
 
-def _words_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, segment, weight, before, words (32 bits each) for the wanted places."""
-
-    def words(w, field):
-        at = field["at"]
-        lo, hi, _ = _segments(w, at, length)
-        short = w.hashes.astype(np.uint32)
-        return pa.RecordBatch.from_arrays([*(pa.array(field[c].astype(np.int64)) for c in ("anchor", "segment", "weight")), pa.array((at - lo).astype(np.int32)), pa.array([short[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())], names=["anchor", "segment", "weight", "before", "words"])
-
-    return _placed(keyed, wanted, ("anchor", "segment", "weight"), words, "anchor long, segment long, weight long, before int, words binary")
-
-
-def _split(keyed: DataFrame, hot: DataFrame, length: int, longer: int) -> DataFrame:
-    """The occurrences (as in ``_occurrences``) of the longer anchors that hot ones are split into."""
+def _split(hot: DataFrame, length: int, longer: int) -> DataFrame:
+    """anchor, segment, weight, before, words of the longer anchors in hot segments, with those they come from (of_anchor, of_segment) and the shift to them."""
     more = longer - length
+    free = WINDOW - longer
+    names = ["anchor", "segment", "weight", "before", "words", "of_anchor", "of_segment", "shift"]
 
-    def split(w, field):
-        at, anchor = field["at"], field["anchor"].astype(np.int64).view(np.uint64)
-        doc = np.searchsorted(w.bounds, at, "right") - 1
-        beside = shingles(w.hashes, more)
-        out = []
-        for side, begin, there in ((1, at - more, at - more >= w.bounds[doc]), (2, at + length, at + longer <= w.bounds[doc + 1])):
-            # A split anchor is named by the one it comes from and the words beside it.
-            own = mixed(mixed(anchor[there] + np.uint64(side)) ^ beside[begin[there]]) if there.any() else anchor[:0]
-            place = (begin if side == 1 else at)[there]
-            _, _, h = _segments(w, place, longer)
-            out.append((own.view(np.int64), h.view(np.int64), *(field[c][there] for c in ("key", "size", "id")), place - w.bounds[doc[there]]))
-        own, h, key, size, ident, place = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(h), pa.array(key), pa.array(size.astype(np.int32)), pa.array(ident), pa.array(place.astype(np.int32))], names=["anchor", "segment", "key", "size", "id", "at"])
-
-    # Equal rows of the input have one list of places and are each read, so each counts once.
-    wanted = hot.groupBy("key", "size", "id").agg(F.collect_set(F.struct("anchor", "at")).alias("places"))
-    return _placed(keyed, wanted, ("anchor",), split, "anchor long, segment long, key long, size int, id long, at int")
+    def run(batches):
+        for batch in batches:
+            anchor, segment, weight, place = (np.asarray(batch[c]).astype(np.int64) for c in ("anchor", "segment", "weight", "before"))
+            raw = batch["words"].to_pylist()
+            size = np.array([len(x) // 4 for x in raw], np.int64)
+            word = np.frombuffer(b"".join(raw), np.uint32)
+            begin = np.cumsum(size) - size
+            power, inverse = _power_tables(len(word) + 1)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(word.astype(np.uint64) + np.uint64(1)) * power[: len(word)], dtype=np.uint64)))
+            named = lambda lo, hi: mixed((sums[hi] - sums[lo]) * inverse[lo])  # noqa: E731, B023
+            for side, at, beside in ((1, place - more, place - more), (2, place, place + length)):
+                lo, hi = np.maximum(at - free, 0), np.minimum(at + WINDOW, size)
+                # A part that cannot hold a window is of no use.
+                i = np.flatnonzero((at >= 0) & (at + longer <= size) & (hi - lo >= WINDOW))
+                first, last = begin[i] + lo[i], begin[i] + hi[i]
+                own = mixed(mixed(anchor[i].view(np.uint64) + np.uint64(side)) ^ named(begin[i] + beside[i], begin[i] + beside[i] + more))
+                part = mixed(named(first, last) + ((at - lo)[i] << 8 | (hi - at)[i]).astype(np.uint64))
+                words = pa.array([word[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+                shift = np.full(len(i), -more if side == 1 else 0, np.int32)
+                columns = [pa.array(own.view(np.int64)), pa.array(part.view(np.int64)), pa.array(weight[i]), pa.array((at - lo)[i].astype(np.int32)), words, pa.array(anchor[i]), pa.array(segment[i]), pa.array(shift)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(hot.select(*names[:5]), run, "anchor long, segment long, weight long, before int, words binary, of_anchor long, of_segment long, shift int")
 
 
 def _merged(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,32 +273,37 @@ def _search(segments: DataFrame, length: int = ANCHOR) -> DataFrame:
     return map_arrow(rows, run, "anchor long, segment long, lo int, hi int")
 
 
-def _again(occurrences: DataFrame, counts: DataFrame) -> DataFrame:
-    """The occurrences of anchors that occur more than once (counts: anchor, n)."""
-    # A table of its own, so that the join can split an anchor that is in very many documents.
-    many = written(counts.where("n > 1").select("anchor"), "repeated-anchors")
-    return written(occurrences.join(many, "anchor"), "anchors")
+def _hot(segments: DataFrame) -> DataFrame | None:
+    """anchor: those with over HOT unlike segments; None if there are none."""
+    hot = written(segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot-anchors")
+    return None if hot.isEmpty() else hot
+
+
+def _repeats(segments: DataFrame, hot: DataFrame | None, steps: list[int]) -> DataFrame:
+    """anchor, segment, lo, hi: repeated stretches of unlike segments (written, if some are hot)."""
+    if hot is None:
+        return _search(segments, steps[0])
+    found = _search(segments.join(hot, "anchor", "left_anti"), steps[0])
+    parts = written(_split(segments.join(hot, "anchor", "left_semi"), *steps[:2]), "split-anchors")
+    own = parts.groupBy("anchor", "segment").agg(F.sum("weight").alias("weight"), F.first("before").alias("before"), F.first("words").alias("words"))
+    own = written(own, "split-segments")
+    below = _repeats(own, _hot(own) if steps[1] < WINDOW else None, steps[1:])
+    back = parts.select("anchor", "segment", "of_anchor", "of_segment", "shift").join(below, ["anchor", "segment"])
+    return found.unionByName(back.select(F.col("of_anchor").alias("anchor"), F.col("of_segment").alias("segment"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")))
 
 
 def spans(keyed: DataFrame) -> DataFrame:
     """key, size, spans: word spans (lo, hi) to remove from each text; texts without any are left out."""
-    kept, rows, steps = _again(_occurrences(keyed), _anchor_counts(keyed)), None, lengths()
-    for k, length in enumerate(steps):
-        unlike = kept.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "id", "at")).alias("place"))
-        unlike = written(unlike.select("anchor", "segment", "weight", "place.*"), "segments")
-        hot = written(unlike.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot-anchors") if length < WINDOW else None
-        if hot is not None and hot.isEmpty():
-            hot = None
-        own = unlike if hot is None else unlike.join(hot, "anchor", "left_anti")
-        # A list has an entry for each anchor of a text, so it is no longer than the text; the document of least id stands for all that have the same segment.
-        wanted = own.groupBy("key", "size", "id").agg(F.collect_list(F.struct("anchor", "segment", "weight", "at")).alias("places"))
-        result = _search(_words_of(keyed, wanted, length), length)
-        now = kept.join(result, ["anchor", "segment"]).select("key", "size", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
-        rows = now if rows is None else rows.unionByName(now)
-        if hot is None:
-            break
-        parts = written(_split(keyed, kept.join(hot, "anchor", "left_semi"), length, steps[k + 1]), "split-anchors")
-        kept = _again(parts, parts.groupBy("anchor").agg(F.count("*").alias("n")))
+    # A table of its own, so that the join can split an anchor that is in very many documents.
+    again = written(_anchor_counts(keyed).where("n > 1").select("anchor"), "repeated-anchors")
+    kept = written(_occurrences(keyed).join(again, "anchor"), "anchors")
+    unlike = kept.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), F.min(F.struct("key", "size", "id", "at")).alias("place"))
+    unlike = written(unlike.select("anchor", "segment", "weight", "place.*"), "segments")
+    # A list has an entry for each anchor of a text, so it is no longer than the text; the document of least id stands for all that have the same segment.
+    wanted = unlike.groupBy("key", "size", "id").agg(F.collect_list(F.struct("anchor", "segment", "weight", "at")).alias("places"))
+    segments, hot = _words_of(keyed, wanted), _hot(unlike)
+    result = _repeats(segments if hot is None else written(segments, "segment-words"), hot, lengths())
+    rows = kept.join(result, ["anchor", "segment"]).select("key", "size", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
     return rows.groupBy("key", "size").agg(F.collect_set("span").alias("spans"))
 
 
