@@ -114,6 +114,7 @@ def test_query_rows(spark):
     assert by[3]["media_sha256"] == by[6]["media_sha256"] and by[3]["feature"] == by[6]["feature"] and by[5]["n_frames"] > 1
     frames = M.frames(M.store_texts(df.where("doc_id = 5"))).orderBy("frame").collect()
     assert frames[1]["start_ms"] == 40 and sum(sum(f["histogram"]) for f in frames) >= len(M.payload_of(long.encode()))
+    assert [(f["start_ms"], f["delay_ms"], f["histogram"]) for f in by[5]["frames"]] == [(f["start_ms"], f["delay_ms"], f["histogram"]) for f in frames]
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"no gif"))], "doc_id long, media binary")
     assert {r["doc_id"]: r["error"] for r in M.read_media(broken).collect()} == {1: "no media", 2: "not a GIF"}
     assert M.read_media(M.store_texts(df.limit(0))).count() == 0

@@ -269,3 +269,37 @@ def test_forward_is_the_plain_recursion():
         for i in range(len(t) - 1):
             all_move += alphas[i][:, None] * m.move * (m.emit[t[i + 1]] * betas[i + 1])[None] / z
     assert np.allclose(start, all_start) and np.allclose(move, all_move) and gamma.sum() == pytest.approx(sum(map(len, texts)))
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5])
+def test_blocks_of_long_texts_give_the_same(monkeypatch, block):
+    """Likelihoods and expected counts of texts cut into blocks are those of whole texts."""
+    rng = np.random.default_rng(8)
+    k, v = 3, 6
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    m = lm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((v, k)), 0))
+    texts = [rng.integers(0, v, n) for n in (1, 9, 4, 2, 13)]
+    whole = lm.Packed(texts)
+    want, (start, move, gamma) = lm.forward(m, whole)[0], lm.expected(m, whole)
+    states = np.zeros((v, k))
+    np.add.at(states, whole.symbols, gamma)
+    monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "GROUP", 4)
+    parts, of, chain = lm.blocks(m, texts)
+    assert max(map(len, parts)) <= block and np.array_equal(np.concatenate(parts), np.concatenate(texts))
+    each, total, moves, found = np.zeros(len(parts)), np.zeros(k), np.zeros((k, k)), np.zeros((v, k))
+    for group in lm._groups(parts):
+        p = lm.Packed([parts[i] for i in group])
+        each[group] = lm.forward(m, p, prior=chain.prior[group])[0]
+        a, b, g = lm.expected(m, p, chain.of(group))
+        total, moves = total + a, moves + b
+        np.add.at(found, p.symbols, g)
+    assert np.allclose(np.bincount(of, each), want) and np.allclose(total, start) and np.allclose(moves, move) and np.allclose(found, states)
+
+
+def test_language_model_of_a_very_long_text(spark):
+    """Steps do not follow the longest text: half a million tokens beside a few short texts."""
+    words = [f"w{i * 7919 % 997}" for i in range(500_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), *((i, "w1 w2 w3") for i in range(2, 20))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(df, F.lit(True)).collect()}
+    assert got[1]["n_tokens"] == 500_001 and math.isfinite(got[1]["score"]) and got[1]["score"] > 1.01 * got[1]["base_score"]

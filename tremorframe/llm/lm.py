@@ -17,11 +17,17 @@ So P(text) = P_hmm(symbols) * product of P(token | class) over rare tokens.
 * ``likelihood``: the scaled forward recursion over each whole text.
 
 Texts of a batch advance in lockstep, longest first, so numpy works on all
-texts that are still running at once.
+texts that are still running at once.  A text of over BLOCK tokens is cut into
+blocks: what each block does to any distribution of states is a small matrix,
+the blocks' matrices give each block the states it begins and ends with, and
+then the blocks run in lockstep like texts of their own.  So neither the steps
+nor the memory of a task grow with the longest text.
 
 Nulls: a null text is empty (its only token is the end); a null id counts as
-training.  Repeated rows count as often as they occur.  With nothing to learn
-from, every score is that of the uniform model.
+training.  Repeated rows count as often as they occur; of tokens that tie in
+count all or none are symbols.  With nothing to learn from, every score is that
+of the uniform model; an empty table gives no rows.  Columns besides text and
+those kept are not looked at.
 """
 
 from __future__ import annotations
@@ -43,6 +49,8 @@ ITERATIONS = 3
 END = np.uint64(1)
 END_CLASS = 0
 GROUP = 300_000
+#: Tokens that run in one go.
+BLOCK = 4096
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +140,7 @@ class Lexicon:
 def encode(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """keep..., key, n_tokens, symbols, and for tokens that have no known count hashes, classes, numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    rows = docs.select(*keep, "text", F.xxhash64("text").alias("key"))
+    rows = docs.select(*keep, "text", F.xxhash64(F.lit(1), "text").alias("key"), F.xxhash64(F.lit(2), "text").alias("key_b"))
 
     def run(batches):
         x = shared.value
@@ -155,29 +163,29 @@ def encode(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFram
                     out.append((j - i, int(ck[j] - ck[i]), cb[j] - cb[i], ci[j] - ci[i], symbol[i:j].astype(np.uint16).tobytes(), u.tobytes(), c[i:j][other][first].astype(np.uint8).tobytes(), m.astype(np.uint32).tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 4]
             names = ["n_tokens", "known", "base", "inside", "symbols", "other", "other_class", "other_n"]
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in (*keep, "key")), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=[*keep, "key", *names])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in (*keep, "key", "key_b")), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=[*keep, "key", "key_b", *names])
 
     ddl = "n_tokens long, known long, base double, inside double, symbols binary, other binary, other_class binary, other_n binary"
     return map_arrow(rows, run, widened(rows.drop("text").schema, ddl))
 
 
 def other_sums(encoded: DataFrame, counts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """key, known, base, inside of the tokens whose counts are in the table only."""
+    """key, key_b, known2, base2, inside2 of the tokens whose counts are in the table only."""
 
     def run(batches):
         for batch in batches:
-            key, other, cls, m = (batch[c].to_pylist() for c in ("key", "other", "other_class", "other_n"))
+            other, cls, m = (batch[c].to_pylist() for c in ("other", "other_class", "other_n"))
             sizes = [len(x) // 8 for x in other]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(key, np.int64), sizes)), pa.array(np.frombuffer(b"".join(other), np.int64)), pa.array(np.frombuffer(b"".join(cls), np.uint8).astype(np.int16)), pa.array(np.frombuffer(b"".join(m), np.uint32).astype(np.int64))], names=["key", "token", "class", "m"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.asarray(batch[c], np.int64), sizes)) for c in ("key", "key_b")), pa.array(np.frombuffer(b"".join(other), np.int64)), pa.array(np.frombuffer(b"".join(cls), np.uint8).astype(np.int16)), pa.array(np.frombuffer(b"".join(m), np.uint32).astype(np.int64))], names=["key", "key_b", "token", "class", "m"])
 
     # Copies of a text have the same tokens, so one of them is enough.
-    once = encoded.where("length(other) > 0").groupBy("key").agg(F.first("other").alias("other"), F.first("other_class").alias("other_class"), F.first("other_n").alias("other_n"))
-    rows = map_arrow(once, run, "key long, token long, class short, m long")
+    once = encoded.where("length(other) > 0").groupBy("key", "key_b").agg(F.first("other").alias("other"), F.first("other_class").alias("other_class"), F.first("other_n").alias("other_n"))
+    rows = map_arrow(once, run, "key long, key_b long, token long, class short, m long")
     rows = rows.join(counts.select("token", "n"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sizes = F.array(*(F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(lexicon.class_n, lexicon.class_v, strict=True)))
     base = F.log10((F.col("n") + 0.5) / (lexicon.total + 0.5 * (lexicon.distinct + 1)))
     inside = F.log10((F.col("n") + 0.5) / F.get(sizes, F.col("class").cast("int")))
-    return rows.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * base).alias("base2"), F.sum(F.col("m") * inside).alias("inside2"))
+    return rows.groupBy("key", "key_b").agg(F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * base).alias("base2"), F.sum(F.col("m") * inside).alias("inside2"))
 
 
 class Model:
@@ -227,11 +235,14 @@ def _groups(texts: list[np.ndarray]):
         yield held
 
 
-def forward(model: Model, p: Packed, all_steps: bool = False):
-    """Natural log likelihood of each text (in the order given); alphas and scales if wanted."""
+def forward(model: Model, p: Packed, all_steps: bool = False, prior: np.ndarray | None = None):
+    """Natural log likelihood of each text (in the order given); alphas and scales if wanted.
+
+    prior: the distribution of each text's first state, if not the model's.
+    """
     e = model.emit[p.symbols]
     out = np.zeros(len(p.lengths))
-    a = np.broadcast_to(model.start, (p.active[0], len(model.start)))
+    a = np.broadcast_to(model.start, (p.active[0], len(model.start))) if prior is None else prior[p.order]
     scales = np.empty(len(p.symbols)) if all_steps else None
     for t, n in enumerate(p.active):
         lo = p.offsets[t]
@@ -246,18 +257,76 @@ def forward(model: Model, p: Packed, all_steps: bool = False):
     return back, e, scales
 
 
-def expected(model: Model, p: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expected(model: Model, p: Packed, chain: Chain | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves, and states of every packed symbol."""
-    _, alpha, scale = forward(model, p, True)
+    _, alpha, scale = forward(model, p, True, chain and chain.prior)
     e = model.emit[p.symbols]
     k = alpha.shape[1]
     beta = np.ones((len(alpha), k))
+    if chain is not None:
+        last = p.at[np.cumsum(p.lengths) - 1]
+        # So scaled that a symbol's states sum up to one.
+        beta[last] = chain.end[p.order] / (alpha[last] * chain.end[p.order]).sum(1, keepdims=True)
     for t in range(len(p.active) - 2, -1, -1):
         n, lo, hi = p.active[t + 1], p.offsets[t], p.offsets[t + 1]
         beta[lo : lo + n] = (e[hi : hi + n] * beta[hi : hi + n] / scale[hi : hi + n, None]) @ model.move.T
     gamma = alpha * beta
     weighed = e[p.later] * beta[p.later] / scale[p.later, None]
-    return gamma[: p.active[0]].sum(0), alpha[p.before].T @ weighed * model.move, gamma
+    moves = alpha[p.before].T @ weighed
+    n = p.active[0]
+    if chain is None:
+        return gamma[:n].sum(0), moves * model.move, gamma
+    begins = chain.begins[p.order]
+    # From the last symbol of the block before to the first of this one.
+    moves += chain.before[p.order][~begins].T @ (e[:n] * beta[:n] / scale[:n, None])[~begins]
+    return gamma[:n][begins].sum(0), moves * model.move, gamma
+
+
+def transfers(model: Model, p: Packed) -> np.ndarray:
+    """For each block (in the order given) the matrix from its first state's distribution to its last state, up to a factor."""
+    k = len(model.start)
+    out = model.emit[p.symbols[: p.active[0]]][:, None, :] * np.eye(k)
+    for t in range(1, len(p.active)):
+        n, lo = p.active[t], p.offsets[t]
+        out[:n] = (out[:n] @ model.move) * model.emit[p.symbols[lo : lo + n]][:, None, :]
+        out[:n] /= out[:n].sum((1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[p.order] = out
+    return back
+
+
+class Chain:
+    """What blocks of long texts know of their neighbours: the distribution of the first state (prior), of the state before it (before), and how likely the rest is after each last state (end)."""
+
+    def __init__(self, prior: np.ndarray, before: np.ndarray, end: np.ndarray, begins: np.ndarray) -> None:
+        self.prior, self.before, self.end, self.begins = prior, before, end, begins
+
+    def of(self, some: list[int]) -> Chain:
+        return Chain(self.prior[some], self.before[some], self.end[some], self.begins[some])
+
+
+def blocks(model: Model, texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, Chain]:
+    """Texts cut into blocks, which text each is of, and what they know of each other."""
+    cut = [np.split(t, range(BLOCK, len(t), BLOCK)) for t in texts]
+    parts, number = [b for c in cut for b in c], np.array([len(c) for c in cut])
+    of, k = np.repeat(np.arange(len(texts)), number), len(model.start)
+    begins = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
+    chain = Chain(np.tile(model.start, (len(parts), 1)), np.zeros((len(parts), k)), np.ones((len(parts), k)), begins)
+    joined = np.flatnonzero(number[of] > 1)
+    matrix = np.empty((len(parts), k, k)) if len(joined) else None
+    for group in _groups([parts[i] for i in joined]):
+        own = joined[group]
+        matrix[own] = transfers(model, Packed([parts[i] for i in own]))
+    for i in joined.tolist():
+        if not begins[i]:
+            a = chain.prior[i - 1] @ matrix[i - 1]
+            chain.before[i] = a / a.sum()
+            chain.prior[i] = chain.before[i] @ model.move
+    for i in joined[::-1].tolist():
+        if not begins[i]:
+            b = model.move @ (matrix[i] @ chain.end[i])
+            chain.end[i - 1] = b / b.sum()
+    return parts, of, chain
 
 
 def _summed(encoded: DataFrame, per_batch, size: int, k: int = STATES):
@@ -306,9 +375,10 @@ def baum_welch(encoded: DataFrame, lexicon: Lexicon, iterations: int = ITERATION
         now = spark.sparkContext.broadcast(model)
 
         def by_model(texts, total, now=now):
-            for group in _groups(texts):
-                p = Packed([texts[i] for i in group])
-                start, move, gamma = expected(now.value, p)
+            parts, _, chain = blocks(now.value, texts)
+            for group in _groups(parts):
+                p = Packed([parts[i] for i in group])
+                start, move, gamma = expected(now.value, p, chain.of(group))
                 total[0] += start
                 total[1 : states + 1] += move
                 for j in range(states):
@@ -327,9 +397,11 @@ def likelihood(encoded: DataFrame, model: Model, keep: tuple[str, ...]) -> DataF
     def run(batches):
         for batch in batches:
             texts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch["symbols"].to_pylist()]
-            out = np.zeros(len(texts))
-            for group in _groups(texts):
-                out[group] = forward(shared.value, Packed([texts[i] for i in group]))[0]
+            parts, of, chain = blocks(shared.value, texts)
+            each = np.zeros(len(parts))
+            for group in _groups(parts):
+                each[group] = forward(shared.value, Packed([parts[i] for i in group]), prior=chain.prior[group])[0]
+            out = np.bincount(of, each, len(texts)) if len(texts) else each
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(out / np.log(10))], names=[*keep, "hmm"])
 
     return map_arrow(rows, run, widened(rows.drop("symbols").schema, "hmm double"))
@@ -342,7 +414,8 @@ def score(docs: DataFrame, training, keep: tuple[str, ...] = ("doc_id",), iterat
     named = docs.select(*keep, "text", training.alias("training"))
     encoded = written(encode(named, lexicon, (*keep, "training")), "lm-symbols")
     model = baum_welch(encoded.where("training"), lexicon, iterations)
-    scored = likelihood(encoded, model, (*keep, "training", "key", "n_tokens", "known", "base", "inside"))
-    both = scored.join(other_sums(encoded, counts, lexicon), "key", "left")
+    scored = likelihood(encoded, model, (*keep, "training", "key", "key_b", "n_tokens", "known", "base", "inside"))
+    # A table of its own, so that the join can split the copies of one text.
+    both = scored.join(written(other_sums(encoded, counts, lexicon), "lm-others"), ["key", "key_b"], "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
     return both.select(*keep, "training", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(lexicon.total).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), (plus("inside", "inside2") + F.col("hmm")).alias("score"))

@@ -12,7 +12,11 @@ that starts where the entry's code began, and chains of such references are
 resolved by pointer doubling.
 
 Nulls: a null text counts as empty (64 zero bytes); null or broken media give
-null columns and the reason in ``error``.  Equal texts give equal values.
+null columns and the reason in ``error``.  Equal texts give equal values, so
+repeated rows and ties do.  An empty table gives no rows; a very long text is a
+long run of frames, encoded and read by one task.  Columns besides text or media
+and those kept are not looked at, and kept ones may have any name but those of
+the result.
 """
 
 from __future__ import annotations
@@ -292,30 +296,34 @@ def frames(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str = "med
 
 
 def read_media(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str = "media") -> DataFrame:
-    """What the stored bytes hold: payload digests, frame times, histogram."""
+    """What the stored bytes hold: payload digests, the timed frames with their histograms (64 colours, two bits a channel), and a feature of all."""
     rows = df.select(*keep, media)
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "feature", "error"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "feature", "frames", "error"]
+    timed = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), timed, pa.string()]
 
     def one(data):
         if data is None:
-            return [None] * 8 + ["no media"]
+            return [None] * 9 + ["no media"]
         try:
             width, height, all_frames = parse(data)
         except ValueError as e:
-            return [None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None, None, str(e)]
+            return [None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None, None, None, str(e)]
         payload = b"".join(f.indices.tobytes() for f in all_frames)
-        total = np.zeros(64, np.int64)
+        total, duration, held = np.zeros(64, np.int64), 0, []
         for f, canvas in zip(all_frames, composed(width, height, all_frames), strict=True):
-            total += histogram(canvas[f.top : f.top + f.height, f.left : f.left + f.width])
-        duration = sum(f.delay_ms for f in all_frames)
+            shown = histogram(canvas)
+            part = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+            total += shown if part.shape == canvas.shape else histogram(part)
+            held.append({"start_ms": duration, "delay_ms": f.delay_ms, "histogram": shown.tolist()})
+            duration += f.delay_ms
         feature = f"{width}x{height};frames={len(all_frames)};ms={duration};colours=" + ",".join(f"{i}:{n}" for i, n in enumerate(total.tolist()) if n)
-        return [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(all_frames), duration, feature, None]
+        return [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), len(all_frames), duration, feature, held, None]
 
     def run(batches):
         for batch in batches:
             found = [one(data) for data in batch[media].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array([r[j] for r in found], kind) for j, kind in enumerate(kinds))], names=[*keep, *names])
 
-    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, duration_ms long, feature string, error string"
+    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, duration_ms long, feature string, frames array<struct<start_ms:bigint,delay_ms:int,histogram:array<bigint>>>, error string"
     return map_arrow(rows, run, widened(rows.select(*keep).schema, ddl))
