@@ -344,8 +344,8 @@ def origerr_rows(origins: DataFrame) -> DataFrame:
 
 
 def assoc_rows(arrivals: DataFrame, model: str) -> DataFrame:
-    """catalog.assoc of arrivals (arid, orid, sta, phase, distance km, azimuth, residual, weight, used)."""
-    return arrivals.select("arid", "orid", "sta", "phase", km_to_deg("distance").alias("delta"), F.col("azimuth").alias("seaz"), F.pmod(F.col("azimuth") + 180.0, F.lit(360.0)).alias("esaz"), F.col("residual").alias("timeres"), F.when(F.col("used"), "d").otherwise("n").alias("timedef"), F.col("weight").alias("wgt"), F.lit(model).alias("vmodel"))
+    """catalog.assoc of arrivals (arid, orid, sta, phase, distance km, azimuth, residual, weight, used); their own model, if they have one."""
+    return arrivals.select("arid", "orid", "sta", "phase", km_to_deg("distance").alias("delta"), F.col("azimuth").alias("seaz"), F.pmod(F.col("azimuth") + 180.0, F.lit(360.0)).alias("esaz"), F.col("residual").alias("timeres"), F.when(F.col("used"), "d").otherwise("n").alias("timedef"), F.col("weight").alias("wgt"), (F.col("model") if "model" in arrivals.columns else F.lit(model)).alias("vmodel"))
 
 
 def arrival_rows(picks: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def octree(picks: Picks, times: Times, o: Options) -> dict | None:
 
 def geiger(picks: Picks, times: Times, o: Options, start: dict | None = None) -> dict | None:
     """Damped least squares on x, y, z and origin time."""
-    if len(picks.time) < 4:
+    if len(picks.time) < 3:
         return None
     if start is None:
         start = grid_search(picks, times, Options(**{**o.__dict__, "h_step": 20.0, "z_step": 10.0, "levels": 1}))
@@ -339,7 +339,9 @@ def relocate(picks: DataFrame, origins: DataFrame, model: Model, **options) -> D
 
 
 def arrivals(picks: DataFrame, origins: DataFrame, model: Model) -> DataFrame:
-    """Each pick at its event's origin: distance, azimuth, residual, weight."""
+    """Each pick at its event's origin: distance, azimuth, residual, weight, and pick_id if picks have one."""
+
+    named = [c for c in ("pick_id",) if c in picks.columns]
 
     def run(batches):
         times = Times(model)
@@ -348,9 +350,9 @@ def arrivals(picks: DataFrame, origins: DataFrame, model: Model) -> DataFrame:
             tt = times.floor(d, b["depth"].to_numpy(), b["phase"].isin(("P", "Pn", "Pg")).to_numpy())
             r = _cut_ms((b["time_us"] - b["origin_us"]).to_numpy()) - tt
             w = (1 - np.clip(b["quality"].to_numpy(float), 0, 4) / 4) ** 2
-            yield pd.DataFrame({"event_id": b["event_id"], "net": b["net"], "sta": b["sta"], "phase": b["phase"], "distance": d, "azimuth": azimuth(b["lat"].to_numpy(), b["lon"].to_numpy(), b["slat"].to_numpy(), b["slon"].to_numpy()), "residual": r, "weight": w, "used": w >= 0})
+            yield pd.DataFrame({"event_id": b["event_id"], "net": b["net"], "sta": b["sta"], "phase": b["phase"], "distance": d, "azimuth": azimuth(b["lat"].to_numpy(), b["lon"].to_numpy(), b["slat"].to_numpy(), b["slon"].to_numpy()), "residual": r, "weight": w, "used": w >= 0, **{c: b[c] for c in named}})
 
     from pyspark.sql import functions as F
 
     placed = origins.where("lat is not null").select("event_id", "lat", "lon", "depth", F.col("time_us").alias("origin_us"))
-    return picks.join(placed, "event_id").mapInPandas(run, "event_id long, net string, sta string, phase string, distance double, azimuth double, residual double, weight double, used boolean")
+    return picks.join(placed, "event_id").mapInPandas(run, "event_id long, net string, sta string, phase string, distance double, azimuth double, residual double, weight double, used boolean" + "".join(f", {c} long" for c in named))

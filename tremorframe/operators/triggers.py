@@ -169,6 +169,22 @@ def pick_windows(picks: DataFrame, segments: DataFrame, by: tuple[str, ...], bef
     return both.withColumn("first_idx", first).withColumn("samples", F.when(stop > first, F.slice("samples", first + 1, stop - first))).where("samples is not null")
 
 
+def latest(segments: DataFrame, seconds: float) -> DataFrame:
+    """Segments cut to their last seconds."""
+    n = F.least(F.floor(seconds * F.col("sample_rate")).cast("int"), F.size("samples"))
+    skipped = F.size("samples") - n
+    start = F.col("start_us") + F.floor(skipped * 1e6 / F.col("sample_rate")).cast("long")
+    return segments.withColumns({"start_us": start, "samples": F.when(n > 0, F.slice("samples", skipped + 1, n)).otherwise(F.slice("samples", 1, 0))})
+
+
+def trimmed(segments: DataFrame, earliest_us: int) -> DataFrame:
+    """Segments without what comes before a time; one that ends before it stays whole."""
+    i = F.floor((F.lit(earliest_us) - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
+    cut = (i > 0) & (i < F.size("samples"))
+    start = F.when(cut, F.lit(earliest_us)).otherwise(F.col("start_us")).cast("long")
+    return segments.withColumns({"start_us": start, "samples": F.when(cut, F.slice("samples", i + 1, F.size("samples") - i)).otherwise(F.col("samples"))})
+
+
 def spaced(picks: DataFrame, by: tuple[str, ...], gap_s: float = 2.0, min_snr: float = 3.0) -> DataFrame:
     """by..., time_us of picks at least a gap after the last one kept; a stream's pick times are one array."""
     times = picks.where(F.col("snr") >= min_snr).groupBy(*by).agg(F.sort_array(F.collect_list("time_us")).alias("_t"))

@@ -235,6 +235,24 @@ def pick_windows(spark, sf):
     return got.select("pick_id", "vec_id", F.col("first_idx").cast("long").alias("first_idx"), F.size("samples").cast("long").alias("n"), r(A.total("samples"), 4).alias("total"))
 
 
+def _buffers(spark, sf):
+    """Segments of 64 samples at 20 Hz, a second apart."""
+    return arrays(spark, sf).select("vec_id", (F.col("vec_id") * 1_000_000).alias("start_us"), F.lit(20.0).alias("sample_rate"), F.col("x").alias("samples"))
+
+
+@query("SELECT vec_id, vec_id * 1000000 + 2200000 AS start_us, 20::BIGINT AS n, round(list_sum(list_transform(embedding[45:64], lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def latest_samples(spark, sf):
+    """The last second of each buffer."""
+    got = triggers.latest(_buffers(spark, sf), 1.0)
+    return got.select("vec_id", "start_us", F.size("samples").cast("long").alias("n"), r(A.total("samples"), 5).alias("total"))
+
+
+@query("SELECT vec_id, CASE WHEN i > 0 AND i < 64 THEN 100000000 ELSE vec_id * 1000000 END AS start_us, CAST(CASE WHEN i > 0 AND i < 64 THEN 64 - i ELSE 64 END AS BIGINT) AS n FROM (SELECT vec_id, CAST(floor((100000000 - vec_id * 1000000) / 1e6 * 20) AS BIGINT) AS i FROM embeddings) t")
+def trimmed_buffers(spark, sf):
+    """Buffers without what comes before second 100."""
+    return triggers.trimmed(_buffers(spark, sf), 100_000_000).select("vec_id", "start_us", F.size("samples").cast("long").alias("n"))
+
+
 @query("SELECT stream_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY start_us, vec_id) AS INTEGER) AS k, vec_id, start_us FROM (SELECT vec_id, vec_id % 10 AS stream_id, (vec_id * 7919 % 1000) * 1000000 AS start_us FROM embeddings) t")
 def playback_order(spark, sf):
     """Segments in the order in which they are played."""

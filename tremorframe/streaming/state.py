@@ -74,9 +74,15 @@ def stalta_stream(samples: DataFrame, sta: int, lta: int, trigger: float, detrig
     return samples.withWatermark("ts", idle).groupBy("stream_id").applyInPandasWithState(run, TRIGGERS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ring_buffer(packets: DataFrame, seconds: float = 300.0, idle: str = "10 minutes") -> DataFrame:
-    """The last seconds of each stream after every batch: stream_id, start_us, n, mean of what is held."""
-    keep = int(seconds * 1e6)
+BUFFER = "stream_id string, start_us long, n long, mean double, latest_us long, latest array<double>"
+
+
+def ring_buffer(packets: DataFrame, seconds: float = 300.0, idle: str = "10 minutes", latest_s: float = 0.0) -> DataFrame:
+    """The last seconds of each stream after every batch: stream_id, start_us, n, mean of what is held, and the samples of the last latest_s seconds.
+
+    The state of a stream without packets goes when the watermark has passed it.
+    """
+    keep, tail = int(seconds * 1e6), int(latest_s * 1e6)
 
     def run(key, frames, state):
         if state.hasTimedOut:
@@ -86,13 +92,17 @@ def ring_buffer(packets: DataFrame, seconds: float = 300.0, idle: str = "10 minu
         times, values = state.get if state.exists else ([], [])
         times = np.concatenate((np.asarray(times, np.int64), rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()))
         values = np.concatenate((np.asarray(values, float), rows["value"].to_numpy(float)))
-        held = times > times.max() - keep
+        # Packets may come late; the buffer is in the order of time.
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+        held = times > times[-1] - keep
         times, values = times[held], values[held]
         state.update((times.tolist(), values.tolist()))
         state.setTimeoutTimestamp(max(int(times.max()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], int(times[0]), len(times), float(values.mean()))], columns=["stream_id", "start_us", "n", "mean"])
+        last = times > times[-1] - tail
+        yield pd.DataFrame([(key[0], int(times[0]), len(times), float(values.mean()), int(times[last][0]) if last.any() else None, values[last].tolist())], columns=[c.split()[0] for c in BUFFER.split(", ")])
 
-    return packets.withWatermark("ts", idle).groupBy("stream_id").applyInPandasWithState(run, "stream_id string, start_us long, n long, mean double", "times array<long>, values array<double>", "update", GroupStateTimeout.EventTimeTimeout)
+    return packets.withWatermark("ts", idle).groupBy("stream_id").applyInPandasWithState(run, BUFFER, "times array<long>, values array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def spaced_picks(picks: DataFrame, gap_s: float = 2.0, min_snr: float = 3.0, idle: str = "10 minutes") -> DataFrame:
