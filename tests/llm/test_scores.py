@@ -42,8 +42,54 @@ def test_toxicity(spark):
     held = [(truth[r["doc_id"]], r["predicted"]) for r in got if r["doc_id"] in truth and r["doc_id"] % 5 == 0]
     assert np.mean([a == b for a, b in held]) > 0.95
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
-    assert len(none) == len(got) and all(r["predicted"] == 0 for r in none)
+    assert len(none) == len(got) and all(r["predicted"] == 0 and r["score"] == 0.0 for r in none)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert toxicity.toxicity(docs, labels, keep=("doc_id", "text", "toxic")).columns == ["doc_id", "text", "toxic", "score", "predicted"]
+
+
+def test_toxicity_in_shards_and_of_long_texts(spark, monkeypatch):
+    rows = documents(300, 3)
+    long = " ".join(WORDS[i * 7919 % len(WORDS)] for i in range(400_000))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7000, long), (7001, long + " idiot moron scum")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 20_000)
+    weights = toxicity.train(docs, labels, bits=18)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, weights, 18).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows]) > 0.9 and got[7001] > got[7000]
+    assert weights == toxicity.train(docs.repartition(5), labels, bits=18)
+
+
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """A dictionary entry for each coordinate, one at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1_of = 0.0 if i == "bias" else l1
+        if abs(z.get(i, 0.0)) <= l1_of:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1_of) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for label, x in rows:
+            own = [*x, "bias"]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in own:
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i != "bias"}, weight("bias")
+
+
+@pytest.mark.parametrize("alpha,l1,l2", [(3.0, 3.0, 0.0), (0.5, 0.2, 0.1)])
+def test_ftrl_is_the_plain_update(alpha, l1, l2):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.random() < 0.4), np.unique(rng.integers(0, 60, rng.integers(0, 9))).astype(np.int32)) for _ in range(300)]
+    got, bias = toxicity.ftrl(rows, 6, alpha, 1.0, l1, l2, 3)
+    want, plain_bias = plain_ftrl([(y, x.tolist()) for y, x in rows], alpha, 1.0, l1, l2, 3)
+    assert np.allclose([got[i] for i in range(64)], [want.get(i, 0.0) for i in range(64)], atol=1e-4) and abs(bias - plain_bias) < 1e-4
+    assert {i for i in range(64) if got[i]} == {i for i, w in want.items() if w}
 
 
 def test_ftrl_is_sparse():

@@ -8,10 +8,14 @@ the whole page as context; blocks labelled as main text are the result.
 
 The model is trained here, on pages that a seeded generator makes from many
 layouts, with menus, headers, footers, sidebars, notices, adverts, forms and
-comments round and inside the article.  Training takes some seconds on the
-driver, once a process; the weights (about 200 kB) are broadcast.
-
-Nulls: null or empty html gives the empty text.  Repeated rows are read each.
+comments round and inside the article.  Training takes some seconds of one task,
+once a session; the weights (about 200 kB) are broadcast.
+
+Nulls: null or empty html gives the empty text.  Repeated rows are read each,
+alike.  A block whose odds tie is left out.  An empty table gives no rows.  A
+very long page is one sequence of all its blocks, whose vectors a task holds.
+Columns besides html and those kept are not looked at, and kept ones may have
+any name but those of the result.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Block, read_blocks
-from .shared import map_arrow, widened
+from .shared import CLEARED, map_arrow, widened
 from .words import Words
 
 PATH_SIZE, WORD_SIZE, MEASURES = 128, 48, 12
 INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 HIDDEN = 24
-PAGES = 500
+PAGES = 1400
 EPOCHS = 6
 GROUP = 20_000
 
@@ -47,6 +51,9 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return np.minimum(out, 2.0)
 
 
+CLEARED.append(_path_vector.cache_clear)
+
+
 def _measures(b: Block, i: int, n: int) -> list[float]:
     text, size = b.text, len(b.text)
     words = text.count(" ") + 1
@@ -195,6 +202,26 @@ def trained() -> Labeller:
     return fit([page(i) for i in range(PAGES)])
 
 
+_SENT: dict = {}
+
+
+def weights(spark):
+    """The trained weights as a broadcast, made by one task and once in a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _SENT:
+
+        def run(batches):
+            for batch in batches:
+                for _ in range(batch.num_rows):
+                    made = trained().p
+                    yield pa.RecordBatch.from_pydict({"name": list(made), "shape": [list(v.shape) for v in made.values()], "data": [v.astype(np.float32).tobytes() for v in made.values()]}, schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("data", pa.binary())]))
+
+        # Nine arrays of a fixed size.
+        rows = spark.range(0, 1, 1, 1).mapInArrow(run, "name string, shape array<int>, data binary").collect()
+        _SENT[key] = spark.sparkContext.broadcast({r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]) for r in rows})
+    return _SENT[key]
+
+
 def labels(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which blocks are main text."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -215,12 +242,13 @@ def labels(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), model: Labeller | None = None) -> DataFrame:
     """keep..., text, n_chars, n_blocks, n_kept of each row of pages (html)."""
-    weights = pages.sparkSession.sparkContext.broadcast((model or trained()).p)
+    spark = pages.sparkSession
+    sent = weights(spark) if model is None else spark.sparkContext.broadcast(model.p)
     rows = pages.select(*keep, pages["html"].alias("_html"))
 
     def run(batches):
         own = Labeller()
-        own.p = weights.value
+        own.p = sent.value
         for batch in batches:
             html = [x or "" for x in batch["_html"].to_pylist()]
             for a in range(0, len(html), 200):

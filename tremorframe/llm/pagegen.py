@@ -22,7 +22,8 @@ ROLES = {
     "comment": "comments comment comment-list discussion replies responses reader-comments disqus thread",
     "share": "share social sharing buttons follow tools print",
     "meta": "meta byline author date posted-on tags category entry-meta",
-    "content": "content article post entry story main text body article-body post-content entry-content main-content richtext",
+    "content": "content article post entry story main text body article-body post-content entry-content main-content richtext document hentry prose copy blog-post story-body post-body page-content single",
+    "title": "title headline entry-title post-title lead standfirst intro dek subtitle",
     "neutral": "wrap wrapper container row col page section inner box block grid clearfix outer",
 }
 ROLES = {k: v.split() for k, v in ROLES.items()}
@@ -52,11 +53,11 @@ class Page:
             if style < 0.05:
                 s = " | ".join(s.split())
             elif style < 0.08:
-                s = " ".join(f"{x}{r.choice(('***', '%%%', '&&&', '$$$'))}" for x in s.split())
+                s = " ".join(f"{x}{r.choice('#%&*+=/@~') * r.randint(0, 3)}" for x in s.split())
             elif style < 0.11:
                 s = " ".join([s.split()[0]] * r.randint(2, 20))
             elif style < 0.13:
-                s = s.upper() + "!!"
+                s = s.upper()
             elif style < 0.6 and r.random() < 0.3:
                 s = s.replace(" ", ", ", 1)
             out.append(s + r.choice((".", ".", ".", ".", "?", "!", ":", "")))
@@ -64,9 +65,12 @@ class Page:
 
     def names(self, role: str) -> str:
         r = self.r
-        if r.random() < 0.12:
+        told = r.random()
+        if told < 0.15:
             role = "neutral"
-        name = r.choice(ROLES[role])
+        name = self.word() if told > 0.92 else r.choice(ROLES[role])
+        if r.random() < 0.15:
+            name = r.choice((f"{r.choice('abcmost')}-{name}", f"{name}__{self.word()}", f"{r.choice(ROLES['neutral'])}-{name}", f"{name}-{self.word()}"))
         if r.random() < 0.25:
             name = f"{name} {r.choice(ROLES['neutral'])}"
         if r.random() < 0.15:
@@ -90,12 +94,13 @@ class Page:
     def boilerplate(self, role: str) -> str:
         r = self.r
         if role == "nav":
-            return self.box(role, self.links(r.randint(2, 9)), "nav nav nav div ul div")
+            return self.box(role, self.links(r.randint(2, 9)), "nav nav div div ul div")
         if role == "header":
             return self.box(role, f"{r.choice(('', '<h1>' + self.words(2) + '</h1>', '<p>' + self.words(3) + '</p>'))}<span>{self.words(r.randint(1, 5), 0.3)}</span>" + (self.boilerplate("nav") if r.random() < 0.4 else ""), "header header div")
         if role == "footer":
-            inner = r.choice(("&copy; ", "", "© 2024 ")) + r.choice((f"{self.word()}.example.com &middot; ", "")) + self.sentences(r.randint(1, 3))
-            return self.box(role, (f"<p>{inner}</p>" if r.random() < 0.4 else inner) + (self.links(3) if r.random() < 0.3 else ""), "footer footer footer div")
+            owner = r.choice((f"{self.word()}.{r.choice(('com', 'org', 'net', 'de'))}", self.words(2), ""))
+            inner = r.choice(("&copy; ", "", "© 2024 ", "Copyright ")) + owner + r.choice((" &middot; ", " | ", ". ", " ")) + self.sentences(r.randint(1, 3))
+            return self.box(role, (f"<p>{inner}</p>" if r.random() < 0.4 else inner) + (self.links(3) if r.random() < 0.3 else ""), "footer footer div div")
         if role == "aside":
             return self.box(role, f"<h{r.randint(2, 4)}>{self.words(2, 0.3)}</h3>" + (self.links(r.randint(2, 6)) if r.random() < 0.6 else "".join(f"<p>{self.sentences(r.randint(1, 3))}</p>" for _ in range(r.randint(1, 3)))), "aside aside div")
         if role == "ad":
@@ -125,12 +130,17 @@ class Page:
     def article(self) -> str:
         r, out = self.r, []
         title = self.sentences(1) if r.random() < 0.6 else self.words(r.randint(2, 9))
+        named = lambda role: self.names(role) if r.random() < 0.2 else ""
         if r.random() < 0.85:
-            out.append(f"<h1>{self.say(title)}</h1>")
+            n = r.choice((1, 1, 1, 2, 3))
+            out.append(f"<h{n}{named('title')}>{self.say(title)}</h{n}>")
+            if r.random() < 0.15:
+                out.append(f"<{(t := r.choice(('p', 'div', 'h2')))}{self.names('title')}>{self.say(self.sentences(1))}</{t}>")
         if r.random() < 0.2:
             out.append(self.boilerplate("meta"))
         count = r.choice((0, 1, 1, 2, 3, 5, 8, 12, 20))
-        broken = r.random() < 0.35
+        broken, closed = r.random() < 0.35, r.choice(("</p>", "</p>", "</p>", "\n"))
+        opened = r.choice(("p", "p", "p", "p", "div"))
         for i in range(count):
             kind = r.random()
             text = self.sentences(r.choice((1, 1, 2, 4, 7)))
@@ -146,13 +156,16 @@ class Page:
             elif kind < 0.20:
                 out.append(f"<pre>{self.say(text)}</pre>")
             elif broken and kind < 0.45:
-                out.append(f"<p><b>{self.say(text)}<br>")
+                tag = r.choice(("b", "i", "strong", "font", "span", "em"))
+                out.append(f"<p><{tag}>{self.say(text)}{r.choice(('<br>', '<br/>', '', '</div>'))}")
             elif kind < 0.5:
                 out.append(f"<p>{self.say(text)}")
             elif kind < 0.58:
                 out.append(f"<div>{self.say(text)}</div>")
+            elif opened == "div":
+                out.append(f"<div{named('content')}>{self.say(text)}</div>")
             else:
-                out.append(f"<p>{self.say(text)}</p>")
+                out.append(f"<p{named('content')}>{self.say(text)}{closed}")
             if r.random() < 0.06:
                 out.append(self.boilerplate(r.choice(("ad", "aside", "share", "notice", "form"))))
         if r.random() < 0.1:
@@ -170,14 +183,18 @@ class Page:
         head = "".join(f"<!-- {x} -->" * (r.random() < 0.2) + self.boilerplate(x) for x in before)
         body = self.article()
         wrap = r.random()
-        if wrap < 0.6:
+        if wrap < 0.35:
             body = f"<article{self.names('content') if r.random() < 0.4 else ''}>{body}</article>"
-        elif wrap < 0.75:
+        elif wrap < 0.47:
             body = f"<main>{body}</main>"
+        elif wrap < 0.55:
+            side = f"<td{self.names('nav')}>{self.links(r.randint(2, 6), '<br>')}</td>" if r.random() < 0.6 else ""
+            body = f"<table width=100%><tr>{side}<td{self.names('content') if r.random() < 0.5 else ''}>{body}</td></tr></table>"
         else:
-            body = f"<div{self.names('content')}>{body}</div>"
-        if r.random() < 0.3:
-            body = f"<{(t := r.choice(('main', 'div', 'section')))}{self.names('neutral')}>{body}</{t}>"
+            tag = r.choice(("div", "div", "div", "section"))
+            body = f"<{tag}{self.names('content')}>{body}</{tag}>"
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            body = f"<{(t := r.choice(('main', 'div', 'div', 'section')))}{self.names(r.choice(('neutral', 'neutral', 'content')))}>{body}</{t}>"
         tail = "".join(self.boilerplate(x) for x in after)
         script = r.choice(("", '<script>var t="</p>";track(1);</script>', "<style>p{margin:0}</style>"))
         title = f"<title>{self.words(4)}</title>" if r.random() < 0.9 else ""

@@ -8,12 +8,17 @@ the model that travels to the executors is a short list of (index, weight).
 
 Training takes a bounded sample of the labelled rows (``max_rows``, chosen by a
 hash of the id; all of them if there are fewer).  The sample is dealt to tasks
-of ``SHARD_ROWS`` rows; each runs FTRL over its rows ``epochs`` times in the order of
-a hash, and the shards' weights are averaged.  Scoring runs over all rows.
+of ``SHARD_ROWS`` rows and ``SHARD_CHARS`` characters; each runs FTRL over its
+rows ``epochs`` times in the order of a hash, and the shards' weights are
+averaged.  Scoring runs over all rows.
 
 Nulls: a null text counts as empty (its score is that of the bias), a null id
 is scored too and is never held out; null labels are not learnt from.  With no
-usable label the score is 0.0 everywhere.  Repeated rows are scored each.
+usable label the score is 0.0 everywhere.  Repeated rows are scored each; of
+tied labels of an id the greatest counts, and rows that tie in the order of the
+hash follow the order of their texts' features.  An empty table gives no rows.
+A very long text is one row of its task.  Columns besides doc_id, text and those
+kept are not looked at, and kept ones may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .words import Words, chunks, mixed
 BITS = 22
 #: Rows of a shard, as far as the sample allows; MAX_ROWS makes four shards.
 SHARD_ROWS = 8_000
+#: Characters of a shard; a feature has four bytes and a word of some five characters three features.
+SHARD_CHARS = 64_000_000
 MAX_ROWS = 32_000
 
 
@@ -88,11 +95,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     count = usable.count()
     if not count:
         return {}
-    shards = max(1, round(min(count, max_rows) / SHARD_ROWS))
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(share < min(1.0, max_rows / count)) if count > max_rows else usable
     # The sample has about max_rows ids and labels at most, some 16 bytes each.
     sample = F.broadcast(sample)
+    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, round(min(count, max_rows) / SHARD_ROWS), -(-chars // SHARD_CHARS))
 
     def to_features(batches):
         for batch in batches:
@@ -103,28 +112,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
 
     def one_shard(table: pa.Table) -> pa.Table:
         ids = np.array(table["doc_id"].to_pylist(), np.int64)
-        order = np.argsort(mixed(ids.astype(np.uint64)), kind="stable")
         y, x = table["toxic"].to_pylist(), table["x"].to_pylist()
+        hashed = mixed(ids.astype(np.uint64)).tolist()
+        order = sorted(range(len(ids)), key=lambda i: (hashed[i], x[i]))
         w, bias = ftrl([(int(y[i] > 0), np.frombuffer(x[i], np.int32)) for i in order], bits, **ftrl_options)
         at = np.flatnonzero(w)
         give_back()
         return pa.table({"i": pa.array([-1, *at.tolist()], pa.int32()), "w": pa.array([bias, *w[at].tolist()], pa.float64())})
 
-    rows = docs.select("doc_id", "text").join(sample, "doc_id")
     fitted = map_arrow(rows, to_features, "shard int, doc_id long, toxic int, x binary").groupBy("shard").applyInArrow(one_shard, "i int, w double")
-    # A few lists of nonzero weights, whose count the L1 term and max_rows bound.
-    weights: dict[int, list[float]] = {}
-    for r in fitted.collect():
-        weights.setdefault(r["i"], []).append(r["w"])
-    shards = len(weights.get(-1, [1]))
-    return {i: float(sum(sorted(v)) / shards) for i, v in weights.items()}
+    # Weights that are not zero, at most 2 ** bits and in fact as many as the L1 term leaves of max_rows texts; each shard has one of each.
+    each = fitted.groupBy("i").agg(F.sort_array(F.collect_list("w")).alias("w")).collect()
+    number = max((len(r["w"]) for r in each if r["i"] == -1), default=1)
+    return {r["i"]: float(sum(r["w"]) / number) for r in each}
 
 
 def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds score and predicted to the kept columns of every row."""
     index = np.array(sorted(i for i in weights if i >= 0), np.int32)
     value = np.array([weights[i] for i in index.tolist()], np.float32)
-    bias = weights.get(-1, -30.0)
+    bias = weights.get(-1, -np.inf)
     model = docs.sparkSession.sparkContext.broadcast((index, value))
     extra = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = widened(extra.select(*keep).schema, "score double, predicted int")
@@ -140,7 +147,7 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS, keep: tu
                 hit = dense[x] != 0
                 key = np.unique((doc[hit].astype(np.int64) << 32) | x[hit])
                 out[a:b] = np.bincount(key >> 32, dense[key & 0xFFFFFFFF], b - a) if len(key) else 0.0
-            s = 1 / (1 + np.exp(-np.clip(out + bias, -30, 30)))
+            s = 1 / (1 + np.exp(-np.clip(out + bias, -30, 30))) if np.isfinite(bias) else out
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return map_arrow(extra, run, schema)
