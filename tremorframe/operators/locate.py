@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .velocity import Model, table
 
@@ -74,8 +74,9 @@ class Picks:
 class Times:
     """Travel times at whole kilometres below, or between them."""
 
-    def __init__(self, model: Model, max_km: int = 3000, max_depth: int = 100) -> None:
-        made = table(model, max_km, max_depth)
+    def __init__(self, model: Model | dict[str, np.ndarray], max_km: int = 3000, max_depth: int = 100) -> None:
+        """Of a model, or of its table as it was sent to a worker."""
+        made = table(model, max_km, max_depth) if isinstance(model, Model) else model
         self.p, self.s = made["P"], made["S"]
 
     def floor(self, distance, depth, is_p):
@@ -298,16 +299,28 @@ def locator(name: str) -> Callable:
     return LOCATORS[key]
 
 
+def sent_table(spark: SparkSession, model: Model):
+    """The model's travel times (5 MB, whatever the data) as a broadcast, made once in a session."""
+    key = (spark.sparkContext.applicationId, model)
+    if key not in _SENT:
+        _SENT[key] = spark.sparkContext.broadcast(table(model))
+    return _SENT[key]
+
+
+_SENT: dict = {}
+
+
 def locate(picks: DataFrame, model: Model, method: str = "grid", **options) -> DataFrame:
     """An origin for each event_id of picks (event_id, net, sta, slat, slon, time_us, phase, quality).
 
     One event's picks meet in one task; an event has as many picks as stations saw it.
     """
     kernel, o = locator(method), Options.named(**options)
+    sent = sent_table(picks.sparkSession, model)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         p = Picks(rows)
-        out = kernel(p, Times(model), o)
+        out = kernel(p, Times(sent.value), o)
         if out is None:
             out = {"lat": None, "lon": None, "depth": None, "time_us": None, "rms": None, "converged": False, "iterations": 0, "algorithm": method, "lat_err": None, "lon_err": None, "depth_err": None, "time_err": None, "gap": 360.0}
         else:
@@ -323,13 +336,13 @@ def relocate(picks: DataFrame, origins: DataFrame, model: Model, **options) -> D
     """Linearised location of every event from the origin it has (event_id, lat, lon, depth, time_us)."""
     from pyspark.sql import functions as F
 
-    o = Options.named(**options)
+    o, sent = Options.named(**options), sent_table(picks.sparkSession, model)
     start = origins.where("lat is not null").select("event_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("depth").alias("_depth"), F.col("time_us").alias("_time"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         p, r = Picks(rows), rows.iloc[0]
         old = {"lat": r["_lat"], "lon": r["_lon"], "depth": r["_depth"], "time_us": r["_time"]}
-        times = Times(model)
+        times = Times(sent.value)
         out = geiger(p, times, o, old) or {**old, "rms": float(misfit(p, times, np.array([old["lat"]]), np.array([old["lon"]]), np.array([old["depth"]]))[0][0]), "converged": False, "iterations": 0, "algorithm": "Geiger", "lat_err": None, "lon_err": None, "depth_err": None, "time_err": None}
         a = azimuth(out["lat"], out["lon"], p.lat, p.lon)
         out |= {"gap": 360.0 - (a.max() - a.min()), "event_id": r["event_id"], "phase_count": len(rows), "station_count": len(set(p.sta))}
@@ -341,10 +354,10 @@ def relocate(picks: DataFrame, origins: DataFrame, model: Model, **options) -> D
 def arrivals(picks: DataFrame, origins: DataFrame, model: Model) -> DataFrame:
     """Each pick at its event's origin: distance, azimuth, residual, weight, and pick_id if picks have one."""
 
-    named = [c for c in ("pick_id",) if c in picks.columns]
+    named, sent = [c for c in ("pick_id",) if c in picks.columns], sent_table(picks.sparkSession, model)
 
     def run(batches):
-        times = Times(model)
+        times = Times(sent.value)
         for b in batches:
             d = haversine(b["lat"].to_numpy(), b["lon"].to_numpy(), b["slat"].to_numpy(), b["slon"].to_numpy())
             tt = times.floor(d, b["depth"].to_numpy(), b["phase"].isin(("P", "Pn", "Pg")).to_numpy())

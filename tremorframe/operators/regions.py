@@ -10,14 +10,14 @@ from ..functions.geo import in_bounds
 BOUNDS = "name string, bounds_type string, min_lat double, max_lat double, min_lon double, max_lon double, min_depth double, max_depth double, center_lat double, center_lon double, radius_km double, vertices array<struct<lat:double,lon:double>>, priority int, description string"
 #: Named regions with their bounds and priority.
 REGIONS = [
-    ("socal", "box:32.0,36.0,-121.0,-114.0", 10, "Southern California velocity model (Hadley-Kanamori)"),
-    ("nocal", "box:36.0,42.0,-125.0,-119.0", 10, "Northern California velocity model"),
-    ("cascadia", "polygon:42.0,-125.0;42.0,-120.0;49.0,-120.0;49.0,-125.0", 10, "Cascadia subduction zone model"),
-    ("alaska", "box:55.0,72.0,-170.0,-130.0", 5, "Alaska regional model"),
-    ("hawaii", "circle:19.5,-155.5,200.0", 20, "Hawaii volcanic region model"),
-    ("japan", "box:30.0,46.0,128.0,146.0", 10, "Japanese Islands velocity model"),
-    ("mediterranean", "polygon:30.0,-10.0;30.0,40.0;48.0,40.0;48.0,-10.0", 5, "Mediterranean regional model"),
-    ("korea", "box:33.0,43.0,124.0,132.0", 15, "Korean Peninsula velocity model (Kim et al. 2011)"),
+    ("socal", "box:32.0,36.0,-121.0,-114.0", 10, "south of California"),
+    ("nocal", "box:36.0,42.0,-125.0,-119.0", 10, "north of California"),
+    ("cascadia", "polygon:42.0,-125.0;42.0,-120.0;49.0,-120.0;49.0,-125.0", 10, "Cascadia"),
+    ("alaska", "box:55.0,72.0,-170.0,-130.0", 5, "Alaska"),
+    ("hawaii", "circle:19.5,-155.5,200.0", 20, "round Hawaii"),
+    ("japan", "box:30.0,46.0,128.0,146.0", 10, "Japan"),
+    ("mediterranean", "polygon:30.0,-10.0;30.0,40.0;48.0,40.0;48.0,-10.0", 5, "Mediterranean Sea and its coasts"),
+    ("korea", "box:33.0,43.0,124.0,132.0", 15, "Korea"),
 ]
 DEFAULT = "default"
 #: So many regions are broadcast; the dimension is a list that people write.

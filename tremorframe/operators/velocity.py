@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import phase_class
 from ..functions.geo import col
+from ..scratch import written
 
 #: Depth, thickness (0: down without end), vp, vs, density.
 MODELS = {
@@ -121,12 +122,25 @@ def table(model: Model, max_km: int = 3000, max_depth: int = 100) -> dict[str, n
     return {p: np.stack([travel_times(model, d, float(z), p) for z in range(max_depth + 1)], 1) for p in "PS"}
 
 
+_STORED: dict = {}
+
+
 def table_rows(spark: SparkSession, model: Model, max_km: int = 3000, max_depth: int = 100) -> DataFrame:
-    """model, phase_class, d_bin, z_bin, t; (max_km + 1) (max_depth + 1) 2 rows."""
-    made = table(model, max_km, max_depth)
-    d, z = np.meshgrid(np.arange(max_km + 1, dtype=np.int32), np.arange(max_depth + 1, dtype=np.int32), indexing="ij")
-    parts = [pa.table({"model": [model.name] * d.size, "phase_class": [p] * d.size, "d_bin": d.ravel(), "z_bin": z.ravel(), "t": made[p].ravel()}) for p in "PS"]
-    return spark.createDataFrame(pa.concat_tables(parts))
+    """model, phase_class, d_bin, z_bin, t; (max_km + 1) (max_depth + 1) 2 rows, made by tasks of one depth each and kept as a table of the session."""
+    key = (spark.sparkContext.applicationId, model, max_km, max_depth)
+    if key not in _STORED:
+        d = np.arange(max_km + 1)
+
+        def run(batches):
+            for batch in batches:
+                for k in batch["id"].to_pylist():
+                    phase, z = "PS"[k % 2], k // 2
+                    t = travel_times(model, d.astype(float), float(z), phase)
+                    yield pa.RecordBatch.from_pydict({"model": [model.name] * len(d), "phase_class": [phase] * len(d), "d_bin": d.astype(np.int32), "z_bin": np.full(len(d), z, np.int32), "t": t})
+
+        parts = spark.range(0, 2 * (max_depth + 1), 1, min(2 * (max_depth + 1), 4 * spark.sparkContext.defaultParallelism))
+        _STORED[key] = written(parts.mapInArrow(run, "model string, phase_class string, d_bin int, z_bin int, t double"), "travel-times")
+    return _STORED[key]
 
 
 def straight_rows(spark: SparkSession, vp: float, vs: float, name: str = "straight", max_km: int = 3000, max_depth: int = 100) -> DataFrame:
