@@ -235,3 +235,41 @@ def test_pipeline(spark, tmp_path):
         now = spark.createDataFrame(after, out.schema)
     final = P.run(spark, sf).collect()
     assert len(final) == len(after) and set(final[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls everywhere, repeated ids and rows, clashing columns, one very long text, and no rows at all."""
+    import corpus_pipeline as P
+
+    r = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "nrst"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    one, two, passage = text(80), text(90), text(45)
+    rows = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (2, one, None, None, None), (None, one, "en", "a", 2), (3, None, None, None, None), (None, None, None, None, None), (4, "", "en", "a", 0), (5, " \n\t", "en", "b", 3)]
+    rows += [(6, f"{text(30)} {passage} {text(20)}", "en", "b", 4), (7, f"{passage} {text(25)}", "fr", "b", 4), (8, text(400_000), "en", "c", 5)] + [(9, two + " tail", "en", "z", 1)] * 3
+    clash = [(*x, "k", "m", 1.0, 7) for x in rows]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key_a string, mix_copy string, score double, kept int"
+    spark.createDataFrame([(i, None, y) for i, y in ((1, 0), (2, 0), (6, None), (None, 1))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.createDataFrame(clash, kind)
+    for name, stage in P.STAGES:
+        empty = stage(spark, now.limit(0), str(tmp_path))
+        out = stage(spark, now, str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        got = out.collect()
+        if name != "packing":
+            assert tuple(out.columns) == P.COLUMNS
+        if name == "toxicity":
+            assert Counter((x["doc_id"], x["text"]) for x in got) == Counter(x[:2] for x in rows)
+        if name == "near_dedup":
+            kept = Counter((x["doc_id"], x["text"]) for x in got)
+            # Of one text under three ids the least stays, and of the other's near copies too; the second text of id 1 is not lost for the first.
+            want = [(1, one), (1, two), (3, None), (None, None), (4, ""), (5, " \n\t"), *(x[:2] for x in rows if x[0] in (6, 7, 8))]
+            assert kept == Counter(want)
+        if name == "substring_dedup":
+            by = {x["doc_id"]: x["text"] for x in got}
+            assert passage not in by[6] and passage not in by[7] and len(by[8].split()) > 390_000 and by[3] is None and by[4] == ""
+        if name == "packing":
+            assert sum(x["length"] for x in got if x["doc_id"] == 3) == 1 * sum(x["doc_id"] == 3 and x["piece"] == 0 for x in got)
+        now = spark.createDataFrame(got, out.schema)
+    assert spark.createDataFrame([], kind.replace("key_a string, mix_copy string, score double, kept int", "x int")).write.parquet(str(tmp_path / "documents.parquet")) is None
+    assert P.run(spark, str(tmp_path)).count() == 0

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,43 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL: dict[str, str] = {}
+from ..scratch import file_system, fresh
+
 #: What modules want to be called when a task ends.
 CLEARED: list[Callable[[], None]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Where that is unset, a session whose executors are threads of the driver
-    (tests, benches) gets a folder of its own; on a cluster it is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = _LOCAL.get("dir")
-        if where is None:
-            where = _LOCAL["dir"] = tempfile.mkdtemp(prefix="tremorframe-")
-    return where.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again.
 
     The table goes when the driver's JVM ends, or earlier through ``dropped``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    where, system = _path(spark, path)
-    system.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
@@ -58,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes what ``written`` made and nothing will read again."""
     for t in tables:
-        where, system = _path(t.sparkSession, t._written)
+        where, system = file_system(t.sparkSession, t._written)
         system.delete(where, True)
 
 
