@@ -11,8 +11,17 @@ last return the columns of documents.
 4. mixing: documents are repeated by a Poisson count with their source's rate.
 5. packing: the pieces of all documents get a place in a sequence.
 
+Every stage takes any table with at least the columns of documents; all other
+columns, whatever their names, end with the first one.
+
 Nulls: documents without text are not toxic, have no duplicates and pack as one
-end token; documents without an id pass all stages.
+end token; documents without an id are compared, repeated and packed like any
+others; a null source is a source of its own.  Repeated rows, and rows that tie
+in all a stage looks at: toxicity and substring_dedup treat them alike,
+near_dedup leaves one row of equal texts (of tied rows the one whose other
+columns are least), mixing gives them the same count, packing packs each.  Rows
+of one id with different texts are different documents.  An empty table gives an
+empty table.  A very long text is one row of every stage, held by one task.
 """
 
 from __future__ import annotations
