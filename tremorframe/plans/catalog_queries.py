@@ -425,11 +425,10 @@ def stream_names(spark, sf):
     return s.select(codes.stream_id("net", "sta", F.lit(""), F.lit("BHZ")).alias("dots"), codes.stream_id("net", "sta", F.lit(""), F.lit("BHZ"), "_").alias("seed"), codes.selector_matches("1?", "sta").alias("hit"))
 
 
-@query("SELECT vec_id AS wfid, CAST(label AS VARCHAR) AS sta, CAST(vec_id AS DOUBLE) AS time, vec_id + (len(embedding) - 1) / 20.0 AS endtime, CAST(len(embedding) AS BIGINT) AS nsamp, 20.0::DOUBLE AS samprate FROM embeddings")
+@query("SELECT row_number() OVER (ORDER BY CAST(label AS VARCHAR), vec_id) AS wfid, CAST(label AS VARCHAR) AS sta, CAST(vec_id AS DOUBLE) AS time, vec_id + (len(embedding) - 1) / 20.0 AS endtime, CAST(len(embedding) AS BIGINT) AS nsamp, 20.0::DOUBLE AS samprate FROM embeddings")
 def wfdisc_rows(spark, sf):
-    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("wfid"), F.col("label").cast("string").alias("sta"), F.lit("BHZ").alias("chan"), (F.col("vec_id") * 1_000_000).alias("start_us"), F.lit(20.0).alias("sample_rate"), F.col("embedding").cast("array<double>").alias("samples"))
-    start = F.col("start_us") / 1e6
-    return e.select("wfid", "sta", start.alias("time"), (start + (F.size("samples") - 1) / F.col("sample_rate")).alias("endtime"), F.size("samples").cast("long").alias("nsamp"), F.col("sample_rate").alias("samprate"))
+    e = read(spark, sf, "embeddings").select(F.col("label").cast("string").alias("sta"), F.lit("BHZ").alias("chan"), (F.col("vec_id") * 1_000_000).alias("start_us"), F.lit(20.0).alias("sample_rate"), F.col("embedding").cast("array<double>").alias("samples"))
+    return catalog.wfdisc_rows(e).select(F.col("wfid").cast("long").alias("wfid"), "sta", "time", "endtime", "nsamp", "samprate")
 
 
 @query("SELECT evid, round(list_sort(list(depth))[CAST(floor(count(*) / 2) AS INTEGER) + 1], 6) AS depth FROM origin GROUP BY evid", (ORIGINS,))

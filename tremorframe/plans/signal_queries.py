@@ -238,11 +238,13 @@ def slice_window(spark, sf):
     return _array_query(lambda: A.time_slice("x", F.lit(10), F.lit(20)))(spark, sf)
 
 
-@query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM arr GROUP BY label", (ARRAYS,))
+@query("SELECT CAST(label AS BIGINT) AS label, CAST(k // 10 AS BIGINT) + 1 AS segment_id, CAST(min(k) * 3200000 + (k // 10) * 1000000 AS BIGINT) AS start_us, count(*) * 64 AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 3) AS total FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings) t GROUP BY label, k // 10")
 def merged_waveforms(spark, sf):
-    """Segments of one network appended in order: how many samples each has."""
-    rows = arrays(spark, sf).select("label", F.col("vec_id").alias("start"), "x").groupBy("label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "x"))), lambda r: r["x"])).alias("x"))
-    return rows.select("label", F.size("x").cast("long").alias("n"))
+    """Segments of one network, each right after the one before but for a second's gap after every tenth."""
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = arrays(spark, sf).withColumn("k", k).select(F.col("label").alias("stream_id"), (F.col("k") * 3_200_000 + F.floor(F.col("k") / 10) * 1_000_000).alias("start_us"), F.lit(20.0).alias("sample_rate"), F.lit(64).alias("n"), F.col("x").alias("samples"))
+    got = triggers.merged_segments(rows)
+    return got.select(F.col("stream_id").alias("label"), "segment_id", "start_us", F.size("samples").cast("long").alias("n"), F.round(A.total("samples"), 3).alias("total"))
 
 
 @query(
@@ -250,12 +252,10 @@ def merged_waveforms(spark, sf):
     (SAMPLES,),
 )
 def gap_segments(spark, sf):
-    """A segment ends where the next sample is over four hours away."""
-    w = Window.partitionBy("stream_id").orderBy("us", "event_id")
-    rows = samples(spark, sf).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    rows = rows.withColumn("fresh", F.when(F.col("us") - F.lag("us").over(w) <= 14_400_000_000, 0).otherwise(1))
-    rows = rows.withColumn("segment_id", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("stream_id", "segment_id").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    """A segment ends where the next sample is over four hours away: samples of two hours, give or take two."""
+    rows = samples(spark, sf).select("stream_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("start_us"), F.lit(1 / 7200).alias("sample_rate"), F.lit(1).alias("n"))
+    rows = triggers.gap_segments(rows, tolerance=1.0)
+    return rows.groupBy("stream_id", "segment_id").agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("start_us").alias("last_us"))
 
 
 @query(
