@@ -191,3 +191,21 @@ def test_open_triggers_in_blocks(spark, block):
     assert sorted((g["on_idx"], g["off_idx"], g["peak"]) for g in got) == [(2, None, 5.0)]
     got = triggers.hysteresis(df, S, c >= 5, c < 2, c, keep_open=True, block=block).collect()
     assert sorted((g["on_idx"], g["off_idx"]) for g in got if g["off_idx"]) == [(2, 4), (6, 18)] and len(got) == 3
+
+
+@pytest.mark.parametrize("block", [9, 50, 10_000])
+def test_measures_in_blocks(spark, block):
+    x = burst(400, 150, 3)
+    df = frame(spark, x, x[:70])
+    whole = df.select("stream_id", "idx", signal.kurtosis(S, 20).alias("k"), signal.moving_envelope(S, 20).alias("e"))
+    got = triggers.in_blocks(df, S, 20, lambda s: {"k": signal.kurtosis(s, 20), "e": signal.moving_envelope(s, 20)}, block)
+    assert got.count() == 470
+    for c in "ke":
+        assert np.allclose(values(got, c), values(whole, c), atol=1e-8)
+
+
+def test_samples_near_picks(spark):
+    df = frame(spark, np.arange(10_000.0), np.arange(50.0))
+    picks = spark.createDataFrame([(0, 0), (0, 4095), (0, 9_999), (1, 20), (1, 400)], "stream_id long, p long")
+    got = triggers.near_samples(df, S, picks, F.col("p") - 3, F.col("p") + 4).groupBy("stream_id", "p").agg(F.min("_i").alias("a"), F.max("_i").alias("b"), F.count("*").alias("n")).collect()
+    assert {(r["stream_id"], r["p"]): (r["a"], r["b"], r["n"]) for r in got} == {(0, 0): (0, 3, 4), (0, 4095): (4092, 4098, 7), (0, 9_999): (9_996, 9_999, 4), (1, 20): (17, 23, 7)}

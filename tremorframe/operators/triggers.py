@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,24 +58,30 @@ def threshold_triggers(df: DataFrame, s: Stream, column: str, trigger: float, de
 BLOCK = 1 << 18
 
 
-def block_ratios(df: DataFrame, s: Stream, sta: int, lta: int, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:
-    """by..., idx, ratio: STA/LTA of the demeaned stream, a block of samples at a time.
+def in_blocks(df: DataFrame, s: Stream, reach: int, measures: Callable[[Stream], dict[str, Column]], block: int = BLOCK) -> DataFrame:
+    """by..., idx and measures whose frames begin at most reach samples before a row, a block of samples at a time.
 
-    The mean comes from one aggregate; the last samples of a block are repeated
-    in the next one, as many as the long window needs, so frames are whole.
+    The last samples of a block are repeated in the next one, so frames are
+    whole; idx counts a stream's samples from 0.
     """
-    lta = max(max(1, sta) + 1, lta)
-    mean = df.groupBy(*s.by).agg(F.avg(s.x).alias("_mean"))
     own = F.floor(s.i / block)
-    again = F.when(s.i % block >= block - min(lta, block), F.array(own, own + 1)).otherwise(F.array(own))
-    if lta > block:
-        again = F.sequence(own, own + -(-lta // block))
-    rows = df.join(mean, list(s.by)).select(*s.by, s.i.alias(s.idx), (s.x - F.col("_mean")).alias("_d"), F.explode(again).alias("_block"))
-    d = Stream((*s.by, "_block"), s.idx, "_d")
-    rows = rows.select(*s.by, s.idx, "_block", signal.sta_lta(d, sta, lta, tiny=tiny).alias("ratio"))
+    again = F.when(s.i % block >= block - min(reach, block), F.array(own, own + 1)).otherwise(F.array(own))
+    if reach > block:
+        again = F.sequence(own, own + -(-reach // block))
+    rows = df.withColumn("_block", F.explode(again))
+    made = measures(Stream((*s.by, "_block"), s.idx, s.value))
+    rows = rows.select(*s.by, s.idx, "_block", *(c.alias(name) for name, c in made.items()))
     return rows.where(F.col("_block") == F.floor(F.col(s.idx) / block)).drop("_block")
 
 
+def block_ratios(df: DataFrame, s: Stream, sta: int, lta: int, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:
+    """by..., idx, ratio: STA/LTA of the demeaned stream, a block of samples at a time; the mean comes from one aggregate."""
+    mean = df.groupBy(*s.by).agg(F.avg(s.x).alias("_mean"))
+    rows = df.join(mean, list(s.by)).select(*s.by, s.i.alias(s.idx), (s.x - F.col("_mean")).alias("_d"))
+    reach = max(max(1, sta) + 1, lta)
+    return in_blocks(rows, Stream(s.by, s.idx, "_d"), reach, lambda d: {"ratio": signal.sta_lta(d, sta, lta, tiny=tiny)}, block)
+
+
 def stalta_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float, detrigger: float, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:
     """Demean, STA/LTA, hysteresis: a row for each trigger that ended; idx counts a stream's samples from 0."""
     return threshold_triggers(block_ratios(df, s, sta, lta, tiny, block), s, "ratio", trigger, detrigger, block)
@@ -86,10 +94,18 @@ def polarization_triggers(df: DataFrame, s: Stream, coupled: str, rect: str, tri
     return hysteresis(df, s, on, off, F.col(coupled))
 
 
+def near_samples(df: DataFrame, s: Stream, picks: DataFrame, first: Column, stop: Column, width: int = 4096) -> DataFrame:
+    """Picks with _i and _x of each sample from first up to stop; picks and samples meet in buckets of so many samples, not by whole streams."""
+    wanted = picks.withColumn("_first", first).withColumn("_stop", stop)
+    wanted = wanted.where("_stop > _first").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_first") / width), F.floor((F.col("_stop") - 1) / width))))
+    rows = df.select(*s.by, s.i.alias("_i"), s.x.alias("_x"), F.floor(s.i / width).alias("_bucket"))
+    return rows.join(wanted, [*s.by, "_bucket"]).where((F.col("_i") >= F.col("_first")) & (F.col("_i") < F.col("_stop"))).drop("_first", "_stop", "_bucket")
+
+
 def aic_refined(df: DataFrame, s: Stream, picks: DataFrame, at: str, reach: int, margin: int = 5) -> DataFrame:
     """picks with refined_idx: the AIC minimum of the samples within reach of ``at``."""
     keyed = picks.withColumn("_at", F.col(at))
-    near = df.select(*s.by, s.i.alias("_i"), s.x.alias("_x")).join(keyed, list(s.by)).where((F.col("_i") >= F.col("_at") - reach) & (F.col("_i") < F.col("_at") + reach))
+    near = near_samples(df, s, keyed, F.col("_at") - reach, F.col("_at") + reach)
     w = Window.partitionBy(*s.by, "_at").orderBy("_i")
     near = near.withColumn("_k", F.row_number().over(w) - 1)
     own = Stream((*s.by, "_at"), "_k", "_x")
@@ -140,7 +156,8 @@ def one_component_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.
 def _finished(df: DataFrame, s: Stream, found: DataFrame, rate: float, refine: int) -> DataFrame:
     """Triggers with the refined onset, the loudest sample of the second from there, and a confidence."""
     found = aic_refined(df, s, found, "on_idx", refine).withColumnRenamed("refined_idx", "pick_idx")
-    loud = df.select(*s.by, s.i.alias("pick_idx"), signal.pick_amplitude(s, int(rate)).alias("amplitude"))
+    at = found.select(*s.by, "pick_idx").distinct()
+    loud = near_samples(df, s, at, F.col("pick_idx"), F.col("pick_idx") + max(1, int(rate))).groupBy(*s.by, "pick_idx").agg(F.max(F.abs("_x")).alias("amplitude"))
     found = found.join(loud, [*s.by, "pick_idx"], "left")
     return found.withColumn("confidence", F.least(F.lit(1.0), F.col("snr") / 10.0)).withColumn("phase", F.lit("P"))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import codes, geo, scales
+from ..functions import codes, geo
 from ..operators import associate, catalog, magnitude, signal, triggers, velocity
 from ..operators.magnitude import network
 from ..operators.signal import Stream

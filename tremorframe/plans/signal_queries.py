@@ -40,8 +40,7 @@ def stalta_triggers(spark, sf):
 
 @query("SELECT stream_id, idx, round(ratio, 6) AS ratio FROM r", (SAMPLES, DEMEANED, STALTA))
 def stalta_ratio(spark, sf):
-    d = samples(spark, sf).withColumn("value", signal.demeaned(S))
-    return d.select("stream_id", "idx", F.round(signal.sta_lta(S, STA, LTA), 6).alias("ratio"))
+    return triggers.block_ratios(samples(spark, sf), S, STA, LTA).select("stream_id", "idx", F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"""SELECT stream_id, idx, round(ratio, 5) AS ratio FROM rec""", ("RECURSIVE " + SAMPLES, f"""rec AS (
@@ -69,7 +68,8 @@ SKEW = "CASE WHEN idx >= 20 AND m2 > 1e-20 THEN m3 / (m2 * sqrt(m2)) ELSE 0.0 EN
 
 @query(f"SELECT stream_id, idx, round({KURT}, 4) AS kurtosis FROM q", (SAMPLES, *_moments(20)))
 def sliding_kurtosis(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.kurtosis(S, 20), 4).alias("kurtosis"))
+    got = triggers.in_blocks(samples(spark, sf), S, 20, lambda s: {"kurtosis": signal.kurtosis(s, 20)})
+    return got.select("stream_id", "idx", F.round("kurtosis", 4).alias("kurtosis"))
 
 
 @query(f"SELECT stream_id, idx, round({SKEW}, 4) AS skewness FROM q", (SAMPLES, *_moments(20)))
