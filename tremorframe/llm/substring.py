@@ -38,7 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
