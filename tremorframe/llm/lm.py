@@ -50,7 +50,7 @@ END = np.uint64(1)
 END_CLASS = 0
 GROUP = 300_000
 #: Tokens that run in one go.
-BLOCK = 4096
+BLOCK = 16_384
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
