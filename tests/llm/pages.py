@@ -56,3 +56,24 @@ PAGES = {
 <p>§Les travaux ont coûté six millions. La coupole a été reconstruite à l'identique, et quatre cents fauteuils neufs attendent les spectateurs.</p><p>§La première soirée sera consacrée à un opéra écrit pour la ville, que personne n'a entendu depuis un siècle.</p></div>
 <div class="c-related"><h3>À lire aussi</h3><a href="/x">Une saison de concerts</a></div><div class="c-footer">Mentions légales</div></body>""",
 }
+
+#: Written after the generator and the number of its pages were settled, and read by the model once: no choice was made on them.
+HELD_OUT = {
+    "recipe in sections": """<body><div id="cookiebar"><p>This site uses cookies. By going on you agree.</p><a href="#">Fine</a></div><div class="site-head"><a href="/">Kettle and Crumb</a><ul><li><a href="/soups">Soups</a></li><li><a href="/cakes">Cakes</a></li></ul></div>
+<div class="recipe-card"><h1>§Leek soup with barley</h1><p>§A soup for the first cold evening. The barley thickens the broth by itself, so there is no need for cream or flour.</p><h3>§Ingredients</h3><ul><li>§three leeks, washed well</li><li>§a cup of pearl barley</li><li>§two litres of stock</li></ul>
+<h3>§Method</h3><ol><li>§Soften the leeks in butter for ten minutes without letting them brown.</li><li>§Add the barley and the stock, and simmer for fifty minutes.</li></ol></div><div class="rating-box">Rate this recipe <a href="#1">1</a> <a href="#2">2</a> <a href="#3">3</a></div>
+<div class="you-might"><h4>You might like</h4><a href="/a">Onion tart</a><a href="/b">Pea soup</a></div><div class="site-foot">© Kettle and Crumb <a href="/contact">Contact</a></div></body>""",
+    "museum page": """<html><body><header><nav aria-label="main"><a href="/visit">Visit</a><a href="/collection">Collection</a></nav></header><main id="main"><h1>§The weavers' hall</h1>
+<p>§The hall was built in 1624 for the guild of weavers, who met here on the first Monday of the month to settle prices and quarrels.</p><figure><img src="x.jpg"><figcaption>§The great loom, restored in 1988.</figcaption></figure>
+<p>§Its floor rests on forty oak piles driven into the river bank. Two of them were replaced last year after divers found that shipworm had eaten them hollow.</p></main><section class="opening-hours"><h2>Opening hours</h2><p>Daily from ten to five, closed on Mondays.</p></section><footer><p>Supported by the city.</p></footer></body></html>""",
+    "spanish blog": """<body><div class="cabecera"><h2><a href="/">Cuaderno de montaña</a></h2></div><div class="barra"><a href="/rutas">Rutas</a> | <a href="/fotos">Fotos</a></div><div class="entrada"><h1>§Una noche en el refugio</h1>
+<p>§Llegamos al refugio cuando ya caía la niebla. El guarda había encendido la estufa y nos esperaba con una olla de garbanzos.</p><p>§Por la mañana el valle estaba cubierto de nubes y las cumbres parecían islas. Bajamos despacio, sin hablar, para no romper el silencio.</p></div>
+<div class="comentarios"><h3>2 comentarios</h3><p>Qué ganas de volver a subir, gracias por contarlo.</p></div><div class="pie">Hecho a mano en Huesca.</div></body>""",
+    "company news, all divs and spans": """<body><div class="wrapper"><div class="top"><span>Norden Pumps</span><span><a href="/products">Products</a></span><span><a href="/jobs">Jobs</a></span></div><div class="left-col"><div><a href="/2023">2023</a></div><div><a href="/2022">2022</a></div></div>
+<div class="middle-col"><div class="headline">§New test bench in service</div><div class="text">§Since Tuesday our works can test pumps of up to two megawatts under full load, which used to mean a journey of six hundred kilometres.</div><div class="text">§The bench recovers nine tenths of the energy and feeds it back into the grid of the works. It took fourteen months to build.</div></div>
+<div class="bottom">Norden Pumps Ltd. Registered office: Harbour Road 4. <a href="/legal">Legal notice</a></div></div></body>""",
+    "wiki": """<body><div id="mw-head"><a href="/login">Log in</a></div><div id="mw-panel"><ul><li><a href="/main">Main page</a></li><li><a href="/random">Random article</a></li></ul></div><div id="content"><h1 id="firstHeading">§Dry stone wall</h1><div id="bodyContent"><div id="toc"><h2>Contents</h2><ul><li><a href="#1">Building</a></li><li><a href="#2">Uses</a></li></ul></div>
+<p>§A dry stone wall is built without mortar. It stands because its stones are set with care, each bearing on two below it and tied across by long stones called throughs.</p><h2>§Building</h2><p>§The footing is dug to firm ground. Two faces lean towards each other as they rise, and small stones, the hearting, fill the gap between them.</p><h2>§Uses</h2><p>§Walls part fields, hold back terraces and shelter sheep from the wind.</p></div></div>
+<div id="footer"><ul><li>This page was last edited on 3 May.</li><li><a href="/about">About</a></li></ul></div></body>""",
+    "press release in a table": """<html><body><table><tr><td><a href="/">Harbour Authority</a></td><td><a href="/press">Press</a> <a href="/ships">Ships</a></td></tr></table><table><tr><td width=120><a href="/a">Tides</a><br><a href="/b">Tariffs</a></td><td><h1>§Third lock opens to traffic</h1><p>§The first ship passed the new lock at noon today, eleven weeks earlier than planned. It can take vessels of up to two hundred metres.</p><p>§"Waiting times will fall by half," said the harbour master, "and that is good for the crews as much as for trade."</p></td></tr></table><p align=center><font size=1>Harbour Authority, Quay 1. All rights reserved.</font></p></body></html>""",
+}
