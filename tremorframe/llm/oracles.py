@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality
+from . import chat, licenses, mixing, quality
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
@@ -106,4 +106,34 @@ m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, q.rate, min(CASE WHE
 SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, CAST(copies AS INTEGER) AS mix_copies, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS mix_copy FROM m"""
 
 
-ORACLES = {"op3_quality_rules": op3(), "op4_license_scan": op4(), "op5_minhash_near_dedup": op5(), "op8_substring_dedup": op8(), "op9_mixing": op9()}
+def op11() -> str:
+    """Every share of every term in every source, without an index."""
+    share = "1 + (1000000000::HUGEINT * (coalesce({n}, 0) + 2)) // ({total} + 2 * v)"
+    apart = "((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT o.lang, source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(any_value(t.total), 0) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t ON t.lang = d.lang AND t.source = d.source GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, k.term, c.n, {share.format(n="c.n", total="g.total")} AS p FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT c.lang, c.term, {share.format(n="sum(c.n)", total="any_value(t.total)")} AS p FROM (SELECT c.*, v.v FROM c JOIN v ON v.lang = c.lang) c JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY lang) t ON t.lang = c.lang GROUP BY c.lang, c.term, v),
+f AS (SELECT x.lang, x.source, y.source AS item, sum({apart}) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT x.lang, x.source, 'term' AS part, x.term AS item, CAST({apart} AS BIGINT) AS value FROM p x JOIN q y ON x.lang = y.lang AND x.term = y.term WHERE x.n > 0 AND x.p > y.p)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) u) z WHERE part = 'pair' OR rank <= 10"""
+
+
+def op12() -> str:
+    said = "</s>[INST] ok [/INST]"
+    # What the template adds: [INST]  [/INST], a space and </s>, [ROLE][TEXT][/ROLE] and the role; each escape is one character.
+    escapes = lambda x: f"len(regexp_extract_all({x}, '{chat.CONTROL}'))"
+    added = f"CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 19 + length(role) + {escapes('role')} END"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    loss = f"coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '')"
+    return f"""WITH c AS (SELECT false AS own, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT true, -7, 0, 'user', '{said}' UNION ALL SELECT true, -7, 1, 'assistant', '{said}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, length({loss}) AS loss_chars, sha256({loss}) AS loss_sha256,
+CAST(3 + sum({added} + length(text) + {escapes('text')}) AS BIGINT) AS formatted_chars FROM c GROUP BY own, conv_id"""
+
+
+ORACLES = {"op3_quality_rules": op3(), "op4_license_scan": op4(), "op5_minhash_near_dedup": op5(), "op8_substring_dedup": op8(), "op9_mixing": op9(), "op11_source_divergence": op11(), "op12_chat_formatting": op12()}

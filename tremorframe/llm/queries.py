@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import htmltext, licenses, lm, media, mixing, neardup, packing, quality, substring, toxicity
+from . import chat, divergence, htmltext, licenses, lm, media, mixing, neardup, packing, quality, spelling, substring, toxicity
 from .oracles import ORACLES
 from .shared import remainder, table
 
@@ -57,6 +57,22 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op6_html_extraction, op7_language_model, op8_substring_dedup, op9_mixing, op10_packing)}
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_formatting(spark, sf_dir):
+    """All conversations, and one of its own whose texts are control strings."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chats.union(chat.format_chats(own)))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage=31))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_quality_rules, op4_license_scan, op5_minhash_near_dedup, op6_html_extraction, op7_language_model, op8_substring_dedup, op9_mixing, op10_packing, op11_source_divergence, op12_chat_formatting, op13_spelling_variants)}
 
 __all__ = ["ORACLES", "QUERIES"]
