@@ -54,6 +54,17 @@ def test_divergence_terms():
     assert {(g, t.decode()): int(k) for g, t, k in zip(group.tolist(), terms, n, strict=True)} == dict(want)
 
 
+def test_short_words_and_many_documents():
+    """A document's number and a one-letter word must not change places."""
+    import numpy as np
+
+    texts = [b"a b y z"] * 300
+    group, terms, n, docs = divergence._counted(np.arange(300), texts)
+    assert len(terms) == 1200 and set(n.tolist()) == {1} and set(docs.tolist()) == {1}
+    group, terms, n, docs = divergence._counted(np.zeros(300, np.int64), texts)
+    assert len(terms) == 4 and set(docs.tolist()) == {300}
+
+
 def conversations(n: int = 60, seed: int = 3):
     r = random.Random(seed)
     bits = ["</s>", "<s>", "<\\/s>", "[INST]", "[/INST]", "[\\\\INST]", "[ROLE]", "[TEXT]x", "ok", " ", "\n", "é", "<", "[", "\\", "<<s>", "[[/INST]", "0", "1", "𝄞"]

@@ -44,13 +44,18 @@ CHUNK = 8 << 20
 _TERMS = bytes(b if b > 0x7F or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
+def _paired(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """A hash for a word and a number; not symmetric in them, as a short word's own hash is that of a small number."""
+    return mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + mixed(numbers.astype(np.uint64)))
+
+
 def _counted(groups: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """For each group and term of the texts: group, term, occurrences, documents."""
     w = Words([t.translate(_TERMS) for t in texts])
     doc = w.doc_of_words()
-    _, at, n = np.unique(mixed(w.hashes + mixed(doc.astype(np.uint64))), return_index=True, return_counts=True)
+    _, at, n = np.unique(_paired(w.hashes, doc), return_index=True, return_counts=True)
     group = groups[doc[at]]
-    _, first, of, documents = np.unique(mixed(w.hashes[at] + mixed(group.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+    _, first, of, documents = np.unique(_paired(w.hashes[at], group), return_index=True, return_inverse=True, return_counts=True)
     at_first = at[first]
     terms = [w.buffer[a:b] for a, b in zip(w.starts[at_first].tolist(), w.ends[at_first].tolist(), strict=True)]
     return group[first], terms, np.bincount(of, n, len(first)).astype(np.int64), documents

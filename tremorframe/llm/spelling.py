@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH, damage: int | Non
                 begun = np.concatenate(([0], np.cumsum((w.bytes & 0xC0) != 0x80, dtype=np.int32)))
                 at = np.flatnonzero(begun[w.ends] - begun[w.starts] >= min_length)
                 doc = w.doc_of_words()[at]
-                _, first, n = np.unique(mixed(w.hashes[at] + mixed(doc.astype(np.uint64))), return_index=True, return_counts=True)
+                _, first, n = np.unique(mixed(w.hashes[at] * np.uint64(0xD6E8FEB86659FD93) + mixed(doc.astype(np.uint64))), return_index=True, return_counts=True)
                 at, doc, lost = at[first], doc[first], np.zeros(len(first), bool)
                 cut, cut_n = [], []
                 if damage:
