@@ -14,31 +14,32 @@ def _count(pattern: str) -> str:
 
 def op3() -> str:
     white = r"[\x20\x09-\x0D]"
-    ratios = list(quality.SPREADS)
-    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, CAST(floor(ln({r} / {quality.UNIT}) / ln({quality.GAMMA})) AS INTEGER) AS bin FROM m WHERE NOT base_failed" for r in ratios)
+    of = {"symbol_rate": ("n_symbols", "n_words", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6), "upper_rate": ("n_upper", "word_chars", 1)}
+    low = lambda n, w, k: f"(greatest({n} - sqrt({n} * {k}.0::DOUBLE), 0) / ({w} + 1))"
+    high = lambda n, w, k: f"(({n} + sqrt({n} * {k}.0::DOUBLE) + {k}) / ({w} + 1))"
+    rates = ", ".join(f"{low(*x)} AS {r}_low, {high(*x)} AS {r}_high" for r, x in of.items())
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, CAST(floor(ln({r}_high / {quality.UNIT}) / ln({quality.GAMMA})) AS INTEGER) AS bin FROM m WHERE NOT base_failed" for r in of)
     top = lambda q: f"{quality.UNIT} * pow({quality.GAMMA}, min(CASE WHEN 100 * run >= {q} * total THEN bin END) + 1)"
-    spread = " ".join(f"WHEN '{r}' THEN {x}" for r, x in quality.SPREADS.items())
-    limits = ", ".join(f"max(CASE WHEN ratio = '{r}' THEN lim END) AS {r}_l" for r in ratios)
-    good = " AND ".join(f"coalesce(m.{r} <= l.{r}_l, false)" for r in ratios)
+    limits = ", ".join(f"max(CASE WHEN rate = '{r}' THEN lim END) AS {r}_l" for r in of)
+    good = " AND ".join(f"coalesce(m.{r}_low <= l.{r}_l, false)" for r in of)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 c AS (SELECT *, len(w) AS n, length(regexp_replace(t, '{white}', '', 'g')) AS word_chars, {_count("[#*$%&|<>]")} AS n_symbols, {_count("[A-Z]")} AS n_upper, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) x),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM win) y WHERE k > 1) z GROUP BY rid),
 e AS (SELECT c.rid, doc_id, lang, source, c.n AS n_words, word_chars, n_symbols, n_upper, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM c LEFT JOIN rep ON rep.rid = c.rid),
-m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (n_symbols + 0.5::DOUBLE) / (n_words + 1) AS symbol_ratio, (n_dup_lines + 0.5::DOUBLE) / (n_lines + 1) AS dup_line_ratio,
-  (n_repeat_words + 0.5::DOUBLE) / (n_words + 1) AS repeat_ratio, (n_upper + 0.5::DOUBLE) / (word_chars + 1) AS upper_ratio FROM e),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM e),
 b AS ({bins}),
-g AS (SELECT lang, source, ratio, bin, count(*)::HUGEINT AS n FROM b GROUP BY ALL),
-a AS (SELECT ratio, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY ratio) AS total FROM g GROUP BY ratio, bin),
-lang0 AS (SELECT lang, ratio, bin, sum(n) AS n FROM g GROUP BY ALL),
-lang1 AS (SELECT x.lang, x.ratio, x.bin, x.n * t.total AS n FROM lang0 x JOIN (SELECT DISTINCT ratio, total FROM a) t ON t.ratio = x.ratio UNION ALL SELECT x.lang, a.ratio, a.bin, {quality.PRIOR} * a.n FROM (SELECT DISTINCT lang, ratio FROM lang0) x JOIN a ON a.ratio = x.ratio),
-p AS (SELECT lang, ratio, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, ratio) AS total FROM lang1 GROUP BY lang, ratio, bin),
-g1 AS (SELECT x.lang, x.source, x.ratio, x.bin, x.n * t.total AS n FROM g x JOIN (SELECT DISTINCT lang, ratio, total FROM p) t ON t.lang IS NOT DISTINCT FROM x.lang AND t.ratio = x.ratio
-  UNION ALL SELECT x.lang, x.source, p.ratio, p.bin, {quality.PRIOR} * p.n FROM (SELECT DISTINCT lang, source, ratio FROM g) x JOIN p ON p.lang IS NOT DISTINCT FROM x.lang AND p.ratio = x.ratio),
-g2 AS (SELECT lang, source, ratio, bin, sum(n) AS n FROM g1 GROUP BY ALL),
-r AS (SELECT lang, source, ratio, bin, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, source, ratio) AS total FROM g2),
-q AS (SELECT lang, source, ratio, {top(50)} AS middle, {top(10)} AS low FROM r GROUP BY ALL),
-l AS (SELECT lang, source, {limits} FROM (SELECT *, middle + (CASE ratio {spread} END) * (middle - low) AS lim FROM q) x GROUP BY lang, source)
+g AS (SELECT lang, source, rate, bin, count(*)::HUGEINT AS n FROM b GROUP BY ALL),
+a AS (SELECT rate, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rate) AS total FROM g GROUP BY rate, bin),
+lang0 AS (SELECT lang, rate, bin, sum(n) AS n FROM g GROUP BY ALL),
+lang1 AS (SELECT x.lang, x.rate, x.bin, x.n * t.total AS n FROM lang0 x JOIN (SELECT DISTINCT rate, total FROM a) t ON t.rate = x.rate UNION ALL SELECT x.lang, a.rate, a.bin, {quality.PRIOR} * a.n FROM (SELECT DISTINCT lang, rate FROM lang0) x JOIN a ON a.rate = x.rate),
+p AS (SELECT lang, rate, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, rate) AS total FROM lang1 GROUP BY lang, rate, bin),
+g1 AS (SELECT x.lang, x.source, x.rate, x.bin, x.n * t.total AS n FROM g x JOIN (SELECT DISTINCT lang, rate, total FROM p) t ON t.lang IS NOT DISTINCT FROM x.lang AND t.rate = x.rate
+  UNION ALL SELECT x.lang, x.source, p.rate, p.bin, {quality.PRIOR} * p.n FROM (SELECT DISTINCT lang, source, rate FROM g) x JOIN p ON p.lang IS NOT DISTINCT FROM x.lang AND p.rate = x.rate),
+g2 AS (SELECT lang, source, rate, bin, sum(n) AS n FROM g1 GROUP BY ALL),
+r AS (SELECT lang, source, rate, bin, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bin) AS run, sum(n) OVER (PARTITION BY lang, source, rate) AS total FROM g2),
+q AS (SELECT lang, source, rate, least({top(quality.UPPER)}, {quality.REACH} * {top(50)}) AS lim FROM r GROUP BY ALL),
+l AS (SELECT lang, source, {limits} FROM q GROUP BY lang, source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {good} AS kept
 FROM m LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source"""
 

@@ -1,22 +1,28 @@
 """Quality rules: thresholds that adapt to each language and source.
 
-Each row gets four ratios from built-in functions alone, each with half an event
-added, so that a short text needs more than one event to stand out.  A sketch
-of each ratio is kept for every (lang, source) over the rows that pass the base
-rules: counts of logarithmic bins, as in a DDSketch, so sketches merge by adding
-counts, do not depend on the order of rows or on partitions, and a quantile read
-from them is within GAMMA of the exact one.
-
-A group's limit is its median and SPREADS times the distance from its lower
-tenth to the median.  Both quantiles are of the group's better half, so up to
-half of its rows may be junk without moving them far.  Nothing else decides:
-there is no floor and no ceiling.  A small group leans on its language: PRIOR
-rows of the language's sketch are mixed into each group's, and PRIOR rows of
-all rows' into the language's, by adding counts, whatever the sizes.  The limits
-are then joined to the rows, which decides ``kept``.
+Each row counts four kinds of event with built-in functions alone: symbols,
+repeated lines, words in repeated windows, capitals.  How often an event comes
+in a text of so many words (lines, characters) is known only roughly, so each
+rate gets a low and a high estimate, one root of the count to either side; words
+repeat in clumps of six, two windows of three, and count as such.  A row is
+refused only if its low estimate is over what high estimates usual in its group
+reach.  A row without an event has a low estimate of 0 and always passes,
+whatever its length.
+
+A sketch of the high estimates is kept for every (lang, source) over the rows
+that pass the base rules: counts of logarithmic bins, as in a DDSketch, so
+sketches merge by adding counts, do not depend on the order of rows or on
+partitions, and a quantile read from them is within GAMMA of the exact one.  A
+group's limit is the UPPER hundredth of its sketch, or REACH times its median if
+that is less: junk in more than a hundredth of a group moves the first, and up
+to half of a group's rows may be junk without moving the second far.  A small
+group leans on its language: PRIOR rows of the language's sketch are mixed into
+each group's, and PRIOR rows of all rows' into the language's, by adding counts,
+whatever the sizes.  The limits are then joined to the rows, which decides
+``kept``.
 
 Nulls: a null text has no words; null lang or source form groups of their own.
-Ids are never used to decide, so repeated rows are judged alike.  Ties: a ratio
+Ids are never used to decide, so repeated rows are judged alike.  Ties: a rate
 equal to its limit passes.  A group of which no row passes the base rules has no
 limits, and none of its rows is kept; an empty table gives no rows.  A text's
 words and windows are arrays of its own row, so its length is bounded by a
@@ -32,18 +38,20 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WHITE = "[\\x20\\x09-\\x0D]"
-#: The ratios, and how many times the distance from the lower tenth to the median a row may be over the median.
-SPREADS = {"symbol_ratio": 30, "dup_line_ratio": 12, "repeat_ratio": 150, "upper_ratio": 12}
+#: Each rate: the events, what they are counted in, and how many of them come at once.
+RATES = {"symbol_rate": ("n_symbols", "n_words", 1), "dup_line_rate": ("n_dup_lines", "_n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6), "upper_rate": ("_upper", "word_chars", 1)}
+#: The quantile in hundredths, and how many times the median, that bound a group's usual rates.
+UPPER, REACH = 99, 20
 #: Rows' worth of the parent's sketch in each sketch.
-PRIOR = 100
+PRIOR = 10
 GAMMA = 1.005
-#: The bins' unit; a ratio is 0.5 / (words + 1) at least.
+#: The bins' unit; a high estimate is 1 / (words + 1) at least.
 UNIT = 1e-6
 COUNT = "decimal(38,0)"
 
 
 def measures(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep..., the counts of the contract and the ratios."""
+    """keep..., the counts of the contract, and <rate>_low and <rate>_high for each rate."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = df.select(*keep, text.alias("_text"))
     df = df.withColumn("_words", F.filter(F.split("_text", WHITE + "+"), lambda w: w != ""))
@@ -71,14 +79,18 @@ def measures(df: DataFrame, keep: list[str]) -> DataFrame:
     # Words covered by the windows at these places, each word once.
     covered = F.aggregate("_places", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(a["end"], p)).alias("n")), lambda a: a["n"])
     n = F.col("n_words")
-    ratio = lambda count, of: (F.col(count) + 0.5) / (F.col(of) + 1)
+
+    def estimates(rate: str) -> list[Column]:
+        count, of, clump = RATES[rate]
+        spread = F.sqrt(F.col(count) * float(clump))
+        return [(F.greatest(F.col(count) - spread, F.lit(0.0)) / (F.col(of) + 1)).alias(f"{rate}_low"), ((F.col(count) + spread + clump) / (F.col(of) + 1)).alias(f"{rate}_high")]
+
     return df.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "_upper", "_n_lines"
     ).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((n < 50) | (100 * F.col("n_repeat_words") > 50 * n)).alias("base_failed"),
-        ratio("n_symbols", "n_words").alias("symbol_ratio"), ratio("n_dup_lines", "_n_lines").alias("dup_line_ratio"),
-        ratio("n_repeat_words", "n_words").alias("repeat_ratio"), ratio("_upper", "word_chars").alias("upper_ratio"),
+        *(e for r in RATES for e in estimates(r)),
     )
 
 
@@ -91,24 +103,24 @@ def bin_top(number: Column) -> Column:
 
 
 def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
-    """groups..., ratio, bin, n: mergeable by adding n."""
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), bin_of(F.col(r)).alias("bin")) for r in SPREADS)))
-    return measured.select(*groups, each.alias("_r")).groupBy(*groups, F.col("_r.ratio").alias("ratio"), F.col("_r.bin").alias("bin")).agg(F.count("*").cast(COUNT).alias("n"))
+    """groups..., rate, bin, n of the high estimates: mergeable by adding n."""
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), bin_of(F.col(f"{r}_high")).alias("bin")) for r in RATES)))
+    return measured.select(*groups, each.alias("_r")).groupBy(*groups, F.col("_r.rate").alias("rate"), F.col("_r.bin").alias("bin")).agg(F.count("*").cast(COUNT).alias("n"))
 
 
 def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    return sketch.groupBy(*groups, "ratio", "bin").agg(F.sum("n").cast(COUNT).alias("n"))
+    return sketch.groupBy(*groups, "rate", "bin").agg(F.sum("n").cast(COUNT).alias("n"))
 
 
 def gathered(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """groups..., ratio, size, bins: a sketch's bins as one array of (bin, n), a few thousand at most."""
-    return sketch.groupBy(*groups, "ratio").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").cast(COUNT).alias("size"))
+    """groups..., rate, size, bins: a sketch's bins as one array of (bin, n), a few thousand at most."""
+    return sketch.groupBy(*groups, "rate").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").cast(COUNT).alias("size"))
 
 
 def leaning(own: DataFrame, parent: DataFrame, on: list[str], prior: int = PRIOR) -> DataFrame:
     """own (gathered) with ``prior`` rows' worth of its parent's bins mixed in; counts become n * the parent's size + prior * the parent's n, which are whole."""
-    wide = parent.select(*(F.col(c).alias(f"_{c}") for c in on), F.col("ratio").alias("_ratio"), F.col("bins").alias("_bins"), F.col("size").alias("_size"))
-    same = F.col("ratio") == F.col("_ratio")
+    wide = parent.select(*(F.col(c).alias(f"_{c}") for c in on), F.col("rate").alias("_rate"), F.col("bins").alias("_bins"), F.col("size").alias("_size"))
+    same = F.col("rate") == F.col("_rate")
     for c in on:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     scaled = lambda bins, by: F.transform(bins, lambda x: F.struct(x["bin"].alias("bin"), (x["n"] * by).cast(COUNT).alias("n")))
@@ -126,25 +138,23 @@ def quantile(q: int) -> Column:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """lang, source, then a limit for each ratio."""
+    """lang, source, then a limit for each rate."""
     sketch = sketches(measured.where(~F.col("base_failed")), ["lang", "source"])
     language = merged(sketch, ["lang"])
     wide = leaning(gathered(language, ["lang"]), gathered(merged(language, []), []), [])
     own = leaning(gathered(sketch, ["lang", "source"]), wide, ["lang"])
-    middle, low = quantile(50), quantile(10)
-    spread = F.coalesce(*(F.when(F.col("ratio") == r, F.lit(x)) for r, x in SPREADS.items()))
-    limit = own.select("lang", "source", "ratio", middle.alias("middle"), low.alias("low")).withColumn("limit", F.col("middle") + spread * (F.col("middle") - F.col("low")))
-    return limit.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"{r}_limit") for r in SPREADS))
+    limit = own.select("lang", "source", "rate", F.least(quantile(UPPER), REACH * quantile(50)).alias("limit"))
+    return limit.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"{r}_limit") for r in RATES))
 
 
 def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row with its counts, ratios, limits and kept."""
+    """Every row with its counts, rates, limits and kept."""
     more = [c for c in keep if c not in ("lang", "source")]
     measured = written(measures(docs.select("text", "lang", "source", *more), ["lang", "source", *more]), "quality")
     # A row for each language and source, as a table of its own: Spark broadcasts it if it is small, else the join can split hot keys.
     limit = written(thresholds(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "limits")
     rows = measured.join(limit, measured.lang.eqNullSafe(F.col("_lang")) & measured.source.eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     good = ~F.col("base_failed")
-    for r in SPREADS:
-        good = good & F.coalesce(F.col(r) <= F.col(f"{r}_limit"), F.lit(False))
+    for r in RATES:
+        good = good & F.coalesce(F.col(f"{r}_low") <= F.col(f"{r}_limit"), F.lit(False))
     return rows.withColumn("kept", good)
