@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tremorframe.llm import htmltext, packing
-from tremorframe.llm.blocks import Block, read_blocks
+from tremorframe.llm.blocks import Block, Element, read_blocks
 from tremorframe.llm.pagegen import page
 
 
@@ -53,10 +54,86 @@ def test_reader_takes_anything(html):
 
 def test_measures_read_whole_blocks():
     """Blocks that differ only after 200 characters have different shares of digits."""
-    a, b = (htmltext._measures(Block("x" * 200 + tail, ("p",), 0), 0, 1)[-1] for tail in ("y" * 200, "7" * 200))
+    a, b = (htmltext._measures(Block("x" * 200 + tail, Element("p"), 0), 0, 1)[-1] for tail in ("y" * 200, "7" * 200))
     assert (a, b) == (0.0, 0.5)
 
 
+BROKEN = {
+    "deep": ("<div>x" * 100_000, 100_000),
+    "names": ("".join(f"<div class=c{i}>x" for i in range(50_000)), 50_000),
+    "no end": ("<a " * 200_000, 1),
+    "less than": ("x<y " * 200_000, 1),
+    "quotes": ("<b \">\"'" * 50_000 + "<i>z", None),
+    "items": ("<div>" * 30_000 + "<li>x" * 30_000 + "</b>" * 30_000, 30_000),
+    "cells": ("<a><table>" + "<b>" * 30_000 + "</a>y" * 30_000, 1),
+    "cut off": ("<p>one<p>two<div class='a b", 2),
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_pages_take_time_as_their_length(kind):
+    import time
+
+    html, want = BROKEN[kind]
+    began = time.process_time()
+    got = read_blocks(html)
+    assert time.process_time() - began < 20 and (want is None or len(got) == want)
+
+
+def plain_path_vector(path):
+    out = np.zeros(htmltext.PATH_SIZE, np.float32)
+    for up, element in enumerate(reversed(path)):
+        tag, *names = element.split(".")
+        out[zlib.crc32(f"t{tag}".encode()) % htmltext.PATH_SIZE] += 1.0 if up < 2 else 0.5
+        for name in names:
+            out[zlib.crc32(f"n{name}".encode()) % htmltext.PATH_SIZE] += 1.0
+    return np.minimum(out, 2.0)
+
+
+def test_path_vectors():
+    html = "<body class=x><div id=a-b>" * 4 + "<ul><li class='a a a'>one<li><p>two</ul><table><tr><td><b>three" + "".join(page(i)[0] for i in range(5))
+    blocks = read_blocks(html) + read_blocks("none") + read_blocks("".join(f"<div class='n{i}'>x" for i in range(700)))
+    assert all((htmltext._path_vector(b.element) == plain_path_vector(b.path)).all() for b in blocks)
+    assert len({id(htmltext._sums(b.element)) for b in read_blocks("<div>x" * 3000)}) <= 4
+
+
+def plain_labeller(p, x):
+    """The network's output for one page, a number at a time."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n, h_size = len(x), htmltext.HIDDEN
+    states = {}
+    for way, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+        h, c = [0.0] * h_size, [0.0] * h_size
+        for t in order:
+            z = [float(p[f"b{way}"][k]) + sum(float(x[t][i]) * float(p[f"x{way}"][i, k]) for i in np.flatnonzero(x[t])) + sum(h[j] * float(p[f"h{way}"][j, k]) for j in range(h_size)) for k in range(4 * h_size)]
+            c = [sig(z[h_size + j]) * c[j] + sig(z[j]) * math.tanh(z[3 * h_size + j]) for j in range(h_size)]
+            h = [sig(z[2 * h_size + j]) * math.tanh(c[j]) for j in range(h_size)]
+            states[way, t] = h
+    return [float(p["c"][0]) + sum(a * float(w) for a, w in zip(states["f", t] + states["b", t], p["o"], strict=True)) for t in range(n)]
+
+
+def test_the_network_equals_a_plain_one():
+    m = htmltext.Labeller(5)
+    pages = [read_blocks(page(i)[0])[:9] for i in (1, 2, 3)]
+    x, mask = htmltext.padded(htmltext.vectors(pages), [len(p) for p in pages])
+    got = m.logits(x, mask)
+    for k, p in enumerate(pages):
+        want = plain_labeller(m.p, htmltext.vectors([p]))
+        assert np.allclose(got[: len(p), k], want, atol=1e-4)
+        for step in (1, 4, 100):
+            assert np.allclose(m.logits_of_one(p, step), want, atol=1e-4)
+
+
+def test_a_page_longer_than_a_group(monkeypatch):
+    pages = [read_blocks(page(i)[0]) for i in range(6)]
+    model, want = htmltext.Labeller(2), None
+    for group in (htmltext.GROUP, 7, 40):
+        monkeypatch.setattr(htmltext, "GROUP", group)
+        got = [x.tolist() for x in htmltext.labels(model, pages)]
+        want = want or got
+        assert got == want
+
+
 def test_gradients():
     m, rng = htmltext.Labeller(3), np.random.default_rng(1)
     x, mask = htmltext.padded(rng.normal(size=(7, htmltext.INPUT)).astype(np.float32), [4, 3])

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+#: Where something other than text may begin; comments, CDATA and declarations; a tag with quoted values; a tag up to the next >.
+START = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+NOTE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Tags whose quotes do not close are read anew as PLAIN; so many times the page's length may be read in vain before no quotes are looked for.
+VAIN = 8
 NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -47,12 +50,41 @@ ENDS = {
 KEEPS_P = frozenset("html body option".split())
 
 
+#: Elements whose presence round a block is one of its measures.
+LISTS = frozenset("ul ol dl table".split())
+
+
+class Element:
+    """An open element: its own tag and names, and those round it by ``parent``.
+
+    Blocks share their elements, so a page of n blocks and m tags has n + m of
+    these however deep its tags are nested.
+    """
+
+    __slots__ = ("hidden", "in_list", "memo", "names", "parent", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...] = (), hidden: bool = False, parent: Element | None = None) -> None:
+        self.tag, self.names, self.hidden, self.parent = tag, names, hidden, parent
+        self.in_list = tag in LISTS or parent is not None and parent.in_list
+        #: For whoever computes something of the elements from the outside in.
+        self.memo = None
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    element: Element | None
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The elements outside in, each as tag or tag.name..."""
+        out, e = [], self.element
+        while e is not None:
+            out.append(".".join((e.tag, *e.names)))
+            e = e.parent
+        return tuple(reversed(out))
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     found = []
@@ -61,30 +93,67 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Open:
+    """The open elements, and where those of each tag stand, so that no search walks through them."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, e: Element) -> None:
+        self.at[e.tag].append(len(self.stack))
+        if e.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def pop(self) -> Element:
+        e = self.stack.pop()
+        self.at[e.tag].pop()
+        if e.tag in BLOCK:
+            self.blocks.pop()
+        return e
+
+    def last(self, tags) -> int:
+        """The depth of the innermost of these, -1 if none is open."""
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=-1)
+
+    def first_inside(self, tags, border: int) -> int:
+        """The depth of the outermost of these inside of the border, or the number of elements."""
+        out = len(self.stack)
+        for t in tags:
+            own = self.at.get(t)
+            if own and own[-1] > border:
+                out = min(out, own[bisect_right(own, border)])
+        return out
+
+
 def read_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; path: elements outside in, each as tag or tag.name..."""
-    stack: list[tuple[str, str, bool]] = []
+    """The blocks of a page in order, in time and memory that grow with its length, whatever its markup."""
+    opened = _Open()
+    stack = opened.stack
     out: list[Block] = []
     pieces: list[str] = []
     linked, links, unseen, at = 0, 0, 0, 0
+    last, vain = page.rfind(">"), VAIN * len(page)
 
     def close() -> None:
         nonlocal linked
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append(Block(text, tuple(e[1] for e in stack), linked))
+                out.append(Block(text, stack[-1] if stack else None, linked))
             pieces.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal links, unseen
-        tag, _, hidden = stack.pop()
-        links -= tag == "a"
-        unseen -= hidden
+        e = opened.pop()
+        links -= e.tag == "a"
+        unseen -= e.hidden
 
     def cut(depth: int) -> None:
-        if any(e[0] in BLOCK for e in stack[depth:]):
+        if opened.blocks and opened.blocks[-1] >= depth:
             close()
         while len(stack) > depth:
             pop()
@@ -97,47 +166,43 @@ def read_blocks(page: str) -> list[Block]:
                 linked += len(text)
 
     while at < len(page):
-        m = TOKEN.search(page, at)
+        m = START.search(page, at)
         if not m:
             say(page[at:])
             break
         say(page[at : m.start()])
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        at = m.start()
+        if page[at + 1] in "!?":
+            m = NOTE.match(page, at)
+            at = m.end()
             if m[0].startswith("<![CDATA["):
                 say(m[0][9:-3])
             continue
-        tag = tag.lower()
+        if at > last:
+            say("<")
+            at += 1
+            continue
+        m = QUOTED.match(page, at) if vain >= 0 else None
+        if not m:
+            vain -= len(page) - at
+            m = PLAIN.match(page, at)
+        at = m.end()
+        end, tag, attributes = m[1], m[2].lower(), m[3]
         if end:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    cut(depth)
-                    break
-                if stack[depth][0] in ("table", "td", "th") and tag not in BLOCK:
-                    break
-            else:
+            depth = opened.last((tag,))
+            if depth < 0:
                 if tag in BLOCK:
                     close()
+            elif tag in BLOCK or depth >= opened.last(("table", "td", "th")):
+                cut(depth)
             continue
         if tag in BLOCK:
-            if tag not in KEEPS_P:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        cut(depth)
-                        break
-                    if stack[depth][0] in BLOCK:
-                        break
+            if tag not in KEEPS_P and opened.blocks and stack[opened.blocks[-1]].tag == "p":
+                cut(opened.blocks[-1])
             close()
         if tag in ENDS:
             kinds, scope = ENDS[tag]
-            depth = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in scope:
-                    break
-                if stack[i][0] in kinds:
-                    depth = i
-            cut(depth)
+            cut(opened.first_inside(kinds, opened.last(scope)))
         if tag in SPACED:
             say(" ")
         if tag in VOID:
@@ -145,7 +210,7 @@ def read_blocks(page: str) -> list[Block]:
         hidden = tag in UNSEEN or bool(HIDDEN.search(attributes))
         names = _names(attributes) if attributes else ()
         if not attributes.rstrip().endswith("/") or tag not in ("svg", "math", "path"):
-            stack.append((tag, ".".join((tag, *names)), hidden))
+            opened.push(Element(tag, names, hidden, stack[-1] if stack else None))
             links += tag == "a"
             unseen += hidden
         if tag in RAW:

@@ -13,7 +13,9 @@ once a session; the weights (about 200 kB) are broadcast.
 
 Nulls: null or empty html gives the empty text.  Repeated rows are read each,
 alike.  A block whose odds tie is left out.  An empty table gives no rows.  A
-very long page is one sequence of all its blocks, whose vectors a task holds.
+very long page is one sequence: a task holds its text and blocks, and the vectors
+of GROUP blocks at a time; tags may be nested to any depth, and time and memory
+grow with the page's length whether or not its markup is broken or cut off.
 Columns besides html and those kept are not looked at, and kept ones may have
 any name but those of the result.
 """
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Block, read_blocks
+from .blocks import Block, Element, read_blocks
 from .shared import CLEARED, map_arrow, widened
 from .words import Words
 
@@ -40,34 +42,58 @@ GROUP = 20_000
 
 
 @functools.lru_cache(100_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed elements and names; names of all ancestors count, the nearest most."""
-    out = np.zeros(PATH_SIZE, np.float32)
-    for up, element in enumerate(reversed(path)):
-        tag, *names = element.split(".")
-        out[zlib.crc32(f"t{tag}".encode()) % PATH_SIZE] += 1.0 if up < 2 else 0.5
-        for name in names:
-            out[zlib.crc32(f"n{name}".encode()) % PATH_SIZE] += 1.0
+def _place(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace")) % PATH_SIZE
+
+
+CLEARED.append(_place.cache_clear)
+
+
+def _sums(element: Element) -> np.ndarray:
+    """Half for the tag and one for each name of the element and all round it, up to 2, by hashed place.
+
+    An element that adds nothing shares the vector of the one round it, and as
+    sums end at 2, no more than 4 x PATH_SIZE vectors are on the way to any.
+    """
+    way = []
+    while element is not None and element.memo is None:
+        way.append(element)
+        element = element.parent
+    now = element.memo if element is not None else np.zeros(PATH_SIZE, np.float32)
+    for e in reversed(way):
+        new = now.copy()
+        new[_place(f"t{e.tag}")] += 0.5
+        for name in e.names:
+            new[_place(f"n{name}")] += 1.0
+        np.minimum(new, 2.0, out=new)
+        now = e.memo = now if np.array_equal(new, now) else new
+    return now
+
+
+def _path_vector(element: Element | None) -> np.ndarray:
+    """Hashed elements and names; names of all ancestors count, the nearest two tags most."""
+    if element is None:
+        return np.zeros(PATH_SIZE, np.float32)
+    out = _sums(element).copy()
+    for e in (element, element.parent):
+        if e is not None:
+            out[_place(f"t{e.tag}")] += 0.5
     return np.minimum(out, 2.0)
 
 
-CLEARED.append(_path_vector.cache_clear)
-
-
 def _measures(b: Block, i: int, n: int) -> list[float]:
     text, size = b.text, len(b.text)
     words = text.count(" ") + 1
-    tags = {e.split(".", 1)[0] for e in b.path}
-    own = b.path[-1].split(".", 1)[0] if b.path else ""
+    own = b.element.tag if b.element else ""
     return [
         np.log1p(words) / 5, np.log1p(size) / 7, min(1.0, b.linked / size), text[-1] in ".!?…:;\"'”»", sum(map(text.count, ".,;")) / words,
-        i / n, float(i < 3), float(n - i <= 3), own in ("h1", "h2", "h3", "h4", "h5", "h6"), own == "p", bool(tags & {"ul", "ol", "dl", "table"}), sum(map(str.isdigit, text)) / size,
+        i / n, float(i < 3), float(n - i <= 3), own in ("h1", "h2", "h3", "h4", "h5", "h6"), own == "p", bool(b.element and b.element.in_list), sum(map(str.isdigit, text)) / size,
     ]
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """One row for each block of all pages."""
-    blocks = [b for p in pages for b in p]
+def vectors(pages: list[list[Block]], part: slice = slice(None)) -> np.ndarray:
+    """One row for each block of all pages, or of this part of each."""
+    blocks = [b for p in pages for b in p[part]]
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
         return x
@@ -77,9 +103,9 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = counts / np.sqrt(1 + counts.sum(1, keepdims=True))
     k = 0
     for p in pages:
-        for i, b in enumerate(p):
-            x[k, :PATH_SIZE] = _path_vector(b.path)
-            x[k, PATH_SIZE + WORD_SIZE :] = _measures(b, i, len(p))
+        for i in range(len(p))[part]:
+            x[k, :PATH_SIZE] = _path_vector(p[i].element)
+            x[k, PATH_SIZE + WORD_SIZE :] = _measures(p[i], i, len(p))
             k += 1
     return x
 
@@ -101,12 +127,12 @@ class Labeller:
         self.p["o"] = r.normal(0, HIDDEN**-0.5, 2 * HIDDEN).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def _run(self, way: str, x: np.ndarray, mask: np.ndarray, memory: bool):
-        """x: (steps, pages, INPUT); states (steps, pages, HIDDEN), and the gates if wanted."""
+    def _run(self, way: str, x: np.ndarray, mask: np.ndarray, memory: bool, before: tuple[np.ndarray, np.ndarray] | None = None):
+        """x: (steps, pages, INPUT); states (steps, pages, HIDDEN), the gates if wanted, and what to go on with (h, c)."""
         steps, pages, _ = x.shape
         given = x.reshape(-1, INPUT) @ self.p[f"x{way}"] + self.p[f"b{way}"]
         given = given.reshape(steps, pages, -1)
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = before or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         states, kept = np.empty((steps, pages, HIDDEN), np.float32), []
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             z = given[t] + h @ self.p[f"h{way}"]
@@ -119,7 +145,7 @@ class Labeller:
                 kept.append((t, i, f, o, g, c, squashed, h))
             c, h = np.where(m, new, c), np.where(m, o * squashed, h)
             states[t] = h
-        return states, kept
+        return states, kept, (h, c)
 
     def _back(self, way: str, x, mask, kept, d_states, grads) -> None:
         steps, pages, _ = x.shape
@@ -139,15 +165,26 @@ class Labeller:
         grads[f"b{way}"] += flat.sum(0)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        f, _ = self._run("f", x, mask, False)
-        b, _ = self._run("b", x, mask, False)
+        f, _, _ = self._run("f", x, mask, False)
+        b, _, _ = self._run("b", x, mask, False)
         return f @ self.p["o"][:HIDDEN] + b @ self.p["o"][HIDDEN:] + self.p["c"]
 
+    def logits_of_one(self, page: list[Block], step: int) -> np.ndarray:
+        """The same for one page, with the vectors of so many blocks at once: what is read either way is carried on."""
+        out, starts = np.full(len(page), self.p["c"], np.float32), range(0, len(page), step)
+        for way, order, o in (("f", starts, self.p["o"][:HIDDEN]), ("b", reversed(starts), self.p["o"][HIDDEN:])):
+            carried = None
+            for a in order:
+                x = vectors([page], slice(a, a + step))[:, None]
+                states, _, carried = self._run(way, x, np.ones(x.shape[:2], bool), False, carried)
+                out[a : a + step] += states[:, 0] @ o
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over the blocks."""
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        f, kept_f = self._run("f", x, mask, True)
-        b, kept_b = self._run("b", x, mask, True)
+        f, kept_f, _ = self._run("f", x, mask, True)
+        b, kept_b, _ = self._run("b", x, mask, True)
         s = _sigmoid(f @ self.p["o"][:HIDDEN] + b @ self.p["o"][HIDDEN:] + self.p["c"])
         d = (((s - y) * mask) / mask.sum()).astype(np.float32)
         grads["o"] = np.concatenate((np.tensordot(d, f, ([0, 1], [0, 1])), np.tensordot(d, b, ([0, 1], [0, 1]))))
@@ -226,6 +263,9 @@ def labels(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which blocks are main text."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    while order and len(pages[order[-1]]) > GROUP:
+        i = order.pop()
+        out[i] = model.logits_of_one(pages[i], GROUP) > 0
     at = 0
     while at < len(order):
         end = at + 1
