@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tremorframe.operators import signal, triggers
+from tremorframe.functions import kernels
+from tremorframe.operators import frames, signal, triggers
 from tremorframe.operators.signal import Stream
 
 S = Stream()
@@ -69,15 +70,69 @@ def test_open_trigger_is_left_out(spark):
     assert triggers.hysteresis(rows, S, F.col("value") > 0.9, F.col("value") < 0.5, F.col("value"), keep_open=True).count() == 1
 
 
-def test_moments(spark):
-    x = burst(200, 120)
-    rows = frame(spark, x).select("stream_id", "idx", signal.kurtosis(S, 30).alias("k"), signal.skewness(S, 30).alias("s"))
-    k, s = values(rows, "k"), values(rows, "s")
-    for i in (30, 77, 150, 199):
-        w = x[i - 30 : i] - x[i - 30 : i].mean()
-        assert k[i] == pytest.approx((w**4).mean() / (w**2).mean() ** 2 - 3, abs=1e-6)
-        assert s[i] == pytest.approx((w**3).mean() / (w**2).mean() ** 1.5, abs=1e-6)
-    assert (k[:30] == 0).all()
+def plain_moments(x, w):
+    """Kurtosis and skewness of the w samples before each, in two passes over each frame."""
+    k, s = np.zeros(len(x)), np.zeros(len(x))
+    for i in range(w, len(x)):
+        d = x[i - w : i] - x[i - w : i].mean()
+        m2 = (d**2).mean()
+        if m2 > 1e-20:
+            k[i], s[i] = (d**4).mean() / m2**2 - 3, (d**3).mean() / m2**1.5
+    return k, s
+
+
+@pytest.mark.parametrize("w,block,offset", [(30, 1 << 18, 0.0), (20, 64, 1e5), (1000, 1 << 18, 1e5), (1000, 700, 0.0), (7, 3, -1e5), (1, 10, 0.0)])
+def test_moments(spark, w, block, offset):
+    x = np.concatenate((burst(1500, 900), np.full(1200, 3.0), burst(400, 100))) + offset
+    got = frames.sliding_moments(frame(spark, x, x[:100]), S, w, block)
+    k, s = plain_moments(x, w)
+    assert got.count() == len(x) + 100
+    one = got.where("stream_id = 0")
+    # A frame of equal samples with an offset has a variance of rounding errors alone: neither side says anything there.
+    sure = np.array([i < w or x[i - w : i].std() > 1e-9 for i in range(len(x))])
+    assert np.allclose(values(one, "kurtosis")[sure], k[sure], atol=1e-5) and np.allclose(values(one, "skewness")[sure], s[sure], atol=1e-5)
+    assert np.allclose(values(one, "hos")[sure], np.hypot(k, s)[sure], atol=1e-5)
+    other = plain_moments(x[:100], w)[0]
+    assert np.allclose(values(got.where("stream_id = 1"), "kurtosis"), other, atol=1e-5)
+
+
+def test_a_burst_leaves_nothing_behind(spark):
+    """Sums over frames after a burst of 1e8 are exact, whatever the frame."""
+    x = np.concatenate((np.ones(300), np.full(50, 1e8), np.ones(1500)))
+    rows = frames.frame_sums(frame(spark, x), S, {"a": (F.col("value") * F.col("value"), 300), "b": (F.col("value"), 1)})
+    a = values(rows, "a")
+    assert (a[:300] == np.arange(1, 301)).all() and (a[649 + 1 :] == 300).all() and (values(rows, "b") == x).all()
+    noise = np.random.default_rng(0).normal(0, 1e-4, 4000)
+    noise[500:520] = 1.0
+    late = [i for i, phase, _ in kernels.ml_backend(noise, 100.0, 0.1) if phase == "P" and i > 600]
+    true = plain_moments(noise, 50)[0]
+    assert all(true[i] > 4.9 for i in late)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 18])
+def test_scans_over_blocks(spark, block):
+    """Recursions and running sums are the same for any size of block."""
+    x = burst(500, 200)
+    df = frame(spark, x, x[:90], [2.0])
+    sta, lta = 5, 50
+    want, short, long = [], 0.0, 0.0
+    for i, e in enumerate(x * x):
+        if i < lta:
+            long += (e - long) / (i + 1)
+            short = long
+        else:
+            short, long = short + (e - short) / sta, long + (e - long) / lta
+        want.append(0.0 if i < lta or long <= 1e-10 else short / long)
+    got = frames.recursive_sta_lta(df, S, sta, lta, 1e-10, block)
+    assert got.count() == 591 and np.allclose(values(got.where("stream_id = 0"), "ratio"), want)
+    assert np.allclose(values(frames.integrate(df, S, 4.0, block).where("stream_id = 0"), "y"), x[0] + np.concatenate(([0], np.cumsum(x[1:] / 4))))
+    e = x * x
+    assert np.allclose(values(frames.z_detector(df, S, block).where("stream_id = 0"), "z"), np.cumsum((e - e.mean()) / e.std()))
+    n = len(x)
+    aic = [0.0] + [k * np.log(max(x[:k].var(), 1e-20)) + (n - k - 1) * np.log(max(x[k:].var(), 1e-20)) for k in range(1, n - 1)] + [0.0]
+    for offset in (0.0, 1e5):
+        shifted = df.withColumn("value", F.col("value") + offset)
+        assert np.allclose(values(frames.aic_curve(shifted, S, block=block).where("stream_id = 0"), "aic"), aic, atol=1e-4)
 
 
 def test_aic_finds_the_step(spark):
@@ -95,8 +150,7 @@ def test_energy_ratio_peaks_at_the_step(spark):
 
 def test_recursive_ratio(spark):
     x = np.concatenate((np.ones(200), np.full(50, 10.0)))
-    held = spark.createDataFrame([(x.tolist(),)], "x array<double>")
-    got = np.array(held.select(signal.recursive_sta_lta(F.col("x"), 5, 50).alias("r")).first()["r"])
+    got = values(frames.recursive_sta_lta(frame(spark, x), S, 5, 50, 1e-10), "ratio")
     assert (got[:50] == 0).all() and got[150] == pytest.approx(1, abs=0.2) and got[210] > 2 * got[199]
 
 
@@ -197,8 +251,9 @@ def test_open_triggers_in_blocks(spark, block):
 def test_measures_in_blocks(spark, block):
     x = burst(400, 150, 3)
     df = frame(spark, x, x[:70])
-    whole = df.select("stream_id", "idx", signal.kurtosis(S, 20).alias("k"), signal.moving_envelope(S, 20).alias("e"))
-    got = triggers.in_blocks(df, S, 20, lambda s: {"k": signal.kurtosis(s, 20), "e": signal.moving_envelope(s, 20)}, block)
+    measures = lambda s: {"k": signal.energy_ratio(s, 10), "e": signal.moving_envelope(s, 20)}
+    whole = df.select("stream_id", "idx", *(c.alias(k) for k, c in measures(S).items()))
+    got = frames.in_blocks(df, S, 20, measures, block)
     assert got.count() == 470
     for c in "ke":
         assert np.allclose(values(got, c), values(whole, c), atol=1e-8)

@@ -278,11 +278,14 @@ def ml_backend(x: np.ndarray, rate: float, min_probability: float = 0.5, gap_s:
     w = max(4, int(0.5 * rate))
     if len(x) <= 2 * w:
         return []
-    powers = [np.concatenate(([0.0], np.cumsum(x**k))) for k in (1, 2, 3, 4)]
     i = np.arange(w, len(x))
-    m, a, b, c = ((p[i] - p[i - w]) / w for p in powers)
-    var = a - m * m
-    kurt = np.where(var > 1e-10, (c - 4 * m * b + 6 * m * m * a - 3 * m**4) / np.maximum(var, 1e-10) ** 2 - 3, 0.0)
+    kurt = np.zeros(len(i))
+    # Each frame by itself, a few thousand frames at a time.
+    for a in range(0, len(i), 1 << 13):
+        own = np.lib.stride_tricks.sliding_window_view(x[a : min(a + (1 << 13), len(i)) + w - 1], w)
+        own = own - own.mean(1, keepdims=True)
+        var, fourth = (own**2).mean(1), (own**4).mean(1)
+        kurt[a : a + len(own)] = np.where(var > 1e-10, fourth / np.maximum(var, 1e-10) ** 2 - 3, 0.0)
     env = np.convolve(np.abs(x), np.ones(10) / 10)[: len(x)][i]
     z = (env - env.mean()) / env.std() if env.std() > 0 else env * 0
     out, last = [], -(1 << 60)

@@ -1,9 +1,10 @@
 """Sliding operators over samples in rows: (stream..., idx, value).
 
 ``Stream`` names the columns; all frames are row frames of one stream, in the
-order of idx, so a stream is one window partition.  Frames over FRAME_LIMIT
-samples take differences of running sums instead of summing the frame anew, so
-the work of a sample does not grow with the frame.
+order of idx.  The expressions here sum each frame by itself, which costs a
+frame's length a sample and loses nothing to cancellation; ``frames`` has sums
+and moments whose cost does not grow with the frame, and deals a stream out in
+blocks of samples.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRAME_LIMIT = 256
 #: Below these, energies and variances count as zero.
 TINY_LTA, TINY_PREFIX, TINY_MOMENT, TINY_AIC = 1e-10, 1e-20, 1e-20, 1e-20
 
@@ -45,11 +45,7 @@ class Stream:
 
     def sum(self, x: Column, first: int, last: int) -> Column:
         """Sum over the rows first to last around each row."""
-        if last - first < FRAME_LIMIT:
-            return F.coalesce(F.sum(x).over(self.rows(first, last)), F.lit(0.0))
-        running = self.window.rowsBetween(Window.unboundedPreceding, last)
-        before = self.window.rowsBetween(Window.unboundedPreceding, first - 1)
-        return F.coalesce(F.sum(x).over(running), F.lit(0.0)) - F.coalesce(F.sum(x).over(before), F.lit(0.0))
+        return F.coalesce(F.sum(x).over(self.rows(first, last)), F.lit(0.0))
 
 
 def sta_lta(s: Stream, sta: int, lta: int, value: Column | None = None, tiny: float = TINY_LTA) -> Column:
@@ -64,31 +60,6 @@ def demeaned(s: Stream) -> Column:
     return s.x - F.avg(s.x).over(s.whole)
 
 
-def _moments(s: Stream, w: int) -> tuple[Column, Column, Column, Column]:
-    """Whether the w samples before a row are all there, and their central moments 2, 3, 4."""
-    powers = [s.sum(F.pow(s.x, F.lit(float(k))), -w, -1) / w for k in (1, 2, 3, 4)]
-    m, a, b, c = powers
-    m2 = a - m * m
-    m3 = b - 3 * m * a + 2 * m * m * m
-    m4 = c - 4 * m * b + 6 * m * m * a - 3 * m * m * m * m
-    return s.i >= w, m2, m3, m4
-
-
-def kurtosis(s: Stream, w: int, tiny: float = TINY_MOMENT) -> Column:
-    """Excess kurtosis (population) of the w samples before each one."""
-    full, m2, _, m4 = _moments(s, w)
-    return F.when(full & (m2 > tiny), m4 / (m2 * m2) - 3.0).otherwise(0.0)
-
-
-def skewness(s: Stream, w: int, tiny: float = TINY_MOMENT) -> Column:
-    full, m2, m3, _ = _moments(s, w)
-    return F.when(full & (m2 > tiny), m3 / (m2 * F.sqrt(m2))).otherwise(0.0)
-
-
-def higher_order(s: Stream, w: int) -> Column:
-    return F.sqrt(F.pow(kurtosis(s, w), 2) + F.pow(skewness(s, w), 2))
-
-
 def energy_ratio(s: Stream, w: int, tiny: float = TINY_PREFIX) -> Column:
     """Energy of the w samples before over that of the w before these."""
     near, far = s.sum(s.x * s.x, -w, -1), s.sum(s.x * s.x, -2 * w, -w - 1)
@@ -113,18 +84,6 @@ def rectilinearity(s: Stream, z: str, n: str, e: str, w: int) -> Column:
     return F.when((s.i >= w) & (i1 > TINY_MOMENT), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).otherwise(0.0)
 
 
-def z_detector(s: Stream) -> Column:
-    """Running sum of the standardised energy of the whole stream."""
-    e = s.x * s.x
-    m, d = F.avg(e).over(s.whole), F.stddev_pop(e).over(s.whole)
-    z = F.when(d > TINY_MOMENT, (e - m) / d).otherwise(0.0)
-    return z
-
-
-def cumulative(s: Stream, column: str) -> Column:
-    return F.sum(column).over(s.window.rowsBetween(Window.unboundedPreceding, 0))
-
-
 def moving_envelope(s: Stream, n: int = 10) -> Column:
     return F.avg(F.abs(s.x)).over(s.rows(-(n - 1), 0))
 
@@ -163,34 +122,11 @@ def pick_amplitude(s: Stream, n: int) -> Column:
     return F.max(F.abs(s.x)).over(s.rows(0, max(0, n - 1)))
 
 
-def integrate(s: Stream, rate: float) -> Column:
-    return F.sum(F.when(s.i == 0, s.x).otherwise(s.x / rate)).over(s.window.rowsBetween(Window.unboundedPreceding, 0))
-
-
 def differentiate(s: Stream, rate: float) -> Column:
     back, ahead = F.lag(s.x).over(s.window), F.lead(s.x).over(s.window)
     return F.when(s.i > 0, (s.x - back) * rate).otherwise(F.coalesce((ahead - s.x) * rate, F.lit(0.0)))
 
 
-def recursive_sta_lta(values: Column, sta: int, lta: int) -> Column:
-    """Exponential averages of the energy of an array; 0 while the long one warms up.
-
-    The first lta samples give a running mean; then both averages start from it.
-    """
-    cs, cl = 1.0 / sta, 1.0 / lta
-
-    def step(a, x):
-        n, e = a["n"] + 1, x * x
-        warm = n <= lta
-        long = F.when(warm, a["long"] + (e - a["long"]) / n).otherwise(a["long"] + cl * (e - a["long"]))
-        short = F.when(warm, long).otherwise(a["short"] + cs * (e - a["short"]))
-        ratio = F.when(warm | (long <= TINY_LTA), F.lit(0.0)).otherwise(short / long)
-        return F.struct(n.alias("n"), short.alias("short"), long.alias("long"), F.concat(a["out"], F.array(ratio)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("short"), F.lit(0.0).alias("long"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(values, start, step, lambda a: a["out"])
-
-
 def suppress_close(indices: Column, gap: Column | int) -> Column:
     """Of ascending indices those at least gap after the last one that was kept."""
     step = lambda a, i: F.when((F.size(a) == 0) | (i - F.element_at(a, -1) >= gap), F.concat(a, F.array(i))).otherwise(a)

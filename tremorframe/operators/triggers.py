@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signal
+from .frames import BLOCK, dealt, frame_sums, in_blocks, kept
 from .signal import Stream
 
+__all__ = ["BLOCK", "in_blocks"]
+
 
 def _state(mark: Column | str, over) -> Column:
     return F.last(mark, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
@@ -54,32 +55,19 @@ def threshold_triggers(df: DataFrame, s: Stream, column: str, trigger: float, de
     return hysteresis(df, s, c >= trigger, c < detrigger, c, block=block)
 
 
-#: Samples of a stream that are one window partition: 45 minutes at 100 Hz.
-BLOCK = 1 << 18
-
-
-def in_blocks(df: DataFrame, s: Stream, reach: int, measures: Callable[[Stream], dict[str, Column]], block: int = BLOCK) -> DataFrame:
-    """by..., idx and measures whose frames begin at most reach samples before a row, a block of samples at a time.
-
-    The last samples of a block are repeated in the next one, so frames are
-    whole; idx counts a stream's samples from 0.
-    """
-    own = F.floor(s.i / block)
-    again = F.when(s.i % block >= block - min(reach, block), F.array(own, own + 1)).otherwise(F.array(own))
-    if reach > block:
-        again = F.sequence(own, own + -(-reach // block))
-    rows = df.withColumn("_block", F.explode(again))
-    made = measures(Stream((*s.by, "_block"), s.idx, s.value))
-    rows = rows.select(*s.by, s.idx, "_block", *(c.alias(name) for name, c in made.items()))
-    return rows.where(F.col("_block") == F.floor(F.col(s.idx) / block)).drop("_block")
-
-
 def block_ratios(df: DataFrame, s: Stream, sta: int, lta: int, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:
     """by..., idx, ratio: STA/LTA of the demeaned stream, a block of samples at a time; the mean comes from one aggregate."""
+    sta = max(1, sta)
+    lta = max(sta + 1, lta)
     mean = df.groupBy(*s.by).agg(F.avg(s.x).alias("_mean"))
     rows = df.join(mean, list(s.by)).select(*s.by, s.i.alias(s.idx), (s.x - F.col("_mean")).alias("_d"))
-    reach = max(max(1, sta) + 1, lta)
-    return in_blocks(rows, Stream(s.by, s.idx, "_d"), reach, lambda d: {"ratio": signal.sta_lta(d, sta, lta, tiny=tiny)}, block)
+    rows = dealt(rows, s, lta, block)
+    own = Stream((*s.by, "_block"), s.idx, "_d")
+    energy = F.col("_d") * F.col("_d")
+    rows = frame_sums(rows.withColumn("_short", own.sum(energy, -(sta - 1), 0)), own, {"_long": (energy, lta)})
+    short, long = F.col("_short") / sta, F.col("_long") / lta
+    ratio = F.when((s.i >= lta) & (long > tiny), short / long).otherwise(0.0)
+    return kept(rows, s, block).select(*s.by, s.idx, ratio.alias("ratio"))
 
 
 def stalta_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float, detrigger: float, tiny: float = signal.TINY_LTA, block: int = BLOCK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import signal, triggers
+from ..operators import frames, signal, triggers
 from ..operators.signal import Stream
 from .registry import query
 from .tables import ARRAYS, SAMPLES, arrays, exploded, read, samples
@@ -51,51 +51,61 @@ SELECT stream_id, idx, long, short, CASE WHEN idx < {LTA} OR long <= 1e-10 THEN
     CASE WHEN s.idx < {LTA} THEN r.long + (s.value * s.value - r.long) / (s.idx + 1) ELSE r.short + (s.value * s.value - r.short) / {STA}.0 END AS short
   FROM rec r JOIN samples s ON s.stream_id = r.stream_id AND s.idx = r.idx + 1) t)"""))
 def recursive_stalta(spark, sf):
-    held = samples(spark, sf).groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"]).alias("x"))
-    out = held.select("stream_id", F.posexplode(signal.recursive_sta_lta(F.col("x"), STA, LTA)).alias("idx", "ratio"))
-    return out.select("stream_id", F.col("idx").cast("long").alias("idx"), F.round("ratio", 5).alias("ratio"))
+    return frames.recursive_sta_lta(samples(spark, sf), S, STA, LTA, signal.TINY_LTA).select("stream_id", "idx", F.round("ratio", 5).alias("ratio"))
 
 
-def _moments(w: int) -> tuple[str, str]:
-    f = frame(-w, -1)
-    raw = f"p AS (SELECT *, sum(value) {f} / {w} AS m, sum(pow(value, 2)) {f} / {w} AS a, sum(pow(value, 3)) {f} / {w} AS b, sum(pow(value, 4)) {f} / {w} AS c FROM samples)"
-    return raw, "q AS (SELECT *, a - m * m AS m2, b - 3 * m * a + 2 * m * m * m AS m3, c - 4 * m * b + 6 * m * m * a - 3 * m * m * m * m AS m4 FROM p)"
+def _moments(w: int, value: str = "value") -> tuple[str, str]:
+    """Two passes over each frame: its mean, then the powers of the distances from it."""
+    p = f"p AS (SELECT stream_id, idx, list({value}) {frame(-w, -1)} AS l FROM samples)"
+    power = lambda k: f"list_sum(list_transform(l, lambda x: pow(x - list_avg(l), {k}))) / {w} AS m{k}"
+    return p, f"q AS (SELECT stream_id, idx, {power(2)}, {power(3)}, {power(4)} FROM p)"
 
 
 KURT = "CASE WHEN idx >= 20 AND m2 > 1e-20 THEN m4 / (m2 * m2) - 3.0 ELSE 0.0 END"
 SKEW = "CASE WHEN idx >= 20 AND m2 > 1e-20 THEN m3 / (m2 * sqrt(m2)) ELSE 0.0 END"
 
 
+def _sliding(spark, sf, column: str, offset: float = 0.0):
+    rows = samples(spark, sf).withColumn("value", F.col("value") + offset)
+    return frames.sliding_moments(rows, S, 20).select("stream_id", "idx", F.round(column, 4).alias(column))
+
+
 @query(f"SELECT stream_id, idx, round({KURT}, 4) AS kurtosis FROM q", (SAMPLES, *_moments(20)))
 def sliding_kurtosis(spark, sf):
-    got = triggers.in_blocks(samples(spark, sf), S, 20, lambda s: {"kurtosis": signal.kurtosis(s, 20)})
-    return got.select("stream_id", "idx", F.round("kurtosis", 4).alias("kurtosis"))
+    return _sliding(spark, sf, "kurtosis")
 
 
 @query(f"SELECT stream_id, idx, round({SKEW}, 4) AS skewness FROM q", (SAMPLES, *_moments(20)))
 def sliding_skewness(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.skewness(S, 20), 4).alias("skewness"))
+    return _sliding(spark, sf, "skewness")
 
 
 @query(f"SELECT stream_id, idx, round(sqrt(pow({KURT}, 2) + pow({SKEW}, 2)), 4) AS hos FROM q", (SAMPLES, *_moments(20)))
 def higher_order_stats(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.higher_order(S, 20), 4).alias("hos"))
+    return _sliding(spark, sf, "hos")
+
+
+@query(f"SELECT stream_id, idx, round(sqrt(pow({KURT}, 2) + pow({SKEW}, 2)), 4) AS hos FROM q", (SAMPLES, *_moments(20, "value + 100000")))
+def higher_order_of_raw_counts(spark, sf):
+    """The same of samples with an offset of 100,000 counts, as digitisers have."""
+    return _sliding(spark, sf, "hos", 100_000.0)
 
 
 @query("SELECT stream_id, idx, round(CASE WHEN idx >= 10 AND f > 1e-20 THEN n / f ELSE 0.0 END, 6) AS energy_ratio FROM p", (SAMPLES, f"p AS (SELECT *, sum(value * value) {frame(-5, -1)} AS n, sum(value * value) {frame(-10, -6)} AS f FROM samples)"))
 def energy_ratio(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.energy_ratio(S, 5), 6).alias("energy_ratio"))
+    got = frames.in_blocks(samples(spark, sf), S, 10, lambda s: {"energy_ratio": signal.energy_ratio(s, 5)})
+    return got.select("stream_id", "idx", F.round("energy_ratio", 6).alias("energy_ratio"))
 
 
 @query("SELECT stream_id, idx, round(sum(CASE WHEN sd > 1e-20 THEN (e - m) / sd ELSE 0.0 END) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS z FROM p", (SAMPLES, "p AS (SELECT *, value * value AS e, avg(value * value) OVER (PARTITION BY stream_id) AS m, stddev_pop(value * value) OVER (PARTITION BY stream_id) AS sd FROM samples)"))
 def z_detector(spark, sf):
-    rows = samples(spark, sf).withColumn("z", signal.z_detector(S))
-    return rows.select("stream_id", "idx", F.round(signal.cumulative(S, "z"), 6).alias("z"))
+    return frames.z_detector(samples(spark, sf), S).select("stream_id", "idx", F.round("z", 6).alias("z"))
 
 
 @query(f"SELECT stream_id, idx, round(avg(abs(value)) {frame(-9, 0)}, 6) AS envelope FROM samples", (SAMPLES,))
 def moving_envelope(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.moving_envelope(S), 6).alias("envelope"))
+    got = frames.in_blocks(samples(spark, sf), S, 10, lambda s: {"envelope": signal.moving_envelope(s)})
+    return got.select("stream_id", "idx", F.round("envelope", 6).alias("envelope"))
 
 
 THREE = """c AS (SELECT user_id % 10 AS stream_id, event_type, row_number() OVER (PARTITION BY user_id % 10, event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events WHERE event_type IN ('click', 'purchase', 'view')),
@@ -117,12 +127,14 @@ def three_components(spark, sf):
 
 @query(f"SELECT stream_id, idx, round({RECT}, 5) AS rect FROM iv", (THREE, _SUMS))
 def rectilinearity_3c(spark, sf):
-    return three_components(spark, sf).select("stream_id", "idx", F.round(signal.rectilinearity(S, "z", "n", "e", _W), 5).alias("rect"))
+    got = frames.in_blocks(three_components(spark, sf), S, _W, lambda s: {"rect": signal.rectilinearity(s, "z", "n", "e", _W)})
+    return got.select("stream_id", "idx", F.round("rect", 5).alias("rect"))
 
 
 @query(f"SELECT stream_id, idx, round(CASE WHEN idx >= {_W} THEN sqrt((sum(z * z) {frame(-_W, -1)} + sum(n * n) {frame(-_W, -1)} + sum(e * e) {frame(-_W, -1)}) / {_W}) ELSE 0.0 END, 5) AS amplitude FROM three", (THREE,))
 def polarization_amplitude(spark, sf):
-    return three_components(spark, sf).select("stream_id", "idx", F.round(signal.polarization_amplitude(S, "z", "n", "e", _W), 5).alias("amplitude"))
+    got = frames.in_blocks(three_components(spark, sf), S, _W, lambda s: {"amplitude": signal.polarization_amplitude(s, "z", "n", "e", _W)})
+    return got.select("stream_id", "idx", F.round("amplitude", 5).alias("amplitude"))
 
 
 @query(
@@ -130,7 +142,8 @@ def polarization_amplitude(spark, sf):
     (THREE, _SUMS),
 )
 def coupled_3c(spark, sf):
-    rows = three_components(spark, sf).withColumn("rect", signal.rectilinearity(S, "z", "n", "e", _W)).withColumn("ratio", signal.sta_lta(Stream(value="z"), 3, 10, tiny=1e-20))
+    both = lambda s: {"rect": signal.rectilinearity(s, "z", "n", "e", _W), "ratio": signal.sta_lta(s, 3, 10, F.col("z"), tiny=1e-20)}
+    rows = frames.in_blocks(three_components(spark, sf), S, 10, both)
     coupled = F.col("ratio") * F.col("rect")
     return rows.select("stream_id", "idx", F.round(coupled, 5).alias("coupled"), ((coupled >= 0.5) & (F.col("rect") >= 0.2)).alias("fires"))
 
@@ -141,12 +154,12 @@ aic AS (SELECT stream_id, idx, n, CASE WHEN idx > 0 AND idx < n - 1 THEN idx * l
 
 @query("SELECT stream_id, idx, round(aic, 5) AS aic FROM aic", (SAMPLES, AIC))
 def aic_curve(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.aic(S), 5).alias("aic"))
+    return frames.aic_curve(samples(spark, sf), S).select("stream_id", "idx", F.round("aic", 5).alias("aic"))
 
 
 @query("SELECT stream_id, arg_min(idx, round(aic, 5) * 1000000 + idx) AS idx, round(min(aic), 5) AS aic FROM aic WHERE idx >= 5 AND idx < n - 5 GROUP BY stream_id", (SAMPLES, AIC))
 def aic_curve_argmin(spark, sf):
-    rows = samples(spark, sf).select("stream_id", "idx", signal.aic(S).alias("aic"), F.count("*").over(S.whole).alias("n"))
+    rows = frames.aic_curve(samples(spark, sf), S)
     inner = rows.where((F.col("idx") >= 5) & (F.col("idx") < F.col("n") - 5)).withColumn("key", F.round("aic", 5) * 1000000 + F.col("idx"))
     return inner.groupBy("stream_id").agg(F.min_by("idx", "key").alias("idx"), F.round(F.min("aic"), 5).alias("aic"))
 
@@ -193,7 +206,7 @@ def sample_stats(spark, sf):
 
 @query("SELECT stream_id, idx, round(sum(CASE WHEN idx = 0 THEN value ELSE value / 4.0 END) OVER (PARTITION BY stream_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS y FROM samples", (SAMPLES,))
 def integrate(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.integrate(S, 4.0), 6).alias("y"))
+    return frames.integrate(samples(spark, sf), S, 4.0).select("stream_id", "idx", F.round("y", 6).alias("y"))
 
 
 @query("SELECT stream_id, idx, round(CASE WHEN idx > 0 THEN (value - lag(value) OVER w) * 4.0 ELSE coalesce((lead(value) OVER w - value) * 4.0, 0.0) END, 6) AS y FROM samples WINDOW w AS (PARTITION BY stream_id ORDER BY idx)", (SAMPLES,))
