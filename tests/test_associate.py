@@ -40,10 +40,8 @@ def test_greedy_does_not_depend_on_days(spark, monkeypatch, rows):
     assert sorted(x["seed_id"] for x in got) == plain(members, ranked) and 2 not in {x["seed_id"] for x in got}
 
 
-@pytest.mark.parametrize("block", [associate.STATION_BLOCK, 7])
-def test_all_origins_get_stations(spark, tmp_path, monkeypatch, block):
-    """Ids on both sides of 200, places that occur again, stations in blocks; each origin's twelve against a plain sort."""
-    monkeypatch.setattr(associate, "STATION_BLOCK", block)
+def test_all_origins_get_stations(spark, tmp_path):
+    """Ids on both sides of 200, places that occur again; each origin's twelve against a plain sort."""
     orders = pd.DataFrame({"o_orderkey": range(150, 260), "o_custkey": [i * 37 % 90 for i in range(110)], "o_orderdate": pd.Timestamp("2024-01-01")})
     suppliers = pd.DataFrame({"s_suppkey": range(1, 31), "s_nationkey": 1, "s_acctbal": 0.0})
     spark.createDataFrame(orders).write.parquet(str(tmp_path / "orders.parquet"))
@@ -57,6 +55,17 @@ def test_all_origins_get_stations(spark, tmp_path, monkeypatch, block):
     assert got == sorted(want)
 
 
+def test_nearest_in_rings(spark, monkeypatch):
+    """A dense cluster, far stations, the poles and the date line: the same as a plain sort, and few distances are computed."""
+    rng = np.random.default_rng(2)
+    stations = [(i, f"S{i}", float(35 + rng.normal(0, 0.5)), float(-117 + rng.normal(0, 0.5))) for i in range(300)]
+    stations += [(300 + i, f"S{i}", float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(100)] + [(500, "P", 89.9, 10.0), (501, "D", 0.0, 179.9), (502, "D", 0.0, -179.9)]
+    places = [(0, 35.0, -117.0), (1, 90.0, 0.0), (2, -90.0, 50.0), (3, 0.0, 180.0), (4, 0.0, -180.0), (5, -45.0, 30.0), (6, 60.0, -179.0)] + [(10 + i, float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(40)]
+    got = associate.nearest_stations(spark.createDataFrame(places, "orid long, lat double, lon double"), spark.createDataFrame(stations, "station_id long, sta string, lat double, lon double"), 5).collect()
+    want = {(o, i, k) for o, a, b in places for k, (_, i) in enumerate(sorted((round(float(haversine(a, b, c, d)), 6), i) for i, _, c, d in stations)[:5], 1)}
+    assert {(r["orid"], r["station_id"], r["k"]) for r in got} == want and len(got) == len(want)
+
+
 def test_no_stations_and_no_places(spark):
     origins = spark.createDataFrame([(1, 10.0, 20.0), (2, None, 3.0)], "orid long, lat double, lon double")
     stations = spark.createDataFrame([(5, "A", 11.0, 20.0), (6, "B", None, 1.0)], "station_id long, sta string, lat double, lon double")

@@ -1,21 +1,20 @@
 """From picks to candidate events: range joins instead of nested scans.
 
 A seed pick (P or Pg) puts a trial source at its station; later picks belong
-to it if their time fits the travel time from there.  The longest travel time of
-the table bounds how much later a pick can be, so both sides are dealt into time
-buckets of that length: a seed meets the picks of its own bucket and the next.
+to it if their time fits the travel time from there.  A table of station pairs
+and phases says when a seed expects which pick, so both sides meet in time
+buckets of a station and phase that are as wide as the residuals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import location_weight
+from ..functions import cells
+from ..functions.codes import location_weight, phase_class
 from ..functions.geo import EARTH_RADIUS_KM, azimuth_deg, haversine_km
 from ..scratch import written
 from .velocity import lookup
@@ -38,82 +37,74 @@ def with_stations(picks: DataFrame, stations: DataFrame, keep_missing: bool = Fa
     return picks.join(dimension, ["net", "sta"], "left" if keep_missing else "inner")
 
 
-#: Stations that are compared with all places at once (32 bytes each are broadcast); more are taken in blocks.
-STATION_BLOCK = 100_000
-
-
-def _station_blocks(stations: DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (station_id, lat, lon), streamed through the driver a block at a time."""
-    held: list = []
-    for r in stations.select("station_id", "lat", "lon").where("lat is not null and lon is not null").toLocalIterator():
-        held.append(r)
-        if len(held) == STATION_BLOCK:
-            yield tuple(np.array(c) for c in zip(*held, strict=True))
-            held = []
-    if held:
-        yield tuple(np.array(c) for c in zip(*held, strict=True))
-
-
-def _nearest_of(places: DataFrame, block: tuple[np.ndarray, ...], count: int) -> DataFrame:
-    """olat, olon, km, station_id of the count nearest stations of the block."""
-    sent = places.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches):
-        ident, slat, slon = sent.value
-        rad = lambda x: np.radians(np.asarray(x, float))
-        k = min(count, len(ident))
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                lat, lon = np.asarray(part["olat"], float), np.asarray(part["olon"], float)
-                h = np.sin((rad(lat)[:, None] - rad(slat)) / 2) ** 2 + np.cos(rad(lat))[:, None] * np.cos(rad(slat)) * np.sin((rad(lon)[:, None] - rad(slon)) / 2) ** 2
-                km = np.round(2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(1 - h)), 6)
-                # All up to the k-th distance, so that ties are not lost.
-                near = km <= np.partition(km, k - 1, axis=1)[:, k - 1 : k]
-                row, column = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(lat[row]), pa.array(lon[row]), pa.array(km[row, column]), pa.array(ident[column])], names=["olat", "olon", "km", "station_id"])
-
-    return places.mapInArrow(run, "olat double, olon double, km double, station_id long")
-
-
 def nearest_stations(origins: DataFrame, stations: DataFrame, count: int) -> DataFrame:
     """orid, lat, lon with station_id, sta, k of the count nearest stations, by distance to 1e-6 km and then station_id.
 
     Origins at one place have the same stations, so places are ranked, not
-    origins.  Stations travel to the places in blocks of a bounded size, each of
-    which gives its own nearest; no pair of a place and a far station is a row.
+    origins.  Places and stations meet in cells: each place looks round itself
+    as far as a mean station's share of the globe lets expect, and those whose
+    count-th station is not proved to be the count-th look three times as far.
     """
     places = origins.select(F.col("lat").cast("double").alias("olat"), F.col("lon").cast("double").alias("olon")).where("olat is not null and olon is not null").distinct()
-    pairs = None
-    for block in _station_blocks(stations):
-        found = _nearest_of(places, block, count)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
-        return origins.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("station_id", "long"), ("sta", "string"), ("k", "int")))).limit(0)
-    w = Window.partitionBy("olat", "olon").orderBy("km", "station_id")
-    near = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= count).join(stations.select("station_id", "sta"), "station_id")
+    known = stations.select("station_id", F.col("lat").cast("double").alias("slat"), F.col("lon").cast("double").alias("slon")).where("slat is not null and slon is not null")
+    number = max(1, known.count())
+    # Of a sphere of area 4 pi R^2, the radius of a circle that holds twice as many stations as are wanted.
+    radius = max(10.0, 2 * EARTH_RADIUS_KM * math.sqrt(2.0 * count / number))
+    order, near, left = Window.partitionBy("olat", "olon").orderBy("km", "station_id"), None, places
+    while True:
+        last = radius >= cells.FARTHEST_KM
+        size = cells.size_for(radius)
+        there = known.withColumn("cell", cells.of("slat", "slon", size))
+        pairs = left.withColumn("cell", F.explode(cells.of_circle("olat", "olon", F.lit(radius), size))).join(there, "cell")
+        ranked = pairs.select("olat", "olon", F.round(haversine_km("olat", "olon", "slat", "slon"), 6).alias("km"), "station_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= count)
+        if not last:
+            ranked = written(ranked, "nearest")
+            proved = ranked.where((F.col("k") == count) & (F.col("km") < radius)).select("olat", "olon")
+            left = written(left.join(proved, ["olat", "olon"], "left_anti"), "nearest-left")
+            ranked = ranked.join(proved, ["olat", "olon"], "left_semi")
+        near = ranked if near is None else near.unionByName(ranked)
+        if last or left.isEmpty():
+            break
+        radius *= 3
+    near = near.join(stations.select("station_id", "sta"), "station_id")
     return origins.join(near.select("olat", "olon", "station_id", "sta", "k"), (origins.lat == near.olat) & (origins.lon == near.olon)).drop("olat", "olon")
 
 
+def moveout(seeds: DataFrame, others: DataFrame, times: DataFrame) -> DataFrame:
+    """slat, slon of seed stations and olat, olon, phase_class, tt, distance of the others: the table of station pairs and phases.
+
+    Its size is that of the network squared, whatever the number of picks.
+    """
+    at = lambda rows, a, b: rows.select(F.col("slat").alias(a), F.col("slon").alias(b)).distinct()
+    pairs = with_points(at(seeds, "slat", "slon"), at(others, "olat", "olon"))
+    pairs = pairs.withColumns({"distance": haversine_km("slat", "slon", "olat", "olon"), "depth": F.lit(SEED_DEPTH_KM), "phase_class": F.explode(F.array(F.lit("P"), F.lit("S")))})
+    return lookup(pairs, times, "distance", "depth", "phase_class").where("tt is not null").drop("depth")
+
+
 def residuals(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, bucket_s: float = 0.0) -> DataFrame:
     """seed_id with each later pick that fits: pick_id, distance, residual.
 
-    The time buckets are as long as the longest time of the table and the
-    residual, or bucket_s if that is longer; the result does not depend on it.
+    A seed expects a pick of each phase at each station at a time that the
+    move-out table gives, so picks are joined on station, phase and a bucket of
+    time as wide as the residuals (or bucket_s, if that is wider); the result
+    does not depend on it.
     """
     placed = with_stations(picks, stations)
-    longest = times.agg(F.max("t")).first()[0] or 0.0
-    width = int(max(bucket_s, longest + max_residual + 1.0) * 1e6)
-    seeds = placed.where(F.col("phase").isin(*SEED_PHASES)).select(
-        F.col("pick_id").alias("seed_id"), F.col("time_us").alias("seed_us"), F.col("slat").alias("lat"), F.col("slon").alias("lon"), F.explode(F.array(F.floor(F.col("time_us") / width), F.floor(F.col("time_us") / width) + 1)).alias("_b")
-    )
-    others = placed.select("pick_id", "net", "sta", "phase", "time_us", "slat", "slon", *[c for c in ("quality",) if c in placed.columns], F.floor(F.col("time_us") / width).alias("_b"))
+    starts = placed.where(F.col("phase").isin(*SEED_PHASES))
+    width = int(max(bucket_s, 2 * max_residual, 0.1) * 1e6)
+    # The table is of a few kinds of rows; written, so that Spark knows its size.
+    table = written(moveout(starts, placed, times), "moveout")
+    seeds = starts.select(F.col("pick_id").alias("seed_id"), F.col("time_us").alias("seed_us"), "slat", "slon")
+    # A millisecond more at either side, as residuals are of whole milliseconds.
+    expected = F.col("seed_us") - LEAD_MS * 1000 + F.col("tt") * 1e6
+    reach = max_residual * 1e6 + 2000
+    probes = seeds.join(table, ["slat", "slon"]).withColumn("_b", F.explode(F.sequence(F.floor((expected - reach) / width), F.floor((expected + reach) / width))))
+    probes = probes.withColumnsRenamed({"slat": "lat", "slon": "lon", "olat": "slat", "olon": "slon", "phase_class": "_class"})
+    others = placed.select("pick_id", "net", "sta", "phase", "time_us", "slat", "slon", *[c for c in ("quality",) if c in placed.columns], phase_class("phase").alias("_class"), F.floor(F.col("time_us") / width).alias("_b"))
     later = (F.col("time_us") > F.col("seed_us")) | ((F.col("time_us") == F.col("seed_us")) & (F.col("pick_id") > F.col("seed_id")))
-    pairs = seeds.join(others, "_b").where(later & (F.col("time_us") - F.col("seed_us") <= width)).drop("_b")
-    pairs = pairs.withColumn("distance", haversine_km("lat", "lon", "slat", "slon")).withColumn("depth", F.lit(SEED_DEPTH_KM))
-    timed = lookup(pairs, times, "distance", "depth", "phase")
-    timed = timed.withColumn("residual", seconds_between("time_us", F.col("seed_us") - LEAD_MS * 1000) - F.col("tt"))
-    return timed.where(F.abs("residual") <= max_residual)
+    timed = probes.join(others, ["slat", "slon", "_class", "_b"]).where(later)
+    timed = timed.withColumn("residual", seconds_between("time_us", F.col("seed_us") - LEAD_MS * 1000) - F.col("tt")).withColumn("depth", F.lit(SEED_DEPTH_KM))
+    return timed.where(F.abs("residual") <= max_residual).drop("_b", "_class")
 
 
 def candidates(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual: float = 3.0, min_stations: int = 3, min_phases: int = 4, bucket_s: float = 0.0, fits: DataFrame | None = None) -> DataFrame:

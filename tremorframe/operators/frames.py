@@ -96,15 +96,15 @@ def sliding_moments(df: DataFrame, s: Stream, w: int, block: int = BLOCK, tiny:
     return rows.withColumn("hos", F.sqrt(F.col("kurtosis") * F.col("kurtosis") + F.col("skewness") * F.col("skewness")))
 
 
-def running_sums(df: DataFrame, s: Stream, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """df with the sum of each column from the stream's beginning to the row: sums inside blocks, and a row for each block that carries the others'."""
+def running_sums(df: DataFrame, s: Stream, sums: dict[str, Column], block: int = BLOCK, last: int = 0) -> DataFrame:
+    """df with the sum of each column from the stream's beginning to the row (last = -1: to the one before): sums inside blocks, and a row for each block that carries the others'."""
     rows = df.withColumns({"_block": F.floor(s.i / block), **{f"_x{k}": x for k, x in enumerate(sums.values())}})
     names = [f"_x{k}" for k in range(len(sums))]
     along = Window.partitionBy(*s.by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*s.by, "_block").agg(*(F.sum(n).alias(n) for n in names))
     carried = ends.select(*s.by, "_block", *(F.coalesce(F.sum(n).over(along), F.lit(0.0)).alias(f"{n}c") for n in names))
-    inside = Window.partitionBy(*s.by, "_block").orderBy(s.idx).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({n: F.sum(n).over(inside) for n in names}).join(carried, [*s.by, "_block"])
+    inside = Window.partitionBy(*s.by, "_block").orderBy(s.idx).rowsBetween(Window.unboundedPreceding, last)
+    rows = rows.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in names}).join(carried, [*s.by, "_block"])
     return rows.withColumns({name: F.col(n) + F.col(f"{n}c") for name, n in zip(sums, names, strict=True)}).drop("_block", *names, *(f"{n}c" for n in names))
 
 
@@ -190,10 +190,9 @@ def aic_curve(df: DataFrame, s: Stream, tiny: float = TINY_AIC, block: int = BLO
     """
     d = s.x - F.col("_mean")
     rows = with_whole(df, s, n=F.count("*"), _mean=F.avg(s.x), _var=F.var_pop(s.x))
-    rows = running_sums(rows, s, {"_s1": d, "_s2": d * d}, block)
-    k, m = s.i, F.col("n") - s.i
-    # Sums before the row; all differences from the mean add up to nothing, their squares to n times the variance.
-    s1, s2 = F.col("_s1") - d, F.col("_s2") - d * d
+    rows = running_sums(rows, s, {"_s1": d, "_s2": d * d}, block, last=-1)
+    k, m, s1, s2 = s.i, F.col("n") - s.i, F.col("_s1"), F.col("_s2")
+    # All differences from the mean add up to nothing, their squares to n times the variance.
     left = F.greatest(s2 / k - F.pow(s1 / k, 2), F.lit(tiny))
     right = F.greatest((F.col("n") * F.col("_var") - s2) / m - F.pow(s1 / m, 2), F.lit(tiny))
     aic = F.when((k > 0) & (k < F.col("n") - 1), k * F.ln(left) + (m - 1) * F.ln(right)).otherwise(0.0)

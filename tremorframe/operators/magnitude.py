@@ -1,7 +1,7 @@
 """Station and network magnitudes.
 
 A station's magnitude needs a stretch of its waveform round a computed arrival;
-``windows`` finds it with one join of origins and segments by time.  Network
+``windows`` asks for it by station and time.  Network
 magnitudes are the upper median with the population deviation.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels, scales
+from ..functions import cells, kernels, scales
 from ..functions.codes import is_vertical
 from ..functions.geo import haversine_km, hypocentral_km, km_to_deg
 
@@ -43,23 +43,34 @@ def network(stations: DataFrame, by: list[str], value: str = "magnitude") -> Dat
     return rows.groupBy(*by).agg(upper_median(value).alias("magnitude"), F.stddev_pop(value).alias("uncertainty"), F.count("*").alias("nsta"))
 
 
-def windows(origins: DataFrame, segments: DataFrame, stations: DataFrame, begin_s: Callable[[Column], Column], end_s: Callable[[Column], Column], least_km: float, most_km: float, longest_s: float = 7200.0) -> DataFrame:
+def stations_in_range(origins: DataFrame, stations: DataFrame, least_km: float, most_km: float) -> DataFrame:
+    """event_id, time_us, depth, net, sta, distance of all stations at such a distance; origins and stations meet in cells."""
+    size = cells.size_for(most_km)
+    around = origins.select("event_id", "time_us", "lat", "lon", "depth", F.explode(cells.of_circle("lat", "lon", F.lit(float(most_km)), size)).alias("_cell"))
+    placed = stations.select("net", "sta", F.col("lat").alias("slat"), F.col("lon").alias("slon"), cells.of("lat", "lon", size).alias("_cell"))
+    pairs = around.join(placed, "_cell").withColumn("distance", haversine_km("lat", "lon", "slat", "slon"))
+    return pairs.where(F.col("distance").between(least_km, most_km)).select("event_id", "time_us", "depth", "net", "sta", "distance")
+
+
+def windows(origins: DataFrame, segments: DataFrame, stations: DataFrame, begin_s: Callable[[Column], Column], end_s: Callable[[Column], Column], least_km: float, most_km: float, bucket_s: float = 3600.0) -> DataFrame:
     """event_id, net, sta, chan, distance, hypo, depth, sample_rate, samples between begin and end (seconds after the origin, of the distance).
 
-    Origins and segments meet in buckets of ``longest_s``, and the sliced array
-    is what goes on.
+    The stretches of time that are wanted come first, a small row for each event
+    and station; segments meet them by station and bucket of time, and what goes
+    on is the slice.  A pair that meets in several buckets counts in its first.
     """
-    width = int(longest_s * 1e6)
-    placed = segments.join(stations.select("net", "sta", F.col("lat").alias("slat"), F.col("lon").alias("slon")), ["net", "sta"])
+    width = int(bucket_s * 1e6)
+    wanted = stations_in_range(origins, stations, least_km, most_km)
+    at = lambda seconds: F.col("time_us") + seconds(F.col("distance")) * 1e6
+    wanted = wanted.withColumns({"_from": at(begin_s), "_to": at(end_s)}).withColumn("_w0", F.floor(F.col("_from") / width))
+    wanted = wanted.withColumn("_b", F.explode(F.sequence(F.col("_w0"), F.floor(F.col("_to") / width))))
     last = F.col("start_us") + (F.size("samples") * 1e6 / F.col("sample_rate")).cast("long")
-    placed = placed.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(last / width))))
-    near = origins.select("event_id", "time_us", "lat", "lon", "depth").withColumn("_b", F.explode(F.array(F.floor(F.col("time_us") / width), F.floor(F.col("time_us") / width) + 1)))
-    both = near.join(placed, "_b").drop("_b").withColumn("distance", haversine_km("lat", "lon", "slat", "slon")).where(F.col("distance").between(least_km, most_km))
-    first = F.floor((F.col("time_us") + begin_s(F.col("distance")) * 1e6 - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
-    stop = F.floor((F.col("time_us") + end_s(F.col("distance")) * 1e6 - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
-    lo, hi = F.greatest(first, F.lit(0)), F.least(stop, F.size("samples"))
-    cut = both.withColumn("samples", F.when(hi > lo, F.slice("samples", lo + 1, hi - lo)))
-    return cut.where("samples is not null").dropDuplicates(["event_id", "net", "sta", "chan", "start_us"]).select("event_id", "net", "sta", "chan", "distance", hypocentral_km("distance", "depth").alias("hypo"), "depth", "sample_rate", "samples")
+    placed = segments.select("net", "sta", "chan", "start_us", "sample_rate", "samples", F.floor(F.col("start_us") / width).alias("_s0"), F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(last / width))).alias("_b"))
+    both = placed.join(wanted, ["net", "sta", "_b"]).where(F.col("_b") == F.greatest("_w0", "_s0"))
+    index = lambda t: F.floor((F.col(t) - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
+    lo, hi = F.greatest(index("_from"), F.lit(0)), F.least(index("_to"), F.size("samples"))
+    cut = both.where(hi > lo).withColumn("samples", F.slice("samples", lo + 1, hi - lo))
+    return cut.select("event_id", "net", "sta", "chan", "distance", hypocentral_km("distance", "depth").alias("hypo"), "depth", "sample_rate", "samples")
 
 
 def _loudest(samples: pd.Series, rate: pd.Series, f) -> pd.Series:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import cells
 from ..functions.geo import in_bounds
 
 BOUNDS = "name string, bounds_type string, min_lat double, max_lat double, min_lon double, max_lon double, min_depth double, max_depth double, center_lat double, center_lon double, radius_km double, vertices array<struct<lat:double,lon:double>>, priority int, description string"
@@ -20,8 +21,8 @@ REGIONS = [
     ("korea", "box:33.0,43.0,124.0,132.0", 15, "Korea"),
 ]
 DEFAULT = "default"
-#: So many regions are broadcast; the dimension is a list that people write.
-MOST_REGIONS = 10_000
+#: Degrees of the cells in which places and regions meet.
+CELL = 10
 
 
 def parsed_bounds(text: Column) -> Column:
@@ -56,11 +57,14 @@ def regions(spark: SparkSession, rows=None) -> DataFrame:
 
 
 def all_matches(points: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon", depth: str = "depth") -> DataFrame:
-    """points with every region that holds them; regions are a checked small list."""
-    if regions.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
-        raise ValueError(f"over {MOST_REGIONS} regions")
-    named = regions.select(F.struct(*regions.columns).alias("_r"))
-    return points.join(F.broadcast(named), in_bounds(lat, lon, depth, "_r")).withColumn("region", F.col("_r.name")).withColumn("priority", F.col("_r.priority")).drop("_r")
+    """points with every region that holds them; any number of either.
+
+    A region is in the cells of its box, a place in one; both meet there and the
+    region's shape is tested.
+    """
+    held = regions.select(F.struct(*regions.columns).alias("_r"), F.explode(cells.of_box("min_lat", "max_lat", "min_lon", "max_lon", CELL)).alias("_cell"))
+    both = points.withColumn("_cell", cells.flat(lat, lon, CELL)).join(held, "_cell").where(in_bounds(lat, lon, depth, "_r"))
+    return both.withColumn("region", F.col("_r.name")).withColumn("priority", F.col("_r.priority")).drop("_r", "_cell")
 
 
 def first_match(points: DataFrame, regions: DataFrame, key: str, lat: str = "lat", lon: str = "lon", depth: str = "depth") -> DataFrame:

@@ -199,18 +199,35 @@ def external_picks(spark, sf):
 _MODELS = "layer AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}, {b}, {c}, {d}, {e})" for m, rows in velocity.MODELS.items() for a, b, c, d, e in rows) + ") v(model, top_depth, thickness, vp, vs, density))"
 
 
-@query("SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY top_depth) AS INTEGER) AS k, CAST(top_depth AS DOUBLE) AS top_depth, CAST(thickness AS DOUBLE) AS thickness, CAST(vp AS DOUBLE) AS vp, CAST(vs AS DOUBLE) AS vs, CAST(density AS DOUBLE) AS density FROM layer", (_MODELS,))
+_DEPTHS = "z AS (SELECT depth, count(*) AS n FROM origin GROUP BY depth)"
+
+
+@query(
+    "SELECT model, k, top_depth, thickness, vp, vs, density, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_origins FROM (SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY top_depth) AS INTEGER) AS k, CAST(top_depth AS DOUBLE) AS top_depth, CAST(thickness AS DOUBLE) AS thickness, CAST(vp AS DOUBLE) AS vp, CAST(vs AS DOUBLE) AS vs, CAST(density AS DOUBLE) AS density FROM layer) l LEFT JOIN z ON z.depth >= top_depth AND (thickness <= 0 OR z.depth < top_depth + thickness) GROUP BY ALL",
+    (ORIGINS, _DEPTHS, _MODELS),
+)
 def model_layers(spark, sf):
-    """The standard models' layers, numbered by depth."""
+    """The standard models' layers, numbered by depth, and how many origins lie in each."""
     rows = velocity.layer_rows(spark, [velocity.Model.named(m) for m in velocity.MODELS])
     each = velocity.by_depth(rows).select("model", F.posexplode("layers").alias("k", "l"))
-    return each.select("model", (F.col("k") + 1).alias("k"), "l.top_depth", "l.thickness", "l.vp", "l.vs", "l.density")
+    each = each.select("model", (F.col("k") + 1).alias("k"), "l.top_depth", "l.thickness", "l.vp", "l.vs", "l.density")
+    # Depths, not origins, meet the few layers.
+    z = origins(spark, sf).groupBy("depth").agg(F.count("*").alias("n"))
+    inside = (F.col("depth") >= F.col("top_depth")) & ((F.col("thickness") <= 0) | (F.col("depth") < F.col("top_depth") + F.col("thickness")))
+    held = z.join(F.broadcast(each.select("model", "k", "top_depth", "thickness")), inside).groupBy("model", "k").agg(F.sum("n").alias("n_origins"))
+    return each.join(held, ["model", "k"], "left").withColumn("n_origins", F.coalesce("n_origins", F.lit(0)))
 
 
-@query("SELECT phase_class, d_bin, z_bin, round(sqrt(d_bin * d_bin + z_bin * z_bin) / CASE phase_class WHEN 'P' THEN 6.0 ELSE 3.5 END, 6) AS t FROM (SELECT CAST(unnest(range(0, 301)) AS INTEGER) AS d_bin) d, (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS z_bin) z, (VALUES ('P'), ('S')) p(phase_class)")
+@query(
+    f"SELECT phase_class, d_bin, z_bin, round(sqrt(d_bin * d_bin + z_bin * z_bin) / CASE phase_class WHEN 'P' THEN 6.0 ELSE 3.5 END, 6) AS t, count(*) AS n_origins FROM (SELECT CAST(floor(least({haversine_sql('35.0::DOUBLE', '(-117.0)::DOUBLE', 'lat', 'lon')}, 20000)) AS INTEGER) AS d_bin, CAST(floor(depth) AS INTEGER) AS z_bin FROM origin) o, (VALUES ('P'), ('S')) p(phase_class) WHERE z_bin BETWEEN 0 AND 20 GROUP BY ALL",
+    (ORIGINS,),
+)
 def straight_time_table(spark, sf):
-    """The straight-ray table of a half-space."""
-    return velocity.straight_rows(spark, 6.0, 3.5, max_km=300, max_depth=20).select("phase_class", "d_bin", "z_bin", r("t").alias("t"))
+    """The straight-ray table of a half-space at the whole kilometres at which origins down to 20 km lie from one station."""
+    table = velocity.straight_rows(spark, 6.0, 3.5, max_km=20_000, max_depth=20)
+    seen = origins(spark, sf).select(F.floor(F.least(geo.haversine_km(CLAT, CLON, "lat", "lon"), F.lit(20_000.0))).cast("int").alias("d_bin"), F.floor("depth").cast("int").alias("z_bin"))
+    seen = seen.groupBy("d_bin", "z_bin").agg(F.count("*").alias("n_origins"))
+    return table.join(seen, ["d_bin", "z_bin"]).select("phase_class", "d_bin", "z_bin", r("t").alias("t"), "n_origins")
 
 
 @query(f"SELECT orid, round(sqrt(km * km + depth * depth) / 6.0, 6) AS seconds, round(sqrt(km * km + depth * depth), 6) AS hypo FROM (SELECT orid, depth, {haversine_sql('35.0::DOUBLE', '(-117.0)::DOUBLE', 'lat', 'lon')} AS km FROM origin) t WHERE km BETWEEN 555 AND 11100", (ORIGINS,))
@@ -306,6 +323,45 @@ def body_wave_magnitudes(spark, sf):
     return got.select(F.col("event_id").alias("vec_id"), r("magnitude").alias("magnitude"))
 
 
+def _drawn_together(spark, sf, name: str):
+    """Origins or stations with their places within nine degrees of one."""
+    rows = origins(spark, sf).select(F.col("orid").alias("event_id"), (F.col("time") * 1e6).cast("long").alias("time_us"), "lat", "lon", "depth") if name == "origins" else stations(spark, sf).select("net", "sta", "lat", "lon", "station_id")
+    return rows.withColumns({"lat": F.col("lat") / 20, "lon": F.col("lon") / 20})
+
+
+def recordings(spark, sf, rate: float, offset_s: int):
+    """Embeddings as waveforms: 768 samples of ten stations in turn, each on a day of the orders', some seconds after midnight."""
+    v = F.col("vec_id")
+    start = (F.lit(8035) + v * 7919 % 2400) * 86_400_000_000 + (offset_s + v % 60) * 1_000_000 + 250_000
+    rows = arrays(spark, sf).select((v % 10 + 1).alias("station_id"), start.alias("start_us"), F.flatten(F.array_repeat("x", 12)).alias("samples"))
+    return rows.join(stations(spark, sf), "station_id").select("net", "sta", F.lit("BHZ").alias("chan"), "start_us", F.lit(rate).alias("sample_rate"), "samples")
+
+
+def _station_magnitudes(f, spark, sf, rate, offset_s):
+    got = f(_drawn_together(spark, sf, "origins"), recordings(spark, sf, rate, offset_s), _drawn_together(spark, sf, "stations"))
+    return got.select("event_id", "net", "sta", r("distance", 4).alias("distance"), r("magnitude", 4).alias("magnitude"))
+
+
+@query()
+def local_magnitudes(spark, sf):
+    """ML of every origin at every station within range that recorded its S wave."""
+    return _station_magnitudes(magnitude.local_stations, spark, sf, 10.0, 0)
+
+
+@query()
+def moment_magnitudes(spark, sf):
+    """Mw of the same, from five seconds of S."""
+    return _station_magnitudes(magnitude.moment_stations, spark, sf, 20.0, 0)
+
+
+@query()
+def surface_magnitudes(spark, sf):
+    """Ms of origins and stations all over the globe."""
+    o = origins(spark, sf).select(F.col("orid").alias("event_id"), (F.col("time") * 1e6).cast("long").alias("time_us"), "lat", "lon", "depth")
+    got = magnitude.surface_stations(o, recordings(spark, sf, 0.5, 1800), stations(spark, sf))
+    return got.select("event_id", "net", "sta", r("distance", 4).alias("distance"), r("magnitude", 4).alias("magnitude"))
+
+
 # Stores and reports
 
 
@@ -323,13 +379,13 @@ def stored_rows(spark, sf):
 
 
 @query(
-    "SELECT 'origin' AS name, count(*) AS n, max(orid) AS last FROM origin WHERE orid % 100 = 3 UNION ALL SELECT 'assoc', count(*), max(a.arid) FROM assoc a WHERE orid % 100 = 3 UNION ALL SELECT 'event', count(DISTINCT orid), max(orid) FROM origin WHERE orid % 100 = 3 UNION ALL SELECT 'netmag', count(*), max(orid) FROM (SELECT DISTINCT orid FROM assoc WHERE orid % 100 = 3) t",
+    "SELECT 'origin' AS name, count(*) AS n, max(orid) AS last FROM origin UNION ALL SELECT 'assoc', count(*), max(a.arid) FROM assoc a UNION ALL SELECT 'event', count(DISTINCT orid), max(orid) FROM origin UNION ALL SELECT 'netmag', count(*), max(orid) FROM (SELECT DISTINCT orid FROM assoc) t",
     (ORIGINS, ASSOC),
 )
 def complete_events(spark, sf):
     """Located events, their arrivals and magnitudes as all tables at once, stored in one commit and read back."""
-    o = origins(spark, sf).where("orid % 100 = 3").select(F.col("orid").alias("event_id"), "orid", (F.col("time") * 1e6).cast("long").alias("time_us"), "lat", "lon", "depth", *(F.lit(1.0).alias(c) for c in ("lat_err", "lon_err", "depth_err", "time_err", "rms")), F.lit(4).alias("phase_count"), F.lit(False).alias("fixed"), F.lit("GridSearch").alias("algorithm"))
-    a = assoc(spark, sf).where("orid % 100 = 3")
+    o = origins(spark, sf).select(F.col("orid").alias("event_id"), "orid", (F.col("time") * 1e6).cast("long").alias("time_us"), "lat", "lon", "depth", *(F.lit(1.0).alias(c) for c in ("lat_err", "lon_err", "depth_err", "time_err", "rms")), F.lit(4).alias("phase_count"), F.lit(False).alias("fixed"), F.lit("GridSearch").alias("algorithm"))
+    a = assoc(spark, sf)
     seen = a.select("arid", "orid", "sta", F.lit("P").alias("phase"), F.col("delta").alias("distance"), F.lit(0.0).alias("azimuth"), F.col("timeres").alias("residual"), F.col("wgt").alias("weight"), F.lit(True).alias("used"))
     p = a.select(F.col("arid").alias("pick_id"), "sta", F.lit("BHZ").alias("chan"), (F.col("time") * 1e6).cast("long").alias("time_us"), F.lit("P").alias("phase"), F.lit(0.1).alias("uncertainty"), F.col("amp").alias("amplitude"), F.lit(1.0).alias("period"), F.lit(5.0).alias("snr"), F.lit(0).alias("quality"))
     mags = a.groupBy(F.col("orid").alias("event_id")).agg(F.max("amp").alias("magnitude")).select("event_id", F.col("event_id").alias("magid"), F.lit("ML").alias("magtype"), F.lit(1).alias("nsta"), "magnitude", F.lit(0.1).alias("uncertainty"))
@@ -362,5 +418,5 @@ def event_summaries(spark, sf):
 @query("SELECT CAST(t.sample AS INTEGER) AS sample, t.station, round(t.ratio, 6) AS ratio FROM (SELECT stream_id AS station, idx AS sample, ratio FROM r) t", (SAMPLES, DEMEANED, STALTA))
 def ratio_report(spark, sf):
     """The STA/LTA traces as a report's rows."""
-    rows = samples(spark, sf).withColumn("value", signal.demeaned(S)).withColumn("ratio", signal.sta_lta(S, STA, LTA)).withColumn("distance_km", F.lit(0.0))
+    rows = triggers.block_ratios(samples(spark, sf), S, STA, LTA).withColumn("distance_km", F.lit(0.0))
     return reports.ratio_report(rows, "stream_id").select(F.col("sample").cast("int").alias("sample"), "station", r("ratio").alias("ratio"))

@@ -104,8 +104,23 @@ def dominant_frequency(spark, sf):
     return arrays(spark, sf).select("vec_id", kernels.per_segment(lambda x: kernels.dominant_frequency(x, RATE), "x", "double").alias("hz"))
 
 
-@query()
+_W = int(RATE * 0.5)
+
+
+@query(
+    "SELECT vec_id, CAST(unnest(list) AS DOUBLE) AS sample FROM (SELECT vec_id, arg_max(list, k) AS list FROM walk GROUP BY vec_id) t",
+    (
+        "RECURSIVE " + ARRAYS,
+        "u AS (SELECT vec_id, idx, x / m AS x FROM (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id) AS m FROM (SELECT vec_id, idx, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM arr) a) b)",
+        f"fr AS (SELECT vec_id, idx, list(x) OVER (PARTITION BY vec_id ORDER BY idx ROWS BETWEEN {_W} PRECEDING AND 1 PRECEDING) AS l, sum(abs(x)) OVER (PARTITION BY vec_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / 10 AS env FROM u)",
+        f"mo AS (SELECT vec_id, idx, env, list_sum(list_transform(l, lambda v: pow(v - list_avg(l), 2))) / {_W} AS m2, list_sum(list_transform(l, lambda v: pow(v - list_avg(l), 4))) / {_W} AS m4 FROM fr WHERE idx >= {_W})",
+        "sc AS (SELECT vec_id, idx, CASE WHEN m2 > 1e-10 THEN m4 / (m2 * m2) - 3 ELSE 0 END AS kurt, (env - avg(env) OVER (PARTITION BY vec_id)) / nullif(stddev_pop(env) OVER (PARTITION BY vec_id), 0) AS z FROM mo)",
+        "hit AS (SELECT vec_id, idx, row_number() OVER (PARTITION BY vec_id ORDER BY idx) AS k FROM sc WHERE kurt > 5 OR z > 3)",
+        f"walk AS (SELECT vec_id, k, idx AS last, [idx] AS list FROM hit WHERE k = 1 UNION ALL SELECT h.vec_id, h.k, CASE WHEN h.idx - w.last >= {_W} THEN h.idx ELSE w.last END, CASE WHEN h.idx - w.last >= {_W} THEN list_append(w.list, h.idx) ELSE w.list END FROM walk w JOIN hit h ON h.vec_id = w.vec_id AND h.k = w.k + 1)",
+    ),
+)
 def ml_detections(spark, sf):
+    """Those of the built-in detector that it is at least a tenth sure of, which all over its thresholds are."""
     found = kernels.per_segment(lambda x: [float(i) for i, _, _ in kernels.ml_backend(x, RATE, 0.1)], "x")
     return arrays(spark, sf).select("vec_id", F.explode(found).alias("sample"))
 
