@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import socket
+import threading
 from datetime import UTC, datetime
 
 import numpy as np
@@ -87,7 +89,7 @@ def test_seedlink_recording(spark, tmp_path):
     path = tmp_path / "packets"
     path.write_bytes(b"".join(seedlink.frame(i, rec(range(10 * i, 10 * i + 10), M.INT32, 512, sequence=i + 1)) for i in range(7)))
     seedlink.register(spark)
-    stream = spark.readStream.format("seedlink").option("path", str(path)).option("maxPacketsPerTrigger", "3").load()
+    stream = spark.readStream.format("seedlink").option("path", str(path)).option("packetsPerTask", "3").load()
     q = stream.writeStream.format("memory").queryName("packets").start()
     try:
         q.processAllAvailable()
@@ -95,3 +97,90 @@ def test_seedlink_recording(spark, tmp_path):
         q.stop()
     got = spark.sql("select number, n, samples from packets order by number").collect()
     assert [r["number"] for r in got] == list(range(7)) and got[3]["samples"] == [float(i) for i in range(30, 40)]
+
+
+class Server:
+    """A scripted SeedLink server: packets by station, HELLO, CAT, INFO STATIONS, STATION, SELECT, FETCH, END; may break connections."""
+
+    def __init__(self):
+        self.packets, self.breaks, self.asked = {}, 0, []
+        self.socket = socket.create_server(("127.0.0.1", 0))
+        self.port = self.socket.getsockname()[1]
+        threading.Thread(target=self._accept, daemon=True).start()
+
+    def add(self, station, numbers):
+        for k in numbers:
+            self.packets.setdefault(station, []).append((k % (1 << 24), rec(range(k % 1000, k % 1000 + 5), M.INT32, 512, sequence=k % 1000 + 1)))
+
+    def _accept(self):
+        while True:
+            c, _ = self.socket.accept()
+            threading.Thread(target=self._serve, args=(c,), daemon=True).start()
+
+    def _serve(self, c):
+        lines, own, first = c.makefile("rb"), None, 0
+        with c:
+            for line in lines:
+                word = line.decode().split()
+                if word[0] == "HELLO":
+                    c.sendall(b"SeedLink v3\r\nhere\r\n")
+                elif word[0] == "INFO":
+                    text = "<seedlink>" + "".join(f'<station name="{s.split("_")[1]}" network="{s.split("_")[0]}" begin_seq="{p[0][0]:06X}" end_seq="{p[-1][0]:06X}"/>' for s, p in self.packets.items()) + "</seedlink>"
+                    parts = [text[i : i + 100].encode() for i in range(0, len(text), 100)]
+                    for i, part in enumerate(parts):
+                        head = bytearray(64)
+                        head[30:32], head[44:46] = len(part).to_bytes(2, "big"), (64).to_bytes(2, "big")
+                        c.sendall((b"SLINFO *" if i < len(parts) - 1 else b"SLINFO  ") + (bytes(head) + part).ljust(512, b"\0"))
+                elif word[0] == "STATION":
+                    own = f"{word[2]}_{word[1]}"
+                    c.sendall(b"OK\r\n" if own in self.packets else b"ERROR\r\n")
+                elif word[0] == "SELECT":
+                    c.sendall(b"OK\r\n")
+                elif word[0] == "FETCH":
+                    first = int(word[1], 16)
+                    self.asked.append((own, first))
+                    c.sendall(b"OK\r\n")
+                elif word[0] == "END":
+                    numbers = [k for k, _ in self.packets[own]]
+                    for n, (k, body) in enumerate(self.packets[own][numbers.index(first) if first in numbers else 0 :]):
+                        if n == 2 and self.breaks > 0:
+                            self.breaks -= 1
+                            c.sendall(seedlink.frame(k, body)[:100])
+                            return
+                        c.sendall(seedlink.frame(k, body))
+                    c.sendall(b"END")
+                    return
+
+
+def test_seedlink_goes_on_after_a_restart(spark, tmp_path):
+    """A stream is stopped and started again, connections break, numbers begin anew: each packet comes once."""
+    server = Server()
+    server.add("XX_AAA", range(0xABC0, 0xABC0 + 7))
+    server.add("XX_BBB", range((1 << 24) - 3, (1 << 24) + 2))
+    server.add("YY_CCC", range(5))
+    seedlink.register(spark)
+    server.breaks = 2
+
+    def run():
+        stream = spark.readStream.format("seedlink").options(host="127.0.0.1", port=server.port, streams="XX_*:BHZ", startingAt="earliest", packetsPerTask="3", waitSeconds="0.05").load()
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted(r["number"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    top = 1 << 24
+    assert run() == sorted([*range(0xABC0, 0xABC7), top - 3, top - 2, top - 1, 0, 1]) and server.breaks == 0
+    server.asked.clear()
+    server.add("XX_AAA", range(0xABC7, 0xABC7 + 4))
+    server.add("XX_BBB", [top + 2])
+    assert run() == sorted([*range(0xABC0, 0xABCB), top - 3, top - 2, top - 1, 0, 1, 2])
+    assert {("XX_AAA", 0xABC7), ("XX_BBB", 2)} <= set(server.asked) and all(s != "YY_CCC" for s, _ in server.asked)
+    assert run() == sorted([*range(0xABC0, 0xABCB), top - 3, top - 2, top - 1, 0, 1, 2])
+
+
+def test_seedlink_ranges():
+    n = seedlink.Numbers
+    assert seedlink.ranges({"A": (1 << 24) - 2}, {"A": 3}, 4) == [n("A", (1 << 24) - 2, 4), n("A", 2, 1)]
+    assert seedlink.ranges({"": 5}, {"": 9}, 3) == [n("", 5, 3), n("", 8, 1)] and seedlink.ranges({"A": 7}, {"A": 7}, 3) == []
