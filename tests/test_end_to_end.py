@@ -126,6 +126,23 @@ def test_association_of_a_stream(spark, tmp_path):
     assert len({r["event_id"] for r in seen}) == 1 and len(seen) >= 4
 
 
+def test_a_batch_leaves_no_tables_behind(spark):
+    from pathlib import Path
+
+    from tremorframe import scratch
+
+    shared = Path(scratch.shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    with scratch.passing(spark):
+        a = scratch.written(spark.range(3), "gone")
+        b = scratch.written(spark.range(4), "stays", session=True)
+        assert a.count() == 3
+    after = set(shared.iterdir()) - before
+    assert [p.name.split("-")[0] for p in after] == ["stays"] and b.count() == 4
+    scratch.written(spark.range(1), "plain")
+    assert len(set(shared.iterdir()) - before) == 2
+
+
 def test_playback(spark):
     rows = [("A", int((i * 7) % 23) * 1_000_000, 20.0, [float(i)]) for i in range(23)]
     segments = spark.createDataFrame(rows, "stream_id string, start_us long, sample_rate double, samples array<double>")

@@ -181,9 +181,39 @@ def test_segments(spark):
     assert [(r["stream_id"], len(r["samples"])) for r in got] == [("a", 15), ("a", 1), ("b", 1)]
 
 
-def test_suppression(spark):
-    got = spark.createDataFrame([([1, 2, 5, 6, 9, 14],)], "i array<bigint>").select(signal.suppress_close(F.col("i"), 4).alias("k")).first()["k"]
-    assert got == [1, 5, 9, 14]
+def plain_gap(places, gap):
+    out = []
+    for t in sorted(set(places)):
+        if not out or t - out[-1] >= gap:
+            out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 5, 64, 1 << 18])
+def test_minimum_gap(spark, block):
+    """Equal to a loop for any block: dense runs, lone places, empty blocks, places a block's length apart, places that occur twice."""
+    r = np.random.default_rng(7)
+    streams = {"a": [1, 2, 5, 6, 9, 14, 14], "b": list(range(300)), "c": r.integers(0, 2000, 300).tolist(), "d": [10_000_000_000 + 3 * i for i in range(40)], "e": [7], "f": [0, 500, 501, 1700, 1701, 1706]}
+    df = spark.createDataFrame([(k, int(t)) for k, v in streams.items() for t in v], "stream_id string, at long").repartition(5)
+    for gap in (4, 37):
+        got = frames.minimum_gap(df, ("stream_id",), "at", gap, block).collect()
+        for k, v in streams.items():
+            assert sorted(x["at"] for x in got if x["stream_id"] == k) == plain_gap(v, gap)
+    assert frames.minimum_gap(df.limit(0), ("stream_id",), "at", 4).count() == 0
+
+
+@pytest.mark.parametrize("block", [11, 64, 1 << 18])
+def test_looking_ahead_in_blocks(spark, block):
+    x = burst(300, 150)
+    df = frame(spark, x, x[:40], [2.0])
+    loud = frames.loudest_ahead(df, S, 9, block)
+    assert loud.count() == 341 and np.allclose(values(loud.where("stream_id = 0"), "loud"), [abs(x[i : i + 9]).max() for i in range(300)])
+    assert np.allclose(values(frames.differentiate(df, S, 4.0, block).where("stream_id = 0"), "y"), np.concatenate(([x[1] - x[0]], np.diff(x))) * 4)
+    assert values(frames.differentiate(df, S, 4.0, block).where("stream_id = 2"), "y").tolist() == [0.0]
+    w = 8
+    want = {i: (x[i : i + w] ** 2).sum() / (x[i - w : i] ** 2).sum() for i in range(w, 300 - w, 2)}
+    got = {r["idx"]: r["energy_ratio"] for r in frames.aic_candidates(df, S, w, 1.5, block).where("stream_id = 0").collect()}
+    assert got == pytest.approx({i: v for i, v in want.items() if v > 2.25})
 
 
 def test_kernel_pickers(spark):

@@ -202,3 +202,86 @@ def aic_curve(df: DataFrame, s: Stream, tiny: float = TINY_AIC, block: int = BLO
 def integrate(df: DataFrame, s: Stream, rate: float, block: int = BLOCK) -> DataFrame:
     """df with y: the running sum of samples over the rate; the first sample counts whole."""
     return running_sums(df, s, {"y": F.when(s.i == 0, s.x).otherwise(s.x / rate)}, block)
+
+
+def differentiate(df: DataFrame, s: Stream, rate: float, block: int = BLOCK) -> DataFrame:
+    """by..., idx, y: the step from the sample before, times the rate; the first sample has the second's, 0 if it is alone."""
+    rows = in_blocks(df, s, 1, lambda o: {"y": (o.x - F.lag(o.x).over(o.window)) * rate}, block)
+    second = rows.where(s.i == 1).select(*s.by, F.col("y").alias("_second"))
+    return rows.join(second, list(s.by), "left").withColumn("y", F.when(s.i > 0, F.col("y")).otherwise(F.coalesce("_second", F.lit(0.0)))).drop("_second")
+
+
+def aic_candidates(df: DataFrame, s: Stream, w: int, min_snr: float, block: int = BLOCK) -> DataFrame:
+    """by..., idx, energy_ratio at every w/4-th sample where the next w samples outweigh the last w."""
+    hop, e = max(1, w // 4), s.x * s.x
+    # Seen from the last of the next w samples, all lie before.
+    rows = in_blocks(df, s, 2 * w, lambda o: {"_after": o.sum(e, -(w - 1), 0), "_before": o.sum(e, -(2 * w - 1), -w)}, block)
+    rows = with_whole(rows, s, _n=F.count("*")).withColumn(s.idx, s.i - (w - 1))
+    hit = (s.i >= w) & (s.i < F.col("_n") - w) & ((s.i - w) % hop == 0) & (F.col("_before") > TINY_AIC)
+    ratio = F.col("_after") / F.col("_before")
+    return rows.where(hit).withColumn("energy_ratio", ratio).where(ratio > min_snr * min_snr).select(*s.by, s.idx, "energy_ratio")
+
+
+def loudest_ahead(df: DataFrame, s: Stream, n: int, block: int = BLOCK) -> DataFrame:
+    """by..., idx, loud: the largest absolute sample of the n from each one on, fewer at the stream's end."""
+    # Read from its end, a stream's next samples are its last ones.
+    ends = with_whole(df.select(*s.by, s.i.alias(s.idx), s.x.alias(s.value)), s, _n=F.count("*")).withColumn(s.idx, F.col("_n") - 1 - s.i)
+    rows = in_blocks(ends, s, n, lambda o: {"loud": F.max(F.abs(o.x)).over(o.rows(-(n - 1), 0)), "_n": F.col("_n")}, block)
+    return rows.withColumn(s.idx, F.col("_n") - 1 - s.i).drop("_n")
+
+
+def minimum_gap(rows: DataFrame, by: tuple[str, ...], at: str, gap: int, block: int = BLOCK) -> DataFrame:
+    """by..., at: of each stream's places (long) those at least gap after the last one that was kept.
+
+    What a block of places keeps depends on those before it only through the
+    place from which one may be kept again, which lies at most a gap inside of
+    it.  So a block tells for each place that may be its first what it leaves
+    to the next; a stream's blocks are joined in order, a few numbers for each;
+    then each block is gone through once more.
+    """
+    gap = max(1, int(gap))
+    block = max(block, gap)
+    dealt_out = rows.select(*by, F.col(at).cast("long").alias(at), F.floor(F.col(at) / block).alias("_block"))
+    kind = dealt_out.select(*by, "_block").schema.simpleString()[7:-1]
+
+    def leaves(key, part):
+        import numpy as np
+        import pandas as pd
+
+        t = np.unique(part[at].to_numpy())
+        follows = np.searchsorted(t, t + gap)
+        free = t + gap
+        for i in range(len(t) - 1, -1, -1):
+            if follows[i] < len(t):
+                free[i] = free[follows[i]]
+        # Whatever came before, the first one kept is at most the first place a gap inside of the block.
+        n = min(len(t), int(np.searchsorted(t, key[-1] * block + gap)) + 1)
+        return pd.DataFrame([(*key, t[:n].tolist(), free[:n].tolist())], columns=[*by, "_block", "_first", "_free"])
+
+    def begins(key, part):
+        import bisect
+
+        import pandas as pd
+
+        out, free = [], -(1 << 62)
+        for r in part.sort_values("_block").itertuples(index=False):
+            block_at, first, after = r[len(by)], r[len(by) + 1], r[len(by) + 2]
+            out.append((*key, block_at, free))
+            i = bisect.bisect_left(first, free)
+            free = after[i] if i < len(first) else free
+        return pd.DataFrame(out, columns=[*by, "_block", "_from"])
+
+    told = dealt_out.groupBy(*by, "_block").applyInPandas(leaves, f"{kind}, _first array<bigint>, _free array<bigint>")
+    starts = told.groupBy(*by).applyInPandas(begins, f"{kind}, _from long")
+
+    def keeps(part):
+        import numpy as np
+
+        t, out = np.unique(part[at].to_numpy()), []
+        i = int(np.searchsorted(t, part["_from"].iloc[0]))
+        while i < len(t):
+            out.append(i)
+            i = int(np.searchsorted(t, t[i] + gap))
+        return part[[*by]].iloc[np.zeros(len(out), int)].assign(**{at: t[out]})
+
+    return dealt_out.join(starts, [*by, "_block"]).groupBy(*by, "_block").applyInPandas(keeps, dealt_out.drop("_block").schema.simpleString()[7:-1])

@@ -99,17 +99,6 @@ def aic(s: Stream, tiny: float = TINY_AIC) -> Column:
     return F.when((k > 0) & (k < n - 1), k * F.ln(left) + (m - 1) * F.ln(right)).otherwise(0.0)
 
 
-def aic_candidates(df: DataFrame, s: Stream, w: int, min_snr: float) -> DataFrame:
-    """Rows at every w/4-th sample where the next w samples outweigh the last w."""
-    after, before = s.sum(s.x * s.x, 0, w - 1), s.sum(s.x * s.x, -w, -1)
-    n = F.count("*").over(s.whole)
-    got = df.select(*df.columns, after.alias("_after"), before.alias("_before"), n.alias("_n"))
-    hop = max(1, w // 4)
-    hit = (s.i >= w) & (s.i < F.col("_n") - w) & ((s.i - w) % hop == 0) & (F.col("_before") > TINY_AIC)
-    ratio = F.col("_after") / F.col("_before")
-    return got.where(hit).withColumn("energy_ratio", ratio).where(ratio > min_snr * min_snr).drop("_after", "_before", "_n")
-
-
 def argmin(df: DataFrame, s: Stream, column: str, first: Column | int = 0, last: Column | None = None) -> DataFrame:
     """The first row of least value in [first, last) of each stream."""
     rows = df.where(s.i >= first)
@@ -120,14 +109,3 @@ def argmin(df: DataFrame, s: Stream, column: str, first: Column | int = 0, last:
 def pick_amplitude(s: Stream, n: int) -> Column:
     """Largest absolute sample of the n from each one on."""
     return F.max(F.abs(s.x)).over(s.rows(0, max(0, n - 1)))
-
-
-def differentiate(s: Stream, rate: float) -> Column:
-    back, ahead = F.lag(s.x).over(s.window), F.lead(s.x).over(s.window)
-    return F.when(s.i > 0, (s.x - back) * rate).otherwise(F.coalesce((ahead - s.x) * rate, F.lit(0.0)))
-
-
-def suppress_close(indices: Column, gap: Column | int) -> Column:
-    """Of ascending indices those at least gap after the last one that was kept."""
-    step = lambda a, i: F.when((F.size(a) == 0) | (i - F.element_at(a, -1) >= gap), F.concat(a, F.array(i))).otherwise(a)
-    return F.aggregate(indices, F.array().cast("array<bigint>"), step)

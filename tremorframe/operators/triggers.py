@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signal
-from .frames import BLOCK, dealt, frame_sums, in_blocks, kept
+from .frames import BLOCK, aic_candidates, dealt, frame_sums, in_blocks, kept, loudest_ahead, minimum_gap
 from .signal import Stream
 
 __all__ = ["BLOCK", "in_blocks"]
@@ -75,11 +75,11 @@ def stalta_triggers(df: DataFrame, s: Stream, sta: int, lta: int, trigger: float
     return threshold_triggers(block_ratios(df, s, sta, lta, tiny, block), s, "ratio", trigger, detrigger, block)
 
 
-def polarization_triggers(df: DataFrame, s: Stream, coupled: str, rect: str, trigger: float, detrigger: float, theta: float) -> DataFrame:
+def polarization_triggers(df: DataFrame, s: Stream, coupled: str, rect: str, trigger: float, detrigger: float, theta: float, block: int | None = None) -> DataFrame:
     """On where both measures are high enough, off where one of them is low."""
     on = (F.col(coupled) >= trigger) & (F.col(rect) >= theta)
     off = (F.col(coupled) < detrigger) | (F.col(rect) < theta / 2)
-    return hysteresis(df, s, on, off, F.col(coupled))
+    return hysteresis(df, s, on, off, F.col(coupled), block=block)
 
 
 def near_samples(df: DataFrame, s: Stream, picks: DataFrame, first: Column, stop: Column, width: int = 4096) -> DataFrame:
@@ -113,7 +113,7 @@ def stalta_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.5, lta_
 def aic_picks(df: DataFrame, s: Stream, rate: float, before_s: float = 2.0, min_snr: float = 3.0, distinct: bool = True) -> DataFrame:
     """AIC picker: candidates where energy rises, each moved to its AIC minimum."""
     w = max(4, int(before_s * rate))
-    found = signal.aic_candidates(df, s, w, min_snr).select(*s.by, s.i.alias("candidate"), F.sqrt("energy_ratio").alias("snr"))
+    found = aic_candidates(df, s, w, min_snr).select(*s.by, s.i.alias("candidate"), F.sqrt("energy_ratio").alias("snr"))
     found = aic_refined(df, s, found, "candidate", w // 2).withColumnRenamed("refined_idx", "pick_idx")
     if distinct:
         found = found.groupBy(*s.by, "pick_idx").agg(F.max("snr").alias("snr"), F.min("candidate").alias("candidate"))
@@ -123,10 +123,10 @@ def aic_picks(df: DataFrame, s: Stream, rate: float, before_s: float = 2.0, min_
 def polarization_picks(df: DataFrame, s: Stream, rate: float, sta_s: float = 0.3, lta_s: float = 8.0, trigger: float = 1.5, detrigger: float = 0.5, pol_s: float = 0.5, theta: float = 0.2) -> DataFrame:
     """Three-component picker over columns z, n, e: STA/LTA of z times rectilinearity."""
     z = Stream(s.by, s.idx, "z")
-    ratio = signal.sta_lta(z, int(sta_s * rate), int(lta_s * rate), tiny=signal.TINY_PREFIX)
-    rows = df.select(*s.by, s.idx, "z", ratio.alias("ratio"), signal.rectilinearity(s, "z", "n", "e", max(2, int(pol_s * rate))).alias("rect"))
-    rows = rows.withColumn("coupled", F.col("ratio") * F.col("rect"))
-    found = polarization_triggers(rows, z, "coupled", "rect", trigger, detrigger, theta).withColumnRenamed("peak", "snr")
+    sta, lta, pol = int(sta_s * rate), int(lta_s * rate), max(2, int(pol_s * rate))
+    both = lambda o: {"ratio": signal.sta_lta(o, sta, lta, F.col("z"), signal.TINY_PREFIX), "rect": signal.rectilinearity(o, "z", "n", "e", pol)}
+    rows = in_blocks(df, z, max(sta + 1, lta, pol), both).withColumn("coupled", F.col("ratio") * F.col("rect"))
+    found = polarization_triggers(rows, z, "coupled", "rect", trigger, detrigger, theta, BLOCK).withColumnRenamed("peak", "snr")
     return aic_refined(df, z, found, "on_idx", int(rate)).withColumnRenamed("refined_idx", "pick_idx").withColumn("phase", F.lit("P"))
 
 
@@ -191,9 +191,8 @@ def trimmed(segments: DataFrame, earliest_us: int) -> DataFrame:
 
 
 def spaced(picks: DataFrame, by: tuple[str, ...], gap_s: float = 2.0, min_snr: float = 3.0) -> DataFrame:
-    """by..., time_us of picks at least a gap after the last one kept; a stream's pick times are one array."""
-    times = picks.where(F.col("snr") >= min_snr).groupBy(*by).agg(F.sort_array(F.collect_list("time_us")).alias("_t"))
-    return times.select(*by, F.explode(signal.suppress_close(F.col("_t"), int(gap_s * 1e6))).alias("time_us"))
+    """by..., time_us of picks at least a gap after the last one kept, a week of picks at a time."""
+    return minimum_gap(picks.where(F.col("snr") >= min_snr), by, "time_us", int(gap_s * 1e6), 7 * 86_400_000_000)
 
 
 def played(segments: DataFrame, by: tuple[str, ...] = ("stream_id",), order: tuple[str, ...] = ("start_us",)) -> DataFrame:
@@ -204,11 +203,11 @@ def played(segments: DataFrame, by: tuple[str, ...] = ("stream_id",), order: tup
 def coda_duration(df: DataFrame, s: Stream, rate: float, p_idx: Column, noise_s: float = 5.0, factor: float = 1.5) -> DataFrame:
     """by..., duration_s: from P to the first half-second hop whose next second is quieter than the noise."""
     rows = df.withColumn("_p", p_idx)
-    noise = F.sqrt(F.avg(F.when((s.i >= F.col("_p") - int(noise_s * rate)) & (s.i < F.col("_p")), s.x * s.x)).over(s.whole))
-    loud = F.max(F.abs(s.x)).over(s.rows(0, max(0, int(rate) - 1)))
-    rows = rows.select(*s.by, s.idx, "_p", noise.alias("_noise"), loud.alias("_loud"))
+    noise = F.sqrt(F.avg(F.when((s.i >= F.col("_p") - int(noise_s * rate)) & (s.i < F.col("_p")), s.x * s.x)))
+    facts = rows.groupBy(*s.by).agg(noise.alias("_noise"), F.first("_p").alias("_p"))
+    rows = loudest_ahead(df, s, max(1, int(rate))).join(facts, list(s.by))
     hop = max(1, int(0.5 * rate))
-    quiet = rows.where((s.i >= F.col("_p") + int(rate)) & ((s.i - F.col("_p")) % hop == 0) & (F.col("_loud") < factor * F.col("_noise")))
+    quiet = rows.where((s.i >= F.col("_p") + int(rate)) & ((s.i - F.col("_p")) % hop == 0) & (F.col("loud") < factor * F.col("_noise")))
     return quiet.groupBy(*s.by).agg(((F.min(s.i) - F.min("_p")) / rate).alias("duration_s"))
 
 

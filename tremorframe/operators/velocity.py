@@ -139,7 +139,7 @@ def table_rows(spark: SparkSession, model: Model, max_km: int = 3000, max_depth:
                     yield pa.RecordBatch.from_pydict({"model": [model.name] * len(d), "phase_class": [phase] * len(d), "d_bin": d.astype(np.int32), "z_bin": np.full(len(d), z, np.int32), "t": t})
 
         parts = spark.range(0, 2 * (max_depth + 1), 1, min(2 * (max_depth + 1), 4 * spark.sparkContext.defaultParallelism))
-        _STORED[key] = written(parts.mapInArrow(run, "model string, phase_class string, d_bin int, z_bin int, t double"), "travel-times")
+        _STORED[key] = written(parts.mapInArrow(run, "model string, phase_class string, d_bin int, z_bin int, t double"), "travel-times", session=True)
     return _STORED[key]
 
 

@@ -112,9 +112,9 @@ _COUPLED = f"cp AS (SELECT stream_id, idx, {RECT} AS rect, (CASE WHEN idx >= 10
 
 @query("SELECT stream_id, on_idx, off_idx, round(peak, 5) AS peak FROM trig", (THREE, _SUMS, _COUPLED, _marks("coupled >= 0.3 AND rect >= 0.1", "coupled < 0.1 OR rect < 0.05", "coupled", "cp")))
 def polarization_triggers(spark, sf):
-    rows = three_components(spark, sf).withColumn("rect", signal.rectilinearity(S, "z", "n", "e", _W))
-    rows = rows.withColumn("coupled", signal.sta_lta(Stream(value="z"), 3, 10, tiny=1e-20) * F.col("rect"))
-    return triggers.polarization_triggers(rows, S, "coupled", "rect", 0.3, 0.1, 0.1).select("stream_id", "on_idx", "off_idx", r("peak", 5).alias("peak"))
+    both = lambda o: {"rect": signal.rectilinearity(o, "z", "n", "e", _W), "ratio": signal.sta_lta(o, 3, 10, F.col("z"), tiny=1e-20)}
+    rows = triggers.in_blocks(three_components(spark, sf), Stream(value="z"), 10, both).withColumn("coupled", F.col("ratio") * F.col("rect"))
+    return triggers.polarization_triggers(rows, S, "coupled", "rect", 0.3, 0.1, 0.1, triggers.BLOCK).select("stream_id", "on_idx", "off_idx", r("peak", 5).alias("peak"))
 
 
 @query(

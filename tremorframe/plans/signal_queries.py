@@ -166,14 +166,14 @@ def aic_curve_argmin(spark, sf):
 
 @query("SELECT stream_id, idx, round(a / b, 6) AS energy_ratio FROM p WHERE idx >= 8 AND idx < n - 8 AND (idx - 8) % 2 = 0 AND b > 1e-20 AND a / b > 2.25", (SAMPLES, f"p AS (SELECT *, count(*) OVER (PARTITION BY stream_id) AS n, sum(value * value) {frame(0, 7)} AS a, sum(value * value) {frame(-8, -1)} AS b FROM samples)"))
 def aic_candidates(spark, sf):
-    return signal.aic_candidates(samples(spark, sf), S, 8, 1.5).select("stream_id", "idx", F.round("energy_ratio", 6).alias("energy_ratio"))
+    return frames.aic_candidates(samples(spark, sf), S, 8, 1.5).select("stream_id", "idx", F.round("energy_ratio", 6).alias("energy_ratio"))
 
 
 @query(f"SELECT t.stream_id, t.on_idx, round(max(abs(s.value)), 6) AS amplitude FROM trig t JOIN samples s ON s.stream_id = t.stream_id AND s.idx BETWEEN t.on_idx AND t.on_idx + 4 GROUP BY ALL", (SAMPLES, DEMEANED, STALTA, MARKS))
 def pick_amplitude(spark, sf):
     rows = samples(spark, sf)
     found = triggers.stalta_triggers(rows, S, STA, LTA, ON, OFF).select("stream_id", "on_idx")
-    loud = rows.select("stream_id", F.col("idx").alias("on_idx"), F.round(signal.pick_amplitude(S, 5), 6).alias("amplitude"))
+    loud = frames.loudest_ahead(rows, S, 5).select("stream_id", F.col("idx").alias("on_idx"), F.round("loud", 6).alias("amplitude"))
     return found.join(loud, ["stream_id", "on_idx"])
 
 
@@ -195,8 +195,8 @@ def coda_duration(spark, sf):
     ),
 )
 def minimum_gap(spark, sf):
-    loud = samples(spark, sf).where("value > 20").groupBy("stream_id").agg(F.sort_array(F.collect_list("idx")).alias("i"))
-    return loud.select("stream_id", F.explode(signal.suppress_close(F.col("i"), 4)).alias("pick_idx"))
+    loud = samples(spark, sf).where("value > 20").select("stream_id", F.col("idx").alias("pick_idx"))
+    return frames.minimum_gap(loud, ("stream_id",), "pick_idx", 4)
 
 
 @query("SELECT stream_id, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, min(value) AS min, max(value) AS max, max(abs(value)) AS abs_max, count(*) AS n FROM samples GROUP BY stream_id", (SAMPLES,))
@@ -211,7 +211,7 @@ def integrate(spark, sf):
 
 @query("SELECT stream_id, idx, round(CASE WHEN idx > 0 THEN (value - lag(value) OVER w) * 4.0 ELSE coalesce((lead(value) OVER w - value) * 4.0, 0.0) END, 6) AS y FROM samples WINDOW w AS (PARTITION BY stream_id ORDER BY idx)", (SAMPLES,))
 def differentiate(spark, sf):
-    return samples(spark, sf).select("stream_id", "idx", F.round(signal.differentiate(S, 4.0), 6).alias("y"))
+    return frames.differentiate(samples(spark, sf), S, 4.0).select("stream_id", "idx", F.round("y", 6).alias("y"))
 
 
 def _array_query(expression):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import associate
-from ..scratch import file_system, written
+from ..scratch import file_system, passing, written
 
 
 class PendingAssociation:
@@ -42,7 +42,14 @@ class PendingAssociation:
             system.delete(where, True)
 
     def batch(self, rows: DataFrame, number: int) -> None:
-        """rows: pick_id, net, sta, phase, time_us and whatever else events shall have."""
+        """rows: pick_id, net, sta, phase, time_us and whatever else events shall have.
+
+        All tables between the steps go with the batch, so what the callbacks get is theirs until they return.
+        """
+        with passing(rows.sparkSession):
+            self._batch(rows, number)
+
+    def _batch(self, rows: DataFrame, number: int) -> None:
         spark, last = rows.sparkSession, self._before(rows.sparkSession, number)
         pending, clock = rows, 0
         if last is not None:
