@@ -212,6 +212,23 @@ def test_licenses(spark, monkeypatch):
         assert len(kept) == 10 and all(r["row"] == "clash" for r in kept)
 
 
+def test_every_known_licence_in_other_dress(spark):
+    """Titles, wrapped lines, other punctuation, old spellings, copyright lines in front: still itself; a word more or less: not."""
+    import textwrap
+
+    texts = licenses.KNOWN[4:]
+    dress = [
+        lambda t: t, lambda t: "Copyright (c) 2019, A. Person <a@example.org>\n\n" + t, lambda t: "\n".join(textwrap.wrap(t, 60)), lambda t: "  * " + t.replace("\n", "\n  * ") + "\n", lambda t: t.upper(),
+        lambda t: t.replace("license", "licence").replace("acknowledgment", "acknowledgement").replace("authorization", "authorisation").replace('"', "''"),
+    ]
+    rows = [(k * 100 + d, name, f(t)) for k, (name, t) in enumerate(texts) for d, f in enumerate(dress)]
+    other = [(10_000 + 2 * k, name, t + " indeed") for k, (name, t) in enumerate(texts)] + [(10_001 + 2 * k, name, t.replace("software", "hardware", 1).replace("SOFTWARE", "HARDWARE", 1).replace("Software", "Hardware", 1)) for k, (name, t) in enumerate(texts) if "software" in t.lower()]
+    df = spark.createDataFrame(rows + other, "doc_id long, name string, text string")
+    got = licenses.scan(df, keep=("doc_id", "name")).collect()
+    assert len({n for n, _ in texts}) == 21 and all(r["license"] == r["name"] for r in got if r["doc_id"] < 10_000)
+    assert all(r["license"] is None for r in got if r["doc_id"] >= 10_000)
+
+
 def test_license_lines_in_any_dress(spark):
     """Every line of the known form counts, whatever stands around its words and however long it is."""
     notice = "Licensed under CC BY-NC 4.0."
