@@ -90,11 +90,14 @@ def plain_path_vector(path):
     return np.minimum(out, 2.0)
 
 
-def test_path_vectors():
+def test_path_vectors(monkeypatch):
     html = "<body class=x><div id=a-b>" * 4 + "<ul><li class='a a a'>one<li><p>two</ul><table><tr><td><b>three" + "".join(page(i)[0] for i in range(5))
     blocks = read_blocks(html) + read_blocks("none") + read_blocks("".join(f"<div class='n{i}'>x" for i in range(700)))
     assert all((htmltext._path_vector(b.element) == plain_path_vector(b.path)).all() for b in blocks)
-    assert len({id(htmltext._sums(b.element)) for b in read_blocks("<div>x" * 3000)}) <= 4
+    assert len({htmltext._sums(b.element)[0] for b in read_blocks("<div>x" * 3000)}) <= 4
+    for most in (1, 7):
+        monkeypatch.setattr(htmltext, "MOST_KEPT", most)
+        assert all((htmltext._path_vector(b.element) == plain_path_vector(b.path)).all() for b in read_blocks(html))
 
 
 def plain_labeller(p, x):

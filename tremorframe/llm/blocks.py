@@ -14,10 +14,10 @@ from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass
 
-#: Where something other than text may begin; comments, CDATA and declarations; a tag with quoted values; a tag up to the next >.
-START = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+#: Comments, CDATA and declarations; a tag with quoted values; a tag up to the next >.
 NOTE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
-QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 #: Tags whose quotes do not close are read anew as PLAIN; so many times the page's length may be read in vain before no quotes are looked for.
 VAIN = 8
@@ -166,19 +166,20 @@ def read_blocks(page: str) -> list[Block]:
                 linked += len(text)
 
     while at < len(page):
-        m = START.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.start()
-        if page[at + 1] in "!?":
+        say(page[at:begin])
+        at = begin
+        sign = page[at + 1 : at + 2]
+        if sign == "!" or sign == "?":
             m = NOTE.match(page, at)
             at = m.end()
             if m[0].startswith("<![CDATA["):
                 say(m[0][9:-3])
             continue
-        if at > last:
+        if at > last or sign not in LETTERS and not (sign == "/" and page[at + 2 : at + 3] in LETTERS):
             say("<")
             at += 1
             continue

@@ -23,6 +23,7 @@ any name but those of the result.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -41,32 +42,44 @@ EPOCHS = 6
 GROUP = 20_000
 
 
-@functools.lru_cache(100_000)
-def _place(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace")) % PATH_SIZE
+#: Sums by those of the elements round one, its tag and names; and whole vectors by sums and the nearest two tags.  Of so many each, 512 bytes are kept.
+MOST_KEPT = 20_000
+_kept_sums: dict[tuple, tuple[int, np.ndarray]] = {}
+_kept_paths: dict[tuple, np.ndarray] = {}
+_numbers = itertools.count(1)
+CLEARED.extend((_kept_sums.clear, _kept_paths.clear))
 
 
-CLEARED.append(_place.cache_clear)
+def _place(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace")) % PATH_SIZE
 
 
-def _sums(element: Element) -> np.ndarray:
-    """Half for the tag and one for each name of the element and all round it, up to 2, by hashed place.
+def _sums(element: Element) -> tuple[int, np.ndarray]:
+    """Half for the tag and one for each name of the element and all round it, up to 2, by hashed place; and a number for these sums.
 
-    An element that adds nothing shares the vector of the one round it, and as
-    sums end at 2, no more than 4 x PATH_SIZE vectors are on the way to any.
+    Elements with the same tags and names round them share their sums, in all
+    pages of a task; one that adds nothing shares those of the one round it, and
+    as sums end at 2, no more than 4 x PATH_SIZE are on the way to any.
     """
     way = []
     while element is not None and element.memo is None:
         way.append(element)
         element = element.parent
-    now = element.memo if element is not None else np.zeros(PATH_SIZE, np.float32)
+    now = element.memo if element is not None else (0, np.zeros(PATH_SIZE, np.float32))
     for e in reversed(way):
-        new = now.copy()
-        new[_place(f"t{e.tag}")] += 0.5
-        for name in e.names:
-            new[_place(f"n{name}")] += 1.0
-        np.minimum(new, 2.0, out=new)
-        now = e.memo = now if np.array_equal(new, now) else new
+        key = (now[0], e.tag, e.names)
+        found = _kept_sums.get(key)
+        if found is None:
+            new = now[1].copy()
+            new[_place(f"t{e.tag}")] += 0.5
+            for name in e.names:
+                new[_place(f"n{name}")] += 1.0
+            np.minimum(new, 2.0, out=new)
+            found = now if np.array_equal(new, now[1]) else (next(_numbers), new)
+            if len(_kept_sums) >= MOST_KEPT:
+                _kept_sums.clear()
+            _kept_sums[key] = found
+        e.memo = now = found
     return now
 
 
@@ -74,11 +87,18 @@ def _path_vector(element: Element | None) -> np.ndarray:
     """Hashed elements and names; names of all ancestors count, the nearest two tags most."""
     if element is None:
         return np.zeros(PATH_SIZE, np.float32)
-    out = _sums(element).copy()
-    for e in (element, element.parent):
-        if e is not None:
-            out[_place(f"t{e.tag}")] += 0.5
-    return np.minimum(out, 2.0)
+    number, sums = _sums(element)
+    near = [e.tag for e in (element, element.parent) if e is not None]
+    out = _kept_paths.get((number, *near))
+    if out is None:
+        out = sums.copy()
+        for tag in near:
+            out[_place(f"t{tag}")] += 0.5
+        np.minimum(out, 2.0, out=out)
+        if len(_kept_paths) >= MOST_KEPT:
+            _kept_paths.clear()
+        _kept_paths[(number, *near)] = out
+    return out
 
 
 def _measures(b: Block, i: int, n: int) -> list[float]:
