@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import socket
 import threading
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tremorframe.sources import miniseed as M
 from tremorframe.sources import seedlink
@@ -85,6 +86,76 @@ def test_files_merge_and_gaps(spark, tmp_path):
     assert spark.read.format("miniseed").load(f"{tmp_path}/*.other").count() == 0
 
 
+def mixed(n: int, seed: int = 3) -> bytes:
+    """Records of several lengths, encodings, stations and times, with rubbish and a broken one between them."""
+    r, out = np.random.default_rng(seed), []
+    for k in range(n):
+        x = np.cumsum(r.integers(-50, 50, int(r.integers(1, 60))))
+        out.append(rec(x, int(r.choice([M.STEIM1, M.STEIM2, M.INT32])), int(r.choice([512, 1024, 4096])), str(r.choice(["BHZ", "BHN"])), START + timedelta(seconds=10 * k), k + 1))
+        if k % 7 == 3:
+            out.append(bytes(r.integers(0, 256, 64 * int(r.integers(1, 9)), dtype=np.uint8)))
+        if k % 11 == 5:
+            broken = bytearray(rec(range(30), M.STEIM2, 512))
+            broken[64 + 8 : 64 + 12] = b"\x7f\x00\x00\x01"
+            out.append(bytes(broken))
+    return b"".join(out)
+
+
+def rows_of(found):
+    return [(r["chan"], r["start_us"], r["n"], r["encoding"], r["sequence"], list(r["samples"])) for r in found]
+
+
+@pytest.mark.parametrize("split", [64, 640, 5000, 1 << 24])
+def test_parts_of_a_file_have_all_its_records(tmp_path, split):
+    """Whatever the parts, each record comes once and in order; with a filter, those that pass it."""
+    data = mixed(80)
+    path = tmp_path / "a.mseed"
+    path.write_bytes(data)
+    want = rows_of(M.records(data))
+    wanted = M.Wanted.of({"chan": "XX?, *Z", "fromus": str(START_US + 200_500_000)})
+    got, some = [], []
+    with open(path, "rb") as f:
+        for a in range(0, len(data), split):
+            got += rows_of(M.part_records(f, M.Part(str(path), a, min(len(data), a + split))))
+            some += rows_of(M.part_records(f, M.Part(str(path), a, min(len(data), a + split)), wanted))
+    assert got == want and len(want) >= 80
+    assert some == [w for w in want if w[0] == "BHZ" and w[1] + w[2] * 50_000 > START_US + 200_500_000] and len(some) < len(want)
+
+
+def test_parts_far_from_the_beginning(tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "LONGEST", 4096)
+    data = mixed(300, 5)
+    path = tmp_path / "b.mseed"
+    path.write_bytes(data)
+    with open(path, "rb") as f:
+        got = [x for a in range(0, len(data), 6400) for x in rows_of(M.part_records(f, M.Part("b", a, min(len(data), a + 6400))))]
+    assert got == rows_of(M.records(data))
+
+
+def test_a_filter_decodes_its_records_only(monkeypatch):
+    seen = []
+    plain = M.steim
+    monkeypatch.setattr(M, "steim", lambda bodies, counts, version: seen.append(len(bodies)) or plain(bodies, counts, version))
+    data = b"".join(rec(range(20), M.STEIM2, 512, chan=c, sequence=k + 1) for k, c in enumerate(["BHZ"] + ["BHN"] * 30))
+    assert len(list(M.records(data, wanted=M.Wanted.of({"chan": "x,BHZ"}).holds))) == 1 and sum(seen) == 1
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    data = mixed(60)
+    (tmp_path / "a.mseed").write_bytes(data)
+    M.register(spark)
+    df = spark.read.format("miniseed").option("splitBytes", "6400").load(str(tmp_path / "a.mseed"))
+    assert df.rdd.getNumPartitions() == -(-len(data) // 6400)
+    assert sorted(rows_of(df.collect())) == sorted(rows_of(M.records(data)))
+    late = START_US + 300_000_000
+    some = spark.read.format("miniseed").options(splitBytes="6400", chan="BHZ,XXX", sta="A*", fromUs=str(late)).load(str(tmp_path))
+    want = sorted(w for w in rows_of(M.records(data)) if w[0] == "BHZ" and w[1] + w[2] * 50_000 > late)
+    assert sorted(rows_of(some.collect())) == want and want and some.where("n > 5").count() == sum(w[2] > 5 for w in want)
+    assert spark.read.format("miniseed").options(toUs=str(START_US)).load(str(tmp_path)).count() == 0
+    # One frame with several filters.
+    assert df.where("sta = 'none'").count() == 0 and df.where("chan = 'BHN'").count() == sum(w[0] == "BHN" for w in rows_of(M.records(data)))
+
+
 def test_seedlink_recording(spark, tmp_path):
     path = tmp_path / "packets"
     path.write_bytes(b"".join(seedlink.frame(i, rec(range(10 * i, 10 * i + 10), M.INT32, 512, sequence=i + 1)) for i in range(7)))

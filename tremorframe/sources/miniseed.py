@@ -1,21 +1,29 @@
 """miniSEED files as a Spark source, and records for fixtures.
 
-``read_miniseed`` scans files with Spark's binaryFile reader (any store Spark
-reads) and decodes records in Arrow batches; ``register`` offers the same as
-``spark.read.format("miniseed")``.  A record's length comes from blockette
-1000; broken records are skipped a step of 64 bytes at a time.
+``spark.read.format("miniseed")`` (``register``) reads files in parts of some
+megabytes, so a file of any size is many tasks; what is asked of headers is
+tested before samples are decoded, and records come as Arrow batches.
+``read_miniseed`` is the same with a way for stores that only Spark reads.  A
+record's length comes from blockette 1000; broken records are skipped a step of
+64 bytes at a time.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import InputPartition
 
 RECORDS = "net string, sta string, loc string, chan string, start_us long, sample_rate double, n int, encoding int, sequence int, samples array<double>"
 #: Encodings of blockette 1000.
@@ -128,21 +136,24 @@ def header(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {**codes, "start_us": start_us, "sample_rate": rate_of(factor, multiplier), "n": n, "encoding": encoding, "sequence": int(head[:6]), "body": data[at + begin : at + length] if n else b""}, length
 
 
-def records(data: bytes, broken: list[tuple[int, str]] | None = None) -> Iterator[dict]:
+def records(data: bytes, broken: list[tuple[int, str]] | None = None, begin: int = 0, end: int | None = None, wanted: Callable[[dict], bool] | None = None) -> Iterator[dict]:
     """The records of a file's bytes, in order; Steim frames of all of them are decoded together.
 
     Where there is no record, or one whose samples cannot be read, the search
     goes on 64 bytes further; broken gets the place and what was wrong of every
-    record that had a header.
+    record that had a header.  Only records that begin from begin up to end and
+    whose headers are wanted are decoded; those before are gone through by
+    their lengths.
     """
-    found, at = [], 0
-    while at + 48 <= len(data):
+    found, at, end = [], 0, len(data) if end is None else end
+    while at < end and at + 48 <= len(data):
         try:
             got, length = header(data, at)
         except ValueError:
             at += 64
             continue
-        found.append((at, length, got))
+        if at >= begin and (wanted is None or wanted(got)):
+            found.append((at, length, got))
         at += length
     made: dict[int, np.ndarray | str] = {}
     for kind in (STEIM1, STEIM2):
@@ -158,7 +169,7 @@ def records(data: bytes, broken: list[tuple[int, str]] | None = None) -> Iterato
             if broken is not None:
                 broken.append((at, samples))
             inner: list[tuple[int, str]] = []
-            yield from records(data[at + 64 : at + length], inner)
+            yield from records(data[at + 64 : at + length], inner, wanted=wanted)
             if broken is not None:
                 broken += [(at + 64 + k, what) for k, what in inner]
         else:
@@ -233,8 +244,20 @@ def encode_record(net: str, sta: str, loc: str, chan: str, start: datetime, rate
 
 
 def read_miniseed(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the files at path, in the order of each file; ``read_broken`` has the others."""
+    """A row for each record of the files at path, in the order of each file; ``read_broken`` has the others.
 
+    Files are read in parts by the ``miniseed`` source.  In a store that pyarrow
+    does not know they are read whole, by Spark's reader of binary files.
+    """
+    register(spark)
+    try:
+        opened(path)
+    except Exception:  # noqa: BLE001  pyarrow has several errors for it
+        return _read_whole(spark, path)
+    return spark.read.format("miniseed").load(path)
+
+
+def _read_whole(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch["content"]:
@@ -277,40 +300,90 @@ def opened(path: str):
     """The file system (local, or any that pyarrow knows by its scheme) and the place in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path)) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+#: No record is longer, so a part that begins so much earlier finds where records begin.
+LONGEST = 1 << 20
+@dataclass
+class Part(InputPartition):
+    """Bytes of a file: the records that begin in them."""
+
+    path: str
+    begin: int
+    end: int
+
+
+@dataclass
+class Wanted:
+    """What is asked of headers: patterns (NET, sta or chan with * and ?; any of several) and a stretch of time that the record has to touch."""
+
+    patterns: dict[str, list[str]]
+    from_us: float = -math.inf
+    to_us: float = math.inf
+
+    @staticmethod
+    def of(options: dict[str, str]) -> Wanted | None:
+        given = {c: [x.strip() for x in options[c].split(",")] for c in ("net", "sta", "loc", "chan") if c in options}
+        times = {k: float(options[o]) for k, o in (("from_us", "fromus"), ("to_us", "tous")) if o in options}
+        return Wanted(given, **times) if given or times else None
+
+    def holds(self, head: dict) -> bool:
+        last = head["start_us"] + (head["n"] / head["sample_rate"] * 1e6 if head["sample_rate"] else 0)
+        return all(any(fnmatchcase(head[c], p) for p in own) for c, own in self.patterns.items()) and head["start_us"] < self.to_us and last > self.from_us
+
+
+def part_records(file, part: Part, wanted: Wanted | None = None) -> Iterator[dict]:
+    """The records that begin in a part of an open file.
+
+    Records are as long as their headers say, so the places where they begin are
+    those of a walk through the file; a walk from LONGEST earlier meets them.
+    """
+    first = max(0, part.begin - LONGEST)
+    file.seek(first)
+    data = file.read(part.end + LONGEST - first)
+    yield from records(data, None, part.begin - first, part.end - first, wanted and wanted.holds)
 
 
 def register(spark: SparkSession) -> None:
-    """spark.read.format("miniseed").load(path): a partition for each file; path may have a pattern in its last part."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    """spark.read.format("miniseed").load(path): a partition for each splitBytes (16 MB) of each file; path may have a pattern in its last part.
 
-    class File(InputPartition):
-        def __init__(self, path: str) -> None:
-            self.path = path
+    Options net, sta, loc and chan (patterns, separated by commas), fromUs and
+    toUs are tested on headers: samples of other records are not decoded, and
+    nothing is looked for inside of them.  (Spark's own push-down of filters keeps
+    those of one query for the next one on the same frame, so it is not used.)
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceReader
 
     class Reader(DataSourceReader):
-        def __init__(self, where: str) -> None:
-            self.where = where
+        def __init__(self, where: str, split: int, wanted: Wanted | None) -> None:
+            self.where, self.split, self.wanted = where, max(64, split // 64 * 64), wanted
 
         def partitions(self):
-            import fnmatch
-
             from pyarrow import fs
 
             system, base = opened(self.where)
             if system.get_file_info(base).type == fs.FileType.File:
-                return [File(base)]
-            folder, _, pattern = (base, "", "*") if system.get_file_info(base).type == fs.FileType.Directory else base.rpartition("/")
-            listed = system.get_file_info(fs.FileSelector(folder, recursive=True))
-            return [File(f.path) for f in sorted(listed, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
+                files = [system.get_file_info(base)]
+            else:
+                folder, _, pattern = (base, "", "*") if system.get_file_info(base).type == fs.FileType.Directory else base.rpartition("/")
+                listed = system.get_file_info(fs.FileSelector(folder, recursive=True))
+                files = [f for f in sorted(listed, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatchcase(f.base_name, pattern)]
+            return [Part(f.path, a, min(f.size, a + self.split)) for f in files for a in range(0, f.size, self.split)]
 
         def read(self, partition):
             # Spark asks for one part where there is none.
-            if not isinstance(partition, File):
+            if not isinstance(partition, Part):
                 return
+            held = []
             with opened(self.where)[0].open_input_file(partition.path) as f:
-                for r in records(f.read()):
-                    yield (r["net"], r["sta"], r["loc"], r["chan"], r["start_us"], r["sample_rate"], r["n"], r["encoding"], r["sequence"], r["samples"].tolist())
+                for r in part_records(f, partition, self.wanted):
+                    held.append(r)
+                    if len(held) == 500:
+                        yield _batch(held)
+                        held = []
+            if held:
+                yield _batch(held)
 
     class MiniSeed(DataSource):
         @classmethod
@@ -321,6 +394,13 @@ def register(spark: SparkSession) -> None:
             return RECORDS
 
         def reader(self, schema):
-            return Reader(self.options["path"])
+            options = {k.lower(): v for k, v in self.options.items()}
+            return Reader(options["path"], int(options.get("splitbytes", str(16 << 20))), Wanted.of(options))
 
     spark.dataSource.register(MiniSeed)
+
+
+def _batch(found: list[dict]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    columns = [c.split() for c in RECORDS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[name] for r in found], kinds[kind]) for name, kind in columns], names=[name for name, _ in columns])
