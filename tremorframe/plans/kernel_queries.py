@@ -125,11 +125,18 @@ def ml_detections(spark, sf):
     return arrays(spark, sf).select("vec_id", F.explode(found).alias("sample"))
 
 
-def located(spark, sf, method: str, **options):
-    """An origin for each user whose picks are treated as one event's, times folded into ten minutes."""
+def event_picks(spark, sf):
+    """Each user's picks as those of one event, times folded into ten minutes, the first of each station and phase."""
     p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumn("event_id", F.col("user_id")).withColumn("time_us", F.col("time_us") % 600_000_000)
-    first = p.groupBy("event_id", "net", "sta", "slat", "slon", "phase", "quality").agg(F.min("time_us").alias("time_us"))
-    return locate.locate(first, velocity.Model.named("iasp91"), method, **options).select("event_id", "algorithm", "converged", "phase_count", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("depth", 3).alias("depth"), F.round("rms", 4).alias("rms"))
+    return p.groupBy("event_id", "net", "sta", "slat", "slon", "phase", "quality").agg(F.min("time_us").alias("time_us"))
+
+
+def _place(origins):
+    return origins.select("event_id", "algorithm", "converged", "phase_count", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("depth", 3).alias("depth"), F.round("rms", 4).alias("rms"))
+
+
+def located(spark, sf, method: str, **options):
+    return _place(locate.locate(event_picks(spark, sf), velocity.Model.named("iasp91"), method, **options))
 
 
 @query()
@@ -142,6 +149,25 @@ def geiger_locate(spark, sf):
     return located(spark, sf, "geiger", radius=100.0)
 
 
+@query()
+def octree_locate(spark, sf):
+    return located(spark, sf, "octree", radius=100.0, min_cell=5.0, max_iterations=4)
+
+
+@query()
+def nonlinloc_locate(spark, sf):
+    return located(spark, sf, "nonlinloc", radius=100.0, h_step=50.0, z_step=25.0, levels=2)
+
+
+@query()
+def relocated_events(spark, sf):
+    """Places of the grid search, moved by linearised location."""
+    model = velocity.Model.named("iasp91")
+    p = event_picks(spark, sf)
+    first = locate.locate(p, model, "grid", radius=100.0, h_step=50.0, z_step=25.0, levels=1)
+    return _place(locate.relocate(p, first, model))
+
+
 def segments(spark, sf):
     """Each embedding, repeated to 640 samples with a louder middle, as a segment of one station."""
     x = F.flatten(F.array_repeat("x", 10))
