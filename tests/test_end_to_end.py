@@ -150,6 +150,8 @@ def test_playback(spark):
     assert play(segments, lambda part, n: got.append((n, [r["start_us"] for r in part.collect()])), speed=1e6, every=10, sleep=waits.append) == 23
     assert [n for n, _ in got] == [0, 10, 20] and [u for _, us in got for u in us] == sorted(r[1] for r in rows)
     assert len(waits) == 3 and play(segments.limit(0), lambda *_: got.append(1)) == 0 and len(got) == 3
+    again = []
+    assert play(segments, lambda part, n: again.append((n, [r["start_us"] for r in part.collect()])), start=10) == 23 and again == got[1:]
 
 
 def test_reports(spark, network):

@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.catalog import numbered
+from ..scratch import written
 
 
-def play(segments: DataFrame, sink: Callable[[DataFrame, int], None], speed: float = 0.0, every: int = 10, sleep: Callable[[float], None] = time.sleep) -> int:
+def play(segments: DataFrame, sink: Callable[[DataFrame, int], None], speed: float = 0.0, every: int = 10, sleep: Callable[[float], None] = time.sleep, start: int = 0) -> int:
     """Gives ``every`` segments at a time to the sink, with the number of the first; returns how many there were.
 
-    speed: seconds of data in a second, 0 for no pauses.  Segments are numbered
-    in order once, and each part is read by its numbers.
+    speed: seconds of data in a second, 0 for no pauses.  start: the number of
+    the first part to play, so that who keeps the last one that a sink has taken
+    goes on after it.  Segments are numbered and written in their order once;
+    a part is read by its numbers, which files and row groups are sorted by.
     """
     names = [c for c in ("net", "sta", "loc", "chan", "stream_id") if c in segments.columns]
     ordered = numbered(segments, "play_number", ["start_us", *names], 0)
-    heads = ordered.where(F.col("play_number") % every == 0).select("play_number", "start_us").orderBy("play_number")
+    ordered = written(ordered.repartitionByRange("play_number").sortWithinPartitions("play_number"), "playback")
+    heads = ordered.where((F.col("play_number") % every == 0) & (F.col("play_number") >= start)).select("play_number", "start_us").orderBy("play_number")
     began, first, count = time.monotonic(), None, ordered.count()
     # A row for each part; its segments stay where they are.
     for head in heads.toLocalIterator():
