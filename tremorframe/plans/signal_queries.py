@@ -254,7 +254,7 @@ def slice_window(spark, sf):
 @query("SELECT CAST(label AS BIGINT) AS label, CAST(k // 10 AS BIGINT) + 1 AS segment_id, CAST(min(k) * 3200000 + (k // 10) * 1000000 AS BIGINT) AS start_us, count(*) * 64 AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 3) AS total FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings) t GROUP BY label, k // 10")
 def merged_waveforms(spark, sf):
     """Segments of one network, each right after the one before but for a second's gap after every tenth."""
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
     rows = arrays(spark, sf).withColumn("k", k).select(F.col("label").alias("stream_id"), (F.col("k") * 3_200_000 + F.floor(F.col("k") / 10) * 1_000_000).alias("start_us"), F.lit(20.0).alias("sample_rate"), F.lit(64).alias("n"), F.col("x").alias("samples"))
     got = triggers.merged_segments(rows)
     return got.select(F.col("stream_id").alias("label"), "segment_id", "start_us", F.size("samples").cast("long").alias("n"), F.round(A.total("samples"), 3).alias("total"))
