@@ -79,6 +79,18 @@ def in_polygon(lat, lon, vertices) -> Column:
     return F.when(F.size(v) >= 3, F.aggregate(edges, F.lit(0), lambda s, e: s + e) % 2 == 1).otherwise(False)
 
 
+def strictly_in_polygon(lat, lon, vertices) -> Column:
+    """Parity of the edges north of a point; a point on an edge is outside."""
+    lat, lon, v = col(lat), col(lon), col(vertices)
+    previous = F.concat(F.slice(v, F.size(v), F.lit(1)), F.slice(v, F.lit(1), F.size(v) - 1))
+    # The point moved along the edge to its upper end; null for an edge along a meridian.
+    moved = lambda a, b: lat - (lon - F.when(a["lat"] > b["lat"], a["lon"]).otherwise(b["lon"])) * (b["lat"] - a["lat"]) / F.nullif(b["lon"] - a["lon"], F.lit(0.0))
+    north = F.zip_with(v, previous, lambda a, b: F.when(((a["lon"] > lon) != (b["lon"] > lon)) & (moved(a, b) < F.greatest(a["lat"], b["lat"])), 1).otherwise(0))
+    beside = lambda a, b: lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
+    touched = F.exists(F.zip_with(v, previous, lambda a, b: beside(a, b) & F.coalesce(moved(a, b) == F.greatest(a["lat"], b["lat"]), F.lit(True))), lambda x: x)
+    return F.when(F.size(v) >= 3, (F.aggregate(north, F.lit(0), lambda s, e: s + e) % 2 == 1) & ~touched).otherwise(False)
+
+
 def in_bounds(lat, lon, depth, b: str) -> Column:
     """Whether a point is inside the bounds in the columns b.* (see regions.BOUNDS)."""
     c = lambda name: F.col(f"{b}.{name}" if b else name)

@@ -59,7 +59,7 @@ def region_first_match(spark, sf):
 def point_in_polygon(spark, sf):
     """A triangle whose sides meet at 40 N, over 20 S."""
     corners = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((-20.0, -120.0), (-20.0, 120.0), (40.0, 0.0))))
-    return origins(spark, sf).where(geo.in_polygon("lat", "lon", corners)).select("orid")
+    return origins(spark, sf).where(geo.strictly_in_polygon("lat", "lon", corners)).select("orid")
 
 
 _LAYERS = "layer AS (SELECT * FROM (VALUES (0.0, 20.0, 5.80, 3.36), (20.0, 15.0, 6.50, 3.75), (35.0, 77.5, 8.04, 4.47), (112.5, 52.5, 8.05, 4.50), (165.0, 45.0, 8.17, 4.51), (210.0, 1e9, 8.30, 4.52)) v(top, thick, vp, vs))"
