@@ -276,7 +276,7 @@ def query_origins(origin: DataFrame, evid) -> DataFrame:
 
 
 def query_arrivals(arrival: DataFrame, assoc: DataFrame, orid) -> DataFrame:
-    return arrival.join(assoc.where(F.col("orid") == orid).select("arid"), "arid").orderBy("time", "arid")
+    return arrival.join(assoc.where(F.col("orid") == orid).select("arid"), "arid", "left_semi").orderBy("time", "arid")
 
 
 def query_associations(assoc: DataFrame, orid) -> DataFrame:
