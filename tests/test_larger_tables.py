@@ -10,8 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 from compare import difference
 
-from tremorframe.functions import geo
-from tremorframe.operators import catalog
+from tremorframe.functions import geo, kernels
+from tremorframe.operators import catalog, magnitude
 from tremorframe.plans import ORACLES, QUERIES
 
 
@@ -56,3 +56,20 @@ def test_arrivals_that_come_twice(spark):
     arrival = spark.createDataFrame([(11, "A", 1.0), (11, "B", 2.0), (21, "C", 3.0)], "arid long, sta string, time double")
     assoc = spark.createDataFrame([(11, 1), (11, 1), (21, 2)], "arid long, orid long")
     assert [tuple(r) for r in catalog.query_arrivals(arrival, assoc, 1).collect()] == [(11, "A", 1.0), (11, "B", 2.0)]
+
+
+def test_stations_without_waveforms_cost_nothing(spark):
+    """Thousands of events among thousands of stations, of which one recorded one of them: no row for each pair."""
+    origins = spark.range(20_000).selectExpr("id AS event_id", "id * 100000000000 AS time_us", "35D AS lat", "-117D AS lon", "10D AS depth")
+    stations = spark.range(20_000).selectExpr("'N' AS net", "concat('S', id) AS sta", "36 + id * 1e-5 AS lat", "-117D AS lon")
+    segments = spark.createDataFrame([("N", "S7", "BHZ", 300_000_000_000, 10.0, [1.0] * 1200)], "net string, sta string, chan string, start_us long, sample_rate double, samples array<double>")
+    got = magnitude.windows(origins, segments, stations, lambda d: d / 3.5, lambda d: d / 3.5 + 5.0, 5.0, 600.0)
+    assert [(r["event_id"], r["sta"], len(r["samples"])) for r in got.collect()] == [(3, "S7", 50)]
+
+
+def test_fits_of_rows_are_those_of_each(spark):
+    rng = np.random.default_rng(3)
+    for n in (63, 64, 100, 300):
+        x, far = rng.normal(size=(5, n)) * 10.0 ** np.arange(5)[:, None], rng.uniform(1e4, 5e5, 5)
+        want = [kernels.spectral_fit(row, 20.0, m) for row, m in zip(x, far, strict=True)]
+        np.testing.assert_allclose(np.stack(kernels.spectral_fits(x, 20.0, far), 1), np.array(want), rtol=1e-9)

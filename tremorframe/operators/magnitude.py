@@ -43,38 +43,47 @@ def network(stations: DataFrame, by: list[str], value: str = "magnitude") -> Dat
     return rows.groupBy(*by).agg(upper_median(value).alias("magnitude"), F.stddev_pop(value).alias("uncertainty"), F.count("*").alias("nsta"))
 
 
-def stations_in_range(origins: DataFrame, stations: DataFrame, least_km: float, most_km: float) -> DataFrame:
-    """event_id, time_us, depth, net, sta, distance of all stations at such a distance; origins and stations meet in cells."""
-    size = cells.size_for(most_km)
-    around = origins.select("event_id", "time_us", "lat", "lon", "depth", F.explode(cells.of_circle("lat", "lon", F.lit(float(most_km)), size)).alias("_cell"))
-    placed = stations.select("net", "sta", F.col("lat").alias("slat"), F.col("lon").alias("slon"), cells.of("lat", "lon", size).alias("_cell"))
-    pairs = around.join(placed, "_cell").withColumn("distance", haversine_km("lat", "lon", "slat", "slon"))
-    return pairs.where(F.col("distance").between(least_km, most_km)).select("event_id", "time_us", "depth", "net", "sta", "distance")
-
-
 def windows(origins: DataFrame, segments: DataFrame, stations: DataFrame, begin_s: Callable[[Column], Column], end_s: Callable[[Column], Column], least_km: float, most_km: float, bucket_s: float = 3600.0) -> DataFrame:
-    """event_id, net, sta, chan, distance, hypo, depth, sample_rate, samples between begin and end (seconds after the origin, of the distance).
+    """event_id, net, sta, chan, distance, hypo, depth, sample_rate, samples between begin and end (seconds after the origin, which grow with the distance).
 
-    The stretches of time that are wanted come first, a small row for each event
-    and station; segments meet them by station and bucket of time, and what goes
-    on is the slice.  A pair that meets in several buckets counts in its first.
+    A segment is at its station's place and in its buckets of time; an origin
+    looks where and when any distance in range lets it.  They meet by both, so
+    stations that recorded nothing then cost nothing, and what goes on is the
+    slice.  A pair that meets in several buckets counts in its first.
     """
-    width = int(bucket_s * 1e6)
-    wanted = stations_in_range(origins, stations, least_km, most_km)
-    at = lambda seconds: F.col("time_us") + seconds(F.col("distance")) * 1e6
-    wanted = wanted.withColumns({"_from": at(begin_s), "_to": at(end_s)}).withColumn("_w0", F.floor(F.col("_from") / width))
-    wanted = wanted.withColumn("_b", F.explode(F.sequence(F.col("_w0"), F.floor(F.col("_to") / width))))
+    width, size = int(bucket_s * 1e6), cells.size_for(2 * most_km)
+    at = lambda seconds, d: F.col("time_us") + seconds(d) * 1e6
+    first = F.floor(at(begin_s, F.lit(float(least_km))) / width)
+    wanted = origins.select("event_id", "time_us", "lat", "lon", "depth", first.alias("_w0"), F.explode(F.sequence(first, F.floor(at(end_s, F.lit(float(most_km))) / width))).alias("_b"))
     last = F.col("start_us") + (F.size("samples") * 1e6 / F.col("sample_rate")).cast("long")
-    placed = segments.select("net", "sta", "chan", "start_us", "sample_rate", "samples", F.floor(F.col("start_us") / width).alias("_s0"), F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(last / width))).alias("_b"))
-    both = placed.join(wanted, ["net", "sta", "_b"]).where(F.col("_b") == F.greatest("_w0", "_s0"))
-    index = lambda t: F.floor((F.col(t) - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
-    lo, hi = F.greatest(index("_from"), F.lit(0)), F.least(index("_to"), F.size("samples"))
+    places = stations.select("net", "sta", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    placed = segments.select("net", "sta", "chan", "start_us", "sample_rate", "samples", F.floor(F.col("start_us") / width).alias("_s0"), F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(last / width))).alias("_b")).join(places, ["net", "sta"])
+    keys = ["_b"]
+    # A circle of over a quarter of the globe is in most cells, which then tell nothing.
+    if 4 * most_km < cells.FARTHEST_KM:
+        wanted = wanted.withColumn("_cell", F.explode(cells.of_circle("lat", "lon", F.lit(float(most_km)), size)))
+        placed, keys = placed.withColumn("_cell", cells.of("slat", "slon", size)), ["_cell", "_b"]
+    # Pairs may be many more than rows of either side, so both are dealt out, however small they look.
+    both = placed.join(wanted.hint("merge"), keys).where(F.col("_b") == F.greatest("_w0", "_s0"))
+    both = both.withColumn("distance", haversine_km("lat", "lon", "slat", "slon")).where(F.col("distance").between(least_km, most_km))
+    index = lambda t: F.floor((t - F.col("start_us")) / 1e6 * F.col("sample_rate")).cast("int")
+    lo, hi = F.greatest(index(at(begin_s, F.col("distance"))), F.lit(0)), F.least(index(at(end_s, F.col("distance"))), F.size("samples"))
     cut = both.where(hi > lo).withColumn("samples", F.slice("samples", lo + 1, hi - lo))
     return cut.select("event_id", "net", "sta", "chan", "distance", hypocentral_km("distance", "depth").alias("hypo"), "depth", "sample_rate", "samples")
 
 
+def _alike(samples: pd.Series, *others: pd.Series):
+    """Places in the batch, samples as a matrix, and the others, of rows that have as many samples and equal others."""
+    for (n, *values), rows in samples.groupby([samples.map(len), *others]).indices.items():
+        yield rows, np.stack(samples.iloc[rows].to_list()).astype(float), values
+
+
 def _loudest(samples: pd.Series, rate: pd.Series, f) -> pd.Series:
-    return pd.Series([float(np.abs(f(np.asarray(x, float), r)).max()) if len(x) else None for x, r in zip(samples, rate, strict=True)])
+    out = np.full(len(samples), np.nan)
+    for rows, x, (r,) in _alike(samples, rate):
+        if x.shape[1]:
+            out[rows] = np.abs(f(x, r)).max(1)
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -89,8 +98,10 @@ def surface_peak(samples: pd.Series, rate: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("omega", "corner", "misfit")]))
 def spectrum(samples: pd.Series, rate: pd.Series, metres: pd.Series) -> pd.DataFrame:
-    got = [kernels.spectral_fit(np.asarray(x, float), r, m) for x, r, m in zip(samples, rate, metres, strict=True)]
-    return pd.DataFrame(got, columns=["omega", "corner", "misfit"])
+    out = np.full((len(samples), 3), np.nan)
+    for rows, x, (r,) in _alike(samples, rate):
+        out[rows] = np.stack(kernels.spectral_fits(x, r, metres.to_numpy(float)[rows]), 1)
+    return pd.DataFrame(out, columns=["omega", "corner", "misfit"])
 
 
 def local_stations(origins, segments, stations, corrections: DataFrame | None = None, least: int = 10, **formula) -> DataFrame:
