@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from .geo import col
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row; inside of a lambda over samples it would be for each of them."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(x) -> Column:
     return F.aggregate(col(x), F.lit(0.0), lambda s, v: s + v)
 
@@ -20,8 +26,7 @@ def mean(x) -> Column:
 
 def std(x) -> Column:
     """Sample standard deviation; 0 for less than two samples."""
-    m = mean(x)
-    squares = F.aggregate(F.transform(col(x), lambda v: F.pow(v - m, 2)), F.lit(0.0), lambda s, v: s + v)
+    squares = once(mean(x), lambda m: F.aggregate(F.transform(col(x), lambda v: F.pow(v - m, 2)), F.lit(0.0), lambda s, v: s + v))
     return F.when(F.size(col(x)) > 1, F.sqrt(squares / (F.size(col(x)) - 1))).otherwise(0.0)
 
 
@@ -30,8 +35,7 @@ def abs_max(x) -> Column:
 
 
 def demean(x) -> Column:
-    m = mean(x)
-    return F.transform(col(x), lambda v: v - m)
+    return once(mean(x), lambda m: F.transform(col(x), lambda v: v - m))
 
 
 def detrend(x) -> Column:
@@ -41,12 +45,13 @@ def detrend(x) -> Column:
     si, sii = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
     slope = (n * products - si * total(x)) / (n * sii - si * si)
     start = (total(x) - slope * si) / n
-    return F.when(F.size(col(x)) < 2, col(x)).otherwise(F.transform(col(x), lambda v, i: v - (start + slope * i)))
+    line = F.struct(start.alias("start"), slope.alias("slope"))
+    return F.when(F.size(col(x)) < 2, col(x)).otherwise(once(line, lambda l: F.transform(col(x), lambda v, i: v - (l["start"] + l["slope"] * i))))
 
 
 def normalize(x) -> Column:
-    m = abs_max(x)
-    return F.when(m > 0, F.transform(col(x), lambda v: v / m)).otherwise(col(x))
+    scaled = lambda x, m: F.when(m > 0, F.transform(x, lambda v: v / m)).otherwise(x)
+    return once(col(x), lambda x: once(abs_max(x), lambda m: scaled(x, m)))
 
 
 def prepared(x) -> Column:
