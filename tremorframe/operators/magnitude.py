@@ -1,7 +1,7 @@
 """Station and network magnitudes.
 
 A station's magnitude needs a stretch of its waveform round a computed arrival;
-``windows`` asks for it by station and time.  Network
+``windows`` asks for it by place and time.  Network
 magnitudes are the upper median with the population deviation.
 """
 
