@@ -14,7 +14,7 @@ from compare import difference
 
 from tremorframe.functions import arrays as A
 from tremorframe.functions import geo, kernels
-from tremorframe.operators import catalog, frames, locate, magnitude
+from tremorframe.operators import associate, catalog, frames, locate, magnitude
 from tremorframe.operators.signal import Stream
 from tremorframe.operators.velocity import Model
 from tremorframe.plans import ORACLES, QUERIES
@@ -123,3 +123,11 @@ def test_events_share_batches(spark):
     for k, part in frame.groupby("event_id"):
         want = locate.grid_search(locate.Picks(part), times, o)
         assert all(found[k][c] == want[c] for c in ("lat", "lon", "depth", "time_us", "rms"))
+
+
+def test_members_travel_once(spark):
+    """A pick that is a member many times is one row before the join."""
+    picks, members = spark.range(10).selectExpr("id AS pick_id"), spark.range(1000).selectExpr("id % 7 AS pick_id")
+    got = associate.unassociated(picks, members)
+    assert "HashAggregate" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["pick_id"] for r in got.collect()) == [7, 8, 9]

@@ -166,7 +166,8 @@ def greedy(members: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def unassociated(picks: DataFrame, members: DataFrame) -> DataFrame:
-    return picks.join(members.select("pick_id"), "pick_id", "left_anti")
+    # A pick may be a member many times; tasks leave one row of each before any travels.
+    return picks.join(members.select("pick_id").distinct(), "pick_id", "left_anti")
 
 
 def expired(picks: DataFrame, members: DataFrame, window_s: float = 60.0) -> DataFrame:
