@@ -126,3 +126,82 @@ def test_votes_on_a_grid_in_parts(spark, monkeypatch, points):
     got = {(r["cell"], r["votes"]) for r in associate.nucleator_votes(picks, stations, grid, model, max_residual=2.0, min_votes=5).collect()}
     assert got == {(3, 5)}
     assert associate.nucleator_votes(picks, stations, grid, compat=True).count() == 10
+
+
+def crowd(spark, n: int, seconds: float, seed: int = 4, twice: bool = False):
+    """Picks of six stations, some at one time, and where some of them come twice; two stations at one place, one code in two nets."""
+    rng = np.random.default_rng(seed)
+    places = [("N", f"S{i}", float(rng.uniform(-20, 20)), float(rng.uniform(-20, 20))) for i in range(4)]
+    places += [("N", "S4", *places[0][2:]), ("M", "S1", 5.0, 5.0)]
+    rows = [(i, *places[rng.integers(6)][:2], str(rng.choice(["P", "Pg", "S", "Pn"])), int(rng.integers(0, int(seconds)) * 1_000_000)) for i in range(n)]
+    if twice:
+        rows += [rows[0], rows[0], (rows[1][0], *rows[1][1:4], rows[1][4] + 500_000_000)]
+    return rows, {k[:2]: k[2:] for k in places}, spark.createDataFrame(rows, "pick_id long, net string, sta string, phase string, time_us long"), spark.createDataFrame(places, "net string, sta string, lat double, lon double")
+
+
+def tables(monkeypatch) -> list[int]:
+    """Rows of each table that association writes from now on."""
+    sizes, write = [], associate.written
+
+    def counted(df, *a, **k):
+        out = write(df, *a, **k)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(associate, "written", counted)
+    return sizes
+
+
+def plain_fits(rows, places, most):
+    for i, n, s, p, t in rows:
+        if p not in ("P", "Pg"):
+            continue
+        for j, m, u, q, v in rows:
+            if v > t or v == t and j > i:
+                tt = math.hypot(min(int(haversine(*places[n, s], *places[m, u])), 3000), 10) / (8.0 if q in ("P", "Pn", "Pg") else 4.6)
+                residual = (v - t + 6_250_000) // 1000 / 1000 - tt
+                if abs(residual) <= most:
+                    yield (i, t, *places[n, s]), s, j, u, residual
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_counts_and_choice_without_pairs(spark, monkeypatch, twice):
+    """Residuals, candidates and the seeds that stay are those of plain loops, whatever the blocks, and no table has a row for each pair."""
+    rows, places, picks, stations = crowd(spark, 300, 20_000, twice=twice)
+    monkeypatch.setattr(associate, "BLOCK_REACHES", 1)
+    monkeypatch.setattr(associate, "RESOLVED_REACHES", 2)
+    times, sizes = velocity.straight_rows(spark, 8.0, 4.6), tables(monkeypatch)
+    found = list(plain_fits(rows, places, 120.0))
+    got = associate.residuals(picks, stations, times, 120.0)
+    assert "Join" in (plan := got._jdf.queryExecution().executedPlan().toString()) and plan.count("Join") <= 2 and not sizes
+    assert sorted((r["seed_id"], r["pick_id"], r["residual"]) for r in got.collect()) == sorted((x[0][0], x[2], x[4]) for x in found)
+    counted: dict = {}
+    for i, n, s, p, t in rows:
+        if p in ("P", "Pg"):
+            counted.setdefault((i, t, *places[n, s]), []).append((s, i))
+    for x, _, j, u, _ in found:
+        counted[x].append((u, j))
+    want = {k: (len({s for s, _ in v}), len(v)) for k, v in counted.items() if len(v) >= 3 and len({s for s, _ in v}) >= 2}
+    made = associate.candidates(picks, stations, times, 120.0, 2, 3).collect()
+    assert {(r["seed_id"], r["time_us"] + 6_250_000, r["lat"], r["lon"]): (r["station_count"], r["phase_count"]) for r in made} == want and len(made) == len(want) > 50
+    ranked = [(k[0], *v, k[1]) for k, v in want.items()]
+    stay = sorted(r["seed_id"] for r in associate.chosen(picks, stations, times, 120.0, 2, 3).collect())
+    if not twice:
+        assert stay == plain([(k[0], j) for k, v in counted.items() if k in want for _, j in v], ranked)
+        assert max(sizes) <= len(rows)
+    else:
+        fits = associate.residuals(picks, stations, times, 120.0)
+        old = associate.candidates(picks, stations, times, 120.0, 2, 3, fits=fits)
+        assert stay == sorted(r["seed_id"] for r in associate.greedy(associate.members(picks, stations, times, old, fits), old).collect())
+
+
+def test_events_of_many_picks_are_not_pairs(spark, tmp_path, monkeypatch):
+    """Ten thousand picks in an hour: millions of pairs; the query writes no table that is longer than the picks."""
+    n = 10_000
+    kinds = ["click", "purchase", "view", "signup", "error"]
+    events = pd.DataFrame({"event_id": range(n), "ts": pd.to_datetime([i * 7919 % 3_600_000 for i in range(n)], unit="ms"), "user_id": [i * 31 % 97 for i in range(n)], "event_type": [kinds[i * 13 % 5] for i in range(n)], "value": 1.0})
+    spark.createDataFrame(events).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(pd.DataFrame({"s_suppkey": range(10), "s_nationkey": 1, "s_acctbal": 0.0})).write.parquet(str(tmp_path / "supplier.parquet"))
+    sizes = tables(monkeypatch)
+    assert QUERIES["associated_events"](spark, str(tmp_path)).count() > 0
+    assert max(sizes) <= n
