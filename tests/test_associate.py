@@ -205,3 +205,14 @@ def test_events_of_many_picks_are_not_pairs(spark, tmp_path, monkeypatch):
     sizes = tables(monkeypatch)
     assert QUERIES["associated_events"](spark, str(tmp_path)).count() > 0
     assert max(sizes) <= n
+
+
+def test_candidates_are_counted_without_pairs(spark, tmp_path, monkeypatch):
+    """The query neither makes pairs nor deals a pick out more than twice."""
+    rows, places, picks, stations = crowd(spark, 400, 3_000)
+    monkeypatch.setattr(associate, "residuals", None)
+    got = associate.candidates(picks, stations, velocity.straight_rows(spark, 8.0, 4.6), 120.0, 2, 3).collect()
+    size: dict = {}
+    for x, *_ in plain_fits(rows, places, 120.0):
+        size[x[0]] = size.get(x[0], 1) + 1
+    assert {r["seed_id"]: r["phase_count"] for r in got}.items() <= size.items() and len(got) > 100
