@@ -216,3 +216,19 @@ def test_candidates_are_counted_without_pairs(spark, tmp_path, monkeypatch):
     for x, *_ in plain_fits(rows, places, 120.0):
         size[x[0]] = size.get(x[0], 1) + 1
     assert {r["seed_id"]: r["phase_count"] for r in got}.items() <= size.items() and len(got) > 100
+
+
+def test_votes_of_picks_that_come_twice(spark, monkeypatch):
+    """Votes are those of plain loops, an id's votes for one second count once, and times are looked up for places, not for picks."""
+    rows, places, picks, stations = crowd(spark, 300, 3_000, twice=True)
+    picks = picks.unionByName(picks.where("pick_id < 40").selectExpr("pick_id", "net", "sta", "phase", "time_us + 1 AS time_us")).unionByName(picks.limit(3).selectExpr("CAST(NULL AS long) AS pick_id", "net", "sta", "phase", "time_us"))
+    grid = spark.createDataFrame([(i, 3.0 * i, 2.0 * i, 10.0) for i in range(10)], "cell long, lat double, lon double, depth double")
+    sizes, want = tables(monkeypatch), {}
+    for r in picks.where("pick_id IS NOT NULL").collect():
+        for c in range(10):
+            tt = math.hypot(min(int(haversine(3.0 * c, 2.0 * c, *places[r["net"], r["sta"]])), 3000), 10) / (8.0 if r["phase"] in ("P", "Pn", "Pg") else 4.6)
+            want.setdefault((c, math.floor((r["time_us"] - tt * 1e6) / 100e6)), set()).add(r["pick_id"])
+    got = associate.nucleator_votes(picks, stations, grid, velocity.straight_rows(spark, 8.0, 4.6), max_residual=100.0).collect()
+    assert sorted((r["cell"], r["bucket"], r["votes"]) for r in got) == sorted((*k, len(v)) for k, v in want.items() if len(v) >= 4)
+    # Ten points, five places (two stations share one), two classes.
+    assert sizes == [100]

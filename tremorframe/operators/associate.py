@@ -20,6 +20,7 @@ from ..functions.codes import location_weight, phase_class
 from ..functions.geo import EARTH_RADIUS_KM, azimuth_deg, haversine_km
 from ..scratch import written
 from .expected import Block, Expected, in_blocks
+from .frames import spread
 from .velocity import lookup
 
 #: Trial depth, and the lead time of a source 50 km away at 8 km/s.
@@ -302,11 +303,16 @@ def nucleator_votes(picks: DataFrame, stations: DataFrame, grid: DataFrame, time
     if compat:
         n = placed.agg(F.count("*").alias("votes"))
         return grid.select("cell").join(n).where(F.col("votes") >= min_votes)
-    pairs = with_points(placed, grid)
-    pairs = lookup(pairs.withColumn("distance", haversine_km("lat", "lon", "slat", "slon")), times, "distance", "depth", "phase")
+    # Times from the points to the places, so that no row of a pick and a point is joined with the table of times.
+    table = with_points(placed.select("slat", "slon").distinct(), grid).withColumns({"distance": haversine_km("lat", "lon", "slat", "slon"), "_class": F.explode(F.array(F.lit("P"), F.lit("S")))})
+    table = written(lookup(table, times, "distance", "depth", "_class").select("slat", "slon", "_class", "cell", "tt"), "grid-times").alias("t")
+    # A pick that is there once needs no telling apart from others: its points are counted where they are made.
+    once = spread(placed, "pick_id").withColumn("_once", F.count("*").over(Window.partitionBy("pick_id")) == 1).withColumn("_class", phase_class("phase")).alias("p")
+    same = F.col("p.slat").eqNullSafe(F.col("t.slat")) & F.col("p.slon").eqNullSafe(F.col("t.slon")) & (F.col("p._class") == F.col("t._class"))
     width = max_residual * 1e6
-    pairs = pairs.withColumn("bucket", F.floor((F.col("time_us") - F.col("tt") * 1e6) / width))
-    return pairs.groupBy("cell", "bucket").agg(F.countDistinct("pick_id").alias("votes")).where(F.col("votes") >= min_votes)
+    pairs = once.join(table, same).select("cell", F.floor((F.col("time_us") - F.col("tt") * 1e6) / width).alias("bucket"), "pick_id", "_once")
+    votes = F.count(F.when(F.col("_once"), F.col("pick_id"))) + F.countDistinct(F.when(~F.col("_once"), F.col("pick_id")))
+    return pairs.groupBy("cell", "bucket").agg(votes.alias("votes")).where(F.col("votes") >= min_votes)
 
 
 def first_arrivals(picks: DataFrame, by: tuple[str, ...] = ("net", "sta"), rank: int = 1) -> DataFrame:
