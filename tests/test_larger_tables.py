@@ -131,3 +131,29 @@ def test_members_travel_once(spark):
     got = associate.unassociated(picks, members)
     assert "HashAggregate" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["pick_id"] for r in got.collect()) == [7, 8, 9]
+
+
+def test_widest_angles_are_sorted_once(spark):
+    """Gaps are those of plain loops, nulls among the azimuths too; what is sorted for the steps is not gathered again."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), None if rng.random() < 0.1 else float(rng.integers(0, 360))) for k in rng.integers(0, 60, 400)] + [(99, 7.0), (98, None), (98, None), (None, 10.0), (None, 200.0)]
+    got = associate.true_gap(spark.createDataFrame(rows, "orid long, azimuth double"), ("orid",))
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k in {k for k, _ in rows}:
+        a = sorted(x for i, x in rows if i == k and x is not None)
+        want[k] = max([0.0, *np.diff(a), *([360.0 - (a[-1] - a[0])] if a else [])])
+    made = got.collect()
+    assert {r["orid"]: r["gap"] for r in made} == want and len(made) == len(want)
+
+
+def test_a_tasks_rows_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Lines and orders that compress to almost nothing are dealt out by their number all the same."""
+    monkeypatch.setattr(frames, "TASK_ROWS", 500)
+    n = 20_000
+    table(tmp_path, "supplier", pd.DataFrame({"s_suppkey": np.arange(50), "s_nationkey": 1, "s_acctbal": 0.0}))
+    table(tmp_path, "orders", pd.DataFrame({"o_orderkey": np.arange(n // 4), "o_custkey": np.arange(n // 4) % 90, "o_orderdate": pd.Timestamp("1995-01-01")}))
+    k = np.arange(n)
+    table(tmp_path, "lineitem", pd.DataFrame({"l_orderkey": k // 4, "l_linenumber": k % 4, "l_suppkey": k * 7 % 50, "l_returnflag": "A", "l_discount": 0.1, "l_tax": 0.0, "l_quantity": 1.0, "l_extendedprice": 1.0, "l_linestatus": "O", "l_shipdate": pd.Timestamp("1995-01-01")}))
+    assert QUERIES["true_gap"](spark, str(tmp_path)).rdd.getNumPartitions() >= n // 500
+    assert same_as_sql(spark, tmp_path, "true_gap") == n // 4

@@ -346,7 +346,11 @@ def true_gap(rows: DataFrame, by: tuple[str, ...], azimuth: str = "azimuth") ->
     """by..., gap: the widest angle between neighbouring azimuths, all round."""
     w = Window.partitionBy(*by).orderBy(azimuth)
     step = F.coalesce(F.col(azimuth) - F.lag(azimuth).over(w), F.lit(0.0))
-    return rows.withColumn("_step", step).groupBy(*by).agg(F.greatest(F.max("_step"), 360.0 - (F.max(azimuth) - F.min(azimuth))).alias("gap"))
+    # The last row of each has seen them all, so what is sorted for the steps is not gathered once more.
+    rows = rows.select(*by, azimuth, step.alias("_step"), F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    widest, span = F.max("_step").over(so_far), F.max(azimuth).over(so_far) - F.min(azimuth).over(so_far)
+    return rows.withColumn("gap", F.greatest(widest, 360.0 - span)).where("_last").select(*by, "gap")
 
 
 def with_geometry(rows: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

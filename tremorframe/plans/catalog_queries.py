@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo, scales, timeutil
-from ..operators import associate, catalog, regions, trial, velocity
+from ..operators import associate, catalog, frames, regions, trial, velocity
 from ..operators.magnitude import network, upper_median
 from .registry import query
 from .tables import ASSOC, EVENTS, NETMAGS, ORIGINS, PICKS, STATIONS, assoc, azimuth_sql, events, haversine_sql, netmags, origins, picks, read, stations
@@ -114,7 +114,10 @@ _GEOMETRY = "geo AS (SELECT a.orid, a.sta, a.timeres, " + azimuth_sql("o.lat", "
 def _geometry(spark, sf):
     o = origins(spark, sf).select("orid", F.col("lat").alias("olat"), F.col("lon").alias("olon"))
     s = stations(spark, sf).select("sta", "lat", "lon")
-    return _arrivals(assoc(spark, sf)).join(o, "orid").join(s, "sta").select("orid", "sta", "timeres", "residual", "quality", geo.azimuth_deg("olat", "olon", "lat", "lon").alias("azimuth"))
+    lines = _arrivals(assoc(spark, sf)).select("orid", "sta", "timeres", "residual", "quality").join(s, "sta")
+    n = frames.tasks_for(lines)
+    rows = frames.spread(lines, "orid", number=n).join(frames.spread(o, "orid", number=n), "orid")
+    return rows.select("orid", "sta", "timeres", "residual", "quality", geo.azimuth_deg("olat", "olon", "lat", "lon").alias("azimuth"))
 
 
 @query("SELECT orid, round(360.0 - (max(azimuth) - min(azimuth)), 6) AS gap FROM geo GROUP BY orid", (ASSOC, ORIGINS, STATIONS, _GEOMETRY))
