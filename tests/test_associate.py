@@ -195,6 +195,18 @@ def test_counts_and_choice_without_pairs(spark, monkeypatch, twice):
         assert stay == sorted(r["seed_id"] for r in associate.greedy(associate.members(picks, stations, times, old, fits), old).collect())
 
 
+def test_picks_that_fit_without_pairs(spark, monkeypatch):
+    """Picks that fit, and members of some seeds only, are those of all pairs."""
+    rows, places, picks, stations = crowd(spark, 300, 60_000, twice=True)
+    times, want = velocity.straight_rows(spark, 8.0, 4.6), list(plain_fits(rows, places, 10.0))
+    got = {r["pick_id"] for r in associate.fitting(picks, stations, times, 10.0).collect()}
+    assert got == {x[0][0] for x in want} | {x[2] for x in want} and 0 < len(got) < 300
+    some = {x[0][0] for x in want if x[0][0] % 3 == 0}
+    chosen = spark.createDataFrame([(i,) for i in some], "seed_id long")
+    made = associate.members(picks, stations, times, chosen, max_residual=10.0).collect()
+    assert {tuple(r) for r in made} == {(x[0][0], x[2]) for x in want if x[0][0] in some} | {(i, i) for i in some}
+
+
 def test_events_of_many_picks_are_not_pairs(spark, tmp_path, monkeypatch):
     """Ten thousand picks in an hour: millions of pairs; the query writes no table that is longer than the picks."""
     n = 10_000

@@ -71,12 +71,9 @@ def pick(segments: DataFrame, s: Settings) -> DataFrame:
 
 def assemble(picks: DataFrame, stations: DataFrame, times: DataFrame, s: Settings) -> DataFrame:
     """Picks with event_id: candidates resolved greedily."""
-    options = {"max_residual": s.max_residual, "min_stations": s.min_stations, "min_phases": s.min_phases, "bucket_s": s.bucket_s}
-    fits = written(associate.residuals(picks, stations, times, s.max_residual, s.bucket_s), "fits")
-    found = written(associate.candidates(picks, stations, times, fits=fits, **options), "candidates")
-    rows = associate.members(picks, stations, times, found, fits)
-    kept = associate.greedy(rows, found).select("seed_id")
-    chosen = rows.join(kept, "seed_id", "left_semi").select(F.col("seed_id").alias("event_id"), "pick_id").distinct()
+    kept = written(associate.chosen(picks, stations, times, s.max_residual, s.min_stations, s.min_phases), "kept")
+    rows = associate.members(picks, stations, times, kept, max_residual=s.max_residual, bucket_s=s.bucket_s)
+    chosen = rows.select(F.col("seed_id").alias("event_id"), "pick_id").distinct()
     return associate.with_stations(picks, stations).join(chosen, "pick_id")
 
 

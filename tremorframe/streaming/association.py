@@ -57,10 +57,8 @@ class PendingAssociation:
             clock = spark.read.schema("us long").parquet(f"{self.path}/clock/{last}").first()["us"]
         pending = written(pending.dropDuplicates(["pick_id"]), "picks")
         now = max(clock, pending.agg(F.max("time_us")).first()[0] or 0)
-        fits = written(associate.residuals(pending, self.stations, self.times, self.max_residual), "fits")
-        found = written(associate.candidates(pending, self.stations, self.times, fits=fits, max_residual=self.max_residual, **self.needed), "candidates")
-        members = associate.members(pending, self.stations, self.times, found, fits)
-        chosen = members.join(associate.greedy(members, found), "seed_id", "left_semi").select(F.col("seed_id").alias("event_id"), "pick_id").distinct()
+        kept = written(associate.chosen(pending, self.stations, self.times, max_residual=self.max_residual, **self.needed), "kept")
+        chosen = associate.members(pending, self.stations, self.times, kept, max_residual=self.max_residual).select(F.col("seed_id").alias("event_id"), "pick_id").distinct()
         events = written(chosen.join(pending, "pick_id"), "events")
         left = written(associate.unassociated(pending, events), "left")
         late = F.col("time_us") < now - 2 * self.window_us
