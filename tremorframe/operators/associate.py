@@ -231,7 +231,8 @@ def chosen(picks: DataFrame, stations: DataFrame, times: DataFrame, max_residual
     The best that is left is settled in every round, so rounds end.
     """
     placed = with_stations(picks, stations)
-    if not placed.groupBy("pick_id").count().where("count > 1").isEmpty():
+    again = spread(placed.select("pick_id"), "pick_id").select(F.count("*").over(Window.partitionBy("pick_id")).alias("times")).where("times > 1")
+    if not again.isEmpty():
         # An id with several times or places has its picks anywhere.
         fits = written(residuals(picks, stations, times, max_residual), "fits")
         found = written(candidates(picks, stations, times, max_residual, min_stations, min_phases, fits=fits), "candidates")
