@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from compare import connection, difference
+from pyspark.sql import functions as F
 
-from tremorframe.operators import associate, velocity
+from tremorframe.operators import associate, expected, velocity
 from tremorframe.operators.locate import haversine
-from tremorframe.plans import QUERIES
+from tremorframe.plans import ORACLES, QUERIES
 
 DAY = 86_400_000_000
 
@@ -244,3 +248,67 @@ def test_votes_of_picks_that_come_twice(spark, monkeypatch):
     assert sorted((r["cell"], r["bucket"], r["votes"]) for r in got) == sorted((*k, len(v)) for k, v in want.items() if len(v) >= 4)
     # Ten points, five places (two stations share one), two classes.
     assert sizes == [100]
+
+
+def test_blocks_of_few_picks_share_a_table(spark):
+    """Two thousand blocks of two rows each are a few tables, whatever the batches that they come in, and each row is in its own block."""
+    n = 2_000
+    rows = spark.range(n).selectExpr("id AS pick_id", "id * 1000 AS time_us", "concat('S', id % 3) AS sta")
+
+    def size(*given):
+        table = given[-1]
+        yield pa.RecordBatch.from_pydict({"n": [len(table)], "blocks": [len(set(table["_block"].to_pylist()))]})
+
+    for most in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            got = expected.in_blocks(rows, 1000, 0, 10, size, "n long, blocks long").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sum(r["n"] for r in got) == 2 * n and sum(r["blocks"] for r in got) == n + 1 and len(got) < 20
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 18])
+def test_tables_of_blocks_are_whole_blocks(monkeypatch, pairs):
+    """However batches cut them, blocks come whole and in order, and only as long as rows times stations are few."""
+    monkeypatch.setattr(expected, "PAIRS", pairs)
+    rng = np.random.default_rng(8)
+    own = np.repeat(np.arange(60), rng.integers(1, 30, 60))
+    whole = pa.RecordBatch.from_pydict({"_block": own, "sta": [f"S{k % 2}" for k in range(len(own))], "pick_id": np.arange(len(own))})
+    cuts = [0, *sorted(rng.choice(len(own), 40).tolist()), len(own)]
+    got = [pa.Table.from_batches(held) for held in expected._together(whole.slice(i, j - i) for i, j in itertools.pairwise(cuts))]
+    assert [i for t in got for i in t["pick_id"].to_pylist()] == list(range(len(own)))
+    blocks = [set(t["_block"].to_pylist()) for t in got]
+    assert sum(map(len, blocks)) == 60 and len(got) == {1: 60, 1 << 18: 1}.get(pairs, len(got))
+    assert all(len(b) == 1 or len(t) <= max(pairs, 2 * 30) for b, t in zip(blocks, got, strict=True))
+
+
+def test_candidates_of_sparse_picks_with_names(spark):
+    """Blocks that share a table do not see each other's picks, and ids may be texts."""
+    rows, places, picks, stations = crowd(spark, 300, 100_000, twice=True)
+    times, size = velocity.straight_rows(spark, 8.0, 4.6), {}
+    for i, n, s, p, t in rows:
+        if p in ("P", "Pg"):
+            size.setdefault((f"{i:06d}", t, *places[n, s]), []).append(s)
+    for x, _, _, u, _ in plain_fits(rows, places, 120.0):
+        size[f"{x[0]:06d}", *x[1:]].append(u)
+    got = associate.candidates(picks.withColumn("pick_id", F.lpad(F.col("pick_id").cast("string"), 6, "0")), stations, times, 120.0, 1, 1).collect()
+    assert {(r["seed_id"], r["time_us"] + 6_250_000, r["lat"], r["lon"]): (r["station_count"], r["phase_count"]) for r in got} == {k: (len(set(v)), len(v)) for k, v in size.items()}
+    assert len(got) == len(size) and max(map(len, size.values())) > 2
+
+
+def test_picks_are_dealt_out_by_time_alone(spark, tmp_path):
+    """However many suppliers there are, picks are not dealt out by their ten stations, of which each would be one task."""
+    n = 300
+    events = pd.DataFrame({"event_id": range(n), "ts": pd.to_datetime([i * 7919 % 3_600_000 for i in range(n)], unit="ms"), "user_id": [i * 31 % 97 for i in range(n)], "event_type": ["click", "purchase", "view"] * (n // 3), "value": 1.0})
+    spark.createDataFrame(events).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(pd.DataFrame({"s_suppkey": range(5_000), "s_nationkey": 1, "s_acctbal": 0.0})).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES["association_candidates"](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+        con = connection(str(tmp_path))
+        assert not difference(got.toPandas(), con.execute(ORACLES["association_candidates"]).df()) and got.count() > 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -13,7 +13,7 @@ from ..sources import reports, text
 from .catalog_queries import CLAT, CLON, TO_STATION, r, straight_sql
 from .registry import query
 from .signal_queries import _SUMS, _W, DEMEANED, LTA, MARKS, OFF, ON, RECT, STA, STALTA, THREE, S, frame, three_components
-from .tables import ARRAYS, ASSOC, EVENTS, ORIGINS, PICKS, SAMPLES, STATIONS, arrays, assoc, events, haversine_sql, origins, picks, samples, scratch, stations
+from .tables import ARRAYS, ASSOC, EVENTS, ORIGINS, PICKS, SAMPLES, STATIONS, arrays, assoc, events, haversine_sql, origins, pick_stations, picks, samples, scratch, stations
 
 # Channels and components
 
@@ -163,7 +163,7 @@ def spaced_picks(spark, sf):
 @query("SELECT pick_id, sta, round(coalesce(c.lat, 0), 6) AS lat, CASE WHEN c.lat IS NULL THEN 0.0 ELSE pow(1 - quality / 4.0, 2) END AS weight FROM picks p LEFT JOIN (SELECT net, sta AS code, lat FROM stations WHERE station_id % 3 <> 0) c ON c.code = p.sta AND c.net = p.net", (PICKS,))
 def picks_without_station(spark, sf):
     """A pick whose station is not in the list stays, with weight 0."""
-    known = stations(spark, sf).where("station_id % 3 <> 0")
+    known = pick_stations(spark, sf).where("station_id % 3 <> 0")
     rows = associate.with_stations(picks(spark, sf), known, keep_missing=True)
     weight = F.when(F.col("slat").isNull(), 0.0).otherwise(codes.location_weight("quality"))
     return rows.select("pick_id", "sta", r(F.coalesce("slat", F.lit(0.0))).alias("lat"), weight.alias("weight"))
@@ -175,7 +175,7 @@ _DT = "(time_us % 600000000) / 1e6"
 @query(f"SELECT pick_id, round(dt, 6) AS dt, round(dt - tt, 6) AS residual FROM (SELECT pick_id, snr, {_DT} AS dt, {straight_sql(TO_STATION, '10', chr(39) + 'P' + chr(39))} AS tt FROM picks) t WHERE dt >= -1 AND snr >= 3 AND abs(dt - tt) <= 50", (PICKS,))
 def picks_near_model(spark, sf):
     """Picks within 50 s of the P time from one place."""
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumn("distance", geo.haversine_km(CLAT, CLON, "slat", "slon")).withColumn("depth", F.lit(10.0))
+    p = associate.with_stations(picks(spark, sf), pick_stations(spark, sf)).withColumn("distance", geo.haversine_km(CLAT, CLON, "slat", "slon")).withColumn("depth", F.lit(10.0))
     got = associate.near_model(p, velocity.straight_rows(spark, 8.0, 4.6), (F.col("time_us") % 600000000) / 1e6, max_residual=50.0)
     return got.select("pick_id", r("dt").alias("dt"), r("residual").alias("residual"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import associate, locate, pickers, velocity
 from .registry import query
-from .tables import ARRAYS, arrays, exploded, picks, stations
+from .tables import ARRAYS, arrays, exploded, pick_stations, picks
 
 RATE = 20.0
 #: Samples of a segment of the test tables.
@@ -127,7 +127,7 @@ def ml_detections(spark, sf):
 
 def event_picks(spark, sf):
     """Each user's picks as those of one event, times folded into ten minutes, the first of each station and phase."""
-    p = associate.with_stations(picks(spark, sf), stations(spark, sf)).withColumn("event_id", F.col("user_id")).withColumn("time_us", F.col("time_us") % 600_000_000)
+    p = associate.with_stations(picks(spark, sf), pick_stations(spark, sf)).withColumn("event_id", F.col("user_id")).withColumn("time_us", F.col("time_us") % 600_000_000)
     return p.groupBy("event_id", "net", "sta", "slat", "slon", "phase", "quality").agg(F.min("time_us").alias("time_us"))
 
 
