@@ -11,10 +11,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import difference
+from pyspark.sql import functions as F
 
 from tremorframe.functions import arrays as A
-from tremorframe.functions import geo, kernels
-from tremorframe.operators import associate, catalog, frames, locate, magnitude
+from tremorframe.functions import cells, geo, kernels
+from tremorframe.operators import associate, catalog, frames, locate, magnitude, recorded
 from tremorframe.operators.signal import Stream
 from tremorframe.operators.velocity import Model
 from tremorframe.plans import ORACLES, QUERIES
@@ -157,3 +158,71 @@ def test_a_tasks_rows_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     table(tmp_path, "lineitem", pd.DataFrame({"l_orderkey": k // 4, "l_linenumber": k % 4, "l_suppkey": k * 7 % 50, "l_returnflag": "A", "l_discount": 0.1, "l_tax": 0.0, "l_quantity": 1.0, "l_extendedprice": 1.0, "l_linestatus": "O", "l_shipdate": pd.Timestamp("1995-01-01")}))
     assert QUERIES["true_gap"](spark, str(tmp_path)).rdd.getNumPartitions() >= n // 500
     assert same_as_sql(spark, tmp_path, "true_gap") == n // 4
+
+
+def recorded_tables(spark, n: int = 300):
+    """Origins, waveforms in several buckets of time and stations, nulls and an unknown station among them."""
+    rng = np.random.default_rng(8)
+    stations = pd.DataFrame({"net": "N", "sta": [f"S{i}" for i in range(4)], "lat": rng.uniform(30, 33, 4), "lon": rng.uniform(-3, 3, 4)})
+    origins = pd.DataFrame({"event_id": [f"e{i}" for i in range(n)], "time_us": rng.integers(0, 2000, n) * 100_037, "lat": rng.uniform(29, 34, n), "lon": rng.uniform(-3, 3, n), "depth": [None if i % 50 == 3 else float(i % 90) for i in range(n)]})
+    origins.loc[5, "lat"] = None
+    rows = [("N", f"S{i % 5}", "BHZ", int(rng.integers(-50_000_000, 250_000_000)), float(rng.choice([10.0, 20.0])), rng.normal(size=int(rng.integers(5, 2500))).tolist()) for i in range(30)]
+    segments = spark.createDataFrame(rows, "net string, sta string, chan string, start_us long, sample_rate double, samples array<double>")
+    return spark.createDataFrame(origins.astype(object).where(origins.notna(), None), "event_id string, time_us long, lat double, lon double, depth double"), segments, spark.createDataFrame(stations)
+
+
+@pytest.mark.parametrize("bucket_s", [3600.0, 20.0])
+@pytest.mark.parametrize("by_pair", [False, True])
+def test_windows_are_measured_where_they_lie(spark, bucket_s, by_pair):
+    """What is measured is what the slices of all pairs give, and no row for a pair keeps its samples beside a kernel."""
+    origins, segments, stations = recorded_tables(spark)
+    begin, end = (lambda d: d / 3.5 - 2), (lambda d: d / 3.5 + 9)
+    kernel = lambda x, rate, far: [x.sum(1) * rate + (far if by_pair else 0), np.full(len(x), float(x.shape[1]))]
+    got = recorded.measured(origins, segments, stations, recorded.Span(begin, end, 5.0, 300.0, bucket_s), 12, ["total", "n"], kernel, by_pair)
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda r, total, n: (r["event_id"], r["net"], r["sta"], r["chan"], round(r["distance"], 6), r["depth"], r["sample_rate"], n, None if total is None or total != total else round(total, 5))
+    want = [key(r, sum(r["samples"]) * r["sample_rate"] + ((r["hypo"] if r["hypo"] is not None else float("nan")) if by_pair else 0), len(r["samples"])) for r in magnitude.windows(origins, segments, stations, begin, end, 5.0, 300.0, bucket_s).collect() if len(r["samples"]) >= 12]
+    rows = got.collect()
+    assert sorted((key(r, r["total"], int(r["n"])) for r in rows), key=repr) == sorted(want, key=repr) and len(want) > 300
+    assert all((r["hypo"] is None) == (r["depth"] is None) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["local_magnitudes", "moment_magnitudes", "surface_magnitudes"])
+def test_magnitudes_keep_no_samples_beside_kernels(spark, name):
+    """A kernel's other columns wait for it on disk, so samples are none of them: pairs times waveforms of samples fill any disk."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("by_pair", [False, True])
+def test_a_window_is_measured_once_and_few_are_held(monkeypatch, by_pair):
+    """Pairs of one window share its measure; what is held before it is measured stays below the bounds, and nothing is lost at them."""
+    monkeypatch.setattr(recorded, "PAIRS", 50)
+    span = recorded.Span(lambda d: 0 * d, lambda d: 0 * d + 10.0, 0.0, 500.0)
+    origins = recorded.Origins(pa.table({"_at": np.repeat([0, 1_000_000, 2_000_000], 60), "lat": np.full(180, 1.0), "lon": np.zeros(180), "event_id": np.arange(180), "depth": np.arange(180.0)}), span)
+    segments = pa.record_batch({"_at": [0, 0], "lat": [0.0, 1.5], "lon": [0.0, 0.0], "net": ["N", "N"], "sta": ["A", "B"], "chan": ["Z", "Z"], "sample_rate": [1.0, 1.0], "samples": [np.arange(8.0), np.arange(20.0)]})
+    seen = []
+
+    def kernel(x, rate, far):
+        seen.append(len(x))
+        return [x.sum(1) + (far if by_pair else 0)]
+
+    windows = recorded.Windows(span, 1, ["total"], kernel, by_pair)
+    made = [*windows.met(origins, segments, 0), *windows.left()]
+    assert len(made) > 4 and max(b.num_rows for b in made) <= 100 and sum(seen) <= (360 if by_pair else 20)
+    table = pa.Table.from_batches(made).to_pandas().sort_values(["sta", "event_id"])
+    far = np.hypot(table.distance, table.depth) if by_pair else 0
+    begin, n = table.event_id // 60, np.where(table.sta == "A", 8, 20)
+    want = [sum(range(b, min(b + 10, m))) for b, m in zip(begin, n, strict=True)]
+    np.testing.assert_allclose(table.total - far, want)
+    assert table.event_id.tolist() == [*range(180), *range(180)]
+
+
+def test_cells_of_circles_as_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(rng.uniform(-90, 90)), float(rng.uniform(-180, 360)), float(10 ** rng.uniform(0, 4.3))) for _ in range(200)] + [(90.0, 0.0, 50.0), (-90.0, 10.0, 900.0), (0.0, 180.0, 30.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "lat double, lon double, km double").withColumn("id", F.monotonically_increasing_id())
+    for size in (1, 15, 60):
+        want = {(r["id"], c) for r in df.select("id", cells.of_circle("lat", "lon", "km", size).alias("c")).collect() for c in r["c"] or []}
+        got = [(r["id"], r["cell"]) for r in cells.with_circle(df, "cell", "lat", "lon", F.col("km"), size).select("id", "cell").collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -7,7 +7,7 @@ test after it finds all pairs and compares few others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geo import EARTH_RADIUS_KM, col
@@ -40,15 +40,29 @@ def _grid(low: Column, high: Column, west: Column, east: Column, turn: int | Non
     return F.flatten(F.transform(F.sequence(low, high), lambda r: F.transform(wrapped, lambda c: r * _ROW + c)))
 
 
-def of_circle(lat, lon, km, size: int) -> Column:
-    """Array of the cells that hold places within km of (lat, lon)."""
+def _circle(lat, lon, km, size: int) -> tuple[Column, Column, Column, Column]:
+    """Lowest and highest row, first and last column of a circle's cells; columns are not turned back into the circle yet."""
     lat, lon = F.greatest(F.least(col(lat), F.lit(90.0)), F.lit(-90.0)), col(lon)
     high = F.degrees(col(km) / EARTH_RADIUS_KM) + _EPSILON
     pole = F.abs(lat) + high >= 90
     wide = F.when(pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(high)) / F.cos(F.radians(lat)))))) + _EPSILON
     row = lambda x: F.floor((F.greatest(F.least(x, F.lit(90.0)), F.lit(-90.0)) + 90) / size).cast("long")
     column = lambda x: F.floor((x + 180) / size).cast("long")
-    return _grid(row(lat - high), row(lat + high), column(lon - wide), column(lon + wide), 360 // size)
+    return row(lat - high), row(lat + high), column(lon - wide), column(lon + wide)
+
+
+def of_circle(lat, lon, km, size: int) -> Column:
+    """Array of the cells that hold places within km of (lat, lon)."""
+    return _grid(*_circle(lat, lon, km, size), 360 // size)
+
+
+def with_circle(df: DataFrame, name: str, lat, lon, km, size: int) -> DataFrame:
+    """df with a row for each cell of ``of_circle``, which is name."""
+    turn, (low, high, west, east) = 360 // size, _circle(lat, lon, km, size)
+    # Rows and columns one after the other: functions over arrays are not compiled.
+    rows = df.withColumns({"_west": west, "_east": F.least(east, west + turn - 1), "_row": F.explode(F.sequence(low, high))})
+    rows = rows.withColumn("_column", F.explode(F.sequence("_west", "_east")))
+    return rows.withColumn(name, F.col("_row") * _ROW + F.pmod("_column", F.lit(turn))).drop("_west", "_east", "_row", "_column")
 
 
 def flat(lat, lon, size: int) -> Column:

@@ -1,7 +1,7 @@
 """Station and network magnitudes.
 
 A station's magnitude needs a stretch of its waveform round a computed arrival;
-``windows`` asks for it by place and time.  Network
+``recorded`` asks for it by place and time and measures it there.  Network
 magnitudes are the upper median with the population deviation.
 """
 
@@ -11,14 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import cells, kernels, scales
+from ..functions import kernels, scales
 from ..functions.codes import is_vertical
 from ..functions.geo import haversine_km, hypocentral_km, km_to_deg
+from .recorded import Span, dealt, measured
 
 DAY_US = 86_400_000_000
 
@@ -49,20 +48,11 @@ def windows(origins: DataFrame, segments: DataFrame, stations: DataFrame, begin_
     A segment is at its station's place and in its buckets of time; an origin
     looks where and when any distance in range lets it.  They meet by both, so
     stations that recorded nothing then cost nothing, and what goes on is the
-    slice.  A pair that meets in several buckets counts in its first.
+    slice.  A pair that meets in several buckets counts in its first.  What a
+    kernel makes of the slices is ``recorded.measured``, without their rows.
     """
-    width, size = int(bucket_s * 1e6), cells.size_for(2 * most_km)
+    wanted, placed, keys = dealt(origins, segments, stations, Span(begin_s, end_s, least_km, most_km, bucket_s))
     at = lambda seconds, d: F.col("time_us") + seconds(d) * 1e6
-    first = F.floor(at(begin_s, F.lit(float(least_km))) / width)
-    wanted = origins.select("event_id", "time_us", "lat", "lon", "depth", first.alias("_w0"), F.explode(F.sequence(first, F.floor(at(end_s, F.lit(float(most_km))) / width))).alias("_b"))
-    last = F.col("start_us") + (F.size("samples") * 1e6 / F.col("sample_rate")).cast("long")
-    places = stations.select("net", "sta", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    placed = segments.select("net", "sta", "chan", "start_us", "sample_rate", "samples", F.floor(F.col("start_us") / width).alias("_s0"), F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(last / width))).alias("_b")).join(places, ["net", "sta"])
-    keys = ["_b"]
-    # A circle of over a quarter of the globe is in most cells, which then tell nothing.
-    if 4 * most_km < cells.FARTHEST_KM:
-        wanted = wanted.withColumn("_cell", F.explode(cells.of_circle("lat", "lon", F.lit(float(most_km)), size)))
-        placed, keys = placed.withColumn("_cell", cells.of("slat", "slon", size)), ["_cell", "_b"]
     # Pairs may be many more than rows of either side, so both are dealt out, however small they look.
     both = placed.join(wanted.hint("merge"), keys).where(F.col("_b") == F.greatest("_w0", "_s0"))
     both = both.withColumn("distance", haversine_km("lat", "lon", "slat", "slon")).where(F.col("distance").between(least_km, most_km))
@@ -72,43 +62,14 @@ def windows(origins: DataFrame, segments: DataFrame, stations: DataFrame, begin_
     return cut.select("event_id", "net", "sta", "chan", "distance", hypocentral_km("distance", "depth").alias("hypo"), "depth", "sample_rate", "samples")
 
 
-def _alike(samples: pd.Series, *others: pd.Series):
-    """Places in the batch, samples as a matrix, and the others, of rows that have as many samples and equal others."""
-    for (n, *values), rows in samples.groupby([samples.map(len), *others]).indices.items():
-        yield rows, np.stack(samples.iloc[rows].to_list()).astype(float), values
-
-
-def _loudest(samples: pd.Series, rate: pd.Series, f) -> pd.Series:
-    out = np.full(len(samples), np.nan)
-    for rows, x, (r,) in _alike(samples, rate):
-        if x.shape[1]:
-            out[rows] = np.abs(f(x, r)).max(1)
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.DoubleType())
-def wood_anderson_peak(samples: pd.Series, rate: pd.Series) -> pd.Series:
-    return _loudest(samples, rate, lambda x, r: kernels.wood_anderson(x, r))
-
-
-@F.pandas_udf(T.DoubleType())
-def surface_peak(samples: pd.Series, rate: pd.Series) -> pd.Series:
-    return _loudest(samples, rate, lambda x, r: kernels.bandpass(x, r, 1 / 25, 1 / 15, 3))
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("omega", "corner", "misfit")]))
-def spectrum(samples: pd.Series, rate: pd.Series, metres: pd.Series) -> pd.DataFrame:
-    out = np.full((len(samples), 3), np.nan)
-    for rows, x, (r,) in _alike(samples, rate):
-        out[rows] = np.stack(kernels.spectral_fits(x, r, metres.to_numpy(float)[rows]), 1)
-    return pd.DataFrame(out, columns=["omega", "corner", "misfit"])
+def _loudest(f: Callable[[np.ndarray, float], np.ndarray]) -> Callable:
+    return lambda x, rate, far: [np.abs(f(x, rate)).max(1)]
 
 
 def local_stations(origins, segments, stations, corrections: DataFrame | None = None, least: int = 10, **formula) -> DataFrame:
     """ML: from half a second before the computed S to 10 s after."""
     s = lambda d: d / 3.5
-    rows = windows(origins, segments, stations, lambda d: s(d) - 0.5, lambda d: s(d) + 10.0, *RANGES["ML"]).where(F.size("samples") >= least)
-    rows = rows.withColumn("amplitude", wood_anderson_peak("samples", "sample_rate")).drop("samples")
+    rows = measured(origins, segments, stations, Span(lambda d: s(d) - 0.5, lambda d: s(d) + 10.0, *RANGES["ML"]), least, ["amplitude"], _loudest(kernels.wood_anderson))
     if corrections is not None:
         rows = rows.join(corrections.select("sta", "correction"), "sta", "left")
     shift = F.coalesce(F.col("correction"), F.lit(0.0)) if corrections is not None else F.lit(0.0)
@@ -117,8 +78,9 @@ def local_stations(origins, segments, stations, corrections: DataFrame | None =
 
 def moment_stations(origins, segments, stations) -> DataFrame:
     """Mw: five seconds from the computed S; kept between 0 and 10."""
-    rows = windows(origins, segments, stations, lambda d: d / 3.5, lambda d: d / 3.5 + 5.0, *RANGES["Mw"]).where(F.size("samples") >= kernels.SPECTRUM_MIN)
-    rows = rows.withColumn("fit", spectrum("samples", "sample_rate", F.col("hypo") * 1000)).drop("samples").where("fit.omega > 0")
+    spectra = lambda x, rate, far: kernels.spectral_fits(x, rate, far * 1000)
+    rows = measured(origins, segments, stations, Span(lambda d: d / 3.5, lambda d: d / 3.5 + 5.0, *RANGES["Mw"]), kernels.SPECTRUM_MIN, ["omega", "corner", "misfit"], spectra, by_pair=True)
+    rows = rows.withColumn("fit", F.struct("omega", "corner", "misfit")).drop("omega", "corner", "misfit").where("fit.omega > 0")
     rows = rows.withColumn("magnitude", scales.mw(scales.moment("fit.omega", "hypo"))).where((F.col("magnitude") > 0) & (F.col("magnitude") < 10))
     return rows.withColumn("magtype", F.lit("Mw"))
 
@@ -132,8 +94,8 @@ def body_stations(origins, segments, stations, least: int = 10) -> DataFrame:
 
 def surface_stations(origins, segments, stations, least: int = 10) -> DataFrame:
     """Ms: 30 s before to 60 s after the wave at 3.5 km/s, between 15 and 25 s."""
-    rows = windows(origins, segments.where(is_vertical("chan")), stations, lambda d: d / 3.5 - 30.0, lambda d: d / 3.5 + 60.0, *RANGES["Ms"]).where(F.size("samples") >= least)
-    rows = rows.withColumn("amplitude", surface_peak("samples", "sample_rate")).drop("samples")
+    wave = _loudest(lambda x, rate: kernels.bandpass(x, rate, 1 / 25, 1 / 15, 3))
+    rows = measured(origins, segments.where(is_vertical("chan")), stations, Span(lambda d: d / 3.5 - 30.0, lambda d: d / 3.5 + 60.0, *RANGES["Ms"]), least, ["amplitude"], wave)
     return rows.withColumn("magnitude", scales.ms("amplitude", km_to_deg("distance"))).withColumn("magtype", F.lit("Ms"))
 
 
